@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.ngram_join import op3_ngram_jaccard_join
+from lodestone.llm.packing import op9_packing
+from lodestone.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_token_files": op4_token_files,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
