@@ -12,9 +12,9 @@ products that can matter are formed, in four steps, none of which can lose a lin
 3. The rows that are left are built whole; columns of one row go. A row with fewer shared columns than
    `need` goes. Its columns are ordered from rare to frequent, and those before the last `need - 1`
    index the candidates.
-4. Overlaps are counted for candidate pairs within the bounds that sizes set: first each row against the
-   one row that heads most of its index columns, which joins large groups of near copies by stars;
-   then every pair that has an index column in common and isn't in one component yet.
+4. Overlaps are counted for candidate pairs within the bounds that sizes set: in a few turns each row
+   against the rows that head most of its index columns, which joins large groups of near copies by
+   stars; then every pair that has an index column in common and isn't in one component yet.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SIMILARITY = 75
 LOOKED_AT = 0.36
 #: Shingles that step 2 combines before it sends them on.
 BLOCK = 1 << 20
+#: Turns of step 4 by stars: partners that a row is compared with in each.
+PARTNERS = (1, 6, 6)
 
 
 def set_key(shingles: np.ndarray) -> np.int64:
@@ -136,6 +138,40 @@ def _links(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where((100 + similarity) * overlap >= similarity * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _star_pairs(index: DataFrame, parts: DataFrame, similarity: int, turn: int, partners: int) -> DataFrame:
+    """(a, b): for each row b in more than one component's columns, the `partners` rows a that head most of them.
+
+    A column has one head: in the first turn its smallest set, later one drawn by a hash of row and column.
+    """
+    placed = index.join(broadcast_if_small(parts), "key")
+    first = F.struct("n", "key") if turn == 0 else F.struct(F.xxhash64("key", "h", F.lit(turn)), "key")
+    heads = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "c", "component"), first).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    star = placed.alias("b").join(heads.selectExpr("h", "head.key", "head.n", "head.c", "head.component").alias("a"), F.col("a.h") == F.col("b.h"))
+    votes = star.where((F.col("a.component") != F.col("b.component")) & _within_bounds(similarity)).groupBy(F.col("b.key").alias("b"), F.col("a.key").alias("a")).agg(F.count("*").alias("votes"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "a")), asc=False), 1, partners)
+    return votes.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
+
+
+def _crossing_pairs(index: DataFrame, parts: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): every pair of rows within the bounds that has a column in common and isn't in one component."""
+    placed = index.join(broadcast_if_small(parts), "key")
+    open_columns = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    placed = stored(placed.join(open_columns, "h", "left_semi"), "open")
+    by_part = placed.select("h", "component").distinct()
+    x, y = by_part.toDF("h", "part_a"), by_part.toDF("h", "part_b")
+    some = x.join(y, "h").where("part_a < part_b").join(placed.withColumnRenamed("component", "part_a").alias("a"), ["h", "part_a"]).select("h", "part_b", F.struct("a.key", "a.n", "a.c").alias("a"))
+    both = some.join(placed.withColumnRenamed("component", "part_b").alias("b"), ["h", "part_b"]).where(_within_bounds(similarity))
+    return both.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The parts (key, component) after links (a, b) between rows have joined components."""
+    ends = links.join(parts.select(F.col("key").alias("a"), F.col("component").alias("of_a")), "a").join(parts.select(F.col("key").alias("b"), F.col("component").alias("of_b")), "b")
+    between = stored(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct(), "between")
+    merged = connected_components(parts.select(F.col("component").alias("key")), between).select(F.col("key").alias("component"), F.col("component").alias("merged"))
+    return stored(parts.join(merged, "component").select("key", F.col("merged").alias("component")), "parts")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) of each row.
 
@@ -170,21 +206,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
 
     # Step 4
     index = stored(rows.select("key", "n", "c", F.explode(F.slice("grams", F.lit(1), F.col("c") - need + 1)).alias("h")), "index")
-    heads = index.groupBy("h").agg(F.min_by(F.struct("key", "n", "c"), F.struct("n", "key")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    star = index.alias("b").join(heads.selectExpr("h", "head.key", "head.n", "head.c").alias("a"), F.col("a.h") == F.col("b.h")).where((F.col("a.key") != F.col("b.key")) & _within_bounds(similarity))
-    votes = star.groupBy(F.col("b.key").alias("b"), F.col("a.key").alias("a")).agg(F.count("*").alias("votes"))
-    first_pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
-    links = stored(_links(first_pairs, rows, similarity), "links")
-    parts = connected_components(rows.select("key"), links)
-
-    placed = index.join(parts, "key")
-    by_part = placed.select("h", "component").distinct()
-    crossing = by_part.alias("x").join(by_part.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.h").alias("h"), F.col("x.component").alias("part_a"), F.col("y.component").alias("part_b"))
-    some = crossing.join(placed.withColumnRenamed("component", "part_a").alias("a"), ["h", "part_a"]).select("h", "part_b", F.struct("a.key", "a.n", "a.c").alias("a"))
-    others = some.join(placed.withColumnRenamed("component", "part_b").alias("b"), ["h", "part_b"]).where(_within_bounds(similarity))
-    more_pairs = others.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    links = links.union(stored(_links(more_pairs, rows, similarity), "more_links"))
-    parts = connected_components(rows.select("key"), links)
+    parts = rows.select("key", F.col("key").alias("component"))
+    for k, partners in enumerate(PARTNERS):
+        pairs = _star_pairs(index, parts, similarity, k, partners)
+        parts = _joined(parts, _links(stored(pairs, f"pairs-{k}"), rows, similarity))
+    parts = _joined(parts, _links(stored(_crossing_pairs(index, parts, similarity), "crossing"), rows, similarity))
 
     # From keys to the smallest doc_id of each component
     named = sets.where("n > 0").join(broadcast_if_small(parts), "key", "left").withColumn("part", F.coalesce("component", "key"))
