@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from lodestone.llm.text_arrays import SPACE, slices
 
 #: Pieces that a task remembers before it starts anew.
-REMEMBERED = 1_000_000
-ENCODED_AT_ONCE = 2_000
+REMEMBERED = 500_000
+ENCODED_AT_ONCE = 1_000
 #: White space that isn't ASCII; no cut after it, as a run of white space isn't cut.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 _SEPARATOR = " |"
@@ -41,7 +41,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.separator = self._ids([_SEPARATOR])[0]
+        self.separator = next(self._ids([_SEPARATOR]))
         assert len(self.separator) == 1
         self._forget()
 
@@ -49,15 +49,17 @@ class Encoder:
         self.known = pa.array([], pa.binary())
         self.first, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int = 250) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), at_once):  # an encoding is many times the size of its ids
+            for x in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
+                yield np.array(x.ids, np.int32)
 
     def _learn(self, pieces: pa.Array) -> None:
         texts = pieces.cast(pa.string()).to_pylist()
         joined = [k for k, t in enumerate(texts) if t[0] in " \n\t" and not t.isspace() and "|" not in t]
         found: list[np.ndarray | None] = [None] * len(texts)
         groups = [joined[k : k + ENCODED_AT_ONCE] for k in range(0, len(joined), ENCODED_AT_ONCE)]
-        for group, ids in zip(groups, self._ids(["".join(texts[k] + _SEPARATOR for k in group) for group in groups]), strict=True):
+        for group, ids in zip(groups, self._ids(["".join(texts[k] + _SEPARATOR for k in group) for group in groups], 1), strict=True):
             cuts = np.flatnonzero(ids == self.separator[0])
             if len(cuts) == len(group):
                 for k, a, b in zip(group, np.concatenate([[0], cuts[:-1] + 1]), cuts, strict=True):
@@ -107,7 +109,7 @@ class Encoder:
     def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text with the end id, one after the other; a null text has just the end id."""
         last = np.array([end_id], np.int32)
-        for _, data, offsets in slices(column, 8 << 20):
+        for _, data, offsets in slices(column, 2 << 20):
             ids, at = self._slice(data, offsets)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 yield np.concatenate([ids[a:b], last])
