@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.stored import broadcast_if_small, read, stored
-from lodestone.llm.tokens import Encoder
+from lodestone.llm.tokens import encoder
 
 LONGEST = 4096
 COLUMNS = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "part": "int", "rank": "long"}
@@ -32,13 +32,13 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 def _pieces(tokenizer: str, end_id: int, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         ranks = np.zeros(longest.bit_length(), np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(k, ROWS_AT_ONCE)
                 owner, starts, lengths, sums, totals, order, ids = [], [], [], [], [], [], []
-                for row, text in enumerate(encoder.texts(batch.column("text"), end_id)):
+                for row, text in enumerate(encode.texts(batch.column("text"), end_id)):
                     text, at = text.astype("<u4"), 0
                     for length in piece_lengths(len(text), longest):
                         bucket = length.bit_length() - 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.stored import broadcast_if_small, read, shared_folder
-from lodestone.llm.tokens import Encoder
+from lodestone.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -28,11 +28,11 @@ ROWS_AT_ONCE = 1_500
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(k, ROWS_AT_ONCE)
-                texts = list(encoder.texts(batch.column("text"), end_id))
+                texts = list(encode.texts(batch.column("text"), end_id))
                 n = np.array([len(x) for x in texts], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(texts)))
                 starts = start + np.cumsum(n) - n

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,12 @@ _RARE = np.zeros(256, bool)
 _RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which later tasks go on with."""
+    return Encoder(path)
+
+
 class Encoder:
     """Encodes with the tokenizers library; strings of special tokens are ordinary text."""
 
