@@ -25,6 +25,8 @@ SAMPLE = 1_600
 #: Lines of a training sequence; a longer document is several sequences.
 SEQUENCE = 200
 ITERATIONS, RATE, RIDGE = 150, 0.3, 1e-3
+#: The ridge of the transitions: a document's label on all its lines overstates how rarely lines change.
+MOVE_RIDGE = 0.2
 #: A text stays from this share of its words in content lines on.
 CONTENT_SHARE = 0.5
 #: A line of a good document is boilerplate to training from this share of words in repeated windows on.
@@ -37,7 +39,7 @@ _BYTE = np.arange(256)
 _CLASSES = np.stack([_SYMBOL, _BYTE == ord("|"), _BYTE == ord("!"), (_BYTE >= 65) & (_BYTE <= 90), ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128), (_BYTE >= 48) & (_BYTE <= 57), (_BYTE & 0xC0) != 0x80], 1)
 _ENDS = np.zeros(256, bool)
 _ENDS[np.frombuffer(b".!?:;\"')", np.uint8)] = True
-MEASURES = 11
+MEASURES = 12
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -105,6 +107,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             _ENDS[last],
             np.minimum(3, counts[:, 6] / words / 8),
             repeat,
+            np.minimum(1, np.log2(1 + words) / 6) * np.maximum(0, 1 - np.maximum.reduce([2 * counts[:, 0] / words, 4 * counts[:, 1] / words, 2 * counts[:, 2] / words, 2 * counts[:, 3] / letters])),
             repeated_words / words,
         ],
         1,
@@ -201,7 +204,7 @@ def fit(lines: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
         joint = np.exp(joint - _log_sum(joint.reshape(len(later), 4), 1)[:, None, None]).sum(axis=0) if len(later) else np.zeros((2, 2))
         grads = [lines.T @ (gold - marginal), pairs - joint, begins - marginal[first[:-1][lengths > 0]].sum(axis=0)]
         for k, x in enumerate((field.weights, field.moves, field.start)):
-            speed[k] = 0.9 * speed[k] + grads[k] / max(1, len(lines)) - RIDGE * x
+            speed[k] = 0.9 * speed[k] + grads[k] / max(1, len(lines)) - (MOVE_RIDGE if k == 1 else RIDGE) * x
             x += RATE * speed[k]
     return field
 
