@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written as a table to the shared folder and read again: later reads survive lost executors."""
     path = f"{shared_folder(frame.sparkSession)}/lodestone-{uuid.uuid4().hex}/{name}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
