@@ -14,7 +14,8 @@ products that can matter are formed, in four steps, none of which can lose a lin
    index the candidates.
 4. Overlaps are counted for candidate pairs within the bounds that sizes set: in a few turns each row
    against the rows that head most of its index columns, which joins large groups of near copies by
-   stars; then every pair that has an index column in common and isn't in one component yet.
+   stars; then the rows whose index columns still hold several components, in blocks of the product
+   against the rows of those components.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ LOOKED_AT = 0.36
 #: Shingles that step 2 combines before it sends them on.
 BLOCK = 1 << 20
 #: Turns of step 4 by stars: partners that a row is compared with in each.
-PARTNERS = (1, 6, 6)
+PARTNERS = (1, 4)
+#: Rows of a block of the product, and of a slice of others that it meets in one task.
+BLOCK_ROWS, SLICE_ROWS = 1_000, 4_000
 
 
 def set_key(shingles: np.ndarray) -> np.int64:
@@ -152,16 +155,63 @@ def _star_pairs(index: DataFrame, parts: DataFrame, similarity: int, turn: int,
     return votes.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
 
 
-def _crossing_pairs(index: DataFrame, parts: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): every pair of rows within the bounds that has a column in common and isn't in one component."""
+def _product(similarity: int):
+    """Overlap counts of a block's rows with a slice of others, from the postings of the block's columns; gives the pairs that link."""
+
+    def links(block: pa.Table, others: pa.Table) -> pa.Table:
+        def columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+            grams = table["grams"].combine_chunks()
+            grams = pa.concat_arrays(grams.chunks) if isinstance(grams, pa.ChunkedArray) else grams
+            return (*(table[c].to_numpy() for c in ("key", "n", "component")), grams.offsets.to_numpy(), grams.values.to_numpy())
+
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if block.num_rows and others.num_rows:
+            key, n, part, at, grams = columns(block)
+            owner = np.repeat(np.arange(len(key)), np.diff(at))
+            grams = grams[at[0] : at[-1]]
+            order = np.argsort(grams, kind="stable")
+            distinct, first = np.unique(grams[order], return_index=True)
+            owner, first = owner[order], np.append(first, len(grams))
+            o_key, o_n, o_part, o_at, o_grams = columns(others)
+            for k in range(len(o_key)):
+                own = o_grams[o_at[k] : o_at[k + 1]]
+                place = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
+                place = place[distinct[place] == own]
+                count = first[place + 1] - first[place]
+                each = np.repeat(first[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                overlap = np.bincount(owner[each], minlength=len(key))
+                linked = np.flatnonzero(((100 + similarity) * overlap >= similarity * (n.astype(np.int64) + o_n[k])) & (part != o_part[k]))
+                found_a.append(np.full(len(linked), o_key[k]))
+                found_b.append(key[linked])
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    return links
+
+
+def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): every pair of rows that links and isn't in one component, of those with a column in common.
+
+    In a column of several components the rows outside the most frequent one are looked up: they are put
+    into blocks of BLOCK_ROWS at most or so, and a block meets the rows of all components that its columns
+    have, in slices of SLICE_ROWS. A hot column is so never paired with itself.
+    """
     placed = index.join(broadcast_if_small(parts), "key")
-    open_columns = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    placed = stored(placed.join(open_columns, "h", "left_semi"), "open")
-    by_part = placed.select("h", "component").distinct()
-    x, y = by_part.toDF("h", "part_a"), by_part.toDF("h", "part_b")
-    some = x.join(y, "h").where("part_a < part_b").join(placed.withColumnRenamed("component", "part_a").alias("a"), ["h", "part_a"]).select("h", "part_b", F.struct("a.key", "a.n", "a.c").alias("a"))
-    both = some.join(placed.withColumnRenamed("component", "part_b").alias("b"), ["h", "part_b"]).where(_within_bounds(similarity))
-    return both.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    by_part = stored(placed.groupBy("h", "component").agg(F.count("*").alias("m")), "by-part")
+    main = by_part.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("h", "main")
+    asking = stored(placed.join(main, "h").where("component <> main").select("h", "key", "main"), "asking")
+    near = asking.groupBy("key").agg(F.min("main").alias("near"))
+    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    in_block = stored(near.join(sizes, "near").select("key", F.xxhash64("near", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "in-block")
+    columns = asking.join(in_block, "key").select("h", "block").distinct()
+    met = columns.join(by_part.select("h", "component"), "h").select("block", "component").distinct()
+    members = stored(met.join(parts, "component").select("block", "key"), "members")
+    cuts = members.groupBy("block").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("cuts"))
+    whole = rows.select("key", "n", "grams").join(broadcast_if_small(parts), "key")
+    asked = in_block.join(cuts, "block").select("block", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).join(whole, "key")
+    others = members.join(cuts, "block").select("block", "key", F.pmod(F.xxhash64("key"), "cuts").cast("int").alias("cut")).join(whole, "key")
+    names = ["block", "cut", "key", "n", "component", "grams"]
+    asked, others = (side.select(*[F.col(c).alias(c) for c in names]) for side in (asked, others))  # new names, as both have rows' columns
+    return asked.groupBy("block", "cut").cogroup(others.groupBy("block", "cut")).applyInArrow(_product(similarity), "a long, b long")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -210,7 +260,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
     for k, partners in enumerate(PARTNERS):
         pairs = _star_pairs(index, parts, similarity, k, partners)
         parts = _joined(parts, _links(stored(pairs, f"pairs-{k}"), rows, similarity))
-    parts = _joined(parts, _links(stored(_crossing_pairs(index, parts, similarity), "crossing"), rows, similarity))
+    parts = _joined(parts, stored(_crossing_links(index, parts, rows, similarity), "crossing"))
 
     # From keys to the smallest doc_id of each component
     named = sets.where("n > 0").join(broadcast_if_small(parts), "key", "left").withColumn("part", F.coalesce("component", "key"))
