@@ -51,7 +51,7 @@ class Field:
 
 
 #: What holds without labels: every line is content.
-ALL_CONTENT = Field(np.zeros((MEASURES, 2)), np.zeros((2, 2)), np.array([-1.0, 1.0]))
+ALL_CONTENT = Field(np.zeros((MEASURES, 2)), np.array([[0.0, 1.0], [0.0, 1.0]]), np.array([-1.0, 1.0]))
 
 
 def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
