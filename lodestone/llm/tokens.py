@@ -19,19 +19,18 @@ import pyarrow.compute as pc
 from lodestone.llm.text_arrays import SPACE, slices
 
 #: Pieces that a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 ENCODED_AT_ONCE = 1_000
 #: White space that isn't ASCII; no cut after it, as a run of white space isn't cut.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 _SEPARATOR = " |"
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, bool)
-_MARK[33:127] = True
-_MARK[48:58] = False
-_MARK &= ~_LETTER
-_RARE = np.zeros(256, bool)
-_RARE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: What each byte is, as bits.
+_SPACE, _LETTER, _MARK, _RARE = 1, 2, 4, 8
+_KIND = np.where(SPACE, _SPACE, 0).astype(np.uint8)
+_KIND[33:127] = _MARK
+_KIND[48:58] = 0
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] |= _RARE
 
 
 @lru_cache(maxsize=1)
@@ -54,44 +53,55 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.binary())
-        self.first, self.count, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.first, self.count, self.flat, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
 
     def _ids(self, texts: list[str], at_once: int = 250) -> Iterator[np.ndarray]:
         for k in range(0, len(texts), at_once):  # an encoding is many times the size of its ids
             for x in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
                 yield np.array(x.ids, np.int32)
 
-    def _learn(self, pieces: pa.Array) -> None:
-        texts = pieces.cast(pa.string()).to_pylist()
-        joined = [k for k, t in enumerate(texts) if t[0] in " \n\t" and not t.isspace() and "|" not in t]
-        found: list[np.ndarray | None] = [None] * len(texts)
-        groups = [joined[k : k + ENCODED_AT_ONCE] for k in range(0, len(joined), ENCODED_AT_ONCE)]
-        for group, ids in zip(groups, self._ids(["".join(texts[k] + _SEPARATOR for k in group) for group in groups], 1), strict=True):
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Remembers the pieces and gives the index of each."""
+        texts, at = pieces.cast(pa.string()), len(self.known)
+        joins = pc.match_substring_regex(texts, r"(?s)^[ \n\t][^|]*$")  # what a separator can follow and be told from
+        joined, rest = texts.filter(joins), texts.filter(pc.invert(joins))
+        flat, counts = [], []
+        starts = [*range(0, len(joined), ENCODED_AT_ONCE), len(joined)]
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), joined), _SEPARATOR).to_pylist() if len(joined) else []
+        for k, ids in enumerate(self._ids([g + _SEPARATOR for g in groups], 1)):
             cuts = np.flatnonzero(ids == self.separator[0])
-            if len(cuts) == len(group):
-                for k, a, b in zip(group, np.concatenate([[0], cuts[:-1] + 1]), cuts, strict=True):
-                    found[k] = ids[a:b]
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, ids in zip(rest, self._ids([texts[k] for k in rest]), strict=True):
-            found[k] = ids
-        counts = np.array([len(x) for x in found], np.int64)
-        at, end = len(self.known), len(self.known) + len(pieces)
+            if len(cuts) == starts[k + 1] - starts[k]:
+                flat.append(ids[ids != self.separator[0]])
+                counts.append(np.diff(cuts, prepend=-1) - 1)
+            else:
+                found = list(self._ids(joined.slice(starts[k], starts[k + 1] - starts[k]).to_pylist()))
+                flat += found
+                counts.append(np.array([len(x) for x in found]))
+        found = list(self._ids(rest.to_pylist()))
+        flat += found
+        count = np.concatenate([*counts, np.array([len(x) for x in found], np.int64)]).astype(np.int32)
+        end, used = at + len(pieces), self.used + int(count.sum())
         while len(self.first) < end:
             self.first, self.count = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.count, np.zeros_like(self.count)])
-        while len(self.flat) < self.used + counts.sum():
+        while len(self.flat) < used:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.first[at:end], self.count[at:end] = self.used + np.cumsum(counts) - counts, counts
-        self.flat[self.used : self.used + counts.sum()] = np.concatenate(found)
-        self.used += int(counts.sum())
-        self.known = pa.concat_arrays([self.known, pieces])
+        self.first[at:end], self.count[at:end] = self.used + np.cumsum(count) - count, count
+        self.flat[self.used : used] = np.concatenate([*flat, np.zeros(0, np.int32)])
+        self.used = used
+        self.known = pa.concat_arrays([self.known, joined.cast(pa.binary()), rest.cast(pa.binary())])
+        first = joins.to_numpy(zero_copy_only=False)
+        index = np.empty(len(pieces), np.int32)
+        index[first], index[~first] = at + np.arange(len(joined)), at + len(joined) + np.arange(len(rest))
+        return index
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        space = SPACE[data]
+        kind = _KIND[data]
+        here, before = kind[1:], kind[:-1]
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = (space[1:] & ~space[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]])
-        if _RARE[data].any():
+        cut[1:-1] = ((here & _SPACE) > (before & _SPACE)) | ((here & (before << 1) & _MARK) > 0)
+        if (kind & _RARE).any():
             for m in _OTHER_SPACE.finditer(data):
                 cut[m.end()] = False
         cut[offsets] = True
@@ -104,19 +114,18 @@ class Encoder:
         place = pc.index_in(different, value_set=self.known)
         index = place.fill_null(0).to_numpy().copy()
         if place.null_count:
-            new, at = place.is_null(), len(self.known)
-            self._learn(different.filter(new))
-            index[np.flatnonzero(new.to_numpy(zero_copy_only=False))] = np.arange(at, len(self.known))
+            new = place.is_null()
+            index[new.to_numpy(zero_copy_only=False)] = self._learn(different.filter(new))
         known = index[pieces.indices.to_numpy()]
         count = self.count[known]
-        end = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[known] - end + count, count) + np.arange(end[-1])]
+        end = np.cumsum(count, dtype=np.int32)
+        ids = self.flat[np.repeat(self.first[known] - end + count, count) + np.arange(end[-1], dtype=np.int32)]
         return ids, np.concatenate([[0], end])[np.searchsorted(bounds, offsets)]
 
     def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text with the end id, one after the other; a null text has just the end id."""
         last = np.array([end_id], np.int32)
-        for _, data, offsets in slices(column, 2 << 20):
+        for _, data, offsets in slices(column, 4 << 20):
             ids, at = self._slice(data, offsets)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 yield np.concatenate([ids[a:b], last])
