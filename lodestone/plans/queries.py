@@ -311,7 +311,7 @@ def hamming_previous(spark, d):
     return whole.select("vec_id", "distance", (F.col("distance") <= 24).alias("same"))
 
 
-@registered("select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.1f KB', n_chars / 1024.0) else printf('%.1f MB', n_chars / 1048576.0) end as size from documents")
+@registered("select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.1f KB', floor(n_chars / 102.4 + 0.5) / 10) else printf('%.1f MB', floor(n_chars / 104857.6 + 0.5) / 10) end as size from documents")
 def fmt_size(spark, d):
     return read(spark, d, "documents").select("doc_id", X.format_size(F.col("n_chars")).alias("size"))
 
