@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import read
+from lodestone.llm.stored import read, small_batches
 from lodestone.llm.text_arrays import slices
 
 #: Labelled rows that training takes at most, over all languages.
@@ -134,7 +134,9 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _predict(model):
+def _predict(model, with_text: bool):
+    left_out = ("letters",) if with_text else ("text", "letters")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -156,24 +158,26 @@ def _predict(model):
             known = np.array(batch.column("letters").fill_null(False).to_numpy(zero_copy_only=False), bool)
             lang = np.where(known, np.array([*m.languages], object)[best], UNKNOWN)
             score = np.where(known, surest, 0.0)
-            kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] not in ("text", "letters")]
-            names = [c for c in batch.schema.names if c not in ("text", "letters")]
+            names = [c for c in batch.schema.names if c not in left_out]
+            kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(known & (score >= m.reject_below))], [*names, "lang_pred", "score", "accepted"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, keep: dict[str, str]) -> DataFrame:
-    """The columns of `keep` (name: type) of each row with lang_pred, score (0 to 1) and accepted.
+def identify(docs: DataFrame, model: Model | None, keep: dict[str, str], with_text: bool = False) -> DataFrame:
+    """The columns of `keep` (name: type) of each row, and the text if asked for, with lang_pred, score (0 to 1) and accepted.
 
     A null text, an empty one and one without letters is `und` with score 0 and isn't accepted; so is
     every text without a model. Texts are read whole; repeated rows get equal answers.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(*[F.col(c).cast(t) for c, t in keep.items()], F.col("text").cast("string"), F.col("text").rlike(r"\p{L}").alias("letters"))
     if model is None:
-        return text.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+        return text.select(*keep, *["text"] * with_text, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return text.mapInArrow(_predict(sent), ", ".join(f"{c} {t}" for c, t in keep.items()) + ", lang_pred string, score double, accepted boolean")
+    schema = ", ".join([*(f"{c} {t}" for c, t in keep.items()), *["text string"] * with_text])
+    return text.mapInArrow(_predict(sent, with_text), schema + ", lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -192,8 +196,8 @@ def accepted_only(docs: DataFrame) -> DataFrame:
     Every row is judged: those without text or letters and those under the calibrated score go.
     """
     model = train(docs, ~held_out())
-    kinds = dict(docs.dtypes)
-    other = {f"kept_{k}": (c, t) for k, (c, t) in enumerate(kinds.items())}
-    carried = docs.select(*[F.col(f"`{c}`").alias(name) for name, (c, _) in other.items()], "text")
-    judged = identify(carried, model, {name: t for name, (_, t) in other.items()})
-    return judged.where("accepted").select(*[F.col(name).alias(c) for name, (c, _) in other.items()])
+    names = {f"kept_{k}": (c, t) for k, (c, t) in enumerate(docs.dtypes) if c != "text"}
+    carried = docs.select(*[F.col(f"`{c}`").alias(name) for name, (c, _) in names.items()], F.col("text").cast("string"))
+    judged = identify(carried, model, {name: t for name, (_, t) in names.items()}, with_text=True)
+    back = {c: name for name, (c, _) in names.items()}
+    return judged.where("accepted").select(*[F.col(back.get(c, "text")).cast(t).alias(c) for c, t in docs.dtypes])

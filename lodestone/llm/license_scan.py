@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import read
+from lodestone.llm.stored import read, small_batches
 
 COVERAGE = 0.75
 #: Texts without any of these have no notice; around each hit a window of a notice's length either way is aligned.
@@ -125,6 +125,7 @@ def license_scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, c
     null with coverage 0 if no notice has `coverage` of its words aligned, as for null and empty texts.
     licenses has all that are covered. Texts are read whole; repeated rows get equal answers.
     """
+    small_batches(docs.sparkSession)
     seeded = F.when(F.col("text").rlike(f"(?i){SEED}"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long"), seeded.alias("seeded"))
     return rows.mapInArrow(_scanned(notices or NOTICES, coverage), "doc_id long, license string, coverage double, n_aligned long, first_word long, licenses array<string>")

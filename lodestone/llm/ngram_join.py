@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.stored import broadcast_if_small, read, stored
+from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
 from lodestone.llm.text_arrays import mix, shingle_sets
 
 #: Of 100: two sets link from this similarity on.
@@ -231,6 +231,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
     their own set. A row without doc_id takes part; its component_id is null if no row it reaches has one.
     An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(docs.mapInArrow(_sets(size), "doc_id long, n long, key long"), "sets")
     texts = docs.where(F.col("text").isNotNull())

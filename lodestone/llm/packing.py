@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import broadcast_if_small, read, stored
+from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
 from lodestone.llm.tokens import encoder
 
 LONGEST = 4096
@@ -67,6 +67,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = LONGEST, w
     without doc_id or with one that repeats are documents of their own. Texts of any length are cut
     whole; an empty table has no pieces. Sequences are numbered from 0 without gaps, the shortest first.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = ", ".join(f"{k} {v}" for k, v in COLUMNS.items()) + ", ids array<int>" * with_ids
     pieces = stored(docs.mapInArrow(_pieces(tokenizer, end_id, longest, with_ids), schema), "pieces")

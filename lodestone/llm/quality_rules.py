@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import read
+from lodestone.llm.stored import read, small_batches
 from lodestone.llm.text_arrays import SPACE, mix, slices, windows, word_hashes, word_spans
 
 #: Labelled documents that training takes at most, half of either quality if there are so many.
@@ -269,6 +269,7 @@ def judged(docs: DataFrame, field: Field, carry: dict[str, str], content_share:
     A null or empty text has no words, fails the base and isn't kept. Lines without a word have no
     label and count nowhere. Texts are read whole; repeated rows get equal answers.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).cast(t) for c, t in carry.items()], *[] if "text" in carry else [F.col("text").cast("string")])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in carry.items()), *(f"{c} long" for c in BASE), "base_failed boolean, content_share double, kept boolean"])
     return rows.mapInArrow(_judge(field, content_share, list(carry)), schema)
@@ -281,8 +282,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns; every row is judged."""
-    names = {f"kept_{k}": (c, t) for k, (c, t) in enumerate(docs.dtypes)}
-    text = next(name for name, (c, _) in names.items() if c == "text")
-    carried = docs.select(*[F.col(f"`{c}`").alias(name) for name, (c, _) in names.items()]).withColumn("text", F.col(text).cast("string"))
+    names = {f"kept_{k}": (c, t) for k, (c, t) in enumerate(docs.dtypes) if c != "text"}
+    carried = docs.select(*[F.col(f"`{c}`").alias(name) for name, (c, _) in names.items()], F.col("text").cast("string"))
     rows = judged(carried, train(docs, labels), {name: t for name, (_, t) in names.items()} | {"text": "string"})
-    return rows.where("kept").select(*[F.col(name).alias(c) for name, (c, _) in names.items()])
+    back = {c: name for name, (c, _) in names.items()}
+    return rows.where("kept").select(*[F.col(back.get(c, "text")).cast(t).alias(c) for c, t in docs.dtypes])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows (of a few numbers each); beyond it Spark joins by shuffles.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 1_500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_ROWS at most: whole texts are long, and a batch is in memory several times."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written as a table to the shared folder and read again: later reads survive lost executors."""
     path = f"{shared_folder(frame.sparkSession)}/lodestone-{uuid.uuid4().hex}/{name}"

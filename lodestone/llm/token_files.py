@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import broadcast_if_small, read, shared_folder
+from lodestone.llm.stored import broadcast_if_small, read, shared_folder, small_batches
 from lodestone.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -49,6 +49,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, r
     Rows without doc_id come first; rows of one doc_id are ordered by a hash of their text, equal rows
     stay as often as they come. An empty table gives files without rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = ["doc_id", F.xxhash64("text")]
     ids = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_encode(tokenizer, end_id), SCHEMA)
