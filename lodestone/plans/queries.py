@@ -6,6 +6,7 @@ those of the searches themselves (pages, top lists).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import names as N
 from lodestone.functions import text as X
 from lodestone.operators import catalogue, hierarchy, search
-from lodestone.sources.tables import first_of_each
+from lodestone.sources.tables import describe_snapshot, first_of_each, load_snapshot, save_snapshot, shared_folder
 from lodestone.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,6 +354,48 @@ def math_eval(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.math_value(text).alias("value"))
 
 
+@registered("select p_partkey, case when contains(lower(p_name), 'in') then instr(lower(p_name), 'in') - 1 end::int as start from part")
+def highlight(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.get(search.highlights(F.col("p_name"), "in"), F.lit(0))["start"].alias("start"))
+
+
+@registered("select doc_id, regexp_replace(substring(text, 1, 1024), '[\\r\\n]', ' ', 'g') as line from documents")
+def log_sanitise(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.log_line(F.col("text")).alias("line"))
+
+
+@registered("select p_partkey, 'https://www.google.com/search?q=' || replace(p_name, ' ', '+') as target from part")
+def web_search_url(spark, d):
+    return read(spark, d, "part").select("p_partkey", X.search_url(F.col("p_name")).alias("target"))
+
+
+@registered("select 'records' as table_name, (select count(*) from region) + (select count(*) from nation) + (select count(*) from customer) + (select count(*) from orders) as n union all select 'roots', 1")
+def snapshot_counts(spark, d):
+    """The tree saved as a snapshot, loaded and described."""
+    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}/snapshot"
+    save_snapshot({"records": tree(spark, d), "roots": spark.createDataFrame([("C", "C:\\")], "drive string, root string")}, path)
+    return describe_snapshot(load_snapshot(spark, path))
+
+
+@registered(f"with m as (select *, row_number() over (order by rank, name_len, name_lower, file_ref) as k from ({_PART_MATCHES})) select file_ref, name from m where k > 50 and k <= 150 and name not in (select name from m where k <= 50)")
+def next_page(spark, d):
+    """Rows 51 to 150 whose path isn't on the first page."""
+    first, more = search.search_generic(parts(spark, d), "ring", 50), search.search_generic(parts(spark, d), "ring", 100, 50)
+    return search.next_page(more, first).select("file_ref", "name")
+
+
+@registered(
+    f"with recursive gone as (select 1000 + c_custkey as file_ref from customer where c_acctbal < 0), {TREE_SQL.replace('from t d join chain c', 'from t d anti join gone using (file_ref) join chain c')}"
+    " select file_ref, depth, path from entries anti join gone using (file_ref)"
+)
+def cdc_tree_paths(spark, d):
+    """Paths after the deletion of customers in debt; their orders stay, at the root."""
+    debt = read(spark, d, "customer").where("c_acctbal < 0")
+    deleted = debt.selectExpr("'C' as drive", "c_custkey + 1 as seq", "'deleted' as op", "1000 + c_custkey as file_ref", "cast(null as bigint) as old_ref", "0L as parent_ref", "c_name as name", "true as is_dir")
+    state = changes.merged(changes.from_scan(tree(spark, d)), deleted)
+    return hierarchy.with_ancestry(changes.live(state), junk_dirs=JUNK, user_dirs=USER).select("file_ref", "depth", "path")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The tree's first page for a word, with paths."""
     return search.search_generic(placed(spark, d), "customer").select("file_ref", "name", "path", "rank")
