@@ -21,7 +21,7 @@ from lodestone.llm.stored import read, small_batches
 from lodestone.llm.text_arrays import slices
 
 #: Labelled rows that training takes at most, over all languages.
-SAMPLE = 2_400
+SAMPLE = 1_200
 BUCKET_BITS = 17
 DIMENSIONS = 16
 EPOCHS = 8

@@ -36,7 +36,7 @@ SIMILARITY = 75
 #: Share of a set (its smallest hashes) that step 2 looks at.
 LOOKED_AT = 0.36
 #: Shingles that step 2 combines before it sends them on.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Turns of step 4 by stars: partners that a row is compared with in each.
 PARTNERS = (1, 4)
 #: Rows of a block of the product, and of a slice of others that it meets in one task.

@@ -22,7 +22,7 @@ from lodestone.llm.tokens import encoder
 
 LONGEST = 4096
 COLUMNS = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "part": "int", "rank": "long"}
-ROWS_AT_ONCE = 1_500
+ROWS_AT_ONCE = 750
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:

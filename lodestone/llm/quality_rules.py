@@ -235,10 +235,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     chosen = hashed.where(F.col("order") < (share - 0.5) * float(1 << 64)).orderBy("order").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("order", "quality", "text").limit(4 * sample)
     found = texts.mapInArrow(_sample_lines, "order long, quality int, lines array<float>").toArrow()
-    rows = sorted(zip(found["order"].to_pylist(), found["quality"].to_pylist(), found["lines"].to_pylist(), strict=True), key=lambda r: (r[0], len(r[2])))
+    values = pa.concat_arrays(found["lines"].chunks) if found.num_rows else pa.array([], pa.list_(pa.float32()))
+    at, flat = values.offsets.to_numpy(), values.values.to_numpy()
+    rows = sorted(zip(found["order"].to_pylist(), found["quality"].to_pylist(), at[:-1], at[1:], strict=True), key=lambda r: (r[0], r[3] - r[2]))
     lines, first, marks = [np.zeros((0, MEASURES))], [0], [np.zeros(0, np.int64)]
-    for _, quality, values in rows:
-        own = np.array(values, float).reshape(-1, MEASURES)
+    for _, quality, begin, end in rows:
+        own = flat[begin:end].reshape(-1, MEASURES).astype(float)
         for k in range(0, len(own), SEQUENCE):
             lines.append(own[k : k + SEQUENCE])
             first.append(first[-1] + len(lines[-1]))

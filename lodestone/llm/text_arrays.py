@@ -1,6 +1,6 @@
 """Whole texts as flat numpy arrays: word spans, word hashes and word windows.
 
-Texts arrive as Arrow string columns. They are handled in slices of half a megabyte (a longer
+Texts arrive as Arrow string columns. They are handled in slices of a quarter of a megabyte (a longer
 text is a slice of its own), so the memory of a task doesn't depend on the size of its batch.
 A word is a run of bytes other than 0x20 and 0x09 to 0x0D; words never cross texts.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes with A to Z lowered.
@@ -48,6 +48,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

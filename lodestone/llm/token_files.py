@@ -23,7 +23,7 @@ from lodestone.llm.tokens import encoder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
-ROWS_AT_ONCE = 1_500
+ROWS_AT_ONCE = 750
 
 
 def _encode(tokenizer: str, end_id: int):

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from lodestone.llm.text_arrays import SPACE, slices
 
 #: Pieces that a task remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 ENCODED_AT_ONCE = 1_000
 #: White space that isn't ASCII; no cut after it, as a run of white space isn't cut.
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
@@ -125,7 +125,7 @@ class Encoder:
     def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text with the end id, one after the other; a null text has just the end id."""
         last = np.array([end_id], np.int32)
-        for _, data, offsets in slices(column, 4 << 20):
+        for _, data, offsets in slices(column, 2 << 20):
             ids, at = self._slice(data, offsets)
             for a, b in zip(at[:-1], at[1:], strict=True):
                 yield np.concatenate([ids[a:b], last])
