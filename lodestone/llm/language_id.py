@@ -31,6 +31,8 @@ LONGEST = 4
 CALIBRATES = 4
 #: Of calibrating rows so many may be rejected; never those with a score over MOST_REJECTED.
 REJECTED_SHARE, MOST_REJECTED = 0.001, 0.45
+#: Labels that calibration takes to be drawn at random, so that a part without errors doesn't make every score 1.
+DOUBT = 0.01
 UNKNOWN = "und"
 
 _SIGN = np.arange(256, dtype=np.uint32)
@@ -99,7 +101,10 @@ def _fit(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]]) -
         return e / e.sum(axis=1, keepdims=True)
 
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(probabilities(t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
+    loss = []
+    for t in grid:
+        logs = np.log(probabilities(t) + 1e-12)
+        loss.append(-((1 - DOUBT) * logs[np.arange(len(y)), y] + DOUBT * logs.mean(axis=1)).mean())
     temperature = float(grid[int(np.argmin(loss))])
     surest = probabilities(temperature).max(axis=1)
     return Model(languages, table.astype(np.float32), bias, temperature, float(min(MOST_REJECTED, np.quantile(surest, REJECTED_SHARE))))
