@@ -29,7 +29,10 @@ CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar sidebars aside cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets toolbar skip copyright disclaimer contentinfo complementary".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
-CHROME, NEUTRAL, MAIN, ARTICLE = range(4)
+#: A name of several parts says what such a word says only if its other parts are these; has-sidebar, related-work or comments-open don't.
+FILLER_WORDS = frozenset("area bar block body bottom box buttons col column container content desktop footer global group header icons inner item items left links list main mobile outer page post posts primary right secondary section side site top wrap wrapper".split())
+#: NAMED is inside an article, but named as something else.
+CHROME, NAMED, NEUTRAL, MAIN, ARTICLE = range(5)
 
 
 @dataclass
@@ -57,25 +60,54 @@ def _names(attributes: str) -> tuple[str, str]:
     return " ".join(names), hidden
 
 
-def _state(tag: str, attributes: str, above: int) -> tuple[int, str]:
+@dataclass(eq=False)
+class Named:
+    """An element outside articles that is named as what isn't the article, and whether it holds one."""
+
+    comments: bool
+    holds: bool
+
+
+@lru_cache(maxsize=1 << 14)
+def _words(names: str) -> frozenset[str]:
+    """Words that whole names stand for: of a name's parts all are fillers, or all but words of CHROME_WORDS."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = set(_NAME_PART.findall(name))
+        if parts <= CHROME_WORDS | FILLER_WORDS:
+            found |= parts & CHROME_WORDS or parts & {"header"}
+    return frozenset(found)
+
+
+def _state(tag: str, attributes: str, above: int, named: tuple[Named, ...]) -> tuple[int, str, tuple[Named, ...]]:
     names, hidden = _names(attributes) if attributes.strip() else ("", "")
-    words = set(_NAME_PART.findall(names))
-    if above == CHROME or hidden or tag in CHROME_TAGS or words & COMMENT_WORDS:
-        return CHROME, names
+    if above == CHROME or hidden or tag in CHROME_TAGS:
+        return CHROME, names, named
+    words = _words(names) if tag not in ("html", "body") else frozenset()
+    is_main, is_comments = tag == "main" or "main" in names.split(), bool(words & COMMENT_WORDS)
+    if tag == "article" or is_main:
+        for wrapper in named:
+            wrapper.holds = True
+        if tag == "article" and is_comments and above != ARTICLE:
+            named = (*named, Named(True, True))
+    if above >= ARTICLE or above == NAMED:
+        if tag not in ("article", "main") and is_comments:
+            return CHROME, names, named
+        return NAMED if above == NAMED or (tag not in ("article", "main") and words - {"header"}) else ARTICLE, names, named
     if tag == "article":
-        return ARTICLE, names
-    if tag == "main" or "main" in names.split():
-        return max(above, MAIN), names
-    if tag not in ("html", "body") and (words & CHROME_WORDS or (above < MAIN and (tag == "header" or "header" in words))):
-        return CHROME, names
-    return above, names
+        return ARTICLE, names, named
+    if is_main:
+        return MAIN, names, named
+    if words - {"header"} or (above < MAIN and (tag == "header" or words)):
+        named = (*named, Named(is_comments, False))
+    return above, names, named
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that have text; white space in a block is one space, references are decoded."""
-    root = ["", NEUTRAL, "", []]
-    stack = [root]  # tag, state, path, styles of children
-    found: list[tuple[list, str, int, str]] = []
+    root = ["", NEUTRAL, "", [], None, ()]
+    stack = [root]  # tag, state, path, styles of children, parent, named wrappers
+    found: list[tuple[list, str, int, str, tuple[Named, ...]]] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -86,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
                 joined = html.unescape(joined)
             if joined := " ".join(joined.split()):
                 own = next((e for e in reversed(stack) if e[0] in BLOCK), root)
-                found.append((own[4] if len(own) > 4 else root, own[2], stack[-1][1], joined))
+                found.append((own[4] or root, own[2], stack[-1][1], joined, stack[-1][5]))
 
     def close(depth: int) -> None:
         if any(e[0] in BLOCK for e in stack[depth:]):
@@ -140,16 +172,19 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in BLOCK:
             flush()
-        state, names = _state(tag, attributes, stack[-1][1])
-        if state != stack[-1][1]:
+        state, names, named = _state(tag, attributes, stack[-1][1], stack[-1][5])
+        if state != stack[-1][1] or named != stack[-1][5]:
             flush()
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         step = f"{tag}.{names}" if names else tag
         stack[-1][3].append(step)
-        stack.append([tag, state, f"{stack[-1][2]}>{step}", [], stack[-1]])
+        stack.append([tag, state, f"{stack[-1][2]}>{step}", [], stack[-1], named])
     rest = page[at:]
     if rest:
         text.append(rest)
     flush()
-    return [Block(_hash(path), _hash(" ".join(dict.fromkeys(parent[3]))), state, words) for parent, path, state, words in found]
+    # a named element that holds the page's article is a wrapper, whatever its name; beside another article, it is what its name says
+    best = max((state for _, _, state, _, named in found if not named), default=CHROME)
+    states = [state if all(w.holds and best < (MAIN if w.comments else ARTICLE) for w in named) else CHROME for _, _, state, _, named in found]
+    return [Block(_hash(path), _hash(" ".join(dict.fromkeys(parent[3]))), state, words) for (parent, path, _, words, _), state in zip(found, states, strict=True)]

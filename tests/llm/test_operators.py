@@ -373,6 +373,22 @@ def test_decontamination(spark, docs, texts, nothing):
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a>A</a></ul></nav><div class="cookie-notice">We use</div><main><article><header><h1>Title&nbsp; x</h1></header><p>one <b>two</b>&amp;three<br>four<p>five &lt;b&gt; &am <i>x</i>y<div class="ad">buy</div><ul><li>i1<li>i2</ul><form><input>sub</form><!-- c > --><aside>pull</aside><p>last</article><section id="comments"><article>cmt</article></section></main><footer>f</footer></body></html>"""
 
 
+def test_html_names():
+    from lodestone.llm.html_blocks import CHROME, NAMED, blocks_of
+
+    def kept(page):
+        return [b.text for b in blocks_of(page) if b.state > NAMED]
+
+    for wrapper in ('<body class="single comments-open">%s', '<main class="no-comments">%s</main>', '<div class="content has-sidebar">%s</div>', '<div id="page" class="no-sidebar">%s</div>', '<div class="sidebar">%s</div>', '<div class="comments"><div class="related-posts">%s</div></div>', "<header>%s</header>"):
+        assert kept(wrapper % "<h1>Title</h1><article class='post has-comments'><p>text</article>") == ["Title", "text"], wrapper
+    inside = '<article><h2 id="related-work">a</h2><section id="share-price">b</section><p id="notice-period">c</p><div class="site-header">d</div></article>'
+    assert kept(inside) == ["a", "b", "c", "d"]
+    # beside an article, names say what they say
+    for named in ('<div class="related-posts"><article>x</article></div>', '<section id="comments"><article>x</article></section>', '<article class="comment">x</article>', '<div class="left-sidebar">x</div>', '<div class="cookie-notice">x</div>'):
+        assert kept(f"<main><article>text</article></main>{named}") == ["text"], named
+    assert [b.state for b in blocks_of('<article>a<p class="related">b</p><p class="comments">c</p></article>')][1:] == [NAMED, CHROME]
+
+
 def test_html(spark):
     from lodestone.llm.html_extraction import main_text
 
