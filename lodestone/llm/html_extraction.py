@@ -3,8 +3,10 @@
 The pages of a host are merged by the paths of tags and names in their markup. A branch's importance is
 the entropy of what its places hold: of the texts in it (content) and of how its parent presents its
 children (presentation), each over the log of how many there are, so 0 is all equal and 1 all different.
-Branches of low importance go from every page of the host. Markup that says what it is (article, main; menus,
-adverts, comments and so on) decides first, which is all there is for hosts with few pages.
+What a block's markup is named (article, main; a menu or advert inside an article) is added to its branch's
+importance as a prior, and blocks whose sum is low go from every page of the host. Menus, adverts, comments and
+so on outside articles always go: sites change them from page to page, so their importance can be that of a
+title. Where a branch has been seen on too few different pages, names and lengths decide.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.html_blocks import ARTICLE, CHROME, MAIN, blocks_of
+from lodestone.llm.html_blocks import ARTICLE, MAIN, NAMED, NEUTRAL, blocks_of
 from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
 
 #: Weight of content against presentation, the importance under which a branch goes, and the pages that a branch is judged from.
 CONTENT_WEIGHT, LOW, LEAST_PAGES = 0.9, 0.3, 8
-_BLOCK = pa.struct([("path", pa.int64()), ("text", pa.string()), ("open", pa.bool_())])
-_NODE = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64())])
-SCHEMA = "page_id long, url string, host string, page long, blocks array<struct<path: long, text: string, open: boolean>>, nodes array<struct<path: long, style: long, content: long>>"
+#: What a block's state adds to its branch's importance.
+PRIOR = {NAMED: -0.3, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
+#: The same for blocks without a name beside a main part that is longer than all of them.
+BESIDE = -0.3
+_BLOCK = pa.struct([("path", pa.int64()), ("text", pa.string()), ("least", pa.float64()), ("kept", pa.bool_())])
+_NODE = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("page", pa.int64())])
+SCHEMA = "page_id long, url string, host string, blocks array<struct<path: long, text: string, least: double, kept: boolean>>, nodes array<struct<path: long, style: long, content: long, page: long>>"
 
 
 def _content(text: str) -> int:
@@ -31,53 +37,78 @@ def _content(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.crc32(data[::-1]) >> 1
 
 
+def _least_pair(text: str) -> int:
+    """The smallest hash of two words in a row, which near copies mostly share."""
+    words = text.split()
+    return min(map(zlib.crc32, (f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(words, words[1:] or [""], strict=False))))
+
+
+def _page(html: str) -> tuple[list[dict], list[dict]]:
+    """The blocks that may stay, in page order, and the same as nodes of the style tree.
+
+    least: the importance from which the block stays; kept: whether it does if the tree can't judge it.
+    page: what tells the rest of the page from other pages, but not from its near copies.
+    """
+    blocks = [b for b in blocks_of(html) if b.state]
+    best = max((b.state for b in blocks), default=NEUTRAL)
+    length = {main: sum(len(b.text) for b in blocks if b.state != NAMED and (b.state >= MAIN) == main) for main in (True, False)}
+    # an article shorter than all that has no name is a teaser or a part
+    least_state = MAIN if best >= MAIN and length[True] >= length[False] else min(best, NEUTRAL)
+    pairs = [_least_pair(b.text) for b in blocks]
+    first, second = (sorted(set(pairs)) + [-1, -1])[:2]
+    kept = [{"path": b.path, "text": b.text, "least": LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else PRIOR[b.state]), "kept": b.state >= least_state} for b in blocks]
+    return kept, [{"path": b.path, "style": b.style, "content": _content(b.text), "page": second if p == first else first} for b, p in zip(blocks, pairs, strict=True)]
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
             batch = whole.slice(k, 500)
-            kept, nodes, pages = [], [], []
-            for page in batch.column("html").to_pylist():
-                blocks = blocks_of(page or "")
-                best = max((b.state for b in blocks), default=CHROME)
-                # what markup names is kept or gone for good; where it names no main part, the site decides
-                kept.append([{"path": b.path, "text": b.text, "open": best < MAIN} for b in blocks if b.state and b.state == best])
-                nodes.append([{"path": b.path, "style": b.style, "content": _content(b.text)} for b in blocks])
-                pages.append(_content(max((b.text for b in blocks if b.state == best), key=len, default="")))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(pages, pa.int64()), pa.array(kept, pa.list_(_BLOCK)), pa.array(nodes, pa.list_(_NODE))], ["page_id", "url", "host", "page", "blocks", "nodes"])
-
-
-def _entropy(nodes: DataFrame, feature: str) -> DataFrame:
-    """(host, path, entropy of the feature from 0 to 1, n places). Pages with equal main text count once for each value."""
-    seen = nodes.groupBy("host", "path", feature).agg(F.approx_count_distinct("page").alias("n"))
-    total = seen.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("logs"))
+            pages = [_page(page or "") for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([p[0] for p in pages], pa.list_(_BLOCK)), pa.array([p[1] for p in pages], pa.list_(_NODE))], ["page_id", "url", "host", "blocks", "nodes"])
+
+
+def _entropy(counts: DataFrame, feature: str) -> DataFrame:
+    """(host, path, entropy of the feature from 0 to 1, n places).
+
+    A value counts as the number of different pages it is on, as the exponent of their entropy: copies of a
+    page and most of its near copies are one page.
+    """
+    pages = counts.groupBy("host", "path", feature, "page").agg(F.sum("c").alias("c"))
+    seen = pages.groupBy("host", "path", feature).agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.ln("c")).alias("logs"))
+    n = seen.select("host", "path", F.greatest(F.exp(F.ln("all") - F.col("logs") / F.col("all")), F.lit(1.0)).alias("n"))
+    total = n.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("logs"))
     # of shares c / n: -sum(c / n * ln(c / n)) / ln(n)
-    return total.select("host", "path", F.when(F.col("n") > 1, 1 - F.col("logs") / (F.col("n") * F.ln("n"))).otherwise(1.0).alias(f"{feature}_entropy"), F.col("n").alias(f"{feature}_n"))
+    return total.select("host", "path", F.when(F.col("n") > 1.0001, 1 - F.col("logs") / (F.col("n") * F.ln("n"))).otherwise(1.0).alias(f"{feature}_entropy"), F.col("n").alias(f"{feature}_n"))
 
 
-def low_branches(parsed: DataFrame) -> DataFrame:
-    """(host, low): the paths of each host's style tree whose importance is low."""
-    nodes = parsed.select("host", "page", F.explode("nodes").alias("node")).select("host", "page", "node.*")
-    both = _entropy(nodes, "content").join(_entropy(nodes, "style"), ["host", "path"])
+def importances(parsed: DataFrame) -> DataFrame:
+    """(host, tree: map of path to importance), of the paths in each host's style tree that enough pages have."""
+    nodes = parsed.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
+    counts = nodes.groupBy("host", "path", "style", "content", "page").agg(F.count("*").alias("c"))
+    both = _entropy(counts, "content").join(_entropy(counts, "style"), ["host", "path"])
     importance = CONTENT_WEIGHT * F.col("content_entropy") + (1 - CONTENT_WEIGHT) * F.col("style_entropy")
-    return both.where((F.col("content_n") >= LEAST_PAGES) & (importance < LOW)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    judged = both.where(F.col("content_n") >= LEAST_PAGES).select("host", F.struct("path", importance.alias("importance")).alias("branch"))
+    return judged.groupBy("host").agg(F.map_from_entries(F.collect_list("branch")).alias("tree"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html); other columns are ignored.
 
-    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Where
-    markup names an article or a main part, it is that without what it holds of menus, forms, adverts and
-    comments; else all blocks that aren't named as such and aren't of low importance to the site. Pages
-    without a host (null or without ://) are one site. Repeated rows get equal answers.
+    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Menus,
+    forms, adverts and comments are left out. Of the other blocks, those stay whose importance to the site,
+    with the prior of what markup names, isn't low. Where too few pages of the site have such a block, it
+    stays if it is in a named article or main part, or if that is missing or shorter than what has no name.
+    Pages without a host (null or without ://) are one site. Repeated rows get equal answers.
     """
     small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string"))
     parsed = stored(rows.mapInArrow(_parsed, SCHEMA), "parsed")
-    low = broadcast_if_small(stored(low_branches(parsed), "low"), 20_000)
-    kept = F.filter("blocks", lambda b: ~(b["open"] & F.coalesce(F.array_contains("low", b["path"]), F.lit(False))))
+    trees = broadcast_if_small(stored(importances(parsed), "trees"), 20_000)
+    kept = F.filter("blocks", lambda b: F.coalesce(F.try_element_at("tree", b["path"]) >= b["least"], b["kept"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    whole = parsed.join(low, "host", "left").select("page_id", "url", text.alias("text"))
+    whole = parsed.join(trees, "host", "left").select("page_id", "url", text.alias("text"))
     return whole.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -389,6 +389,30 @@ def test_html_names():
     assert [b.state for b in blocks_of('<article>a<p class="related">b</p><p class="comments">c</p></article>')][1:] == [NAMED, CHROME]
 
 
+def test_html_tree_decides(spark):
+    from lodestone.llm.html_extraction import main_text
+
+    def near(k):
+        return variant(prose(500, 90), k, 1)
+
+    sites = {
+        # name of the site: page and main text by number
+        "lead": lambda k: (f"<main><h1>Title {k}</h1><p>{prose(k, 9)}</p><article><p>{prose(k + 40, 30)}</p></article></main>", f"Title {k}\n\n{prose(k, 9)}\n\n{prose(k + 40, 30)}"),
+        "teaser": lambda k: (f"<div id=slogan>Always first</div><div id=content>{prose(k, 60)}</div><article><p>{prose(k % 3, 5)}</p></article>", prose(k, 60)),
+        "stock": lambda k: (f"<article><h1>{prose(k + 80, 4)}</h1><p>{prose(k, 30)}</p><div class=x>Follow us on all channels</div></article>", f"{prose(k + 80, 4)}\n\n{prose(k, 30)}"),
+        "science": lambda k: (f"<article><p>{prose(k, 30)}</p><section class=related>{prose(k + 90, 30)}</section></article>", f"{prose(k, 30)}\n\n{prose(k + 90, 30)}"),
+        "copies": lambda k: (f"<article><h1>One title</h1><p>{near(k)}</p></article>", f"One title\n\n{near(k)}"),
+    }
+    rows = [(k, f"http://{name}.net/{k}", *page(k)) for name, page in sites.items() for k in range(40)]
+    few = f"<div id=slogan>Always first</div><article>{prose(1, 40)}</article>"
+    rows += [(0, "http://few.net/0", few, prose(1, 40)), (1, "http://few.net/1", sites["lead"](1)[0], sites["lead"](1)[1]), (2, "http://few.net/2", f"<div id=content>{prose(2, 60)}</div><article>card</article>", prose(2, 60) + "\n\ncard")]
+    found = {(r["page_id"], r["url"]): r["text"] for r in main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    for i, url, _, whole in rows:
+        text = found[i, url]
+        # teaser cards of three texts are of low importance, but have an article's prior
+        assert text == whole or ("teaser" in url and text == f"{whole}\n\n{prose(i % 3, 5)}"), (url, text)
+
+
 def test_html(spark):
     from lodestone.llm.html_extraction import main_text
 
