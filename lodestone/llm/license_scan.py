@@ -2,38 +2,32 @@
 
 A window of a text is aligned with a notice: words that are unique to both anchor them, the longest
 increasing subsequence of anchors stays, and the gaps between anchors are aligned in the same way.
-The aligned share of the notice's words is its coverage.
+The aligned share of the notice's words is its coverage. A licence is named only if the words that tell
+it from others (its name, version and variant) are aligned as well.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.notices import all_notices, identifiers
 from lodestone.llm.stored import read, small_batches
 
 COVERAGE = 0.75
-#: Texts without any of these have no notice; around each hit a window of a notice's length either way is aligned.
-SEED = "licen|copyright|permission|redistribut|spdx|warrant"
-
-#: Common notices and the names of their licences.
-NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
+#: Around each hit of an anchor word a window of a notice's length either way is aligned; from this length on, hits within half of it share one.
+LONG = 100
+
+NOTICES = all_notices()
+IDENTIFIERS = identifiers(list(NOTICES))
 
 _WORD = re.compile(r"\w+")
 
@@ -83,32 +77,76 @@ def patience(text: list[str], notice: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def scan(text: str, notices: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+@dataclass
+class Form:
+    name: str
+    words: list[str]
+    needed: Counter
+    anchors: list[str]  # each text that has enough of the form has one of them
+    must: list[tuple[int, bool]]  # places that must be aligned, and whether right after the place before
+
+
+def forms_of(notices: dict[str, list[str]], coverage: float) -> list[Form]:
+    found = []
+    for name, forms in notices.items():
+        for form in forms:
+            marked = re.findall(r"[*+]?\w+", form.lower())
+            words = [w.lstrip("*+") for w in marked]
+            must = [(k, w[0] == "+") for k, w in enumerate(marked) if w[0] in "*+"]
+            needed = Counter(words)
+            anchors = [max((words[k] for k, _ in must), key=len)] if must else []
+            missed = 0
+            # without such words: the longest ones, until a text without all of them has too few of the form's words
+            for w in [] if must else sorted(needed, key=lambda w: (-len(w), w)):
+                if missed > len(words) - math.ceil(coverage * len(words)):
+                    break
+                anchors.append(w)
+                missed += needed[w]
+            found.append(Form(name, words, needed, anchors, must))
+    return found
+
+
+def scan(text: str, forms: list[Form], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(licence, coverage, aligned words, first aligned word) of each licence with a notice that is covered, best first."""
     words = words_of(text)
-    seeds = [k for k, w in enumerate(words) if re.search(SEED, w)]
+    hits: dict[str, list[int]] = {w: [] for form in forms for w in form.anchors}
+    for k, w in enumerate(words):
+        if w in hits:
+            hits[w].append(k)
+    if not any(hits.values()):
+        return []
+    has = set(words)
     best: dict[str, tuple[float, int, int]] = {}
-    for name, forms in notices.items():
-        for form in forms:
-            notice = words_of(form)
-            needed, last = Counter(notice), -1
-            for k in seeds:
-                a, b = max(0, k - len(notice)), min(len(words), k + len(notice) + 1)
-                if b <= last:
-                    continue
-                last = b
-                if (Counter(words[a:b]) & needed).total() < coverage * len(notice):
-                    continue
-                aligned = patience(words[a:b], notice)
-                if len(aligned) >= coverage * len(notice):
-                    best[name] = max(best.get(name, (0.0, 0, 0)), (len(aligned) / len(notice), len(aligned), -(a + aligned[0][0])))
+    for form in forms:
+        n, last, until = len(form.words), -1, -1
+        if len(words) < coverage * n or any(form.words[k] not in has for k, _ in form.must):
+            continue
+        for k in sorted(h for w in form.anchors for h in hits[w]):
+            if k < until:
+                continue
+            beyond = n // 2 if n >= LONG else 0
+            until = k + beyond
+            a, b = max(0, k - n), min(len(words), k + n + 1 + beyond)
+            if b <= last:
+                continue
+            last = b
+            if (Counter(words[a:b]) & form.needed).total() < coverage * n:
+                continue
+            aligned = patience(words[a:b], form.words)
+            if len(aligned) < coverage * n:
+                continue
+            place = {x: y for y, x in aligned}
+            if all(x in place and (not after or place.get(x - 1) == place[x] - 1) for x, after in form.must):
+                best[form.name] = max(best.get(form.name, (0.0, 0, 0)), (len(aligned) / n, len(aligned), -(a + aligned[0][0])))
     return sorted(((name, share, n, -at) for name, (share, n, at) in best.items()), key=lambda r: (-r[1], -r[2], r[0]))
 
 
-def _scanned(notices: dict[str, list[str]], coverage: float):
+def _scanned(notices: dict[str, list[str]] | None, coverage: float):
+    forms = forms_of(notices, coverage) if notices else forms_of(NOTICES, coverage) + forms_of(IDENTIFIERS, coverage)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t, notices, coverage) if t else [] for t in batch.column("seeded").to_pylist()]
+            found = [scan(t, forms, coverage) if t else [] for t in batch.column("text").to_pylist()]
             best = [f[0] if f else (None, 0.0, 0, None) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array([b[2] for b in best], pa.int64()), pa.array([b[3] for b in best], pa.int64()), pa.array([[f[0] for f in x] for x in found], pa.list_(pa.string()))],
@@ -126,9 +164,8 @@ def license_scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, c
     licenses has all that are covered. Texts are read whole; repeated rows get equal answers.
     """
     small_batches(docs.sparkSession)
-    seeded = F.when(F.col("text").rlike(f"(?i){SEED}"), F.col("text").cast("string"))
-    rows = docs.select(F.col("doc_id").cast("long"), seeded.alias("seeded"))
-    return rows.mapInArrow(_scanned(notices or NOTICES, coverage), "doc_id long, license string, coverage double, n_aligned long, first_word long, licenses array<string>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_scanned(notices, coverage), "doc_id long, license string, coverage double, n_aligned long, first_word long, licenses array<string>")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

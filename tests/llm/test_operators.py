@@ -262,6 +262,23 @@ def test_viterbi_and_fit():
         assert tuple(labels[a:b]) == best
 
 
+def test_license_variants():
+    from lodestone.llm.license_scan import COVERAGE, IDENTIFIERS, NOTICES, forms_of, scan
+
+    forms = forms_of(NOTICES, COVERAGE) + forms_of(IDENTIFIERS, COVERAGE)
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU %s Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    for text, name in [
+        (header % ("General", "2"), "GPL-2.0"), (header % ("General", "3"), "GPL-3.0"), (header % ("Lesser General", "2.1"), "LGPL-2.1"), (header % ("Affero General", "3"), "AGPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Released under the XYZ License.", None), ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    ]:
+        assert [r[0] for r in scan(f"{prose(1, 30)}\n{text}\n{prose(2, 30)}", forms)] == ([name] if name else []), text
+    for name, all_forms in NOTICES.items():
+        for form in all_forms:
+            found = scan(form, forms)
+            assert found[0][:2] == (name, 1.0), (name, form[:80], [r[:3] for r in found])
+
+
 def test_license(spark, docs, nothing):
     from lodestone.llm.license_scan import NOTICES, license_scan, patience, words_of
 
