@@ -9,6 +9,7 @@ the score below which a text is rejected is set on that part too.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm.stored import read, small_batches
 from lodestone.llm.text_arrays import slices
 
 #: Labelled rows that training takes at most, over all languages.
 SAMPLE = 1_200
+MOST_LANGUAGES = 1_000
 BUCKET_BITS = 17
 DIMENSIONS = 16
 EPOCHS = 8
@@ -113,21 +116,30 @@ def _fit(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]]) -
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model | None:
     """A model from at most `sample` rows of docs (text, lang) that may be learnt from; None if there is none.
 
-    Rows are taken in the order of a hash of their text, as many of each language if it has them.
-    Null or letterless texts and null languages teach nothing.
+    Of each language, as many different texts are taken in the order of a hash of their text, if it has them;
+    copies are one text. Null or letterless texts and null languages teach nothing. A model holds at most
+    MOST_LANGUAGES languages, those of the most different texts; a warning says if there are more.
     """
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1_000).collect()}
+    hashed = rows.withColumn("order", F.xxhash64("text", F.lit(11)))
+    keys = hashed.select("order", "lang").distinct()
+    counted = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        warnings.warn(f"only the {MOST_LANGUAGES} languages of the most texts are learnt", stacklevel=2)
+    totals = {r["lang"]: r["n"] for r in counted[:MOST_LANGUAGES]}
     if not totals:
         return None
     languages = sorted(totals)
     each = max(1, sample // len(languages))
-    hashed = rows.withColumn("order", F.xxhash64("text", F.lit(11)))
     part = F.lit(None).cast("double")
     for lang, n in totals.items():
-        part = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(part)
-    chosen = hashed.where(F.col("order") < (part - 0.5) * float(1 << 64)).orderBy("order").limit(2 * sample)
-    found = chosen.mapInArrow(_features, "order long, lang string, buckets array<int>, counts array<int>").toArrow().combine_chunks().sort_by("order")
+        part = F.when(F.col("lang") == lang, min(1.0, (2 * each + 20) / n)).otherwise(part)
+    # more hashes than needed of each language, so that its window is small; then the first ones of each
+    few = keys.where((part >= 1) | (F.col("order") < (part - 0.5) * float(1 << 64)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    first = few.where(part.isNotNull()).withColumn("rank", rank).where(F.col("rank") <= each).select("order", "lang")
+    chosen = hashed.join(F.broadcast(first), ["order", "lang"]).groupBy("order", "lang").agg(F.max("text").alias("text"))
+    found = chosen.mapInArrow(_features, "order long, lang string, buckets array<int>, counts array<int>").toArrow().combine_chunks().sort_by([("order", "ascending"), ("lang", "ascending")])
     if not found.num_rows:
         return None
     return _fit(languages, [(b, c, languages.index(lang)) for b, c, lang in zip(_arrays(found["buckets"]), _arrays(found["counts"]), found["lang"].to_pylist(), strict=True)])

@@ -262,6 +262,16 @@ def test_viterbi_and_fit():
         assert tuple(labels[a:b]) == best
 
 
+def test_language_sample_is_of_texts(spark, monkeypatch):
+    from lodestone.llm import language_id
+
+    taken = []
+    monkeypatch.setattr(language_id, "_fit", lambda languages, rows: taken.append(Counter(languages[y] for *_, y in rows)))
+    rows = [(prose(k, 12), "aa") for k in range(60)] + [(prose(100 + k, 12), "bb") for k in range(30)] + [(prose(200 + k, 12), "bb") for k in range(2) for _ in range(500)]
+    language_id.train(spark.createDataFrame(rows, "text string, lang string"), language_id.F.lit(True), sample=40)
+    assert taken == [{"aa": 20, "bb": 20}]
+
+
 def test_license_variants():
     from lodestone.llm.license_scan import COVERAGE, IDENTIFIERS, NOTICES, forms_of, scan
 
