@@ -3,7 +3,8 @@
 Both tokenizers split a text into words before they merge, and no word crosses from other text into
 white space or from letters into punctuation. So a text is cut before each ASCII white space that
 follows something else and before each ASCII punctuation mark after an ASCII letter; equal pieces are
-encoded once, and the ids are put together again: the same ids as from the whole text.
+encoded once, and the ids are put together again: the same ids as from the whole text. A text that has
+the string of an added token (as "<|endoftext|>") is encoded whole, as such a string is one id wherever it stands.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Encodes with the tokenizers library; strings of special tokens are ordinary text."""
+    """Encodes as the tokenizers library does without its template's special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # no normalizer makes such a string of other characters than its own in another case
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.separator = next(self._ids([_SEPARATOR]))
         assert len(self.separator) == 1
         self._forget()
@@ -125,7 +127,11 @@ class Encoder:
     def texts(self, column: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text with the end id, one after the other; a null text has just the end id."""
         last = np.array([end_id], np.int32)
-        for _, data, offsets in slices(column, 2 << 20):
+        whole = pc.fill_null(pc.match_substring_regex(column, self.added, ignore_case=True), False) if self.added else pa.array(np.zeros(len(column), bool))
+        marked = set(np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist())
+        if marked:
+            texts, column = column, pc.if_else(whole, None, column)
+        for row, data, offsets in slices(column, 2 << 20):
             ids, at = self._slice(data, offsets)
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                yield np.concatenate([ids[a:b], last])
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), row):
+                yield np.concatenate([next(self._ids([texts[k].as_py()])) if k in marked else ids[a:b], last])

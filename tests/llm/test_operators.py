@@ -37,7 +37,7 @@ def texts():
     base = [prose(k, 120) for k in range(6)]
     rows = [(k, t) for k, t in enumerate(base)]
     rows += [(10 + k, variant(base[k % 3], k, k % 7)) for k in range(30)]
-    rows += [(50, base[0]), (51, base[0]), (51, base[0]), (52, base[0].upper()), (60, None), (61, ""), (62, " \n\t "), (63, "one two"), (64, "One  two"), (65, "a b c d e"), (66, prose(99, 30_000)), (None, base[1]), (None, None)]
+    rows += [(50, base[0]), (51, base[0]), (51, base[0]), (52, base[0].upper()), (60, None), (61, ""), (62, " \n\t "), (63, "one two"), (64, "One  two"), (65, "a b c d e"), (66, prose(99, 30_000)), (67, "see <|endoftext|> end"), (68, "a<|startoftext|>b\n<|EndOfText|>"), (None, base[1]), (None, None)]
     return rows
 
 
@@ -144,10 +144,10 @@ def test_encoder_is_exact(name):
 
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(1)
-    signs = [" ", "  ", "\n", "\t", "a", "B", "é", "'s", "|", " |", ".", ",", "9", "\u00a0", "\u3000", "\x1c", "e\u0301", "<|endoftext|>", "中", "🎉", "word"]
-    texts = ["", None, " ", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400)), prose(1, 20_000)]
+    signs = [" ", "  ", "\n", "\t", "a", "B", "é", "'s", "|", " |", ".", ",", "9", "\u00a0", "\u3000", "\x1c", "e\u0301", "<|", "中", "🎉", "word"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "see <|endoftext|> end", "x<|startoftext|>y z<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext |>", "a <|endof\u0074ext|> b " * 400]
+    texts = ["", None, " ", *special, *("".join(rng.choice([*signs, "<|endoftext|>"]) for _ in range(20)) for _ in range(40)), *("".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400)), prose(1, 20_000)]
     encoder = Encoder(path)
     for _ in range(2):  # learnt pieces give the same
         for ids, text in zip(encoder.texts(pa.array(texts), 7), texts, strict=True):
@@ -159,7 +159,6 @@ def encoded(texts, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
