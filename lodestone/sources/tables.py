@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 SNAPSHOT_FORMAT = 1
@@ -16,20 +16,48 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own where none is named, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one where none is named and all of Spark runs in this process.
+
+    On a cluster without that setting executors would each write to a disk of their own, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run has."""
+    return f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(frame.sparkSession)}/lodestone-{uuid.uuid4().hex}/{name}"
+    """The frame, written as a table to the shared folder and read again: later reads survive lost executors."""
+    path = new_folder(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def stored_counting(frame: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The frame as `stored` gives it, and aggregates of its rows that the write itself takes, so no further job does."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    table = stored(frame.observe(seen, F.count("*").alias("rows"), *[c.alias(k) for k, c in counts.items()]), name)
+    return table, seen.get
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that `stored` gave, once nothing reads them any more."""
+    for frame in frames:
+        session, folders = frame.sparkSession, {f.rpartition("/")[0] for f in frame.inputFiles()}
+        for folder in folders:
+            if "/lodestone-" in folder:
+                place = session._jvm.org.apache.hadoop.fs.Path(folder)
+                place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast where its counted rows are within the bound; beyond it Spark joins by shuffles."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
