@@ -7,15 +7,15 @@ products that can matter are formed, in four steps, none of which can lose a lin
 1. Equal sets collapse to one row. A set's key is a 64-bit sum of its shingles' hashes.
 2. Rows without enough columns in common with others go. If two sets link, then of the smallest
    `size - need + k` hashes of either, k at least are in the other one (pigeonhole; `need` is the
-   threshold's share of the size). A block of documents first combines its own shared columns, so a
-   very frequent shingle leaves each block once.
+   threshold's share of the size), so at most `size - need` of them are columns of that row alone. A block
+   of documents sends each of its columns once, and columns are counted with partial sums.
 3. The rows that are left are built whole; columns of one row go. A row with fewer shared columns than
    `need` goes. Its columns are ordered from rare to frequent, and those before the last `need - 1`
    index the candidates.
-4. Overlaps are counted for candidate pairs within the bounds that sizes set: in a few turns each row
-   against the rows that head most of its index columns, which joins large groups of near copies by
-   stars; then the rows whose index columns still hold several components, in blocks of the product
-   against the rows of those components.
+4. Overlaps are counted in blocks of the product: some rows (a block) against slices of others, over the
+   columns they have in common, within the bounds that sizes set. First, in a few turns, the rows that head
+   columns against the rows that have most index columns under them, which joins large groups of near copies
+   by stars; then the rows whose index columns still hold several components against the rows of those.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
+from lodestone.llm.stored import BROADCAST_ROWS, broadcast_if_small, drop_stored, read, small_batches, stored, stored_counting
 from lodestone.llm.text_arrays import mix, shingle_sets
 
 #: Of 100: two sets link from this similarity on.
@@ -41,6 +41,8 @@ BLOCK = 1 << 19
 PARTNERS = (1, 4)
 #: Rows of a block of the product, and of a slice of others that it meets in one task.
 BLOCK_ROWS, SLICE_ROWS = 1_000, 4_000
+#: Keys that a task remembers so that it sends the columns of a set once; it then starts anew.
+REMEMBERED = 50_000
 
 
 def set_key(shingles: np.ndarray) -> np.int64:
@@ -53,7 +55,7 @@ def _sets(size: int):
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, shingles in shingle_sets(batch.column("text"), size):
                 n[row], key[row] = len(shingles), set_key(shingles)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(key)], ["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(key)], ["doc_id", "text_key", "n", "key"])
 
     return run
 
@@ -63,34 +65,16 @@ def _need(n, similarity: int):
 
 
 def _looked_at(size: int, similarity: int):
-    """Step 2's entries: (h, key, n, several, known). several: the column has more rows in this block;
-    known: so many of the row's columns were found shared in its block, and aren't entries themselves."""
+    """Step 2's entries (h, key, several): each column of a block once, with a row that has it; several: other rows of the block have it, too."""
 
     def combined(keys: list, hashes: list) -> pa.RecordBatch:
-        n = np.array([k[1] for k in keys], np.int64)
-        key = np.array([k[0] for k in keys], np.int64)
-        owner = np.repeat(np.arange(len(keys)), [len(h) for h in hashes])
-        h = np.concatenate(hashes)
+        h, key = np.concatenate(hashes), np.repeat(np.array(keys, np.int64), [len(x) for x in hashes])
         order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
+        h, key = h[order], key[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        several = np.ones(len(h), bool)
-        several[:-1] &= ~new[1:]
-        several |= ~new
-        known = np.bincount(owner[several], minlength=len(keys))
-        counted = np.flatnonzero(known)
-        h, owner, several = h[new], owner[new], several[new]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h.view(np.int64), key[counted]])),
-                pa.array(np.concatenate([key[owner], key[counted]])),
-                pa.array(np.concatenate([n[owner], n[counted]]).astype(np.int32)),
-                pa.array(np.concatenate([several, np.zeros(len(counted), bool)])),
-                pa.array(np.concatenate([np.zeros(len(h), np.int32), known[counted].astype(np.int32)])),
-            ],
-            ["h", "key", "n", "several", "known"],
-        )
+        last = np.append(new[1:], True)
+        return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(key[new]), pa.array(~last[new])], ["h", "key", "several"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, hashes, held, seen = [], [], 0, set()
@@ -101,7 +85,7 @@ def _looked_at(size: int, similarity: int):
                 seen.add(key)
                 n = len(shingles)
                 hashes.append(shingles[: n - _need(n, similarity) + _least(n, similarity)])
-                keys.append((key, n))
+                keys.append(key)
                 held += len(hashes[-1])
                 if held >= BLOCK:
                     yield combined(keys, hashes)
@@ -119,10 +103,14 @@ def _least(n: int, similarity: int) -> int:
 
 def _rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for _, shingles in shingle_sets(batch.column("text"), size):
-                if n := len(shingles):
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(np.full(n, set_key(shingles))), pa.array(np.full(n, n, np.int32))], ["h", "key", "n"])
+                if (n := len(shingles)) and (key := set_key(shingles)) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, n, np.int32))], ["h", "key", "n"])
 
     return run
 
@@ -133,12 +121,9 @@ def _within_bounds(similarity: int):
     return (100 * least >= similarity * most) & ((100 + similarity) * F.least("a.c", "b.c") >= similarity * (F.col("a.n") + F.col("b.n")))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """Of pairs (a, b) of row keys, those that link, by the exact overlap of their columns."""
-    a = rows.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    b = rows.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
-    return pairs.join(a, "a").join(b, "b").where((100 + similarity) * overlap >= similarity * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+def _size_class(similarity: int):
+    """Rows that link are in one class of sizes or in neighbouring ones."""
+    return F.floor(F.ln("n") / float(np.log(100 / similarity))).cast("int")
 
 
 def _star_pairs(index: DataFrame, parts: DataFrame, similarity: int, turn: int, partners: int) -> DataFrame:
@@ -146,7 +131,7 @@ def _star_pairs(index: DataFrame, parts: DataFrame, similarity: int, turn: int,
 
     A column has one head: in the first turn its smallest set, later one drawn by a hash of row and column.
     """
-    placed = index.join(broadcast_if_small(parts), "key")
+    placed = index.join(parts.select("key", "component"), "key")
     first = F.struct("n", "key") if turn == 0 else F.struct(F.xxhash64("key", "h", F.lit(turn)), "key")
     heads = placed.groupBy("h").agg(F.min_by(F.struct("key", "n", "c", "component"), first).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     star = placed.alias("b").join(heads.selectExpr("h", "head.key", "head.n", "head.c", "head.component").alias("a"), F.col("a.h") == F.col("b.h"))
@@ -188,25 +173,10 @@ def _product(similarity: int):
     return links
 
 
-def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): every pair of rows that links and isn't in one component, of those with a column in common.
-
-    In a column of several components the rows outside the most frequent one are looked up: they are put
-    into blocks of BLOCK_ROWS at most or so, and a block meets the rows of all components that its columns
-    have, in slices of SLICE_ROWS. A hot column is so never paired with itself.
-    """
-    placed = index.join(broadcast_if_small(parts), "key")
-    by_part = stored(placed.groupBy("h", "component").agg(F.count("*").alias("m")), "by-part")
-    main = by_part.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("h", "main")
-    asking = stored(placed.join(main, "h").where("component <> main").select("h", "key", "main"), "asking")
-    near = asking.groupBy("key").agg(F.min("main").alias("near"))
-    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    in_block = stored(near.join(sizes, "near").select("key", F.xxhash64("near", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "in-block")
-    columns = asking.join(in_block, "key").select("h", "block").distinct()
-    met = columns.join(by_part.select("h", "component"), "h").select("block", "component").distinct()
-    members = stored(met.join(parts, "component").select("block", "key"), "members")
-    cuts = members.groupBy("block").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("cuts"))
-    whole = rows.select("key", "n", "grams").join(broadcast_if_small(parts), "key")
+def _block_links(in_block: DataFrame, members: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) that link, of the rows of each block (in_block: key, block) and those it meets (members: block, key); not those of one component."""
+    cuts = broadcast_if_small(members.groupBy("block").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("cuts")))
+    whole = rows.select("key", "n", "grams").join(parts.select("key", "component"), "key")
     asked = in_block.join(cuts, "block").select("block", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).join(whole, "key")
     others = members.join(cuts, "block").select("block", "key", F.pmod(F.xxhash64("key"), "cuts").cast("int").alias("cut")).join(whole, "key")
     names = ["block", "cut", "key", "n", "component", "grams"]
@@ -214,12 +184,42 @@ def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similar
     return asked.groupBy("block", "cut").cogroup(others.groupBy("block", "cut")).applyInArrow(_product(similarity), "a long, b long")
 
 
-def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """The parts (key, component) after links (a, b) between rows have joined components."""
+def _star_links(pairs: DataFrame, n_pairs: int, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) that link, from blocks of heads a and the rows b that chose one of the block."""
+    block = F.pmod(F.xxhash64("a"), F.lit(max(1, n_pairs // BLOCK_ROWS)))
+    placed = pairs.withColumn("block", block)
+    return _block_links(placed.select("block", F.col("a").alias("key")).distinct(), stored(placed.select("block", F.col("b").alias("key")).distinct(), "members"), parts, rows, similarity)
+
+
+def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): every pair of rows that links and isn't in one component, of those with a column in common.
+
+    In a column of several components the rows outside the most frequent one are looked up: they are put
+    into blocks of BLOCK_ROWS at most or so and of one class of sizes, and a block meets the rows of all
+    components that its columns have, of its own and the neighbouring classes. A hot column is so never paired with itself.
+    """
+    placed = index.join(parts.select("key", "component"), "key").withColumn("class", _size_class(similarity))
+    by_part = stored(placed.groupBy("h", "component", "class").agg(F.count("*").alias("m")), "by-part")
+    sums = by_part.groupBy("h", "component").agg(F.sum("m").alias("m"))
+    main = sums.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("h", "main")
+    asking = stored(placed.join(main, "h").where("component <> main").select("h", "key", "class", "main"), "asking")
+    near = asking.groupBy("key", "class").agg(F.min("main").alias("near"))
+    sizes = near.groupBy("near", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    in_block = stored(near.join(sizes, ["near", "class"]).select("key", F.xxhash64("near", "class", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "in-block")
+    columns = asking.join(in_block, "key").select("h", "block", "class").distinct()
+    around = columns.select("h", "block", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
+    met = stored(around.join(by_part, ["h", "class"]).select("block", "component", "class").distinct(), "met")
+    classed = parts.withColumn("class", _size_class(similarity)).select("key", "component", "class")
+    members = stored(classed.join(broadcast_if_small(met), ["component", "class"]).select("block", "key"), "members")
+    return _block_links(in_block, members, parts, rows, similarity)
+
+
+def _joined(parts: DataFrame, links: DataFrame, broadcast) -> DataFrame:
+    """The parts (key, n, component) after links (a, b) between rows have joined components."""
     ends = links.join(parts.select(F.col("key").alias("a"), F.col("component").alias("of_a")), "a").join(parts.select(F.col("key").alias("b"), F.col("component").alias("of_b")), "b")
     between = stored(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct(), "between")
     merged = connected_components(parts.select(F.col("component").alias("key")), between).select(F.col("key").alias("component"), F.col("component").alias("merged"))
-    return stored(parts.join(merged, "component").select("key", F.col("merged").alias("component")), "parts")
+    return broadcast(stored(parts.join(merged, "component").select("key", "n", F.col("merged").alias("component")), "parts"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -232,39 +232,40 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
     An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = stored(docs.mapInArrow(_sets(size), "doc_id long, n long, key long"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
+    sets = stored(docs.mapInArrow(_sets(size), "doc_id long, text_key long, n long, key long"), "sets")
     texts = docs.where(F.col("text").isNotNull())
+    need = F.ceil(F.col("n") * similarity / 100).cast("int")
 
     # Step 2
-    looked = texts.select("text").mapInArrow(_looked_at(size, similarity), "h long, key long, n int, several boolean, known int")
-    column = "(partition by h)"
-    entry = F.expr("known = 0")
-    shared = F.expr(f"(max(several) over {column}) or (min(key) over {column}) <> (max(key) over {column})")
-    counts = looked.withColumn("shared", shared).where(~entry | (F.col("shared") & ~F.col("several"))).groupBy("key", "n").agg(F.sum(F.when(entry, 1).otherwise(F.col("known"))).alias("c"))
-    least = F.greatest(F.lit(1), F.floor((LOOKED_AT - 1 + similarity / 100) * F.col("n"))).cast("long")
-    promising = stored(counts.where(F.col("c") >= least).select("key"), "promising")
-
-    # Step 3
-    chosen = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(broadcast_if_small(promising), "key", "left_semi")
-    chosen = stored(chosen.select("doc_id").distinct(), "chosen")
-    entries = stored(texts.join(broadcast_if_small(chosen), "doc_id", "left_semi").select("text").mapInArrow(_rows(size), "h long, key long, n int"), "entries")
+    looked = texts.select("text").mapInArrow(_looked_at(size, similarity), "h long, key long, several boolean")
+    column = looked.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.max("several").alias("several"))
+    alone = column.where("key = last and not several").groupBy("key").agg(F.count("*").alias("alone"))
+    different = sets.where("n > 0").groupBy("key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    chosen = different.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - need)
+    chosen = stored(chosen.select(F.col("one.doc_id").alias("chosen_id"), F.col("one.text_key").alias("chosen_key")).distinct(), "chosen")
+
+    # Step 3: one text of each set that is left, found by its id, if it has one, and its hash
+    of_chosen = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_key") == F.col("chosen_key"))
+    entries = stored(texts.join(broadcast_if_small(chosen), of_chosen, "left_semi").select("text").mapInArrow(_rows(size), "h long, key long, n int"), "entries")
     frequent = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     grams = F.array_sort(F.collect_set(F.struct("df", "h")))
     rows = entries.join(frequent, "h").groupBy("key", "n").agg(grams.alias("grams")).withColumn("c", F.size("grams"))
-    need = F.ceil(F.col("n") * similarity / 100).cast("int")
-    rows = stored(rows.where(F.col("c") >= need).select("key", "n", "c", F.col("grams.h").alias("grams")), "rows")
+    rows, counted = stored_counting(rows.where(F.col("c") >= need).select("key", "n", "c", F.col("grams.h").alias("grams")), "rows")
+    drop_stored(entries)
 
-    # Step 4
+    # Step 4; the parts have as many rows as `rows`
     index = stored(rows.select("key", "n", "c", F.explode(F.slice("grams", F.lit(1), F.col("c") - need + 1)).alias("h")), "index")
-    parts = rows.select("key", F.col("key").alias("component"))
+    small = F.broadcast if counted.get("rows", 0) <= BROADCAST_ROWS else lambda frame: frame
+    parts = small(rows.select("key", "n", F.col("key").alias("component")))
     for k, partners in enumerate(PARTNERS):
-        pairs = _star_pairs(index, parts, similarity, k, partners)
-        parts = _joined(parts, _links(stored(pairs, f"pairs-{k}"), rows, similarity))
-    parts = _joined(parts, stored(_crossing_links(index, parts, rows, similarity), "crossing"))
+        pairs, found = stored_counting(_star_pairs(index, parts, similarity, k, partners), f"pairs-{k}")
+        parts = _joined(parts, stored(_star_links(pairs, found.get("rows", 0), parts, rows, similarity), f"links-{k}"), small)
+    parts = _joined(parts, stored(_crossing_links(index, parts, rows, similarity), "crossing"), small)
+    drop_stored(index)
 
     # From keys to the smallest doc_id of each component
-    named = sets.where("n > 0").join(broadcast_if_small(parts), "key", "left").withColumn("part", F.coalesce("component", "key"))
+    named = sets.where("n > 0").join(parts.select("key", "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     smallest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     keys = named.select("key", "part").distinct().join(smallest, "part").select("key", "component_id")
     linked = sets.where("n > 0").join(keys, "key").select("doc_id", "n", "component_id")

@@ -1,43 +1,27 @@
-"""Intermediate tables in the folder that the whole cluster shares, and operators' common bits."""
+"""What operators over texts have in common: stored tables, batches to Python, reading."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to so many rows (of a few numbers each); beyond it Spark joins by shuffles.
-BROADCAST_ROWS = 500_000
-BATCH_ROWS = 1_500
+from lodestone.sources import tables
+from lodestone.sources.tables import drop_stored, new_folder, stored, stored_counting
 
+__all__ = ["broadcast_if_small", "drop_stored", "new_folder", "read", "small_batches", "stored", "stored_counting"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: A side of a join is broadcast up to so many rows (of a few numbers each); beyond it Spark joins by shuffles.
+BROADCAST_ROWS = 500_000
+BATCH_ROWS, BATCH_BYTES = 1_500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of BATCH_ROWS at most: whole texts are long, and a batch is in memory several times."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, written as a table to the shared folder and read again: later reads survive lost executors."""
-    path = f"{shared_folder(frame.sparkSession)}/lodestone-{uuid.uuid4().hex}/{name}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """Rows go to Python in batches of BATCH_ROWS and BATCH_BYTES at most: whole texts are long, and a batch is in memory several times."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame marked for broadcast where its counted rows are within the bound, else unmarked."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+    return tables.broadcast_if_small(frame, rows)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

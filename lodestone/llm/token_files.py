@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import broadcast_if_small, read, shared_folder, small_batches
+from lodestone.llm.stored import broadcast_if_small, new_folder, read, small_batches
 from lodestone.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -85,8 +85,6 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    import uuid
-
-    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}/tokens"
+    path = new_folder(spark, "tokens")
     write_token_files(read(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), 0)
     return read_token_files(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

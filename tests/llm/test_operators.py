@@ -101,6 +101,44 @@ def test_large_groups_are_joined(spark):
     assert found == {k: find(k) for k in range(len(rows))}
 
 
+def test_rows_without_id_bridge(spark):
+    """Two documents linked only through one that has no doc_id, and copies of such rows."""
+    from lodestone.llm.ngram_join import jaccard_components
+
+    w = prose(77, 100).split()
+    middle = " ".join(w)
+    left, right = " ".join(["xx", "yy"] + w[2:]), " ".join(w[:-12] + [f"q{k}" for k in range(12)])
+    assert 100 * len(shingles(left) & shingles(right)) < 75 * len(shingles(left) | shingles(right))
+    rows = [(1, left), (2, right), (None, middle), (None, middle), (3, prose(78, 100)), (None, prose(79, 60)), (None, None)]
+    found = [tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(found) == Counter([(1, 96, 1), (2, 96, 1), (None, 96, 1), (None, 96, 1), (3, 96, 3), (None, 56, None), (None, 0, None)])
+
+
+def test_frequent_shingles(spark, monkeypatch):
+    """A passage in every document, near copies on it, and blocks and slices of a few rows."""
+    from lodestone.llm import ngram_join
+
+    for name in ("BLOCK_ROWS", "SLICE_ROWS"):
+        monkeypatch.setattr(ngram_join, name, 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    passage = prose(5, 40)
+    rows = [f"{passage} {prose(1000 + k, 60)}" for k in range(40)] + [variant(f"{passage} {prose(1000 + k % 4, 60)}", k, 1 + k % 6) for k in range(40)] + [f"{passage} {prose(2000 + k, 4 + k % 9)}" for k in range(30)]
+    sets = [shingles(t) for t in rows]
+    part = list(range(len(rows)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if find(a) != find(b) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                part[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert found == {k: find(k) for k in range(len(rows))} and len(set(found.values())) < 80
+
+
 def test_components_of_a_path(spark):
     from lodestone.llm.components import connected_components
 
