@@ -1,15 +1,24 @@
-"""One page's markup as text blocks in page order, each with its place in the page's style tree."""
+"""One page's markup as text blocks in page order and as the elements of the site's style tree that hold them.
+
+Every step is linear in the page: a tag's end is found without going back, and places of open elements are
+kept by tag, so neither unclosed tags nor quotes nor deep nesting cost more than their length.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: A tag up to the > outside quotes, and up to the first one, where a quote isn't closed.
+_TAG = re.compile(_NAME + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN_TAG = re.compile(_NAME + r"([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _NAME_PART = re.compile(r"[a-z]+")
 
 #: Fixed values of the markup language, and words that class, id and role give to what isn't the article.
@@ -17,46 +26,56 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style title textarea noscript iframe template svg math object noembed noframes xmp".split())
+RAW = frozenset("script style title textarea iframe template svg noembed noframes".split())
 ENDS_PARAGRAPH = BLOCK - {"option", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "head", "html"}
 #: A tag closes an open one of its group, if no tag of the second set stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-CHROME_TAGS = frozenset("nav footer aside form button menu dialog select search".split())
+FORM_TAGS = frozenset("form button select dialog search".split())
+CHROME_TAGS = frozenset("nav footer aside menu".split())
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar sidebars aside cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets toolbar skip copyright disclaimer contentinfo complementary".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: A name of several parts says what such a word says only if its other parts are these; has-sidebar, related-work or comments-open don't.
-FILLER_WORDS = frozenset("area bar block body bottom box buttons col column container content desktop footer global group header icons inner item items left links list main mobile outer page post posts primary right secondary section side site top wrap wrapper".split())
-#: NAMED is inside an article, but named as something else.
-CHROME, NAMED, NEUTRAL, MAIN, ARTICLE = range(5)
+FILLER_WORDS = frozenset(
+    "area bar block body bottom box buttons col column container content desktop footer global group header icons inner item items left links list main mobile outer page post posts primary right secondary section side site top wrap wrapper".split()
+)
+#: What markup says about a block. GONE: hidden or of a form, never text; NAMED: in an article, but named as something else.
+GONE, COMMENTS, CHROME, NAMED, NEUTRAL, MAIN, ARTICLE = range(7)
+#: Levels of block elements that are branches of their own; what is deeper belongs to the last one.
+LEVELS = 64
 
 
 @dataclass
 class Block:
-    path: int  # of tags and their names from the root
-    style: int  # how the parent element's children are presented
+    branches: list[int]  # paths of the block elements around it, from the outermost to its own
     state: int
     text: str
 
 
-@lru_cache(maxsize=1 << 16)
-def _hash(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    elements: dict[int, set[int]] = field(default_factory=dict)  # path: how its elements present their children
+
+
+@lru_cache(maxsize=1 << 14)
+def _hash(above: int, step: str) -> int:
+    return int.from_bytes(hashlib.blake2b(above.to_bytes(8, "little", signed=True) + step.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _names(attributes: str) -> tuple[str, str]:
-    """Values of class, id and role, and of what hides an element, lowered."""
-    names, hidden = [], ""
+def _names(attributes: str) -> tuple[str, bool]:
+    """Values of class, id and role, lowered, and whether the element is hidden."""
+    names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id", "role"):
             names.append(value)
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            hidden = "hidden"
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
+            hidden = True
     return " ".join(names), hidden
 
 
@@ -68,7 +87,7 @@ class Named:
     holds: bool
 
 
-@lru_cache(maxsize=1 << 14)
+@lru_cache(maxsize=1 << 13)
 def _words(names: str) -> frozenset[str]:
     """Words that whole names stand for: of a name's parts all are fillers, or all but words of CHROME_WORDS."""
     found: set[str] = set()
@@ -79,112 +98,157 @@ def _words(names: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def _state(tag: str, attributes: str, above: int, named: tuple[Named, ...]) -> tuple[int, str, tuple[Named, ...]]:
-    names, hidden = _names(attributes) if attributes.strip() else ("", "")
-    if above == CHROME or hidden or tag in CHROME_TAGS:
-        return CHROME, names, named
-    words = _words(names) if tag not in ("html", "body") else frozenset()
+def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash, tag, attributes) of each tag; at last the text after them. Comments and declarations are tags without a name."""
+    at = begin = 0
+    quotes = True
+    while (start := page.find("<", at)) >= 0:
+        following = page[start + 1 : start + 2]
+        if following in ("!", "?"):
+            closing = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(closing, start + len(closing) + 1)
+            yield page[begin:start], "", "", ""
+            at = begin = len(page) if end < 0 else end + len(closing)
+            continue
+        if not (following == "/" or following.isascii() and following.isalpha()):
+            at = start + 1
+            continue
+        if page.find(">", start) < 0:
+            break
+        m = _TAG.match(page, start) if quotes else None
+        if not m and (m := _PLAIN_TAG.match(page, start)) and ('"' in m[3] or "'" in m[3]):
+            quotes = False  # an open quote: no later tag looks for its end again
+        if not m:
+            at = start + 1
+            continue
+        yield page[begin:start], m[1], m[2].lower(), m[3]
+        at = begin = m.end()
+        if not m[1] and m[2].lower() in RAW and (not m[3].endswith("/") or m[2].lower() in ("script", "style", "title", "textarea")):
+            end = re.compile(rf"</{m[2]}(?=[\s/>])", re.I).search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = begin = len(page) if close < 0 else close + 1
+    yield page[begin:], "", "", ""
+
+
+@dataclass(eq=False)
+class _Element:
+    tag: str
+    block: bool
+    state: int
+    branches: list[int]
+    named: tuple[Named, ...]
+    children: list[str]
+
+
+def _state(tag: str, names: str, hidden: bool, above: int, named: tuple[Named, ...]) -> tuple[int, tuple[Named, ...]]:
+    if above == GONE or hidden or tag in FORM_TAGS:
+        return GONE, named
+    if above in (COMMENTS, CHROME):
+        return above, named
+    words = _words(names) if names and tag not in ("html", "body") else frozenset()
     is_main, is_comments = tag == "main" or "main" in names.split(), bool(words & COMMENT_WORDS)
+    if tag in CHROME_TAGS:
+        return COMMENTS if is_comments else CHROME, named
     if tag == "article" or is_main:
         for wrapper in named:
             wrapper.holds = True
         if tag == "article" and is_comments and above != ARTICLE:
             named = (*named, Named(True, True))
-    if above >= ARTICLE or above == NAMED:
+    if above in (ARTICLE, NAMED):
         if tag not in ("article", "main") and is_comments:
-            return CHROME, names, named
-        return NAMED if above == NAMED or (tag not in ("article", "main") and words - {"header"}) else ARTICLE, names, named
+            return COMMENTS, named
+        return NAMED if above == NAMED or (tag not in ("article", "main") and words - {"header"}) else ARTICLE, named
     if tag == "article":
-        return ARTICLE, names, named
+        return ARTICLE, named
     if is_main:
-        return MAIN, names, named
+        return MAIN, named
     if words - {"header"} or (above < MAIN and (tag == "header" or words)):
         named = (*named, Named(is_comments, False))
-    return above, names, named
+    return above, named
 
 
-def blocks_of(page: str) -> list[Block]:
+def parsed(page: str) -> Page:
     """The page's blocks that have text; white space in a block is one space, references are decoded."""
-    root = ["", NEUTRAL, "", [], None, ()]
-    stack = [root]  # tag, state, path, styles of children, parent, named wrappers
-    found: list[tuple[list, str, int, str, tuple[Named, ...]]] = []
+    out = Page()
+    root = _Element("", True, NEUTRAL, [], (), [])
+    stack, blocks, places = [root], [0], {"": [0]}  # open elements, places of the block elements among them, places by tag
+    found: list[tuple[_Element, int, str, tuple[Named, ...]]] = []
     text: list[str] = []
 
     def flush() -> None:
         if text:
-            joined = "".join(text)
+            joined = " ".join("".join(text).split())
             text.clear()
-            if "&" in joined:
-                joined = html.unescape(joined)
-            if joined := " ".join(joined.split()):
-                own = next((e for e in reversed(stack) if e[0] in BLOCK), root)
-                found.append((own[4] or root, own[2], stack[-1][1], joined, stack[-1][5]))
+            if joined and stack[-1].state != GONE:
+                found.append((stack[blocks[-1]], stack[-1].state, joined, stack[-1].named))
 
     def close(depth: int) -> None:
-        if any(e[0] in BLOCK for e in stack[depth:]):
+        if blocks[-1] >= depth:
             flush()
-        del stack[depth:]
-
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        while len(stack) > depth:
+            element = stack.pop()
+            places[element.tag].pop()
+            if element.block:
+                blocks.pop()
+                if element.branches:
+                    out.elements.setdefault(element.branches[-1], set()).add(_hash(len(element.children), " ".join(element.children)))
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    for before, slash, tag, attributes in _tokens(page):
+        if before:
+            text.append(html.unescape(before) if "&" in before else before)
         if not tag:
             continue
-        tag = tag.lower()
+        block = tag in BLOCK
         if slash:
-            if tag in BLOCK:
+            if block:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCK and tag not in BLOCK:
-                    break
+            at = last((tag,))
+            if at > 0 and (block or at > blocks[-1]):
+                close(at)
             continue
         if tag in RAW:
-            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
             continue
         if tag in VOID:
+            stack[-1].children.append(tag)
             if tag == "hr":
                 flush()
             elif tag == "br":
                 text.append(" ")
             continue
-        if tag in ENDS_PARAGRAPH:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+        if tag in ENDS_PARAGRAPH and (at := last(("p",))) > 0 and at == blocks[-1]:
+            close(at)
         if tag in CLOSES:
             same, scope = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in scope:
-                    break
-                if stack[depth][0] in same:
-                    close(depth)
-                    break
-        if tag in BLOCK:
+            if (at := last(same)) > last(scope) and at > 0:
+                close(min(places[t][-1] for t in same if places.get(t) and places[t][-1] > last(scope)))
+        if block:
             flush()
-        state, names, named = _state(tag, attributes, stack[-1][1], stack[-1][5])
-        if state != stack[-1][1] or named != stack[-1][5]:
+        above = stack[-1]
+        names, hidden = _names(attributes) if attributes and not attributes.isspace() else ("", False)
+        state, named = above.state, above.named
+        if len(above.branches) < LEVELS or hidden:
+            state, named = _state(tag, names, hidden, above.state, above.named)
+        if state != above.state or named is not above.named:
             flush()
-        if attributes.endswith("/") and tag not in BLOCK:
+        if attributes.endswith("/") and not block:
             continue
         step = f"{tag}.{names}" if names else tag
-        stack[-1][3].append(step)
-        stack.append([tag, state, f"{stack[-1][2]}>{step}", [], stack[-1], named])
-    rest = page[at:]
-    if rest:
-        text.append(rest)
+        above.children.append(step)
+        branches = above.branches
+        if block and tag not in ("html", "body") and len(branches) < LEVELS:
+            branches = [*branches, _hash(branches[-1] if branches else 0, step)]
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        stack.append(_Element(tag, block, state, branches, named, []))
+    close(1)
     flush()
     # a named element that holds the page's article is a wrapper, whatever its name; beside another article, it is what its name says
-    best = max((state for _, _, state, _, named in found if not named), default=CHROME)
-    states = [state if all(w.holds and best < (MAIN if w.comments else ARTICLE) for w in named) else CHROME for _, _, state, _, named in found]
-    return [Block(_hash(path), _hash(" ".join(dict.fromkeys(parent[3]))), state, words) for (parent, path, _, words, _), state in zip(found, states, strict=True)]
+    best = max((state for _, state, _, named in found if not named), default=CHROME)
+    for own, state, words, named in found:
+        wrong = [w for w in named if not (w.holds and best < (MAIN if w.comments else ARTICLE))]
+        out.blocks.append(Block(own.branches or [0], min([state, *(COMMENTS if w.comments else CHROME for w in wrong)]), words))
+    return out

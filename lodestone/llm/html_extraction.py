@@ -1,12 +1,13 @@
-"""Main text of pages: a style tree of each site tells branches that its pages repeat from those they don't.
-
-The pages of a host are merged by the paths of tags and names in their markup. A branch's importance is
-the entropy of what its places hold: of the texts in it (content) and of how its parent presents its
-children (presentation), each over the log of how many there are, so 0 is all equal and 1 all different.
-What a block's markup is named (article, main; a menu or advert inside an article) is added to its branch's
-importance as a prior, and blocks whose sum is low go from every page of the host. Menus, adverts, comments and
-so on outside articles always go: sites change them from page to page, so their importance can be that of a
-title. Where a branch has been seen on too few different pages, names and lengths decide.
+"""Main text of pages: a style tree of each site tells branches that carry its articles from those its pages share.
+
+The pages of a host are merged by the paths of block elements and their names. A path's content importance is
+the entropy of the texts at it, its presentation importance that of how it presents its children, each
+over the log of how many different pages it is on, so 0 is all equal and 1 all different. A branch's
+importance is the mean content importance under it together with its own presentation: an article's
+paragraphs differ in number and kind from page to page, a menu, advert or footer is built alike on each.
+From every page those branches go that are less important than its most important one by a margin, and of
+the rest the blocks whose own content is low. What markup names is added as a prior. Where a path has been
+seen on too few different pages, names and lengths decide.
 """
 
 from __future__ import annotations
@@ -15,21 +16,26 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.html_blocks import ARTICLE, MAIN, NAMED, NEUTRAL, blocks_of
+from lodestone.llm.html_blocks import ARTICLE, CHROME, COMMENTS, MAIN, NAMED, NEUTRAL, Page, parsed
 from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
 
-#: Weight of content against presentation, the importance under which a branch goes, and the pages that a branch is judged from.
-CONTENT_WEIGHT, LOW, LEAST_PAGES = 0.9, 0.3, 8
-#: What a block's state adds to its branch's importance.
-PRIOR = {NAMED: -0.3, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
+#: Weight of content against presentation in a branch, and the different pages that a path is judged from.
+CONTENT_WEIGHT, LEAST_PAGES = 0.5, 8
+#: A branch goes under this importance, and so far below the page's best one; a block goes under LOW.
+FLOOR, MARGIN, LOW = 0.3, 0.15, 0.3
+#: What a block's state adds to the importance of its branch.
+BRANCH_PRIOR = {COMMENTS: -0.5, CHROME: -0.3, NAMED: 0.2, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
+#: What it adds to the block's own.
+BLOCK_PRIOR = {COMMENTS: -0.3, CHROME: -0.3, NAMED: -0.3, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
 #: The same for blocks without a name beside a main part that is longer than all of them.
 BESIDE = -0.3
-_BLOCK = pa.struct([("path", pa.int64()), ("text", pa.string()), ("least", pa.float64()), ("kept", pa.bool_())])
-_NODE = pa.struct([("path", pa.int64()), ("style", pa.int64()), ("content", pa.int64()), ("page", pa.int64())])
-SCHEMA = "page_id long, url string, host string, blocks array<struct<path: long, text: string, least: double, kept: boolean>>, nodes array<struct<path: long, style: long, content: long, page: long>>"
+_BLOCK = pa.struct([("branches", pa.list_(pa.int64())), ("prior", pa.float64()), ("least", pa.float64()), ("kept", pa.bool_())])
+_NODE = pa.struct([("path", pa.int64()), ("feature", pa.int64()), ("page", pa.int64())])
+_NODES = "array<struct<path: long, feature: long, page: long>>"
+SCHEMA = f"page_id long, url string, host string, texts array<string>, blocks array<struct<branches: array<long>, prior: double, least: double, kept: boolean>>, shared int, contents {_NODES}, styles {_NODES}"
 
 
 def _content(text: str) -> int:
@@ -43,73 +49,109 @@ def _least_pair(text: str) -> int:
     return min(map(zlib.crc32, (f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(words, words[1:] or [""], strict=False))))
 
 
-def _page(html: str) -> tuple[list[dict], list[dict]]:
-    """The blocks that may stay, in page order, and the same as nodes of the style tree.
+def _nodes(page: Page) -> tuple[list[str], list[dict], int, list[dict], list[dict]]:
+    """Of a page its texts, its blocks, how many of their outer branches all blocks share, and its nodes for the style tree.
 
-    least: the importance from which the block stays; kept: whether it does if the tree can't judge it.
-    page: what tells the rest of the page from other pages, but not from its near copies.
+    least: the content importance from which a block stays; kept: whether it does if the tree can't judge it.
+    page, of a node: what tells the rest of the page from other pages, but not from its near copies.
     """
-    blocks = [b for b in blocks_of(html) if b.state]
-    best = max((b.state for b in blocks), default=NEUTRAL)
-    length = {main: sum(len(b.text) for b in blocks if b.state != NAMED and (b.state >= MAIN) == main) for main in (True, False)}
+    blocks = page.blocks
+    main = [b for b in blocks if b.state >= MAIN]
+    beside = [b for b in blocks if b.state == NEUTRAL]
     # an article shorter than all that has no name is a teaser or a part
-    least_state = MAIN if best >= MAIN and length[True] >= length[False] else min(best, NEUTRAL)
+    least_state = MAIN if main and sum(len(b.text) for b in main) >= sum(len(b.text) for b in beside) else NEUTRAL if beside else MAIN if main else NAMED
     pairs = [_least_pair(b.text) for b in blocks]
     first, second = (sorted(set(pairs)) + [-1, -1])[:2]
-    kept = [{"path": b.path, "text": b.text, "least": LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else PRIOR[b.state]), "kept": b.state >= least_state} for b in blocks]
-    return kept, [{"path": b.path, "style": b.style, "content": _content(b.text), "page": second if p == first else first} for b, p in zip(blocks, pairs, strict=True)]
+    shared = 0
+    if blocks:
+        shortest = min(len(b.branches) for b in blocks)
+        while shared < shortest and len({b.branches[shared] for b in blocks}) == 1:
+            shared += 1
+    rows = [{"branches": b.branches, "prior": BRANCH_PRIOR[b.state], "least": LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else BLOCK_PRIOR[b.state]), "kept": b.state >= least_state} for b in blocks]
+    contents = [{"path": b.branches[-1], "feature": _content(b.text), "page": second if p == first else first} for b, p in zip(blocks, pairs, strict=True)]
+    styles = [{"path": path, "feature": style, "page": first} for path, found in page.elements.items() for style in found] if blocks else []
+    return [b.text for b in blocks], rows, shared, contents, styles
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.list_(pa.string()), pa.list_(_BLOCK), pa.int32(), pa.list_(_NODE), pa.list_(_NODE)]
     for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
-            pages = [_page(page or "") for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([p[0] for p in pages], pa.list_(_BLOCK)), pa.array([p[1] for p in pages], pa.list_(_NODE))], ["page_id", "url", "host", "blocks", "nodes"])
+        for k in range(0, whole.num_rows, 250):
+            batch = whole.slice(k, 250)
+            pages = [_nodes(parsed(page or "")) for page in batch.column("html").to_pylist()]
+            columns = [pa.array([p[k] for p in pages], kind) for k, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "texts", "blocks", "shared", "contents", "styles"])
 
 
-def _entropy(counts: DataFrame, feature: str) -> DataFrame:
-    """(host, path, entropy of the feature from 0 to 1, n places).
+def entropies(sites: DataFrame, nodes: str) -> DataFrame:
+    """(host, path, entropy from 0 to 1, pages) of the features at each path, of `nodes` of sites.
 
-    A value counts as the number of different pages it is on, as the exponent of their entropy: copies of a
-    page and most of its near copies are one page.
+    A feature counts as the number of different pages it is on, as the exponent of their entropy: copies of a
+    page and most of its near copies are one page. Equal ones all over give 0; one place alone gives 1.
     """
-    pages = counts.groupBy("host", "path", feature, "page").agg(F.sum("c").alias("c"))
-    seen = pages.groupBy("host", "path", feature).agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.ln("c")).alias("logs"))
+    counts = sites.select("host", F.explode(nodes).alias("node")).groupBy("host", "node.path", "node.feature", "node.page").agg(F.count("*").alias("c"))
+    seen = counts.groupBy("host", "path", "feature").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.ln("c")).alias("logs"))
     n = seen.select("host", "path", F.greatest(F.exp(F.ln("all") - F.col("logs") / F.col("all")), F.lit(1.0)).alias("n"))
-    total = n.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("logs"))
-    # of shares c / n: -sum(c / n * ln(c / n)) / ln(n)
-    return total.select("host", "path", F.when(F.col("n") > 1.0001, 1 - F.col("logs") / (F.col("n") * F.ln("n"))).otherwise(1.0).alias(f"{feature}_entropy"), F.col("n").alias(f"{feature}_n"))
+    total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("logs"))
+    # of shares n / pages: -sum(n / pages * ln(n / pages)) / ln(pages)
+    return total.select("host", "path", F.when(F.col("pages") > 1.0001, 1 - F.col("logs") / (F.col("pages") * F.ln("pages"))).otherwise(1.0).alias("entropy"), "pages")
 
 
-def importances(parsed: DataFrame) -> DataFrame:
-    """(host, tree: map of path to importance), of the paths in each host's style tree that enough pages have."""
-    nodes = parsed.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
-    counts = nodes.groupBy("host", "path", "style", "content", "page").agg(F.count("*").alias("c"))
-    both = _entropy(counts, "content").join(_entropy(counts, "style"), ["host", "path"])
-    importance = CONTENT_WEIGHT * F.col("content_entropy") + (1 - CONTENT_WEIGHT) * F.col("style_entropy")
-    judged = both.where(F.col("content_n") >= LEAST_PAGES).select("host", F.struct("path", importance.alias("importance")).alias("branch"))
-    return judged.groupBy("host").agg(F.map_from_entries(F.collect_list("branch")).alias("tree"))
+def importances(sites: DataFrame) -> DataFrame:
+    """(host, path, content, branch): content importance of the paths that have texts, and each branch's importance.
 
+    Only of paths with texts on LEAST_PAGES different pages or more, and of the branches that hold them.
+    """
+    content = entropies(sites, "contents").where(F.col("pages") >= LEAST_PAGES).select("host", "path", F.col("entropy").alias("content"), "pages")
+    around = sites.select("host", F.explode("blocks.branches").alias("branches")).groupBy("host", F.element_at("branches", -1).alias("path")).agg(F.first("branches").alias("branches"))
+    under = content.join(around, ["host", "path"]).select("host", F.explode("branches").alias("path"), "content", "pages")
+    mean = under.groupBy("host", "path").agg((F.sum(F.col("content") * F.col("pages")) / F.sum("pages")).alias("mean"))
+    styles = entropies(sites, "styles").select("host", "path", F.col("entropy").alias("style"))
+    whole = mean.join(content.drop("pages"), ["host", "path"], "left").join(styles, ["host", "path"], "left")
+    return whole.select("host", "path", "content", (CONTENT_WEIGHT * F.col("mean") + (1 - CONTENT_WEIGHT) * F.coalesce("style", F.lit(0.0))).alias("branch"))
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html); other columns are ignored.
 
-    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Menus,
-    forms, adverts and comments are left out. Of the other blocks, those stay whose importance to the site,
-    with the prior of what markup names, isn't low. Where too few pages of the site have such a block, it
-    stays if it is in a named article or main part, or if that is missing or shorter than what has no name.
-    Pages without a host (null or without ://) are one site. Repeated rows get equal answers.
-    """
+def _judged(tree: Column) -> Column:
+    """Of each block of a page whether it stays."""
+
+    def branch(b: Column) -> Column:
+        own = F.slice(b["branches"], F.least(F.col("shared") + 1, F.size(b["branches"])), F.size(b["branches"]))
+        return F.array_max(F.transform(own, lambda path: F.try_element_at(tree, path)["branch"])) + b["prior"]
+
+    content = lambda b: F.try_element_at(tree, F.element_at(b["branches"], -1))["content"]
+    scored = F.transform("blocks", lambda b: F.struct(content(b).alias("content"), branch(b).alias("branch"), b["least"].alias("least"), b["kept"].alias("kept")))
+    # arrays of one element are names for what is used for each block, so that it is evaluated once for the page
+    best = lambda found: F.array_max(F.transform(found, lambda s: F.when(s["content"].isNotNull(), s["branch"])))
+    page = F.transform(F.array(scored), lambda found: F.struct(found.alias("blocks"), F.greatest(F.lit(FLOOR), best(found) - MARGIN).alias("lowest")))
+    stays = lambda s, lowest: F.when(s["content"].isNull(), s["kept"]).otherwise((s["content"] >= s["least"]) & (s["branch"] >= lowest))
+    return F.get(F.transform(page, lambda p: F.transform(p["blocks"], lambda s: stays(s, p["lowest"]))), F.lit(0))
+
+
+def judged_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, url, texts, stay, kept: of each page its blocks, whether each stays, and whether names alone would keep it."""
     small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string"))
-    parsed = stored(rows.mapInArrow(_parsed, SCHEMA), "parsed")
-    trees = broadcast_if_small(stored(importances(parsed), "trees"), 20_000)
-    kept = F.filter("blocks", lambda b: F.coalesce(F.try_element_at("tree", b["path"]) >= b["least"], b["kept"]))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    whole = parsed.join(trees, "host", "left").select("page_id", "url", text.alias("text"))
-    return whole.withColumn("n_chars", F.length("text").cast("long"))
+    sites = stored(rows.mapInArrow(_parsed, SCHEMA), "parsed")
+    branch = F.struct("path", F.struct("content", "branch"))
+    trees = stored(importances(sites).groupBy("host").agg(F.map_from_entries(F.collect_list(branch)).alias("tree")), "trees")
+    whole = sites.join(broadcast_if_small(trees, 20_000), "host", "left")
+    return whole.select("page_id", "url", "texts", _judged(F.col("tree")).alias("stay"), F.col("blocks.kept").alias("kept"))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html); other columns are ignored.
+
+    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Forms and
+    hidden elements are no text. Of the other blocks, those stay whose branch is about as important to the
+    site as the page's best one and whose content differs from page to page, with a prior of what markup
+    names. Where too few different pages of the site have such a block, it stays if it is in a named article or main
+    part, or if that is missing or shorter than what has no name. Pages without a host (null or without
+    ://) are one site. Repeated rows get equal answers.
+    """
+    judged = judged_blocks(pages)
+    kept = F.filter("texts", lambda _, k: F.coalesce(F.get(F.col("stay"), k), F.lit(False)))
+    return judged.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -438,10 +438,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html_names():
-    from lodestone.llm.html_blocks import CHROME, NAMED, blocks_of
+    from lodestone.llm.html_blocks import COMMENTS, NAMED, parsed
 
     def kept(page):
-        return [b.text for b in blocks_of(page) if b.state > NAMED]
+        return [b.text for b in parsed(page).blocks if b.state > NAMED]
 
     for wrapper in ('<body class="single comments-open">%s', '<main class="no-comments">%s</main>', '<div class="content has-sidebar">%s</div>', '<div id="page" class="no-sidebar">%s</div>', '<div class="sidebar">%s</div>', '<div class="comments"><div class="related-posts">%s</div></div>', "<header>%s</header>"):
         assert kept(wrapper % "<h1>Title</h1><article class='post has-comments'><p>text</article>") == ["Title", "text"], wrapper
@@ -450,7 +450,58 @@ def test_html_names():
     # beside an article, names say what they say
     for named in ('<div class="related-posts"><article>x</article></div>', '<section id="comments"><article>x</article></section>', '<article class="comment">x</article>', '<div class="left-sidebar">x</div>', '<div class="cookie-notice">x</div>'):
         assert kept(f"<main><article>text</article></main>{named}") == ["text"], named
-    assert [b.state for b in blocks_of('<article>a<p class="related">b</p><p class="comments">c</p></article>')][1:] == [NAMED, CHROME]
+    assert [b.state for b in parsed('<article>a<p class="related">b</p><p class="comments">c</p></article>').blocks][1:] == [NAMED, COMMENTS]
+    assert kept("<p>a &l<b>t;</b> z<form>f<p>g</form><p style='display: none'>h<p>i") == ["a &lt; z", "i"]
+    assert kept("<noscript>a</noscript><object>b</object><p title='x>y'>c<p title=\"z>d") == ["ab", "c", "d"]
+
+
+def test_html_is_linear():
+    import time
+
+    from lodestone.llm.html_blocks import parsed
+
+    n = 50_000
+    for page in ("<a" * 100_000, "<a " * n + ">", '<a "<b ' * n + ">", '<a ">' * (n + 1), "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<div>" * n + "x", "<b>" * n + "<p>x" * n, "<div class=sidebar>" * n + "x<p>y", "<script>" + "</script " * n, "<!--" * n, "<li>x" * n, "<div>" * 3000 + "<p>z" * n, '<p "a>"" ' * n + "'<i>"):
+        began = time.process_time()
+        parsed(page)
+        assert time.process_time() - began < (1 if page.startswith("<a<a") else 10), page[:20]
+
+
+def test_html_importance(spark):
+    """Entropies and importances against plain Python."""
+    import math
+
+    from lodestone.llm import html_extraction as h
+
+    rng = random.Random(4)
+    pages = [(k, f"http://s{k % 2}.net/{k}", f"<div class=a><p>{prose(k, 20)}</p>" + "<ul><li>x</ul>" * rng.randint(0, 3) + f"</div><div class=b>{prose(k % 5, 12)}</div><div class=c>{prose(k, 9)}</div>") for k in range(40)]
+    parsed = [("s%d" % (k % 2), h._nodes(h.parsed(page))) for k, _, page in pages]
+
+    def entropy(place):
+        seen, out = defaultdict(lambda: defaultdict(Counter)), {}
+        for host, page in parsed:
+            for node in page[place]:
+                seen[host, node["path"]][node["feature"]][node["page"]] += 1
+        for key, features in seen.items():
+            n = [math.exp(-sum(c / f.total() * math.log(c / f.total()) for c in f.values())) for f in features.values()]
+            total = sum(n)
+            out[key] = (-sum(x / total * math.log(x / total) for x in n) / math.log(total) if total > 1.0001 else 1.0, total)
+        return out
+
+    contents, styles = entropy(3), entropy(4)
+    branches = {(host, b["branches"][-1]): b["branches"] for host, page in parsed for b in page[1]}
+    judged = {key: e for key, e in contents.items() if e[1] >= h.LEAST_PAGES}
+    expected = {}
+    for (host, path), _ in judged.items():
+        for branch in branches[host, path]:
+            under = [(e, n) for (o, p), (e, n) in judged.items() if o == host and branch in branches[o, p]]
+            mean = sum(e * n for e, n in under) / sum(n for _, n in under)
+            expected[host, branch] = (judged.get((host, branch), (None,))[0], 0.5 * mean + 0.5 * styles.get((host, branch), (0.0,))[0])
+    sites = spark.createDataFrame([(host, [tuple(n.values()) for n in page[3]], [tuple(n.values()) for n in page[4]], [(b["branches"],) for b in page[1]]) for host, page in parsed], f"host string, contents {h._NODES}, styles {h._NODES}, blocks array<struct<branches: array<long>>>")
+    found = {(r["host"], r["path"]): (r["content"], r["branch"]) for r in h.importances(sites).collect()}
+    assert found.keys() == expected.keys() and len(found) >= 6
+    for key, (content, branch) in expected.items():
+        assert found[key][1] == pytest.approx(branch) and (found[key][0] is None) == (content is None) and (content is None or found[key][0] == pytest.approx(content)), key
 
 
 def test_html_tree_decides(spark):
@@ -465,6 +516,10 @@ def test_html_tree_decides(spark):
         "teaser": lambda k: (f"<div id=slogan>Always first</div><div id=content>{prose(k, 60)}</div><article><p>{prose(k % 3, 5)}</p></article>", prose(k, 60)),
         "stock": lambda k: (f"<article><h1>{prose(k + 80, 4)}</h1><p>{prose(k, 30)}</p><div class=x>Follow us on all channels</div></article>", f"{prose(k + 80, 4)}\n\n{prose(k, 30)}"),
         "science": lambda k: (f"<article><p>{prose(k, 30)}</p><section class=related>{prose(k + 90, 30)}</section></article>", f"{prose(k, 30)}\n\n{prose(k + 90, 30)}"),
+        # no names at all: a branch built anew on each page against ones that are built alike, whatever their texts
+        "plain": lambda k: (f"<div><ul><li>{prose(k + 300, 2)}<li>{prose(k + 400, 2)}</ul></div><div>{prose(k + 500, 9)}</div><section>" + "".join(f"<p>{prose(k * 9 + j, 12)}</p>" + "<ol><li>one</ol>" * (k >> j & 1) for j in range(5)) + f"</section><div>{prose(k + 600, 6)}</div>", "\n\n".join(f"{prose(k * 9 + j, 12)}" for j in range(5))),
+        # repeated branches inside main
+        "inside": lambda k: (f"<main><h1>{prose(k + 700, 4)}</h1><div>Read this in our app</div><p>{prose(k, 30)}</p><div>{['Rate', 'Vote'][k % 2]} this page</div></main>", f"{prose(k + 700, 4)}\n\n{prose(k, 30)}"),
         "copies": lambda k: (f"<article><h1>One title</h1><p>{near(k)}</p></article>", f"One title\n\n{near(k)}"),
     }
     rows = [(k, f"http://{name}.net/{k}", *page(k)) for name, page in sites.items() for k in range(40)]
