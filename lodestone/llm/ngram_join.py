@@ -185,17 +185,23 @@ def _block_links(in_block: DataFrame, members: DataFrame, parts: DataFrame, rows
 
 
 def _star_links(pairs: DataFrame, n_pairs: int, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
-    """(a, b) that link, from blocks of heads a and the rows b that chose one of the block."""
-    block = F.pmod(F.xxhash64("a"), F.lit(max(1, n_pairs // BLOCK_ROWS)))
-    placed = pairs.withColumn("block", block)
-    return _block_links(placed.select("block", F.col("a").alias("key")).distinct(), stored(placed.select("block", F.col("b").alias("key")).distinct(), "members"), parts, rows, similarity)
+    """(a, b) that link, from blocks of heads a and the rows b that chose one of the block.
+
+    Heads of one component share a block, or as few as hold them, so that a row meets all its heads there in few blocks.
+    """
+    placed = pairs.join(parts.select(F.col("key").alias("a"), "component"), "a")
+    heads = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("a") / BLOCK_ROWS).alias("blocks")).where("blocks > 1")
+    block = F.xxhash64(F.pmod(F.xxhash64("component"), F.lit(max(1, n_pairs // BLOCK_ROWS))), F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))))
+    placed = stored(placed.join(broadcast_if_small(heads), "component", "left").select("a", "b", block.alias("block")), "placed")
+    in_block, members = (stored(placed.select("block", F.col(c).alias("key")).distinct(), name) for c, name in (("a", "in-block"), ("b", "members")))
+    return _block_links(in_block, members, parts, rows, similarity)
 
 
 def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(a, b): every pair of rows that links and isn't in one component, of those with a column in common.
 
     In a column of several components the rows outside the most frequent one are looked up: they are put
-    into blocks of BLOCK_ROWS at most or so and of one class of sizes, and a block meets the rows of all
+    into blocks of BLOCK_ROWS or so of one class of sizes, those of one component together, and a block meets the rows of all
     components that its columns have, of its own and the neighbouring classes. A hot column is so never paired with itself.
     """
     placed = index.join(parts.select("key", "component"), "key").withColumn("class", _size_class(similarity))
@@ -203,9 +209,11 @@ def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similar
     sums = by_part.groupBy("h", "component").agg(F.sum("m").alias("m"))
     main = sums.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("h", "main")
     asking = stored(placed.join(main, "h").where("component <> main").select("h", "key", "class", "main"), "asking")
-    near = asking.groupBy("key", "class").agg(F.min("main").alias("near"))
-    sizes = near.groupBy("near", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    in_block = stored(near.join(sizes, ["near", "class"]).select("key", F.xxhash64("near", "class", F.pmod(F.xxhash64("key"), "blocks")).alias("block")), "in-block")
+    near = stored(asking.groupBy("key", "class").agg(F.min("main").alias("near")), "near")
+    blocks = near.groupBy("class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))  # a row for each class of sizes
+    large = near.groupBy("near", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")).where("parts > 1")
+    block = F.xxhash64("class", F.pmod(F.xxhash64("near"), "blocks"), F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))))
+    in_block = stored(near.join(F.broadcast(blocks), "class").join(broadcast_if_small(large), ["near", "class"], "left").select("key", block.alias("block")), "in-block")
     columns = asking.join(in_block, "key").select("h", "block", "class").distinct()
     around = columns.select("h", "block", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
     met = stored(around.join(by_part, ["h", "class"]).select("block", "component", "class").distinct(), "met")
