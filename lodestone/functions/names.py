@@ -79,6 +79,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name_key(path), r"(?<=.)\.[^.]*$", "")
 
 
+#: Folder ids that stand before a path in application ids.
+KNOWN_FOLDERS = {"{1ac14e77-02e7-4e5d-b744-2eb1ae5198b7}": "C:\\Windows\\System32", "{d65231b0-b2f1-4857-a4ce-a8e7c6ea7d27}": "C:\\Windows\\SysWOW64", "{6d809377-6af0-444b-8957-a3773f02200e}": "C:\\Program Files"}
+
+
+def known_folder_path(rest: Column, folders: dict[str, str] = KNOWN_FOLDERS) -> Column:
+    """The path of an id like {folder id}\\rest; null without a separator or for another id."""
+    at = F.instr(rest, "\\")
+    head, tail = F.lower(F.substring(rest, F.lit(1), at - 1)), F.substring(rest, at + 1, F.length(rest))
+    base = F.coalesce(*[F.when(head == k, v) for k, v in folders.items()])
+    return F.when(at > 0, F.concat(base, F.lit("\\"), tail))
+
+
 def _web_page(lower: Column) -> Column:
     return lower.startswith("http") | lower.rlike(r"\.(?:url|html|htm)$")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import app_name_score, file_name_key, launchable, normalized_app_name
+from lodestone.functions.names import app_name_score, file_name_key, known_folder_path, launchable, normalized_app_name, stem
 from lodestone.sources.tables import first_of_each
 
 ORDER = ["src_prio", "ordinal"]
@@ -31,10 +31,11 @@ def first_by_path(apps: DataFrame) -> DataFrame:
 
 
 def with_target(apps: DataFrame, links: DataFrame) -> DataFrame:
-    """apps with target: a link's target (links: path, target), else the path itself, lower; null for an id."""
+    """apps with target: a link's target (links: path, target), else the path itself, lower; of an id the path in its known folder, null in no known one."""
     low = links.select(F.lower("path").alias("path_lower"), F.lower("target").alias("linked")).distinct()
     whole = apps.withColumn("path_lower", F.lower("path")).join(first_of_each(low, ["path_lower"], ["linked"]), "path_lower", "left")
-    own = F.when(~F.col("path_lower").startswith("aumid:") & ~F.col("path_lower").endswith(".lnk"), F.col("path_lower"))
+    of_id = F.lower(known_folder_path(F.regexp_extract("path_lower", r"(?s)^aumid:(.*)$", 1)))
+    own = F.when(F.col("path_lower").startswith("aumid:"), of_id).when(~F.col("path_lower").endswith(".lnk"), F.col("path_lower"))
     return whole.withColumn("target", F.coalesce("linked", own)).drop("linked")
 
 
@@ -74,9 +75,36 @@ def by_priority(rows: DataFrame, key: list[str], priority: Column, usable: Colum
     return first_of_each(rows.where(usable).withColumn("_priority", priority), key, ["_priority"]).drop("_priority")
 
 
-def best_executable(candidates: DataFrame) -> DataFrame:
-    """(app, path) of the best of candidates (app, path, ordinal): 100 for the app's own name, 50 if one has the other in it; none without a score."""
-    stem = F.regexp_replace(file_name_key(F.col("path")), r"\.exe$", "")
+def best_executable(candidates: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(app or key, path) of the best of candidates (app, path, ordinal): 100 for the app's own name, 50 if one has the other in it; none without a score."""
+    name = F.regexp_replace(file_name_key(F.col("path")), r"\.exe$", "")
     compact = F.regexp_replace(F.lower("app"), r"\s", "")
-    score = F.when(stem == compact, 100).when(stem.contains(compact) | compact.contains(stem), 50).otherwise(0)
-    return candidates.withColumn("score", score).where("score > 0").groupBy("app").agg(F.max_by("path", F.struct("score", -F.col("ordinal"))).alias("path"))
+    score = F.when(name == compact, 100).when(name.contains(compact) | compact.contains(name), 50).otherwise(0)
+    return candidates.withColumn("score", score).where("score > 0").groupBy(*(key or ["app"])).agg(F.max_by("path", F.struct("score", -F.col("ordinal"))).alias("path"))
+
+
+def executables(apps: DataFrame, files: DataFrame) -> DataFrame:
+    """(app, path) of each application's executable, from the first of its icon, its install location and its uninstall commands that gives one.
+
+    apps: app, icon, install_location, uninstall_string, quiet_uninstall_string; files: path, ordinal, the files that exist. An
+    icon counts if it is an executable or a shortcut itself, else for what is best named beside it; an application with an install
+    location has no later source. An uninstaller's command counts for what is best named beside it. Null and unknown paths give nothing.
+    """
+    known = files.select(F.lower("path").alias("path_lower"), "path", "ordinal").groupBy("path_lower").agg(F.min_by(F.struct("path", "ordinal"), F.struct("ordinal", "path")).alias("_file")).select("path_lower", "_file.*")
+    icon = F.btrim(F.btrim(F.element_at(F.split("icon", ","), 1)), F.lit('"'))
+    command = lambda c: F.when(~F.lower(F.btrim(c)).rlike("^(?:msiexec|wmic)"), F.coalesce(F.nullif(F.regexp_extract(F.btrim(c), '^"([^"]*)"?', 1), F.lit("")), F.regexp_extract(F.btrim(c), r"^([^\s\"]+)", 1)))
+    named = [("icon", 0, icon), ("uninstall", 2, command("uninstall_string")), ("uninstall", 3, command("quiet_uninstall_string"))]
+    asked = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("place"), F.lower(path).alias("path_lower")) for kind, k, path in named])
+    pointed = apps.select("app", "install_location", F.explode(asked).alias("s")).select("app", "install_location", "s.*").where("path_lower <> ''").join(known, "path_lower")
+    pointed = pointed.where((F.col("kind") == "icon") | (F.col("path_lower").endswith(".exe") & F.col("install_location").isNull()))
+    bare = stem(F.col("path"))
+    uninstaller = (F.col("kind") == "uninstall") & (bare.contains("unins") | bare.isin("setup", "install"))
+    itself = F.col("path_lower").rlike(r"\.(?:exe|lnk)$") & ~uninstaller
+    direct = pointed.where(itself).select("app", "place", "path")
+    folder = lambda path: F.regexp_replace(F.lower(path), r"\\[^\\]*$", "")
+    beside = pointed.where(~itself).select("app", "place", folder("path_lower").alias("folder"))
+    located = apps.where("install_location is not null").select("app", F.lit(1).alias("place"), F.regexp_replace(F.lower("install_location"), r"\\+$", "").alias("folder"))
+    inside = known.where(F.col("path_lower").endswith(".exe")).select(folder("path_lower").alias("folder"), "path", "ordinal")
+    hunted = beside.unionByName(located).distinct().join(inside, "folder")
+    best = best_executable(hunted.select(F.struct("app", "place").alias("key"), "app", "path", "ordinal"), ["key"]).select("key.app", "key.place", "path")
+    return direct.unionByName(best).groupBy("app").agg(F.min_by("path", F.struct("place", "path")).alias("path"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import JUNK_DIRS, USER_DIRS, extension
-from lodestone.sources.tables import broadcast_if_small, stored
+from lodestone.sources.tables import BROADCAST_ROWS, drop_stored, stored_counting
 
 FLAG_ROUNDS, PATH_ROUNDS = 5, 6
 DEEPEST = 15
@@ -36,12 +36,17 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
         F.col("lower").isin(*user_dirs).alias("user"),
         F.when(F.col("parent_ref") == F.col("file_ref"), "").otherwise(F.concat("name", F.lit(SEPARATOR))).alias("prefix"),
     )
-    for k in range(PATH_ROUNDS):
-        state = stored(state, f"chains-{k}")
-        if state.where("up is not null").isEmpty():
+    for k in range(PATH_ROUNDS + 1):
+        # the write counts rows and open pointers, so a round is one job
+        state, seen = stored_counting(state, f"chains-{k}", open=F.count_if(F.col("up").isNotNull()))
+        if k:
+            drop_stored(before)
+        small = F.broadcast if seen.get("rows", 0) <= BROADCAST_ROWS else lambda frame: frame
+        if k == PATH_ROUNDS or not seen.get("open", 0):
             break
+        before = state
         above = state.select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in ("levels", "junk", "user", "prefix")], F.col("up").alias("next"))
-        joined = state.join(broadcast_if_small(above), ["drive", "up"], "left")
+        joined = state.join(small(above), ["drive", "up"], "left")
         flags = k < FLAG_ROUNDS
         state = joined.select(
             "drive",
@@ -52,7 +57,13 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
             (F.col("user") | F.coalesce("user_up", F.lit(False)) if flags else F.col("user")).alias("user"),
             F.concat(F.coalesce("prefix_up", F.lit("")), "prefix").alias("prefix"),
         )
-    return stored(state.drop("up"), "chains")
+    return small(state.drop("up"))
+
+
+def with_names(records: DataFrame) -> DataFrame:
+    """records with what their own names say: name_lower and ext; nothing is walked."""
+    lower = F.lower("name")
+    return records.withColumns({"name_lower": lower, "ext": extension(lower, F.col("is_dir"))})
 
 
 def with_ancestry(records: DataFrame, roots: DataFrame | None = None, junk_dirs=JUNK_DIRS, user_dirs=USER_DIRS, junk_refs: DataFrame | None = None) -> DataFrame:
@@ -65,7 +76,7 @@ def with_ancestry(records: DataFrame, roots: DataFrame | None = None, junk_dirs=
     """
     chains = directory_chains(records, junk_dirs, user_dirs, junk_refs).withColumnRenamed("file_ref", "parent_ref")
     lower = F.lower("name")
-    joined = records.join(broadcast_if_small(chains), ["drive", "parent_ref"], "left")
+    joined = records.join(chains, ["drive", "parent_ref"], "left")
     own_root = F.col("parent_ref") == F.col("file_ref")
     out = joined.select(
         "drive",

@@ -46,11 +46,17 @@ def not_excluded(excluded: tuple[str, ...]) -> Column:
 
 
 def without_prefixes(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Entries under no prefix of a table (prefix): a prefix ends with a separator, so an equality on each ancestor path finds it."""
-    parts = F.split(F.lower("path"), r"\\")
-    ancestors = entries.select(*LAST, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "\\"), F.lit("\\")))).alias("prefix"))
-    hit = ancestors.join(prefixes.select(F.lower("prefix").alias("prefix")).distinct(), "prefix", "left_semi").select(*LAST).distinct()
-    return entries.join(hit, list(LAST), "left_anti")
+    """Entries under no prefix of a table (prefix): a prefix ends with a separator, so an equality on each ancestor of a folder finds it.
+
+    Folders are walked once each, not once for every entry in them.
+    """
+    folder = F.lower(F.regexp_extract("path", r"(?s)^(.*\\)", 1))
+    placed = entries.withColumn("_folder", folder)
+    parts = F.split(F.col("_folder"), r"\\")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "\\"), F.lit("\\")))
+    folders = placed.where("_folder <> ''").select("_folder").distinct().select("_folder", F.explode(above).alias("prefix"))
+    hit = folders.join(prefixes.select(F.lower("prefix").alias("prefix")).where("prefix is not null").distinct(), "prefix", "left_semi").select("_folder").distinct()
+    return placed.join(hit, "_folder", "left_anti").drop("_folder")
 
 
 def _page(rows: DataFrame, order: list, limit: int, skip: int) -> DataFrame:
@@ -66,6 +72,12 @@ def generic_matches(entries: DataFrame, query: str, case_sensitive: bool = False
     return rows.withColumn("rank", match_tier(name, q)).withColumn("name_len", name_length(F.col("name_lower")))
 
 
+def raw_total(entries: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
+    """(raw_total) of names that match, junk and excluded ones with them; it can exceed what pages reach."""
+    name, q = (F.col("name"), query) if case_sensitive else (F.col("name_lower"), query.lower())
+    return entries.where(name.contains(q)).agg(F.count("*").alias("raw_total"))
+
+
 def search_generic(entries: DataFrame, query: str, limit: int = PAGE, skip: int = 0, case_sensitive: bool = False, excluded: tuple[str, ...] = ()) -> DataFrame:
     rows = generic_matches(entries, query, case_sensitive, excluded)
     return _page(rows, ["rank", "name_len", "name_lower", *LAST], limit, skip)
@@ -102,7 +114,7 @@ def fuzzy_fill(entries: DataFrame, query: str, page: DataFrame, room: int, exclu
     if excluded:
         rows = rows.where(not_excluded(excluded))
     rows = rows.join(F.broadcast(page.select(*LAST)), list(LAST), "left_anti")  # a page of at most PAGE rows
-    rows = rows.withColumn("score", fuzzy_score(q)("name_lower")).where("score >= 0").withColumn("rank", F.lit(5)).withColumn("name_len", name_length(F.col("name_lower")))
+    rows = rows.withColumn("score", fuzzy_score(F.col("name_lower"), q)).where("score >= 0").withColumn("rank", F.lit(5)).withColumn("name_len", name_length(F.col("name_lower")))
     return rows.orderBy(F.desc("score"), "name_lower", *LAST).limit(min(room, FUZZY_MOST))
 
 
@@ -129,14 +141,37 @@ def search_line(entries: DataFrame, line: str, limit: int = PAGE) -> DataFrame:
 
 
 def path_search(entries: DataFrame, path: str, most: int = PATH_MOST) -> DataFrame:
-    """The entry of a path, or those up to four levels under its directory whose names contain its last part; directories first."""
-    low = path.lower()
-    exact = entries.where(F.lower("path") == low.rstrip("\\")).withColumn("rank", F.lit(1))
-    base, _, last = low.rpartition("\\")
+    """The entry of a path; if there is none, those up to four levels under its longest existing directory whose names contain its last part, directories first.
+
+    A path with a file in the middle has no result, one with no directory of entries on it is looked up from its drive on.
+    """
+    low = path.lower().rstrip("\\")
+    parts = low.split("\\")
+    prefixes = ["\\".join(parts[:k]) for k in range(1, len(parts))]
+    known = entries.where(F.lower("path").isin(low, *prefixes)).select(F.lower("path").alias("path"), "is_dir").distinct().collect()  # a row or so for each part of the path
+    kinds = {r["path"]: r["is_dir"] for r in known}
+    exact = entries.where(F.lower("path") == low).withColumn("rank", F.lit(1))
+    base = max((p for p in prefixes if p in kinds), key=len, default=prefixes[0] if prefixes else "")
+    if low in kinds or not kinds.get(base, True):
+        return exact.orderBy(*LAST).limit(most)
     depth = F.length(F.regexp_replace(F.substring(F.lower("path"), len(base) + 2, 1 << 20), r"[^\\]", "")) + 1
-    under = entries.where(F.lower("path").startswith(base + "\\") & (depth <= PATH_LEVELS) & F.col("name_lower").contains(last) & (F.lower("path") != low.rstrip("\\")))
-    under = under.withColumn("rank", F.coalesce(match_tier(F.col("name_lower"), last), F.lit(4)) if last else F.lit(2))
-    return exact.unionByName(under).orderBy("rank", F.desc("is_dir"), "name_lower", *LAST).limit(most)
+    under = entries.where(F.lower("path").startswith(base + "\\") & (depth <= PATH_LEVELS) & F.col("name_lower").contains(parts[-1]))
+    under = under.withColumn("rank", F.coalesce(match_tier(F.col("name_lower"), parts[-1]), F.lit(4)))
+    return under.orderBy("rank", F.desc("is_dir"), "name_lower", *LAST).limit(most)
+
+
+#: What a line must look like to be a path or an expression.
+_PATH_START = r"(?i)(?:[a-z]:[\\/]|\\\\|~[\\/]|(?:appdata|localappdata|temp|userprofile|programfilesx86|programfiles|program files|program files \(x86\)|windows|system32)[\\/]|%[^%\\/]+%[\\/])"
+_PATH_ALONE = r"(?i)(?:[a-z]:|~|%[^%\\/]+%)"
+_MATH_LINE = r"[0-9+\-*/().%\s^]+"
+
+
+def line_kind(text: Column) -> Column:
+    """path, math or name: what a typed line is looked up as. An expression has a digit and an operator; a backslash makes a path of anything else."""
+    bare = F.regexp_replace(text, '^"+|"+$', "")
+    is_path = bare.rlike(f"^{_PATH_START}") | bare.rlike(f"^{_PATH_ALONE}$") | bare.contains("\\")
+    is_math = text.rlike(f"^{_MATH_LINE}$") & text.rlike("[0-9]") & text.rlike(r"[+\-*/%^]")
+    return F.when(is_path, "path").when(is_math, "math").otherwise("name")
 
 
 def expand_path(text: str, env: dict[str, str], home: str, aliases: dict[str, str] | None = None) -> str | None:
@@ -172,6 +207,22 @@ def app_search(apps: DataFrame, frequency: DataFrame, query: str) -> DataFrame:
     return rows.orderBy("rank", F.desc("cnt"), low, "path").limit(10 if q else 16)
 
 
+def client_app_search(apps: DataFrame, query: str, most: int = 16, most_listed: int = 524) -> DataFrame:
+    """Applications (name, path, ordinal) by rank, then fuzzy score, then name; 4 is the rank of a subsequence. An empty query lists all but settings pages in their order."""
+    q = query.strip().lower()
+    if not q:
+        return apps.where(~F.col("name").startswith("Settings: ")).withColumn("rank", F.lit(0)).orderBy("ordinal", "path").limit(most_listed)
+    low = F.lower("name")
+    ranked = apps.withColumn("_rank", app_rank(low, q)).withColumn("_fuzzy", F.when(F.col("_rank").isNull(), fuzzy_score(low, q)).otherwise(-1))
+    rows = ranked.withColumn("rank", F.coalesce("_rank", F.when(F.col("_fuzzy") >= 0, 4))).where("rank is not null")
+    return rows.orderBy("rank", F.desc("_fuzzy"), low, "ordinal", "path").limit(most).drop("_rank", "_fuzzy")
+
+
+def first_apps(apps: DataFrame, limit: int) -> DataFrame:
+    """The first applications in name order, all of rank 0."""
+    return apps.withColumn("rank", F.lit(0)).orderBy(F.lower("name"), "path").limit(limit)
+
+
 def sections(web: DataFrame, apps: DataFrame, files: DataFrame, most_apps: int = 16, most: int = 524) -> DataFrame:
     """Rows (name, path, is_dir, rank) of one result list with section and position: web, applications, folders, files."""
     parts = [web.limit(1).withColumn("section", F.lit(0)), apps.limit(most_apps).withColumn("section", F.lit(2)), files.limit(most).withColumn("section", F.when(F.col("is_dir"), 3).otherwise(4))]

@@ -6,7 +6,6 @@ those of the searches themselves (pages, top lists).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import names as N
 from lodestone.functions import text as X
 from lodestone.operators import catalogue, hierarchy, search
-from lodestone.sources.tables import describe_snapshot, first_of_each, load_snapshot, save_snapshot, shared_folder
+from lodestone.operators.ordered import with_previous
+from lodestone.sources import tables
+from lodestone.sources.tables import describe_snapshot, first_of_each, load_snapshot, new_folder, save_snapshot
 from lodestone.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,20 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.with_ancestry(tree(spark, d), junk_dirs=JUNK, user_dirs=USER)
 
 
+#: Snapshots of trees that this application has built: (application, tables) to path.
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The tree's entries from a snapshot, built by the first query that searches it and read by all others, in the order of extension and name."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SNAPSHOTS:
+        path = new_folder(spark, "index")
+        save_snapshot({"entries": placed(spark, d).repartitionByRange("ext", "name_lower").sortWithinPartitions("ext", "name_lower")}, path)
+        _SNAPSHOTS[key] = path
+    return load_snapshot(spark, _SNAPSHOTS[key])["entries"]
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts as entries of one folder."""
     p = read(spark, d, "part")
@@ -113,27 +128,27 @@ def match_tier_sign(spark, d):
 
 @registered(f"{TREE} select file_ref, name, path, rank from (select *, {_TIER.format(q='customer#00000001')} as rank from entries where contains(name_lower, 'customer#00000001') and not is_junk) order by rank, least(strlen(name_lower), 255), name_lower, file_ref limit 300")
 def tree_search(spark, d):
-    return search.search_generic(placed(spark, d), "customer#00000001").select("file_ref", "name", "path", "rank")
+    return search.search_generic(indexed(spark, d), "customer#00000001").select("file_ref", "name", "path", "rank")
 
 
 @registered(f"{TREE} select file_ref, ext from entries")
 def ext_extract(spark, d):
-    return placed(spark, d).select("file_ref", "ext")
+    return hierarchy.with_names(tree(spark, d)).select("file_ref", "ext")
 
 
 @registered(f"{TREE} select ext, count(*) as n from entries where ext is not null group by ext")
 def ext_counts(spark, d):
-    return placed(spark, d).where("ext is not null").groupBy("ext").agg(F.count("*").alias("n"))
+    return hierarchy.with_names(tree(spark, d)).where("ext is not null").groupBy("ext").agg(F.count("*").alias("n"))
 
 
 @registered(f"{TREE} select file_ref, name, depth, user_path from entries where ext = 'o_x' and not is_junk order by user_path desc, depth, strlen(name_lower), name_lower, file_ref limit 300")
 def ext_search(spark, d):
-    return search.search_extension(placed(spark, d), "o_x").select("file_ref", "name", "depth", "user_path")
+    return search.search_extension(indexed(spark, d), "o_x").select("file_ref", "name", "depth", "user_path")
 
 
 @registered(f"{TREE} select count(*) as total from entries where ext = 'o_x' and not is_junk")
 def ext_search_total(spark, d):
-    return search.extension_matches(placed(spark, d), "o_x").agg(F.count("*").alias("total"))
+    return search.extension_matches(indexed(spark, d), "o_x").agg(F.count("*").alias("total"))
 
 
 _EXTS = ("pdf", "png", "zip", "xyz", "py", "mp4", "gz")
@@ -168,34 +183,34 @@ def junk_refs(spark, d):
 @registered(rf"{TREE} select file_ref, path from entries where not starts_with(lower(path), 'c:\europe\') and not starts_with(lower(path), 'c:\africa\nation_0\')")
 def exclude_dirs(spark, d):
     prefixes = ("c:\\europe\\", "c:\\africa\\nation_0\\")
-    return placed(spark, d).where(search.not_excluded(prefixes)).select("file_ref", "path")
+    return indexed(spark, d).where(search.not_excluded(prefixes)).select("file_ref", "path")
 
 
 @registered(rf"{TREE} select file_ref, path from entries e where not exists (select 1 from nation n join region r on n_regionkey = r_regionkey where n_nationkey % 2 = 0 and starts_with(lower(e.path), lower('C:\' || r_name || '\' || n_name || '\')))")
 def exclude_prefix_table(spark, d):
     nations = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 2 = 0")
     prefixes = nations.select(F.concat(F.lit("C:\\"), "r_name", F.lit("\\"), "n_name", F.lit("\\")).alias("prefix"))
-    return search.without_prefixes(placed(spark, d), prefixes).select("file_ref", "path")
+    return search.without_prefixes(indexed(spark, d), prefixes).select("file_ref", "path")
 
 
 @registered(f"{TREE} select file_ref, name, case when is_dir then 'dir' else 'file' end as kind from entries where is_dir")
 def kind_filter(spark, d):
-    return search.of_kind(placed(spark, d), "dirs").select("file_ref", "name", N.kind(F.col("is_dir")).alias("kind"))
+    return search.of_kind(indexed(spark, d), "dirs").select("file_ref", "name", N.kind(F.col("is_dir")).alias("kind"))
 
 
 @registered(f"{TREE} select file_ref, name from (select * from (select *, {_TIER.format(q='order_1')} as rank from entries where contains(name_lower, 'order_1') and not is_junk) order by rank, least(strlen(name_lower), 255), name_lower, file_ref limit 300) where not is_dir")
 def post_limit_filter(spark, d):
-    return search.of_kind(search.search_generic(placed(spark, d), "order_1"), "files").select("file_ref", "name")
+    return search.of_kind(search.search_generic(indexed(spark, d), "order_1"), "files").select("file_ref", "name")
 
 
 @registered(f"{TREE} select file_ref, name from entries where not is_dir and ends_with(name_lower, '.f_x') order by name_lower, file_ref limit 300")
 def line_extension(spark, d):
-    return search.search_line(placed(spark, d), "ext:f_x").select("file_ref", "name")
+    return search.search_line(indexed(spark, d), "ext:f_x").select("file_ref", "name")
 
 
 @registered(rf"{TREE} select file_ref, path from (select *, strlen(path) - strlen(replace(path, '\', '')) - 1 as level from entries where starts_with(lower(path), 'c:\europe\') and contains(name_lower, 'customer')) where level <= 4 order by case when starts_with(name_lower, 'customer') then 2 else 4 end, is_dir desc, name_lower, file_ref limit 200")
 def path_mode(spark, d):
-    return search.path_search(placed(spark, d), "C:\\Europe\\customer").select("file_ref", "path")
+    return search.path_search(indexed(spark, d), "C:\\Europe\\customer").select("file_ref", "path")
 
 
 @registered("select p_partkey, case when lower(p_name) = 'red' then 0 when starts_with(lower(p_name), 'red') then 1 when regexp_matches(lower(p_name), '[ \\-_.(\\[]red') then 2 when contains(lower(p_name), 'red') then 3 end::int as rank from part")
@@ -259,10 +274,13 @@ def cdc_apply(spark, d):
     return changes.live(state).select("file_ref", "name", "parent_ref")
 
 
-@registered("select (select count(*) from (select lower(c_name) from customer except all select lower(c_name) from customer where c_custkey % 2 = 0)) = 0 as same")
+@registered("select 'half' as pool, (select count(*) from customer where c_custkey % 2 <> 0) = 0 as same union all select 'upper', true")
 def pool_equal(spark, d):
+    """A pool against half of it and against itself in other case and order."""
     c = read(spark, d, "customer").select(F.col("c_name").alias("path"), "c_custkey")
-    return catalogue.same_pool(c, c.where("c_custkey % 2 = 0"))
+    half = catalogue.same_pool(c, c.where("c_custkey % 2 = 0")).select(F.lit("half").alias("pool"), "same")
+    upper = catalogue.same_pool(c, c.withColumn("path", F.upper("path")).orderBy(F.desc("c_custkey"))).select(F.lit("upper").alias("pool"), "same")
+    return half.union(upper)
 
 
 @registered("select s_nationkey, s_suppkey from (select *, row_number() over (partition by s_nationkey order by s_suppkey % 3, s_suppkey) as k from supplier where s_acctbal > 0) where k = 1")
@@ -270,9 +288,13 @@ def hive_priority_lookup(spark, d):
     return catalogue.by_priority(read(spark, d, "supplier"), ["s_nationkey"], F.struct(F.col("s_suppkey") % 3, "s_suppkey"), F.col("s_acctbal") > 0).select("s_nationkey", "s_suppkey")
 
 
-@registered("select page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') as host from pages")
+@registered("select page_id, case page_id % 4 when 0 then regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '') when 1 then regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '') when 2 then 'h' || page_id || '.net' end as host from pages")
 def url_host(spark, d):
-    return read(spark, d, "pages").select("page_id", X.host_of(F.col("url")).alias("host"))
+    """Hosts of urls as they are, with another scheme, with a user and a port, and of no url."""
+    url, path = F.col("url"), F.regexp_replace("url", "^[a-z]+://", "")
+    n = F.col("page_id") % 4
+    asked = F.when(n == 0, url).when(n == 1, F.concat(F.lit("ftp://"), path)).when(n == 2, F.concat(F.lit("https://me@www.h"), F.col("page_id").cast("string"), F.lit(".net:8080/a"))).otherwise(F.concat(F.lit("no url "), F.col("page_id").cast("string")))
+    return read(spark, d, "pages").select("page_id", X.host_of(asked).alias("host"))
 
 
 @registered("select page_id, starts_with(url, 'http://') or starts_with(url, 'https://') or regexp_matches(url, '\\.(com|net|org)') as is_url from pages")
@@ -280,7 +302,7 @@ def looks_like_url(spark, d):
     return read(spark, d, "pages").select("page_id", N.looks_like_url(F.col("url")).alias("is_url"))
 
 
-@registered("with p as (select page_id, regexp_replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'), ' +', ' ', 'g') as t from pages) select page_id, trim(case when length(t) > 200 then substring(t, 1, 200) || '…' else t end, ' ') as snippet from p")
+@registered("with p as (select page_id, regexp_replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'), ' +', ' ', 'g') as t from pages) select page_id, trim(case when strlen(t) > 200 then substring(t, 1, list_max([k for k in range(50, 201) if strlen(substring(t, 1, k)) <= 200])) || '…' else t end, ' ') as snippet from p")
 def strip_html(spark, d):
     return read(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("snippet"))
 
@@ -307,8 +329,7 @@ _WORD = "list_sum([case when embedding[i] > 0 then 1::bigint << (i - {first}) el
 def hamming_previous(spark, d):
     """Each vector's sign words against those of the one before it under its label: the same up to 24 differing bits."""
     words = read(spark, d, "embeddings").select("vec_id", "label", X.sign_bits(F.col("embedding")).alias("w"))
-    before = F.lag("w").over(Window.partitionBy("label").orderBy("vec_id"))
-    whole = words.withColumn("before", before).where("before is not null").withColumn("distance", X.hamming(F.col("w"), F.col("before")))
+    whole = with_previous(words, "label", "vec_id", "w", "before").where("before is not null").withColumn("distance", X.hamming(F.col("w"), F.col("before")))
     return whole.select("vec_id", "distance", (F.col("distance") <= 24).alias("same"))
 
 
@@ -329,34 +350,75 @@ def fmt_relative(spark, d):
 
 @registered(rf"{TREE} select file_ref, case when length(path) <= 48 then path when length(short) < length(path) then short else path end as short from (select *, list_extract(string_split(path, '\'), 1) || '\' || list_extract(string_split(path, '\'), 2) || '\…\' || list_extract(string_split(path, '\'), -2) || '\' || list_extract(string_split(path, '\'), -1) as short from entries)")
 def truncate_path(spark, d):
-    return placed(spark, d).select("file_ref", X.truncate_path(F.col("path")).alias("short"))
+    return indexed(spark, d).select("file_ref", X.truncate_path(F.col("path")).alias("short"))
 
 
-@registered("select c_custkey, 'customer' || lpad(c_custkey::varchar, 9, '0') as name_norm from customer")
+@registered("select c_custkey, case when c_custkey % 6 = 4 then 'customer' || lpad(c_custkey::varchar, 9, '0') || 'x86' when c_custkey % 6 = 5 then 'customer' || lpad(c_custkey::varchar, 9, '0') || '2012' else 'customer' || lpad(c_custkey::varchar, 9, '0') end as name_norm from customer")
 def norm_name(spark, d):
-    name = F.concat("c_name", F.lit(" Stable 1.2.3 (x64) - Shortcut"))
-    return read(spark, d, "customer").select("c_custkey", N.normalized_app_name(name).alias("name_norm"))
+    """Names with suffixes that go (shortcut, channel, version, user) and ones that stay (an architecture or a year alone)."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (" Stable 1.2.3 (x64) - Shortcut", " (User)", " Browser", " 2.1.4", " (x86)", " 2012")]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return read(spark, d, "customer").select("c_custkey", N.normalized_app_name(F.concat("c_name", suffix)).alias("name_norm"))
+
 
+def _fuzzy_sql(name: str, query: str, rows: str, kept: str) -> str:
+    """`kept` and score of the query as a greedy subsequence of `name`: places one after the other, then what each gives."""
+    sql = f"select *, {name} as fz, -1 as q0 from {rows}"
+    for k, c in enumerate(query, 1):
+        sql = f"select *, case when q{k - 1} <> 0 and instr(substring(fz, greatest(q{k - 1}, 0) + 1), '{c}') > 0 then greatest(q{k - 1}, 0) + instr(substring(fz, greatest(q{k - 1}, 0) + 1), '{c}') else 0 end as q{k} from ({sql})"
+    one = " + ".join(f"case when q{k} = 1 or substring(fz, q{k} - 1, 1) in (' ', '-', '_', '.', '(', '[') then 4 when q{k} - q{k - 1} = 1 then 3 else greatest(0, 3 - (q{k} - q{k - 1})) end" for k in range(1, len(query) + 1))
+    return f"select {kept}, (case when q{len(query)} = 0 then -1 else {one} end)::int as score from ({sql})"
 
-@registered()
+
+@registered(_fuzzy_sql("lower(p_name)", "ldt", "part", "p_partkey"))
 def fuzzy_score(spark, d):
-    return read(spark, d, "part").select("p_partkey", X.fuzzy_score("rdg")(F.lower("p_name")).alias("score"))
+    return read(spark, d, "part").select("p_partkey", X.fuzzy_score(F.lower("p_name"), "ldt").alias("score"))
 
 
-@registered()
+@registered(f"select 'C' as drive, p_partkey as file_ref, p_name as name, 'C:\\parts\\' || p_name as path, false as is_dir, 5 as rank from ({_fuzzy_sql('lower(p_name)', 'rdwdg', 'part', '*')}) where score >= 0 order by score desc, lower(p_name), p_partkey limit 200")
 def fuzzy_search(spark, d):
     return search.search_paged(parts(spark, d), "rdwdg")[0]
 
 
-@registered("select l_orderkey, l_linenumber, (l_linenumber * 3 + l_orderkey)::varchar as value from lineitem")
+@registered(f"select p_name as name, rank, p_partkey as ordinal from (select *, case when starts_with(p_name, 'old') then 1 when regexp_matches(p_name, '[ \\-_.(\\[]old') then 2 when contains(p_name, 'old') then 3 when score >= 0 then 4 end::int as rank from ({_fuzzy_sql('p_name', 'old', 'part', '*')})) where rank is not null order by rank, case when rank = 4 then score else -1 end desc, p_name, p_partkey limit 16")
+def client_app_search(spark, d):
+    return search.client_app_search(_part_apps(spark, d), "old").select("name", "rank", "ordinal")
+
+
+@registered(f"select p_name as name, p_partkey as ordinal from ({_fuzzy_sql('p_name', 'sldg', 'part', '*')}) where score >= 0 and not contains(p_name, 'sldg') order by score desc, p_name, p_partkey limit 16")
+def client_app_fuzzy(spark, d):
+    """No name has the query in it, so all found are subsequences."""
+    return search.client_app_search(_part_apps(spark, d), "sldg").select("name", "ordinal")
+
+
+def _part_apps(spark, d):
+    return read(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("C:\\apps\\"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("ordinal"))
+
+
+@registered("select p_name as name, 'C:\\apps\\' || p_partkey as path, 0 as rank from part order by lower(p_name), path limit 50")
+def first_apps(spark, d):
+    return search.first_apps(_part_apps(spark, d), 50).select("name", "path", "rank")
+
+
+@registered(
+    "with x as (select l_orderkey, l_linenumber, l_linenumber::bigint as n, l_orderkey as o, l_orderkey % 6 as kind from lineitem)"
+    " select l_orderkey, l_linenumber, case kind when 0 then (n * 3 + o)::varchar when 1 then (-(n * n))::varchar when 2 then (o * (n + 2) - 7 % n)::varchar when 3 then (n ** 3)::bigint::varchar when 4 then null"
+    " else rtrim(rtrim(printf('%.9f', floor((n / 8.0) * 1000000000.0 + 0.5) / 1000000000.0), '0'), '.') end as value from x"
+)
 def math_eval(spark, d):
-    text = F.concat(F.col("l_linenumber").cast("string"), F.lit(" * 3 + "), F.col("l_orderkey").cast("string"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.math_value(text).alias("value"))
+    """Precedence, signs over powers, parentheses and remainders, powers to the right, a division by zero, a fraction."""
+    n, o = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [text(n, " * 3 + ", o), text("-", n, "^2"), text(o, "*(", n, "+2) - 7 % ", n), text(n, "^3^1"), text(o, "/(", n, "-", n, ")"), text("+", n, "/8.")]
+    chosen = F.element_at(F.array(*forms), (F.col("l_orderkey") % 6 + 1).cast("int"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.math_value(chosen).alias("value"))
 
 
-@registered("select p_partkey, case when contains(lower(p_name), 'in') then instr(lower(p_name), 'in') - 1 end::int as start from part")
+@registered("select p_partkey, ([i - 1 for i in range(1, length(p_name) + 1) if lower(p_name)[i] = 'l'])[1:3]::varchar as starts from part")
 def highlight(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.get(search.highlights(F.col("p_name"), "in"), F.lit(0))["start"].alias("start"))
+    """The first three hits of a letter, double letters and upper case among them."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    starts = F.transform(search.highlights(name, "l"), lambda h: h["start"].cast("string"))
+    return read(spark, d, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(starts, ", "), F.lit("]")).alias("starts"))
 
 
 @registered("select doc_id, regexp_replace(substring(text, 1, 1024), '[\\r\\n]', ' ', 'g') as line from documents")
@@ -372,7 +434,7 @@ def web_search_url(spark, d):
 @registered("select 'records' as table_name, (select count(*) from region) + (select count(*) from nation) + (select count(*) from customer) + (select count(*) from orders) as n union all select 'roots', 1")
 def snapshot_counts(spark, d):
     """The tree saved as a snapshot, loaded and described."""
-    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}/snapshot"
+    path = new_folder(spark, "snapshot")
     save_snapshot({"records": tree(spark, d), "roots": spark.createDataFrame([("C", "C:\\")], "drive string, root string")}, path)
     return describe_snapshot(load_snapshot(spark, path))
 
@@ -396,6 +458,128 @@ def cdc_tree_paths(spark, d):
     return hierarchy.with_ancestry(changes.live(state), junk_dirs=JUNK, user_dirs=USER).select("file_ref", "depth", "path")
 
 
+@registered(f"{TREE} select count(*) as raw_total from entries where contains(name_lower, 'customer#00000001')")
+def raw_total(spark, d):
+    return search.raw_total(indexed(spark, d), "customer#00000001")
+
+
+@registered(f"{TREE} select 'C' as drive, count(*) as n, min(file_ref) as low, max(file_ref) as high from entries")
+def refs_per_drive(spark, d):
+    return indexed(spark, d).groupBy("drive").agg(F.count("*").alias("n"), F.min("file_ref").alias("low"), F.max("file_ref").alias("high"))
+
+
+@registered("select * from (values ('roots_exist', true), ('roots_named', true), ('refs_and_names', true), ('depths_in_range', true), ('refs_once', true), ('drives_rooted', false)) as t(\"check\", ok)")
+def snapshot_checks(spark, d):
+    """The index against roots of another drive: all checks hold but that."""
+    return tables.validate_snapshot({"entries": indexed(spark, d), "roots": spark.createDataFrame([("D", "D:\\")], "drive string, root string")})
+
+
+_LINES = ("C:\\x", "~", "%TEMP%\\a", "AppData/x", "\\\\srv\\s", "3*(4+1)", "12", "+-", "ring 3", '"D:\\q"', "a\\b", "100%")
+_LINE_KINDS = ("path", "path", "path", "path", "path", "math", "name", "name", "name", "path", "path", "math")
+
+
+@registered("select p_partkey, (" + "case p_partkey % 12 " + " ".join(f"when {k} then '{kind}'" for k, kind in enumerate(_LINE_KINDS)) + " end) as kind from part")
+def line_kind(spark, d):
+    line = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", search.line_kind(line).alias("kind"))
+
+
+_TARGETS = ("C:\\x\\cmd.exe", "http://a/b", "C:\\x\\a.HTML", "C:\\x\\unins000.exe", "C:\\ProgramData\\Package Cache\\x.exe", "aumid:http://x", "\\\\srv\\app.exe", "\\\\.\\pipe", "relative.exe", "ms-settings:a", "msiexec.exe", "powershell.exe")
+_FLAGS = {
+    "shortcut_junk": "1 1 1 1 0 0 0 0 0 0 0 1", "installer_junk": "0 0 0 1 1 0 0 0 0 0 0 0", "launchable": "1 0 1 1 1 1 1 0 0 1 0 0", "shell_junk": "0 0 0 0 0 1 0 0 0 0 0 0", "device_path": "0 0 0 0 0 0 0 1 0 0 0 0", "uninstaller_allowed": "0 1 1 1 1 1 1 1 0 0 1 0",
+}
+
+
+@registered("select s_suppkey, " + ", ".join(f"list_extract([{', '.join('true' if x == '1' else 'false' for x in flags.split())}], (s_suppkey % 12 + 1)::int) as {name}" for name, flags in _FLAGS.items()) + " from supplier")
+def path_predicates(spark, d):
+    target = F.element_at(F.array(*[F.lit(x) for x in _TARGETS]), (F.col("s_suppkey") % 12 + 1).cast("int"))
+    rows = read(spark, d, "supplier").select("s_suppkey", target.alias("t"))
+    t = F.col("t")
+    return rows.select("s_suppkey", N.shortcut_junk(t).alias("shortcut_junk"), N.installer_junk(t).alias("installer_junk"), N.launchable(t).alias("launchable"), N.shell_junk(t, t).alias("shell_junk"), N.device_path(t).alias("device_path"), N.uninstaller_allowed(t).alias("uninstaller_allowed"))
+
+
+@registered(r"select s_suppkey, case s_suppkey % 4 when 0 then 'C:\Windows\System32\' || s_name when 1 then 'C:\Program Files\' || s_name end as path from supplier")
+def known_folders(spark, d):
+    rest = F.element_at(F.array(F.lit("{1AC14E77-02E7-4E5D-B744-2EB1AE5198B7}\\"), F.lit("{6d809377-6af0-444b-8957-a3773f02200e}\\"), F.lit("{0}\\"), F.lit("none ")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return read(spark, d, "supplier").select("s_suppkey", N.known_folder_path(F.concat(rest, "s_name")).alias("path"))
+
+
+@registered(
+    r"with files as (select 'C:\s' || s_nationkey || '\' || lower(s_name) || '.exe' as path, s_suppkey, 's' || s_nationkey as folder, s_nationkey from supplier)"
+    r" select 'Supplier #' || lpad(s_suppkey::varchar, 9, '0') as app, case s_suppkey % 4 when 3 then null else path end as path from files where s_suppkey % 4 <> 3"
+)
+def executables(spark, d):
+    """Of a shown icon, an icon beside it, an install location and an uninstaller beside it; the last kind names a file that isn't there."""
+    s = read(spark, d, "supplier").withColumn("home", F.concat(F.lit("C:\\s"), F.col("s_nationkey").cast("string"))).withColumn("exe", F.concat("home", F.lit("\\"), F.lower("s_name"), F.lit(".exe")))
+    kind, null = F.col("s_suppkey") % 4, F.lit(None).cast("string")
+    apps = s.select(
+        F.concat(F.lit("Supplier #"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("app"),
+        F.when(kind == 0, F.concat(F.lit('"'), F.upper("exe"), F.lit('",3'))).alias("icon"),
+        F.when(kind == 1, F.concat("home", F.lit("\\"))).otherwise(null).alias("install_location"),
+        F.when(kind == 2, F.concat(F.lit('"'), "home", F.lit('\\unins000.exe" /S'))).when(kind == 3, F.concat("home", F.lit("\\gone.exe /S"))).alias("uninstall_string"),
+        F.when(kind == 1, F.col("exe")).alias("quiet_uninstall_string"),
+    )
+    files = s.select(F.col("exe").alias("path"), F.col("s_suppkey").alias("ordinal")).unionByName(s.select("home").distinct().select(F.concat("home", F.lit("\\unins000.exe")).alias("path"), F.lit(-1).cast("long").alias("ordinal")))
+    return catalogue.executables(apps, files)
+
+
+@registered("select s_nationkey as app, max_by('C:\\' || lower(s_name) || '.exe', -s_suppkey) as path from supplier group by 1")
+def best_executable(spark, d):
+    """Of each nation's suppliers the first whose file has the name of the application in it."""
+    rows = read(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.lit("Supplier #").alias("app"), F.concat(F.lit("C:\\"), F.lower("s_name"), F.lit(".exe")).alias("path"), F.col("s_suppkey").alias("ordinal"))
+    return catalogue.best_executable(rows, ["key"]).select(F.col("key").alias("app"), "path")
+
+
+@registered("select n_name as drive, not (n_nationkey % 4 <> 0 and n_nationkey % 4 <> 1 and n_nationkey * 2 between 10 and 40) as rescan from nation")
+def rescans(spark, d):
+    """Drives without a checkpoint, of another journal, and inside and outside the journal's range."""
+    n = read(spark, d, "nation")
+    drives = n.select(F.col("n_name").alias("drive"), F.lit(1).cast("long").alias("journal_id"), F.lit(10).cast("long").alias("first_seq"), F.lit(40).cast("long").alias("next_seq"))
+    seen = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("drive"), F.when(F.col("n_nationkey") % 4 == 1, 2).otherwise(1).cast("long").alias("journal_id"), (F.col("n_nationkey") * 2).cast("long").alias("next_seq"))
+    return changes.rescans(drives, seen)
+
+
+@registered("select distinct lower(trim(r_name)) || '\\' as prefix from region")
+def exclusion_lines(spark, d):
+    """Prefixes written as lines, with space around, in upper case and with empty ones between, and read back."""
+    path = new_folder(spark, "exclusions")
+    r = read(spark, d, "region")
+    tables.write_exclusions(r.select(F.concat(F.lit("  "), F.upper("r_name"), F.lit("\\ ")).alias("prefix")).union(r.select(F.lit("  "))), path)
+    return tables.read_exclusions(spark, path)
+
+
+@registered("select c_name as name, 'C:\\' || c_custkey as path from customer where c_custkey % 3 = 0")
+def pool_json(spark, d):
+    """An application pool written as JSON and read back; paths that may not be launched go."""
+    path = new_folder(spark, "pool")
+    kind, key = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    tables.write_pool(read(spark, d, "customer").select(F.col("c_name").alias("name"), F.when(kind == 0, F.concat(F.lit("C:\\"), key)).when(kind == 1, F.concat(F.lit("\\\\?\\"), key)).otherwise(key).alias("path")), path)
+    return tables.read_pool(spark, path)
+
+
+@registered("select c_custkey, 'data:image/png;base64,' || base64(encode(c_name)) as uri, c_name as name from customer")
+def data_uri(spark, d):
+    rows = read(spark, d, "customer").select("c_custkey", "c_name", X.data_uri(F.encode("c_name", "UTF-8")).alias("uri"))
+    return rows.select("c_custkey", "uri", X.data_uri_bytes(F.col("uri")).cast("string").alias("name"))
+
+
+@registered(
+    f"{TREE}, moved as (select 1000 + c_custkey as file_ref, case when c_acctbal < 0 then 107 else 4 end as to_ref from customer where c_acctbal < 0 or c_acctbal > 9000),"
+    " new_parent as (select t.file_ref, coalesce(m.to_ref, t.parent_ref) as parent_ref, t.name, t.is_dir from t left join moved m using (file_ref)),"
+    " c2(file_ref, junk) as (select file_ref, lower(name) in ('asia', 'nation_7') from new_parent where parent_ref = 0 union all select d.file_ref, c.junk or lower(d.name) in ('asia', 'nation_7') from new_parent d join c2 c on d.parent_ref = c.file_ref where d.is_dir)"
+    " select e.file_ref, case when m.file_ref is not null then coalesce(c2.junk, false) else e.is_junk or coalesce(c2.junk, false) end as is_junk"
+    " from entries e join new_parent n using (file_ref) left join c2 on n.parent_ref = c2.file_ref left join moved m on e.file_ref = m.file_ref"
+)
+def cdc_junk(spark, d):
+    """Customers moved into a junk directory take their orders with them; ones moved out of one leave theirs, which were pruned."""
+    entries, refs = hierarchy.prune(tree(spark, d), junk_dirs=JUNK, user_dirs=USER)
+    c = read(spark, d, "customer").where("c_acctbal < 0 or c_acctbal > 9000")
+    moved = c.selectExpr("'C' as drive", "c_custkey + 1 as seq", "'moved' as op", "1000 + c_custkey as file_ref", "cast(null as bigint) as old_ref", "if(c_acctbal < 0, 107L, 4L) as parent_ref", "c_name as name", "true as is_dir")
+    state = changes.merged(changes.from_scan(entries), moved)
+    now, junk = changes.with_junk(state, refs, junk_dirs=JUNK, user_dirs=USER)
+    return now.select("file_ref", F.lit(False).alias("is_junk")).unionByName(junk.select("file_ref", F.lit(True).alias("is_junk")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The tree's first page for a word, with paths."""
     return search.search_generic(placed(spark, d), "customer").select("file_ref", "name", "path", "rank")

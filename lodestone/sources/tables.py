@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-SNAPSHOT_FORMAT = 1
+from lodestone.functions.names import launchable
+
+SNAPSHOT_FORMAT = 2
 SCAN = "drive string, file_ref long, parent_ref long, name string, is_dir boolean"
 EVENTS = "drive string, seq long, op string, file_ref long, old_ref long, parent_ref long, name string, is_dir boolean"
+VERSIONS = "version long, format int, folder string, tables array<struct<name: string, rows: long>>"
 CHECKPOINTS = "drive string, journal_id long, next_seq long"
 BROADCAST_ROWS = 200_000
 
@@ -76,13 +81,23 @@ def parsed_records(raw: DataFrame) -> DataFrame:
     return first_of_each(used.withColumn("_priority", priority), ["drive", "file_ref"], ["_priority", "name"]).drop("_priority", "in_use", "name_space")
 
 
-def save_snapshot(tables: dict[str, DataFrame], path: str) -> int:
-    """Writes the tables as the next version under path, then publishes it with one row; readers see old or new. Returns the version."""
+def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str | None = None) -> int | None:
+    """Writes the tables under path, then publishes them as the next version with one row; readers see old or new. Returns the version.
+
+    Each writer has a folder of its own, so two at once don't overwrite each other; of rows with one version
+    the one with the greater folder counts. keep_if_empty: a table without which nothing is published (None is returned).
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = (latest_version(spark, path) or 0) + 1
+    folder = f"w{time.time_ns():020d}-{uuid.uuid4().hex}"
+    rows = {}
     for name, frame in tables.items():
-        frame.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/v{version}/{name}")
-    spark.createDataFrame([(version, SNAPSHOT_FORMAT, sorted(tables))], "version long, format int, tables array<string>").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+        seen = Observation(f"{name}-{folder}")
+        frame.observe(seen, F.count("*").alias("rows")).write.option("compression", "zstd").parquet(f"{path}/{folder}/{name}")
+        rows[name] = seen.get.get("rows", 0)
+    if keep_if_empty and not rows[keep_if_empty]:
+        return None
+    version = (latest_version(spark, path) or 0) + 1
+    spark.createDataFrame([(version, SNAPSHOT_FORMAT, folder, sorted(rows.items()))], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/_versions")
     return version
 
 
@@ -90,7 +105,7 @@ def _versions(spark: SparkSession, path: str) -> DataFrame | None:
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
-    return spark.read.schema("version long, format int, tables array<string>").parquet(f"{path}/_versions")
+    return spark.read.schema(VERSIONS).parquet(f"{path}/_versions")
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
@@ -101,10 +116,60 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
 def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     """The tables of the newest version; None if there is none or its format is another one, which asks for a rebuild."""
     versions = _versions(spark, path)
-    newest = None if versions is None else versions.orderBy(F.desc("version")).first()
+    newest = None if versions is None else versions.orderBy(F.desc("version"), F.desc("folder")).first()
     if newest is None or newest["format"] != SNAPSHOT_FORMAT:
         return None
-    return {name: spark.read.parquet(f"{path}/v{newest['version']}/{name}") for name in newest["tables"]}
+    return {name: spark.read.parquet(f"{path}/{newest['folder']}/{name}") for name, _ in newest["tables"]}
+
+
+def drop_old_versions(spark: SparkSession, path: str, kept: int = 2) -> list[str]:
+    """Deletes the folders of all but the newest `kept` versions; a reader of an older one has to load anew. Returns them."""
+    versions = _versions(spark, path)
+    if versions is None:
+        return []
+    published = [r["folder"] for r in versions.orderBy(F.desc("version"), F.desc("folder")).select("folder").collect()]  # a row for each save
+    for folder in published[kept:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return published[kept:]
+
+
+def validate_snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check, ok) of a snapshot of entries with their roots: every check is an all or an any over one pass of its table.
+
+    roots: there is one, and each has a drive and a path. entries: refs and names are there, a ref is one row of its
+    drive, depths and flags are in range, every drive has a root.
+    """
+    entries, roots = tables["entries"], tables["roots"]
+    sound = lambda rows: F.coalesce(F.bool_and(rows), F.lit(True))
+    checks = [
+        roots.agg((F.count("*") > 0).alias("roots_exist"), sound(F.col("drive").isNotNull() & (F.coalesce("root", F.lit("")) != "")).alias("roots_named")),
+        entries.agg(sound(F.col("drive").isNotNull() & F.col("file_ref").isNotNull() & F.col("name").isNotNull()).alias("refs_and_names"), sound(F.col("depth").between(1, 15) & F.col("user_path").isin(0, 1)).alias("depths_in_range")),
+        entries.groupBy("drive", "file_ref").agg(F.count("*").alias("n")).agg((F.coalesce(F.max("n"), F.lit(1)) == 1).alias("refs_once")),
+        entries.select("drive").distinct().join(roots, "drive", "left_anti").agg((F.count("*") == 0).alias("drives_rooted")),
+    ]
+    rows = [c.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("ok")) for k in c.columns]))) for c in checks]
+    return reduce(DataFrame.union, rows)
+
+
+def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix): the trimmed lower-case lines of a text file or folder; empty ones go."""
+    return spark.read.text(path).select(F.lower(F.trim("value")).alias("prefix")).where("prefix <> ''")
+
+
+def write_exclusions(prefixes: DataFrame, path: str) -> None:
+    """One line for each prefix of (prefix); nulls are left out."""
+    prefixes.select("prefix").where("prefix is not null").write.mode("overwrite").text(path)
+
+
+def read_pool(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path) of an application pool in JSON, an array or lines; entries that may not be launched and broken lines go."""
+    rows = spark.read.schema("name string, path string").option("mode", "DROPMALFORMED").option("multiLine", path.endswith(".json")).json(path)
+    return rows.where(F.col("name").isNotNull() & launchable(F.col("path")))
+
+
+def write_pool(apps: DataFrame, path: str) -> None:
+    apps.select("name", "path").write.mode("overwrite").json(path)
 
 
 def describe_snapshot(tables: dict[str, DataFrame]) -> DataFrame:

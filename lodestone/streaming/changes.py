@@ -6,10 +6,13 @@ deleted it. A merge takes the latest of state and batch, so batches may come in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import EVENTS, load_snapshot, save_snapshot
+from lodestone.operators.hierarchy import with_ancestry
+from lodestone.sources.tables import EVENTS, save_snapshot
 
 STATE = "drive string, file_ref long, parent_ref long, name string, is_dir boolean, seq long, gone boolean"
 RECORD = ["parent_ref", "name", "is_dir"]
@@ -59,16 +62,98 @@ def rescans(drives: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return drives.join(known, "drive", "left").select("drive", (~F.coalesce(valid, F.lit(False))).alias("rescan"))
 
 
-def apply_batch(spark: SparkSession, path: str, batch: DataFrame) -> int:
-    """Merges a batch into the newest snapshot under path and publishes the next one; an empty first state is fine."""
-    tables = load_snapshot(spark, path)
-    state = tables["state"] if tables else spark.createDataFrame([], STATE)
-    new = merged(state, batch)
-    return save_snapshot({"state": new, "checkpoints": new.groupBy("drive").agg(F.max("seq").alias("next_seq"))}, path)
+def with_junk(state: DataFrame, junk_refs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(entries, junk_refs) after changes: what lies under a junk directory, or under a ref that was pruned before, is junk.
+
+    A pruned ref stays junk until a change deletes it or moves it elsewhere; what was pruned below it isn't known and stays.
+    options: those of hierarchy.with_ancestry.
+    """
+    seen = state.select("drive", "file_ref").distinct()
+    pruned = junk_refs.select("drive", "file_ref").distinct().join(seen, ["drive", "file_ref"], "left_anti")
+    # pruned refs stand as directories at the root, so that what they hold finds them
+    stand_ins = pruned.select("drive", "file_ref", F.lit(0).cast("long").alias("parent_ref"), F.lit("").alias("name"), F.lit(True).alias("is_dir"))
+    whole = with_ancestry(live(state).unionByName(stand_ins), junk_refs=pruned, **options).join(pruned, ["drive", "file_ref"], "left_anti")
+    return whole.where("not is_junk").drop("is_junk"), whole.where("is_junk").select("drive", "file_ref").unionByName(pruned)
+
+
+#: State is kept in so many parts by a hash of its key; a batch rewrites those that it touches.
+BUCKETS = 64
+_MANIFEST = "version long, folders map<int, string>, positions map<string, long>, batches long"
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("drive", "file_ref"), F.lit(BUCKETS)).cast("int")
+
 
+def _manifest(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").orderBy(F.desc("version")).first()
 
-def replay(spark: SparkSession, source: str, path: str, checkpoint: str, once: bool = True):
-    """A stream of JSON change files into snapshots under path: all there is now and then an end, or each half second."""
-    stream = spark.readStream.schema(EVENTS).json(source)
+
+def _parts(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(state, checkpoints: drive, next_seq) after the last batch; None before the first one."""
+    newest = _manifest(spark, path)
+    if newest is None:
+        return None
+    return _parts(spark, sorted(newest["folders"].values())), spark.createDataFrame(sorted(newest["positions"].items()), "drive string, next_seq long")
+
+
+def apply_batch(spark: SparkSession, path: str, batch: DataFrame) -> int:
+    """Merges a batch into the state under path and publishes the next version; an empty first state is fine. Returns the version.
+
+    Only the buckets that the batch touches are read and written, each to a folder of its own; the manifest, one row,
+    names the folder of every bucket and each drive's position. A batch may come again, as after a crash. One writer at a time.
+    """
+    newest = _manifest(spark, path)
+    folders = dict(newest["folders"]) if newest else {}
+    positions = dict(newest["positions"]) if newest else {}
+    batch = batch.persist()  # a batch, not the state
+    try:
+        touched = [r["bucket"] for r in changes(batch).select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
+        for r in batch.groupBy("drive").agg(F.max("seq").alias("seq")).collect():  # a row for each drive
+            positions[r["drive"]] = max(r["seq"], positions.get(r["drive"], r["seq"]))
+        if touched:
+            state = _parts(spark, [folders[b] for b in sorted(touched) if b in folders])
+            folder = f"{path}/state/{uuid.uuid4().hex}"
+            merged(state, batch).withColumn("bucket", _bucket()).repartition(min(len(touched), BUCKETS), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
+            folders |= {b: f"{folder}/bucket={b}" for b in touched}
+    finally:
+        batch.unpersist()
+    version = (newest["version"] if newest else 0) + 1
+    row = (version, folders, positions, (newest["batches"] if newest else 0) + 1)
+    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    return version
+
+
+def compact(spark: SparkSession, path: str, snapshot: str, roots: DataFrame, junk_refs: DataFrame, every: int = 1, **options) -> int | None:
+    """Saves entries, junk_refs, roots and checkpoints of the state as a snapshot after each `every` batches, and deletes folders of state that no bucket has any more.
+
+    Nothing is published if it isn't time or if there are no entries: the old snapshot stays. Returns the snapshot's version.
+    """
+    newest = _manifest(spark, path)
+    if newest is None or newest["batches"] % every:
+        return None
+    state, checkpoints = load_state(spark, path)
+    entries, junk = with_junk(state, junk_refs, roots=roots, **options)
+    saved = save_snapshot({"entries": entries, "junk_refs": junk, "roots": roots, "checkpoints": checkpoints}, snapshot, keep_if_empty="entries")
+    used = {f.rpartition("/")[0] for f in newest["folders"].values()}
+    everything = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").where(F.col("version") < newest["version"])
+    old = everything.select(F.explode(F.map_values("folders")).alias("folder")).select(F.regexp_replace("folder", "/bucket=[0-9]+$", "").alias("folder")).distinct()
+    for r in old.collect():  # a row for each batch
+        if r["folder"] not in used:
+            place = spark._jvm.org.apache.hadoop.fs.Path(r["folder"])
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return saved
+
+
+def replay(spark: SparkSession, source: str, path: str, checkpoint: str, once: bool = True, most_files: int = 1000):
+    """A stream of JSON change files into state under path: all there is now and then an end, or each half second. A batch has most_files files at most."""
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", most_files).json(source)
     writer = stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch.sparkSession, path, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()

@@ -44,6 +44,24 @@ def test_ranking(ranked):
     assert names_of(search.search_line(ranked, "*.pdf")) == ["deptreport.pdf", "Report.pdf"]
 
 
+def test_fuzzy_score(spark):
+    def plain(name, q):
+        at, score, before = -1, 0, -2
+        for c in q:
+            at = name.find(c, at + 1)
+            if at < 0:
+                return -1
+            score += 4 if at == 0 or name[at - 1] in " -_.([" else 3 if at == before + 1 else max(0, 3 - at + before)
+            before = at
+        return score
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab -_c") for _ in range(rng.randint(0, 9))) for _ in range(200)] + [None]
+    for q in ("ab", "abc", "a b", "bb", "ca"):
+        assert one(spark, X.fuzzy_score(F.col("a"), q), [(n,) for n in names]) == [plain(n or "", q) for n in names]
+    assert one(spark, X.fuzzy_score(F.col("a"), "a"), [("a",)]) == [-1]
+
+
 def test_fuzzy(spark):
     rows = hierarchy.with_ancestry(records(spark, [(1, 0, "Visual Studio Code.lnk", False), (2, 0, "visualstudio.exe", False), (3, 0, "Vim.exe", False), (4, 0, "somethingelse.txt", False)]))
     assert names_of(search.search_paged(rows, "vsc")[0]) == ["Visual Studio Code.lnk"]
@@ -123,8 +141,14 @@ def test_name_predicates(spark):
 
 
 def test_text_functions(spark):
-    assert [X.evaluate(t) for t in ("-2^2", "2^3^2", "1+2*3", "(1+2)*3/4", "7%4", "1/3", "0.1+0.2", "5/0", "5", "1+", "2**3", "1e5+1", "-0*1", "3-3")] == ["-4", "512", "7", "2.25", "3", "0.333333333", "0.3", None, None, None, None, None, "0", "0"]
-    assert one(spark, X.math_value(F.col("a")), [("2*4",), (None,)]) == ["8", None]
+    import pyarrow as pa
+
+    cases = {
+        "-2^2": "-4", "2^3^2": "512", "1+2*3": "7", "(1+2)*3/4": "2.25", "7%4": "3", "-7%4": "-3", "1/3": "0.333333333", "0.1+0.2": "0.3", "5/0": None, "5": None, "1+": None, "2**3": None, "1e5+1": None, "-0*1": "0", "3-3": "0",
+        "2^-1^2": "0.5", "2*-3": "-6", "--3": "3", "-(2+3)^2": "-25", "1 2+3": None, "(1+2": None, "1+2)": None, "()+1": None, ".5+1.": "1.5", "1.2.3+1": None, "(-8)^(1/3)": None, "10^20*1": "100000000000000000000", "10^21*1": "1e+21", "1/(1/0)": "0", "2^0.5": "1.414213562", "": None, " 6 / 4 ": "1.5", "1" * 77 + "+1": "1.1111111111111111e+76", "1" * 80 + "+1": None, None: None,
+    }
+    assert dict(zip(cases, X.evaluated(pa.array(list(cases), pa.string())), strict=True)) == cases
+    assert X.evaluated(pa.array([], pa.string())) == [] and X.evaluated(pa.array([None], pa.string())) == [None]
     env = {"Name": "v", "Home": "%x"}
     assert [X.expand(t, env) for t in ("%NAME%\\a", "%no%b", "a%%b", "50%", "%name%%name%")] == ["v\\a", "no%b", "a%b", "50%", "vv"]
     assert X.prettify("visual_studio-code's") == "VisualStudioCode's"
@@ -132,7 +156,7 @@ def test_text_functions(spark):
     assert [g and tuple(g) for g in got] == [("C:\\a b\\u.exe", "/S x"), ("u.exe", "/q"), ("open end", ""), None, ('a"b', "c")]
     assert one(spark, X.format_size(F.col("a")), [(5,), (1536,), (5 << 20,), (3 << 30,)], "a long") == ["5 B", "1.5 KB", "5.0 MB", "3.00 GB"]
     assert one(spark, X.unescape_xml(F.col("a")), [("&amp;lt; &lt;é&quot;",)]) == ['&lt; <é"']
-    assert one(spark, X.strip_html(F.col("a")), [("<b>x</b>  y<i",), ("z" * 300,)]) == ["x y", "z" * 200 + "…"]
+    assert one(spark, X.strip_html(F.col("a")), [("<b>x</b>  y<i",), ("z" * 300,), ("é" * 150,), ("z" + "é" * 150,)]) == ["x y", "z" * 200 + "…", "é" * 100 + "…", "z" + "é" * 99 + "…"]
     rss = "<item><title>A &amp; B</title><link>u</link><description>&lt;p&gt;hi</description></item><item><title></title><link>v</link></item>" + "<item><title>t</title><link>w</link></item>" * 9
     found = one(spark, X.rss_items(F.col("a")), [(rss,)])[0]
     assert len(found) == 5 and tuple(found[0]) == ("A & B", "u", "hi")
@@ -161,6 +185,35 @@ def test_catalogue(spark):
     assert names_of(search.app_search(apps, freq, "word")) == ["Word", "WordPad", "My Word"] and names_of(search.app_search(apps, freq, ""))[0] == "WordPad"
 
 
+def test_executables(spark):
+    apps = spark.createDataFrame(
+        [
+            ("My App", '"C:\\a\\myapp.exe",0', None, None, None), ("Beside", "C:\\b\\icon.ico", None, None, None), ("Located", None, "C:\\l\\", '"C:\\a\\myapp.exe"', None),
+            ("Gone", None, "C:\\nowhere", '"C:\\a\\myapp.exe"', None), ("Unin", None, None, '"C:\\u\\unins000.exe" /S', None), ("Msi", None, None, "MsiExec.exe /X{1}", "C:\\m\\msi.exe /q"), ("None", None, None, None, None),
+        ],
+        "app string, icon string, install_location string, uninstall_string string, quiet_uninstall_string string",
+    )
+    files = ["C:\\a\\MyApp.exe", "C:\\b\\icon.ico", "C:\\b\\beside.exe", "C:\\b\\other.exe", "C:\\l\\located2.exe", "C:\\l\\located.exe", "C:\\u\\unins000.exe", "C:\\u\\unin.exe", "C:\\m\\msi.exe"]
+    found = catalogue.executables(apps, spark.createDataFrame([(f, k) for k, f in enumerate(files)], "path string, ordinal int"))
+    assert {r["app"]: r["path"] for r in found.collect()} == {"My App": "C:\\a\\MyApp.exe", "Beside": "C:\\b\\beside.exe", "Located": "C:\\l\\located.exe", "Unin": "C:\\u\\unin.exe", "Msi": "C:\\m\\msi.exe"}
+
+
+def test_path_search(spark):
+    rows = hierarchy.with_ancestry(records(spark, [(1, 0, "Users", True), (2, 1, "Alice", True), (3, 2, "notes.txt", False), (4, 2, "note", True), (5, 4, "deep", True), (6, 5, "footnote.md", False)]))
+    paths = lambda p: [r["path"] for r in search.path_search(rows, p).collect()]
+    assert paths("c:\\users\\ALICE\\") == ["C:\\Users\\Alice"] and paths("C:\\Users\\Alice\\notes.txt") == ["C:\\Users\\Alice\\notes.txt"]
+    assert paths("C:\\Users\\Alice\\gone\\note") == ["C:\\Users\\Alice\\note", "C:\\Users\\Alice\\notes.txt", "C:\\Users\\Alice\\note\\deep\\footnote.md"]
+    assert paths("C:\\Users\\Alice\\notes.txt\\x") == [] and paths("C:\\nothing") == []
+
+
+def test_with_previous(spark):
+    from lodestone.operators.ordered import with_previous
+
+    rows = [(("a", "b", None)[k % 3], k * 7 - 50, f"v{k}") for k in range(60)]
+    found = {(r["k"], r["o"]): r["p"] for r in with_previous(spark.createDataFrame(rows, "k string, o long, v string"), "k", "o", "v", "p", width=10).collect()}
+    assert found == {(k, o): next((v for kk, oo, v in reversed(rows) if kk == k and oo < o), None) for k, o, _ in rows}
+
+
 def event(seq, op, ref, name="n", parent=0, old=None, drive="C", is_dir=False):
     return (drive, seq, op, ref, old, parent, name, is_dir)
 
@@ -212,20 +265,86 @@ def test_random_changes(spark):
     assert {(r["drive"], r["file_ref"]): r["name"] for r in changes.live(state).collect()} == model
 
 
+def test_junk_under_change(spark):
+    start = records(spark, [(1, 0, "Users", True), (10, 1, "Alice", True), (11, 10, "report.txt", False), (12, 10, "photo.PNG", False), (13, 0, "node_modules", True), (14, 13, "lodash.js", False), (15, 0, "Temp", True)])
+    entries, junk = hierarchy.prune(start)
+    batch = [event(1, "created", 20, "zeta", 1, is_dir=True), event(2, "created", 21, "app.js", 20), event(3, "renamed", 10, "Bob", 1, 10, is_dir=True), event(4, "moved", 11, "report.txt", 20), event(5, "deleted", 12), event(6, "created", 42, "into", 0), event(7, "moved", 42, "into", 15)]
+    state = changes.merged(changes.from_scan(entries), spark.createDataFrame(batch, tables.EVENTS))
+    now, refs_now = changes.with_junk(state, junk)
+    got = {r["name"]: (r["depth"], r["user_path"]) for r in now.collect()}
+    assert set(got) == {"app.js", "Bob", "node_modules", "report.txt", "Users", "zeta", "Temp"} and got["app.js"] == (2, 1) and got["report.txt"] == (2, 1) and got["Bob"] == (1, 1)
+    assert {r["file_ref"] for r in refs_now.collect()} == {14, 42}
+    # deletion forgets a junk ref, moving out of junk brings it back, what a pruned directory holds is junk
+    more = [event(8, "deleted", 14), event(9, "moved", 42, "into", 1), event(10, "created", 50, "in pruned", 60)]
+    state = changes.merged(state, spark.createDataFrame(more, tables.EVENTS))
+    now, refs_now = changes.with_junk(state, refs_now.union(spark.createDataFrame([("C", 60)], "drive string, file_ref long")))
+    assert {r["file_ref"] for r in refs_now.collect()} == {50, 60} and 42 in {r["file_ref"] for r in now.collect()}
+
+
+def test_random_batches_into_buckets(spark, tmp_path, monkeypatch):
+    """Batches of a journal in state by buckets, some of them twice, against a dictionary; junk against a walk."""
+    monkeypatch.setattr(changes, "BUCKETS", 4)
+    path, rng, model, seq = f"file://{tmp_path}/state", random.Random(11), {}, 0
+    for _ in range(8):
+        batch = []
+        for _ in range(rng.randint(1, 12)):
+            seq += 1
+            drive, ref, op = rng.choice("CD"), rng.randint(1, 15), rng.choice(["created", "deleted", "moved", "renamed"])
+            name, old, parent = rng.choice(["temp", "users", "a", "b", "c"]), rng.randint(1, 15) if op == "renamed" else None, rng.randint(0, ref - 1)
+            batch.append(event(seq, op, ref, name, parent, old, drive, is_dir=True))
+            if old is not None and old != ref:
+                model.pop((drive, old), None)
+            model.pop((drive, ref), None)
+            if op != "deleted":
+                model[drive, ref] = (parent, name)
+        for _ in range(rng.randint(1, 2)):
+            changes.apply_batch(spark, path, spark.createDataFrame(batch, tables.EVENTS))
+    state, checkpoints = changes.load_state(spark, path)
+    assert {(r["drive"], r["file_ref"]): (r["parent_ref"], r["name"]) for r in changes.live(state).collect()} == model
+    assert max(r["next_seq"] for r in checkpoints.collect()) == seq
+    entries, junk = changes.with_junk(state, spark.createDataFrame([], "drive string, file_ref long"))
+
+    def in_junk(drive, ref):
+        parent = model[drive, ref][0]
+        return (drive, parent) in model and (model[drive, parent][1] == "temp" or in_junk(drive, parent))
+
+    assert {(r["drive"], r["file_ref"]) for r in junk.collect()} == {k for k in model if in_junk(*k)}
+    assert all(1 <= r["depth"] <= 15 and r["user_path"] in (0, 1) for r in entries.collect())
+
+
 def test_snapshot_and_replay(spark, tmp_path):
-    path, source = f"file://{tmp_path}/snap", tmp_path / "in"
-    assert tables.load_snapshot(spark, path) is None
+    path, source, saved = f"file://{tmp_path}/snap", tmp_path / "in", f"file://{tmp_path}/saved"
+    assert changes.load_state(spark, path) is None and tables.load_snapshot(spark, saved) is None and tables.drop_old_versions(spark, saved) == []
+    roots, no_junk = spark.createDataFrame([("C", "C:\\")], "drive string, root string"), spark.createDataFrame([], "drive string, file_ref long")
+    assert changes.compact(spark, path, saved, roots, no_junk) is None
     source.mkdir()
-    for k, rows in enumerate(([event(3, "deleted", 1), event(4, "created", 2)], [event(1, "created", 1), event(2, "created", 9)])):
+    for k, rows in enumerate(([event(3, "deleted", 1), event(4, "created", 2), event(7, "checkpoint", 0)], [event(1, "created", 1), event(2, "created", 9)])):
         spark.createDataFrame(rows, tables.EVENTS).coalesce(1).write.json(f"file://{tmp_path}/w{k}")
         part = next((tmp_path / f"w{k}").glob("part*.json"))
         part.rename(source / f"{k}.json")
         changes.replay(spark, f"file://{source}", path, f"file://{tmp_path}/offsets").awaitTermination()
-    found = tables.load_snapshot(spark, path)
-    assert refs(found["state"]) == {("C", 2), ("C", 9)} and tables.latest_version(spark, path) == 2
-    assert {r["table_name"]: r["n"] for r in tables.describe_snapshot(found).collect()} == {"state": 3, "checkpoints": 1}
-    spark.createDataFrame([(99, 0, ["state"])], "version long, format int, tables array<string>").write.mode("append").parquet(f"{path}/_versions")
-    assert tables.load_snapshot(spark, path) is None  # another format asks for a rebuild
+    state, checkpoints = changes.load_state(spark, path)
+    assert refs(state) == {("C", 2), ("C", 9)} and [tuple(r) for r in checkpoints.collect()] == [("C", 7)]
+    assert changes.compact(spark, path, saved, roots, no_junk, every=3) is None
+    assert changes.compact(spark, path, saved, roots, no_junk) == 1 and refs(changes.load_state(spark, path)[0]) == {("C", 2), ("C", 9)}
+    found = tables.load_snapshot(spark, saved)
+    assert {r["table_name"]: r["n"] for r in tables.describe_snapshot(found).collect()} == {"entries": 2, "junk_refs": 0, "roots": 1, "checkpoints": 1}
+    assert all(r["ok"] for r in tables.validate_snapshot(found).collect())
+    assert {r["check"] for r in tables.validate_snapshot({"entries": found["entries"].union(found["entries"]).withColumn("depth", F.lit(0)), "roots": roots.limit(0)}).where("not ok").collect()} == {"roots_exist", "depths_in_range", "refs_once", "drives_rooted"}
+    # an empty rebuild keeps the old one, two more versions push out the first
+    assert tables.save_snapshot({"entries": found["entries"].limit(0)}, saved, keep_if_empty="entries") is None and tables.latest_version(spark, saved) == 1
+    for _ in range(2):
+        tables.save_snapshot({"entries": found["entries"]}, saved)
+    assert len(tables.drop_old_versions(spark, saved)) == 1 and tables.load_snapshot(spark, saved)["entries"].count() == 2
+    spark.createDataFrame([(99, 0, "x", [("state", 1)])], tables.VERSIONS).write.mode("append").parquet(f"{saved}/_versions")
+    assert tables.load_snapshot(spark, saved) is None  # another format asks for a rebuild
+
+
+def test_exclusions_and_pool(spark, tmp_path):
+    (tmp_path / "x.txt").write_text(" C:\\Foo\\ \n\n c:\\BAR\\\n")
+    assert {r["prefix"] for r in tables.read_exclusions(spark, f"file://{tmp_path}/x.txt").collect()} == {"c:\\foo\\", "c:\\bar\\"}
+    (tmp_path / "pool.json").write_text('[{"name": "A", "path": "C:\\\\a.exe"}, {"name": "B", "path": "relative"}, {"path": "C:\\\\x"}]')
+    assert [tuple(r) for r in tables.read_pool(spark, f"file://{tmp_path}/pool.json").collect()] == [("A", "C:\\a.exe")]
 
 
 def test_parsed_records(spark):
