@@ -1,11 +1,11 @@
 """Documents into shards of nearly equal bytes: a minimax contiguous partition of atomic groups.
 
-Equal texts stay together. They are ordered by a hash of the text, and the order is cut into a set number of
-cells that no text crosses, so what is partitioned has the same length at every input size and a cell is a
-thousandth part of a shard or so. A cell of more than an even share (one group of copies) gets a shard of
-its own; the smallest capacity that lets the rest be filled greedily into the other shards is found
-by binary search, and the order is cut where the greedy filling cuts it. It is one SQL expression over
-one array of cell sizes.
+Equal texts stay together: a group. Groups are in the order of a hash of their text. One of more than a
+FINEth part of a shard is an atom of its own; the others are joined to atoms in the order's cells, so that
+there are about as many atoms at every input size, each a small part of a shard. An atom of more than an even
+share (a group of copies) gets a shard of its own. The smallest capacity that lets the rest be filled
+greedily into the other shards is found by binary search, and the order is cut where shards are nearest to an
+even share of what is left, as far as that capacity lets the rest follow. It is SQL over one array of sizes.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import read, stored
+from lodestone.llm.stored import read, stored, stored_counting
 
 SHARDS = 40
 CELL_BITS = 14
+#: A group of at least a shard's even share over this is an atom of its own.
+FINE = 400
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
 #: Rows that are numbered together.
@@ -29,6 +31,35 @@ def _filled(cells: Column, capacity: Column) -> Column:
     return F.aggregate(cells, start, lambda acc, c: F.when(acc["filled"] + c["size"] > capacity, F.struct((acc["shard"] + 1).alias("shard"), c["size"].alias("filled"))).otherwise(F.struct(acc["shard"].alias("shard"), (acc["filled"] + c["size"]).alias("filled"))))
 
 
+def _reach(cells: Column, capacity: Column) -> Column:
+    """By a number of shards the bytes before the first cell from which on the rest fits into so many, as far as that isn't 0."""
+    start = F.struct(F.lit(0).cast("long").alias("filled"), F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + c["size"]).alias("before"))
+    state = F.struct(start["filled"].alias("filled"), start["before"].alias("before"), F.array(start["before"]).alias("bounds"))
+
+    def back(acc: Column, c: Column) -> Column:
+        full = acc["filled"] + c["size"] > capacity
+        return F.struct(F.when(full, c["size"]).otherwise(acc["filled"] + c["size"]).alias("filled"), (acc["before"] - c["size"]).alias("before"), F.when(full, F.array_append(acc["bounds"], acc["before"])).otherwise(acc["bounds"]).alias("bounds"))
+
+    return F.aggregate(F.reverse(cells), state, back)["bounds"]
+
+
+def _even_cuts(cells: Column, capacity: Column, shards: Column, total: Column, reach: Column) -> Column:
+    """The cells that begin shards 1, 2, ...: where a shard is nearest to an even share of what is left, if the rest can follow."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("shard"), zero.alias("filled"), zero.alias("before"), F.array().cast("array<long>").alias("cuts"))
+
+    def fill(acc: Column, c: Column) -> Column:
+        even = (total - acc["before"] + acc["filled"]) / (shards - acc["shard"])
+        follows = acc["before"] >= F.coalesce(F.get(reach, shards - 1 - acc["shard"]), zero)
+        cut = (acc["filled"] > 0) & (acc["shard"] < shards - 1) & ((acc["filled"] + c["size"] > capacity) | (follows & (acc["filled"] + c["size"] / 2 > even)))
+        return F.struct(
+            F.when(cut, acc["shard"] + 1).otherwise(acc["shard"]).alias("shard"), F.when(cut, c["size"]).otherwise(acc["filled"] + c["size"]).alias("filled"), (acc["before"] + c["size"]).alias("before"),
+            F.when(cut, F.array_append(acc["cuts"], c["cell"])).otherwise(acc["cuts"]).alias("cuts"),
+        )
+
+    return F.aggregate(cells, start, fill)["cuts"]
+
+
 def minimax_shards(sizes: DataFrame, shards: int) -> DataFrame:
     """(cell, shard) for sizes (cell, size): contiguous in the order of cells, but for cells that fill a shard alone.
 
@@ -57,14 +88,8 @@ def minimax_shards(sizes: DataFrame, shards: int) -> DataFrame:
 
     plan = stored(plan.withColumn("bounds", bounds), "bounds")
     plan = stored(plan.withColumn("capacity", F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.col("bounds"), halve)["high"]), "capacity")
-    placed = F.aggregate(
-        "rest",
-        F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<long>").alias("cuts")),
-        lambda acc, c: F.when(acc["filled"] + c["size"] > F.col("capacity"), F.struct((acc["shard"] + 1).alias("shard"), c["size"].alias("filled"), F.array_append(acc["cuts"], c["cell"]).alias("cuts"))).otherwise(
-            F.struct(acc["shard"].alias("shard"), (acc["filled"] + c["size"]).alias("filled"), acc["cuts"].alias("cuts"))
-        ),
-    )
-    cut = stored(plan.withColumn("cuts", placed["cuts"]), "cuts")
+    plan = stored(plan.withColumn("reach", _reach(F.col("rest"), F.col("capacity"))), "reach")
+    cut = stored(plan.withColumn("cuts", _even_cuts(F.col("rest"), F.col("capacity"), F.col("open"), F.col("left"), F.col("reach"))), "cuts")
     contiguous = cut.select("cuts", "taken", F.explode("rest.cell").alias("cell")).select("cell", (F.size("taken") + F.size(F.filter("cuts", lambda x: x <= F.col("cell")))).alias("shard"))
     single = cut.select(F.posexplode("taken").alias("shard", "cell")).select("cell", "shard")
     return contiguous.union(single)
@@ -73,7 +98,7 @@ def minimax_shards(sizes: DataFrame, shards: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, cell_bits: int = CELL_BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text); other columns are ignored.
 
-    size: UTF-8 bytes of the text (null: none) and 16. law is `bytes`: sums of size are as near equal as
+    size: UTF-8 bytes of the text (null: none) and 16. law is `bytes`: sums of size are near equal, as far as
     groups of equal texts allow. slot numbers a shard's rows from 0 without gaps, in an order of hashes of
     their doc_id and text, then of doc_id. text_crc32 of a null text is that of no bytes; a null and an
     empty text are one group. grown_shard is null under this law. An empty table gives an empty result.
@@ -83,14 +108,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, cell_bits: int = CELL
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("group"),
         F.shiftrightunsigned(F.xxhash64(text), 64 - cell_bits).alias("cell"),
         F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", text), 1).alias("place"),
     )
-    rows = stored(rows, "sizes")
-    runs = max(1, rows.count() // RUN)
+    rows, seen = stored_counting(rows, "sizes", total=F.sum("size"))
+    runs = max(1, seen.get("rows", 0) // RUN)
     rows = rows.withColumn("run", F.floor(F.col("place") / float(1 << 63) * runs).cast("long"))
-    shard_of = stored(minimax_shards(rows.groupBy("cell").agg(F.sum("size").alias("size")), shards), "shards")
-    rows = rows.join(F.broadcast(shard_of), "cell")  # as many rows as cells: 2 to the power of cell_bits
+    groups = rows.groupBy("cell", "group").agg(F.sum("size").alias("size"))
+    own = F.when(F.col("size") * shards * FINE >= (seen.get("total") or 0), F.col("group"))
+    atoms = groups.groupBy("cell", own.alias("own")).agg(F.sum("size").alias("size"))  # 2 to the power of cell_bits and shards times FINE at most
+    atoms = stored(atoms.selectExpr("cell as hash_cell", "own", "size", "row_number() over (order by cell, own) - 1L as cell"), "atoms")
+    shard_of = stored(atoms.join(minimax_shards(atoms.select("cell", "size"), shards), "cell").select("hash_cell", "own", "shard"), "shards")
+    single = shard_of.where("own is not null").select(F.col("own").alias("group"), F.col("shard").alias("own_shard"))
+    together = shard_of.where("own is null").select(F.col("hash_cell").alias("cell"), "shard")
+    rows = rows.join(F.broadcast(single), "group", "left").join(F.broadcast(together), "cell", "left").withColumn("shard", F.coalesce("own_shard", "shard"))
     counts = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = counts.selectExpr("shard", "run", "sum(n) over (partition by shard order by run) - n as before")
     ranked = rows.selectExpr("*", "row_number() over (partition by shard, run order by place, doc_id, text_crc32, size) - 1 as rank")
