@@ -22,8 +22,8 @@ from lodestone.llm.text_arrays import SPACE, mix, slices, windows, word_hashes,
 
 #: Labelled documents that training takes at most, half of either quality if there are so many.
 SAMPLE = 1_600
-#: Lines of a training sequence; a longer document is several sequences.
-SEQUENCE = 200
+#: Lines of a training sequence; a longer document is several sequences. Training takes so many lines of a document at most.
+SEQUENCE, MOST_LINES = 200, 1_000
 ITERATIONS, RATE, RIDGE = 150, 0.3, 1e-3
 #: The ridge of the transitions: a document's label on all its lines overstates how rarely lines change.
 MOVE_RIDGE = 0.2
@@ -214,6 +214,8 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         values, counts = [], []
         for _, data, offsets in slices(batch.column("text")):
             _, lines, _, first = measured(data, offsets)
+            keep = np.arange(len(lines)) - np.repeat(first[:-1], np.diff(first)) < MOST_LINES
+            lines, first = lines[keep], np.concatenate([[0], np.cumsum(np.minimum(np.diff(first), MOST_LINES))])
             values.append(lines.astype(np.float32).ravel())
             counts.append(np.diff(first))
         at = np.concatenate([[0], np.cumsum(np.concatenate(counts)) * MEASURES]) if counts else np.zeros(1, int)
@@ -224,7 +226,9 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from at most `sample` documents (doc_id, text) with a quality of 0 or 1 in labels (doc_id, quality).
 
-    Documents are taken in the order of a hash of their text. Without labels of both kinds every line is content.
+    Documents are taken in the order of a hash of their doc_id; of a doc_id that repeats, the smallest text.
+    Of a document the first MOST_LINES lines with a word are learnt from. A doc_id with both qualities teaches
+    nothing. Without labels of both kinds every line is content.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min("quality").cast("int").alias("least")).where("quality = least").drop("least")
     totals = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -232,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         return ALL_CONTENT
     hashed = known.withColumn("order", F.xxhash64("doc_id", F.lit(5)))
     share = F.when(F.col("quality") == 1, min(1.0, sample / 2 / totals[1])).otherwise(min(1.0, sample / 2 / totals[0]))
-    chosen = hashed.where(F.col("order") < (share - 0.5) * float(1 << 64)).orderBy("order").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("order", "quality", "text").limit(4 * sample)
+    chosen = hashed.where(F.col("order") < (share - 0.5) * float(1 << 64)).orderBy("order", "doc_id").limit(sample)
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "order", "quality").agg(F.min("text").alias("text"))
     found = texts.mapInArrow(_sample_lines, "order long, quality int, lines array<float>").toArrow()
     values = pa.concat_arrays(found["lines"].chunks) if found.num_rows else pa.array([], pa.list_(pa.float32()))
     at, flat = values.offsets.to_numpy(), values.values.to_numpy()
