@@ -131,13 +131,11 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model | N
         return None
     languages = sorted(totals)
     each = max(1, sample // len(languages))
-    part = F.lit(None).cast("double")
-    for lang, n in totals.items():
-        part = F.when(F.col("lang") == lang, min(1.0, (2 * each + 20) / n)).otherwise(part)
+    shares = keys.sparkSession.createDataFrame([(lang, min(1.0, (2 * each + 20) / n)) for lang, n in totals.items()], "lang string, part double")
     # more hashes than needed of each language, so that its window is small; then the first ones of each
-    few = keys.where((part >= 1) | (F.col("order") < (part - 0.5) * float(1 << 64)))
+    few = keys.join(F.broadcast(shares), "lang").where((F.col("part") >= 1) | (F.col("order") < (F.col("part") - 0.5) * float(1 << 64)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    first = few.where(part.isNotNull()).withColumn("rank", rank).where(F.col("rank") <= each).select("order", "lang")
+    first = few.withColumn("rank", rank).where(F.col("rank") <= each).select("order", "lang")
     chosen = hashed.join(F.broadcast(first), ["order", "lang"]).groupBy("order", "lang").agg(F.max("text").alias("text"))
     found = chosen.mapInArrow(_features, "order long, lang string, buckets array<int>, counts array<int>").toArrow().combine_chunks().sort_by([("order", "ascending"), ("lang", "ascending")])
     if not found.num_rows:
