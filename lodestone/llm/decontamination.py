@@ -1,10 +1,10 @@
 """Benchmark items inside long documents: size-partitioned MinHash containment search, then an exact check.
 
-An item's shingles are hashed, and the smallest hashes are its MinHash sketch. Items are partitioned by
-size, to powers of two; a partition's sketches are as long as its largest size needs: if three quarters
+An item's shingles are hashed, and the smallest hashes are its MinHash sketch (a bottom sketch). Items are
+partitioned by size, to powers of two, and the partition sets its sketches' length: if three quarters
 of an item are in a document, then so is one at least of its `size - need + 1` smallest hashes, whatever
-else the document has. So the search misses nothing at any length of document. Candidates are checked
-on their shingles themselves. Everything is joins and SQL functions.
+else the document has. Documents have no sketch: all their shingles are looked up, so the search misses
+nothing at any length of document. Candidates are checked on their shingles themselves. Everything is joins and SQL functions.
 """
 
 from __future__ import annotations
@@ -28,7 +28,13 @@ def _words(text: Column) -> Column:
 
 
 def _shingle_hashes(words: Column) -> Column:
-    whole = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))
+    """A hash of each window of SHINGLE words, from hashes of its words; of fewer words one hash of all."""
+
+    def windows(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(SHINGLE)]))
+
+    # an array of one element names the words' hashes, so that they are made once
+    whole = F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows), F.lit(0))
     return F.when(F.size(words) >= SHINGLE, whole).when(F.get(words, F.lit(0)) != "", F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<long>"))
 
 
@@ -65,16 +71,18 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, contained: int = CONT
     hashes = worded.select("text_key", "text_check", F.explode(_shingle_hashes(F.col("words"))).alias("h"))
     candidates = stored(hashes.join(sketches, "h").select("text_key", "text_check", "item").distinct(), "candidates")
 
-    by_text = candidates.groupBy("text_key", "text_check").agg(F.collect_set("item").alias("items"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text"), *_text_key()).join(broadcast_if_small(by_text), ["text_key", "text_check"])
-    texts = texts.select("doc_id", "text_key", "text_check", "items", _words(F.col("text")).alias("words"))
-    pairs = texts.select("doc_id", "text_key", "text_check", F.array_distinct(_shingles(F.col("words"))).alias("shingles"), F.explode("items").alias("item"))
-    own = items.select("item", "item_id", F.array_distinct(_shingles(F.col("words"))).alias("item_shingles"))
-    matched = pairs.join(broadcast_if_small(own, 20_000), "item").select(
-        "doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "item_shingles")).cast("long").alias("n_matched"), "text_key", "text_check"
-    )
-    whole = matched.where(100 * F.col("n_matched") >= contained * F.col("n_item_shingles"))
-    return whole.withColumn("containment", F.col("n_matched") / F.col("n_item_shingles"))
+    # each different text with a candidate is exploded into its shingles once, whatever its copies and candidates
+    found_texts = broadcast_if_small(candidates.select("text_key", "text_check").distinct())
+    texts = docs.select(*_text_key(), F.col("text")).join(found_texts, ["text_key", "text_check"], "left_semi").select("text_key", "text_check", _words(F.col("text")).alias("words"))
+    shingles = texts.select("text_key", "text_check", F.explode(F.array_distinct(_shingles(F.col("words")))).alias("shingle"))
+    own = items.select("item", F.explode(F.array_distinct(_shingles(F.col("words")))).alias("shingle"))
+    own = stored(own.join(candidates.select("item").distinct(), "item", "left_semi"), "item-shingles")
+    sizes = own.groupBy("item").agg(F.count("*").alias("n_item_shingles"))
+    matched = shingles.join(broadcast_if_small(own), "shingle").distinct().groupBy("text_key", "text_check", "item").agg(F.count("*").alias("n_matched"))
+    whole = matched.join(sizes, "item").where(100 * F.col("n_matched") >= contained * F.col("n_item_shingles")).join(items.select("item", "item_id"), "item")
+    whole = broadcast_if_small(stored(whole.drop("item"), "contained"))
+    found = docs.select(F.col("doc_id").cast("long"), *_text_key()).join(whole, ["text_key", "text_check"])
+    return found.select("doc_id", "item_id", "n_item_shingles", "n_matched", (F.col("n_matched") / F.col("n_item_shingles")).alias("containment"), "text_key", "text_check")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
