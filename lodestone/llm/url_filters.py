@@ -22,7 +22,7 @@ TOKEN = "[a-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """verdict: allow or block. rank: higher wins; of equal ranks the longer name, then the smaller name."""
+    """verdict: allow or block. rank: higher wins; of equal ranks the longer name, then the greater one."""
 
     name: str
     verdict: str
@@ -46,12 +46,27 @@ def pattern_rule(verdict: str, pattern: str, tokens: tuple[str, ...] = ()) -> Ru
 
 #: The rules of the query, and patterns for what they leave open.
 SITE_RULES = [site_rule("allow", "org/"), site_rule("block", "example.org/es/"), site_rule("block", "example.org/en/1"), site_rule("allow", "com/fr/"), site_rule("block", "com/de/")]
-PATTERN_RULES = [
-    pattern_rule("block", r"^(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)", ("spam",)),
-    pattern_rule("block", r"^(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)", ("pills",)),
-    pattern_rule("block", r"^(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)", ("casino",)),
-    pattern_rule("block", r"^[^/]*/(?:[^/]*/)*porn(?:/|$)", ("porn",)),
-]
+#: Words that a host has alone or between hyphens and dots, and words that a part of a path is.
+HOST_WORDS = {
+    "adult": "escort escorts hentai nude nudes porn porno pornhub sex sexcam xvideos xxx",
+    "gambling": "baccarat bet365 betting blackjack casino casinos gambling jackpot lottery poker roulette slots",
+    "pharmacy": "cialis pharma-rx pills tramadol viagra xanax",
+    "piracy": "crack cracked keygen piratebay serialkey torrent torrents warez",
+    "spam": "clickbait freemoney getrich linkfarm paydayloan replica spam",
+    "tracking": "adserver adservice clicktrack doubleclick pixel popunder tracker",
+}
+PATH_WORDS = {"adult": "escort hentai nude porn sex xxx", "gambling": "casino poker", "pharmacy": "viagra", "piracy": "keygen torrent warez", "tracking": "pixel.gif track.gif"}
+
+
+def host_word(word: str) -> str:
+    return rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)"
+
+
+def path_word(word: str) -> str:
+    return rf"^[^/]*/(?:[^/]*/)*{re.escape(word)}(?:/|$)"
+
+
+PATTERN_RULES = [pattern_rule("block", form(word), tuple(re.findall(TOKEN, word))) for table, form in ((HOST_WORDS, host_word), (PATH_WORDS, path_word)) for words in table.values() for word in words.split()]
 
 
 def host_of(url: Column) -> Column:
@@ -70,7 +85,7 @@ def _tokens(place: Column) -> Column:
 
 
 def filter_urls(urls: DataFrame, rules: list[Rule], otherwise: str = "allow") -> DataFrame:
-    """The rows of urls with host, path, rule, verdict; of the rules that fit, the highest rank, then the longest name, decides.
+    """The rows of urls with host, path, rule, verdict; of the rules that fit, the highest rank, then the longest name, then the greatest one, decides.
 
     rule is null unless a rule of rank 1 (a site rule) decides; pattern then is the regular expression of
     another rule that decided. Null urls and those without :// have an empty host and path, which site rules
@@ -123,13 +138,12 @@ ranked as (
   select p.host, p.path, r.name, r.verdict, row_number() over (partition by p.host, p.path order by length(r.name) desc, r.name desc) as k
   from (select distinct host, path from parts) p join rules r
     on (p.host = r.host_end or ends_with(p.host, '.' || r.host_end)) and starts_with(p.path, r.path_start)),
+patterns(pattern) as (values PATTERNS),
 patterned as (
-  select *, case when regexp_matches(host || path, '^(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)') then '^(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)'
-                 when regexp_matches(host || path, '^(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)') then '^(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)'
-                 when regexp_matches(host || path, '^(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)') then '^(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)'
-                 when regexp_matches(host || path, '^[^/]*/(?:[^/]*/)*porn(?:/|$)') then '^[^/]*/(?:[^/]*/)*porn(?:/|$)' end as fitting
-  from parts)
-select p.page_id, p.host, p.path, r.name as rule, coalesce(r.verdict, case when p.fitting is null then 'allow' else 'block' end) as verdict,
-       case when r.name is null then p.fitting end as pattern
-from patterned p left join (select * from ranked where k = 1) r on p.host = r.host and p.path = r.path
-"""
+  select p.host, p.path, t.pattern, row_number() over (partition by p.host, p.path order by length(t.pattern) desc, t.pattern desc) as k
+  from (select distinct host, path from parts) p join patterns t on regexp_matches(p.host || p.path, t.pattern))
+select p.page_id, p.host, p.path, r.name as rule, coalesce(r.verdict, case when t.pattern is null then 'allow' else 'block' end) as verdict,
+       case when r.name is null then t.pattern end as pattern
+from parts p left join (select * from ranked where k = 1) r on p.host = r.host and p.path = r.path
+left join (select * from patterned where k = 1) t on p.host = t.host and p.path = t.path
+""".replace("PATTERNS", ", ".join(f"('{r.pattern}')" for r in PATTERN_RULES))

@@ -356,9 +356,9 @@ def test_license(spark, docs, nothing):
 
 
 def test_urls(spark):
-    from lodestone.llm.url_filters import PATTERN_RULES, SITE_RULES, filter_urls
+    from lodestone.llm.url_filters import HOST_WORDS, PATH_WORDS, PATTERN_RULES, SITE_RULES, filter_urls
 
-    urls = ["http://A.Example.ORG/es/x?y", "https://example.org/en/12#t", "https://example.org/en/2", "https://org/", "https://org", "http://x.com/fr/a", "http://com/de/", "http://xcom/de/", "http://w.com/de", "http://example.net/en/1?/es/", "a://b.org/q://c.com/de/", "http://spam-farm.example.net/x", "http://my.spammer.net/", "plain", "", None, None, "http://", "http://h.net?u=http://x.org/", "http://example.org/EN/1", "http://cheap-pills.com/fr/1"]
+    urls = ["http://A.Example.ORG/es/x?y", "https://example.org/en/12#t", "https://example.org/en/2", "https://org/", "https://org", "http://x.com/fr/a", "http://com/de/", "http://xcom/de/", "http://w.com/de", "http://example.net/en/1?/es/", "a://b.org/q://c.com/de/", "http://spam-farm.example.net/x", "http://my.spammer.net/", "plain", "", None, None, "http://", "http://h.net?u=http://x.org/", "http://example.org/EN/1", "http://cheap-pills.com/fr/1", "http://a.net/x/porn", "http://a.net/porn/y?porn", "http://a.net/pornography/", "http://pharma-rx.net/", "http://torrents.x.net/a/pixel.gif", "http://essex.net/sexton", "http://A.net/Casino/"]
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     found = filter_urls(spark.createDataFrame([(k, u, "mine", "kept") for k, u in enumerate(urls)], "page_id long, url string, rule string, token string"), [*SITE_RULES, *PATTERN_RULES]).collect()
     assert len(found) == len(urls)
@@ -369,7 +369,8 @@ def test_urls(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r["host"], r["path"], r["token"]) == (host, path, "kept")
         assert r["rule"] == (max(fits)[1] if fits else None)
-        other = "block" if re.search(r"(^|[.-])(spam|pills|casino)([.-]|$)", host) else "allow"
+        words = [w for table in HOST_WORDS.values() for w in table.split() if re.search(rf"(^|[.-]){re.escape(w)}([.-]|$)", host)] + [w for table in PATH_WORDS.values() for w in table.split() if w in path.split("/")[1:]]
+        other = "block" if words else "allow"
         assert r["verdict"] == (max(fits)[2] if fits else other), url
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), SITE_RULES).count() == 0
 
