@@ -40,7 +40,7 @@ BLOCK = 1 << 19
 #: Turns of step 4 by stars: partners that a row is compared with in each.
 PARTNERS = (1, 4)
 #: Rows of a block of the product, and of a slice of others that it meets in one task.
-BLOCK_ROWS, SLICE_ROWS = 1_000, 4_000
+BLOCK_ROWS, SLICE_ROWS = 1_000, 1_500
 #: Keys that a task remembers so that it sends the columns of a set once; it then starts anew.
 REMEMBERED = 50_000
 
