@@ -15,12 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.html_blocks import ARTICLE, CHROME, COMMENTS, MAIN, NAMED, NEUTRAL, Page, parsed
 from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
+from lodestone.llm.text_arrays import slices, windows, word_hashes, word_spans
 
 #: Weight of content against presentation in a branch, and the different pages that a path is judged from.
 CONTENT_WEIGHT, LEAST_PAGES = 0.5, 8
@@ -43,43 +45,71 @@ def _content(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.crc32(data[::-1]) >> 1
 
 
-def _least_pair(text: str) -> int:
-    """The smallest hash of two words in a row, which near copies mostly share."""
-    words = text.split()
-    return min(map(zlib.crc32, (f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in zip(words, words[1:] or [""], strict=False))))
+def _least_pairs(texts: list[str]) -> list[int]:
+    """Of each text the smallest hash of two words in a row (of its word, if it has one), which near copies mostly share."""
+    found = np.zeros(len(texts), np.uint64)
+    for row, data, offsets in slices(pa.array(texts, pa.string())):
+        starts, ends, first = word_spans(data, offsets)
+        hashes = word_hashes(data, starts, ends, lower=False)
+        pairs, at = windows(hashes, first, 2)
+        several, alone = np.flatnonzero(np.diff(at)), np.flatnonzero(np.diff(first) == 1)
+        if len(several):
+            found[row + several] = np.minimum.reduceat(pairs, at[several])
+        found[row + alone] = hashes[first[alone]]
+    return (found >> np.uint64(1)).astype(np.int64).tolist()
 
 
-def _nodes(page: Page) -> tuple[list[str], list[dict], int, list[dict], list[dict]]:
-    """Of a page its texts, its blocks, how many of their outer branches all blocks share, and its nodes for the style tree.
+def _lists(values: pa.Array, counts: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32()), values)
+
+
+def _nodes(rows: list[tuple[int, int, int]], counts: list[int]) -> pa.Array:
+    columns = np.array(rows, np.int64).reshape(-1, 3)
+    return _lists(pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in range(3)], fields=list(_NODE)), counts)
+
+
+def columns_of(pages: list[Page]) -> list[pa.Array]:
+    """Of pages their texts, blocks, how many of their outer branches all blocks share, and nodes for the style tree.
 
     least: the content importance from which a block stays; kept: whether it does if the tree can't judge it.
     page, of a node: what tells the rest of the page from other pages, but not from its near copies.
     """
-    blocks = page.blocks
-    main = [b for b in blocks if b.state >= MAIN]
-    beside = [b for b in blocks if b.state == NEUTRAL]
-    # an article shorter than all that has no name is a teaser or a part
-    least_state = MAIN if main and sum(len(b.text) for b in main) >= sum(len(b.text) for b in beside) else NEUTRAL if beside else MAIN if main else NAMED
-    pairs = [_least_pair(b.text) for b in blocks]
-    first, second = (sorted(set(pairs)) + [-1, -1])[:2]
-    shared = 0
-    if blocks:
-        shortest = min(len(b.branches) for b in blocks)
-        while shared < shortest and len({b.branches[shared] for b in blocks}) == 1:
+    texts = [b.text for page in pages for b in page.blocks]
+    pairs = _least_pairs(texts)
+    branches, depths, priors, least, kept, shares, contents, styles, n_styles = [], [], [], [], [], [], [], [], []
+    at = 0
+    for page in pages:
+        blocks, own = page.blocks, pairs[at : at + len(page.blocks)]
+        at += len(blocks)
+        main = sum(len(b.text) for b in blocks if b.state >= MAIN)
+        beside = sum(len(b.text) for b in blocks if b.state == NEUTRAL)
+        # an article shorter than all that has no name is a teaser or a part
+        least_state = MAIN if main and main >= beside else NEUTRAL if beside else NAMED
+        first, second = (sorted(set(own)) + [-1, -1])[:2]
+        shared, shortest = 0, min((len(b.branches) for b in blocks), default=0)
+        while shared < shortest and all(b.branches[shared] == blocks[0].branches[shared] for b in blocks):
             shared += 1
-    rows = [{"branches": b.branches, "prior": BRANCH_PRIOR[b.state], "least": LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else BLOCK_PRIOR[b.state]), "kept": b.state >= least_state} for b in blocks]
-    contents = [{"path": b.branches[-1], "feature": _content(b.text), "page": second if p == first else first} for b, p in zip(blocks, pairs, strict=True)]
-    styles = [{"path": path, "feature": style, "page": first} for path, found in page.elements.items() for style in found] if blocks else []
-    return [b.text for b in blocks], rows, shared, contents, styles
+        shares.append(shared)
+        for b, pair in zip(blocks, own, strict=True):
+            branches += b.branches
+            depths.append(len(b.branches))
+            priors.append(BRANCH_PRIOR[b.state])
+            least.append(LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else BLOCK_PRIOR[b.state]))
+            kept.append(b.state >= least_state)
+            contents.append((b.branches[-1], _content(b.text), second if pair == first else first))
+        own_styles = [(path, style, first) for path, found in page.elements.items() for style in found] if blocks else []
+        styles += own_styles
+        n_styles.append(len(own_styles))
+    counts = [len(page.blocks) for page in pages]
+    whole = pa.StructArray.from_arrays([_lists(pa.array(branches, pa.int64()), depths), pa.array(priors, pa.float64()), pa.array(least, pa.float64()), pa.array(kept, pa.bool_())], fields=list(_BLOCK))
+    return [_lists(pa.array(texts, pa.string()), counts), _lists(whole, counts), pa.array(shares, pa.int32()), _nodes(contents, counts), _nodes(styles, n_styles)]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.list_(pa.string()), pa.list_(_BLOCK), pa.int32(), pa.list_(_NODE), pa.list_(_NODE)]
     for whole in batches:
         for k in range(0, whole.num_rows, 250):
             batch = whole.slice(k, 250)
-            pages = [_nodes(parsed(page or "")) for page in batch.column("html").to_pylist()]
-            columns = [pa.array([p[k] for p in pages], kind) for k, kind in enumerate(types)]
+            columns = columns_of([parsed(page or "") for page in batch.column("html").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "texts", "blocks", "shared", "contents", "styles"])
 
 
@@ -150,8 +180,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     ://) are one site. Repeated rows get equal answers.
     """
     judged = judged_blocks(pages)
-    kept = F.filter("texts", lambda _, k: F.coalesce(F.get(F.col("stay"), k), F.lit(False)))
-    return judged.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = F.filter(F.arrays_zip("texts", "stay"), lambda z: z["stay"])
+    return judged.select("page_id", "url", F.array_join(F.transform(kept, lambda z: z["texts"]), "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

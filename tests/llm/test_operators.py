@@ -476,7 +476,8 @@ def test_html_importance(spark):
 
     rng = random.Random(4)
     pages = [(k, f"http://s{k % 2}.net/{k}", f"<div class=a><p>{prose(k, 20)}</p>" + "<ul><li>x</ul>" * rng.randint(0, 3) + f"</div><div class=b>{prose(k % 5, 12)}</div><div class=c>{prose(k, 9)}</div>") for k in range(40)]
-    parsed = [("s%d" % (k % 2), h._nodes(h.parsed(page))) for k, _, page in pages]
+    columns = h.columns_of([h.parsed(page) for *_, page in pages])
+    parsed = [("s%d" % (k % 2), [c[k].as_py() for c in columns]) for k in range(len(pages))]
 
     def entropy(place):
         seen, out = defaultdict(lambda: defaultdict(Counter)), {}
