@@ -4,7 +4,7 @@ Subwords are runs of 1 to 4 bytes of the text, letters lowered and all ASCII tha
 boundary sign. Each is hashed to a row of an embedding table; a text is the mean of its rows. Table and
 softmax are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. A
 temperature fitted on a part of the sample that training didn't see makes the score a probability, and
-the score below which a text is rejected is set on that part too.
+a text whose probability is low is rejected, as one of a language that isn't learnt mostly is.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ RATE = 40.0
 LONGEST = 4
 #: One in so many sampled rows calibrates.
 CALIBRATES = 4
-#: Of calibrating rows so many may be rejected; never those with a score over MOST_REJECTED.
-REJECTED_SHARE, MOST_REJECTED = 0.001, 0.45
+#: A text goes unless its language is right with this chance by its calibrated score; of calibrating rows no more than this share goes.
+LEAST_SURE, MOST_REJECTED = 0.8, 0.005
 #: Labels that calibration takes to be drawn at random, so that a part without errors doesn't make every score 1.
 DOUBT = 0.01
 UNKNOWN = "und"
@@ -110,7 +110,7 @@ def _fit(languages: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]]) -
         loss.append(-((1 - DOUBT) * logs[np.arange(len(y)), y] + DOUBT * logs.mean(axis=1)).mean())
     temperature = float(grid[int(np.argmin(loss))])
     surest = probabilities(temperature).max(axis=1)
-    return Model(languages, table.astype(np.float32), bias, temperature, float(min(MOST_REJECTED, np.quantile(surest, REJECTED_SHARE))))
+    return Model(languages, table.astype(np.float32), bias, temperature, float(min(LEAST_SURE, np.quantile(surest, MOST_REJECTED))))
 
 
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model | None:
