@@ -32,8 +32,8 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 _OWN = {
     "Apache-2.0": ["Licensed under the *Apache License, Version *2.0.", 'Licensed under the *Apache License, Version *2.0 (the "License"); you may not use this file except in compliance with the License.'],
     "BSD": ["*Redistribution and use in source and *binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "BSD-2-Clause": [_BSD_2 + _BSD_END],
-    "BSD-3-Clause": [_BSD_2 + _BSD_3 + _BSD_END],
+    "BSD-2-Clause": [_BSD_2 + _BSD_END, "released under the *BSD +2-+Clause License."],
+    "BSD-3-Clause": [_BSD_2 + _BSD_3 + _BSD_END, "released under the *BSD +3-+Clause License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under *CC0 1.0."],
     "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the *Eclipse Public License +v1.0 which accompanies this distribution"],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the *Eclipse Public License *2.0 which is available at", "This program and the accompanying materials are made available under the terms of the *Eclipse Public License *v2.0"],
@@ -51,6 +51,8 @@ def all_notices() -> dict[str, list[str]]:
         found[name] = [
             f"This work is licensed under the GNU {words} Public License, version +{version}.",
             f"This work is licensed under the GNU {words} Public License *v{version}.",
+            f"released under the GNU {words} Public License, version +{version}.",
+            f"released under the GNU {words} Public License *v{version}.",
             f"you can redistribute it and/or modify it under the terms of the GNU {words} Public License as published by the Free Software Foundation, either version +{version} of the License",
         ]
     for kind, words in _CC.items():

@@ -220,6 +220,22 @@ def test_token_files(spark, docs, texts, nothing, tmp_path):
     assert order == sorted(order, key=lambda i: (i is not None, i))
     expected = Counter((i, tuple(x)) for (i, _), x in zip(texts, encoded([t for _, t in texts], "byte_bpe_50k.json", 0), strict=True))
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == expected
+    import pyarrow.parquet as pq
+
+    for file in (tmp_path / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert ids.has_dictionary_page and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values() if c.path_in_schema in ("doc_id", "n_tokens"))
+    # small row groups and pages: several of each, and a read of one document skips the others
+    small = f"file://{tmp_path}/small"
+    many = spark.range(12_000).selectExpr("id as doc_id", "concat('some words of document ', id, repeat(' and more', 20)) as text").coalesce(1)
+    write_token_files(many, small, public_tokenizers.path("byte_bpe_50k.json"), 0, row_group_bytes=32 << 10, page_bytes=4 << 10)
+    assert max(pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "small").glob("*.parquet")) > 1
+    picked = read_token_files(spark, small, ("ids",)).where("doc_id = 1234")
+    assert picked.count() == 1 and "EqualTo(doc_id,1234)" in str(picked._jdf.queryExecution())
     one = read_token_files(spark, path, ()).where("doc_id = 3")
     assert one.columns == ["doc_id", "start", "n_tokens"] and one.count() == 1
     write_token_files(nothing, f"file://{tmp_path}/none", public_tokenizers.path("byte_bpe_50k.json"), 0)
@@ -317,7 +333,8 @@ def test_license_variants():
     for text, name in [
         (header % ("General", "2"), "GPL-2.0"), (header % ("General", "3"), "GPL-3.0"), (header % ("Lesser General", "2.1"), "LGPL-2.1"), (header % ("Affero General", "3"), "AGPL-3.0"),
         ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
-        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Released under the XYZ License.", None), ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+        (header % ("Lesser General", "3"), "LGPL-3.0"), ("Licensed under the GNU General Public License v3.", "GPL-3.0"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"), ("Released under the BSD License.", None), ("Released under the Apache License.", None), ("released under the new label license", None),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Released under the XYZ License.", None), ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
     ]:
         assert [r[0] for r in scan(f"{prose(1, 30)}\n{text}\n{prose(2, 30)}", forms)] == ([name] if name else []), text
     for name, all_forms in NOTICES.items():
@@ -326,6 +343,41 @@ def test_license_variants():
             assert found[0][:2] == (name, 1.0), (name, form[:80], [r[:3] for r in found])
 
 
+def test_license_windows():
+    """What windows around anchor words find, against the window around every word of a notice (around the word that tells it, if it has one)."""
+    from lodestone.llm.license_scan import COVERAGE, forms_of, patience, scan
+
+    notices = {"long": ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu *nu xi omicron"], "short": ["kept under the *oak charter"], "free": ["take give share alter print sell lend keep hold pass"]}
+    forms = forms_of(notices, COVERAGE)
+
+    def every_window(words):
+        found = set()
+        for form in forms:
+            n = len(form.words)
+            centres = {form.words[k] for k, _ in form.must} or set(form.words)
+            for k in (k for k, w in enumerate(words) if w in centres):
+                a = max(0, k - n)
+                place = {x: a + y for y, x in patience(words[a : k + n + 1], form.words)}
+                if len(place) >= COVERAGE * n and all(x in place and (not after or place.get(x - 1) == place[x] - 1) for x, after in form.must):
+                    found.add(form.name)
+        return found
+
+    rng, hits = random.Random(12), 0
+    for _ in range(150):
+        words = prose(rng.random(), rng.randint(0, 25)).split()
+        for _ in range(rng.randint(0, 2)):
+            name = rng.choice(list(notices))
+            own = [w for w in notices[name][0].replace("*", "").split() if rng.random() > rng.choice((0, 0.1, 0.3))]
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        expected = every_window(words)
+        hits += len(expected)
+        assert {r[0] for r in scan(" ".join(words), forms)} == expected, words
+    assert hits > 50
+    long = prose(1, 60_000) + " kept under the oak charter " + "kept under " * 20_000
+    assert [r[:2] for r in scan(long, forms)] == [("short", 1.0)]
+
+
 def test_license(spark, docs, nothing):
     from lodestone.llm.license_scan import NOTICES, license_scan, patience, words_of
 
