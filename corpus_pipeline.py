@@ -10,7 +10,7 @@ from lodestone.llm.language_id import accepted_only
 from lodestone.llm.ngram_join import one_of_each
 from lodestone.llm.packing import pack
 from lodestone.llm.quality_rules import kept_only
-from lodestone.llm.stored import read, stored
+from lodestone.llm.stored import drop_stored, read, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each keeps is a table that the next one reads."""
+    """All stages over the documents of sf_dir; what each keeps is a table that the next one reads, and that goes when the next one's is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{k}")
+            kept = stored(kept, f"stage-{k}")
+            if k:
+                drop_stored(docs)
+        docs = kept
     return docs
