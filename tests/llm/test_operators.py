@@ -325,6 +325,33 @@ def test_language_sample_is_of_texts(spark, monkeypatch):
     assert taken == [{"aa": 20, "bb": 20}]
 
 
+def test_held_out_accuracy(spark):
+    """Language and quality of documents that training hasn't seen, and how sure the language is of itself."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import language_id, quality_rules
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("documents", "labels"))
+    held = language_id.held_out()
+    model = language_id.train(docs, ~held)
+    rows = language_id.identify(docs.withColumn("held_out", held), model, {"held_out": "boolean", "lang": "string"}).where("held_out and lang is not null").collect()
+    right = [r["lang"] == r["lang_pred"] for r in rows]
+    assert len(rows) > 100 and sum(right) >= 0.98 * len(rows) and sum(r["accepted"] for r in rows) >= 0.97 * len(rows)
+    assert sum((r["score"] - ok) ** 2 for r, ok in zip(rows, right, strict=True)) <= 0.02 * len(rows)
+    # a language that isn't learnt is mostly not accepted
+    others = language_id.train(docs.where("lang <> 'de'"), ~held)
+    assert language_id.identify(docs.where("lang = 'de'"), others, {"doc_id": "long"}).agg(F.avg(F.col("accepted").cast("int"))).first()[0] < 0.2
+
+    field = quality_rules.train(docs, labels.where(~held))
+    judged = quality_rules.judged(docs.join(labels.where(held), "doc_id"), field, {"quality": "int"}).collect()
+    assert len(judged) > 50 and sum((r["content_share"] >= quality_rules.CONTENT_SHARE) == bool(r["quality"]) for r in judged) >= 0.97 * len(judged)
+
+
 def test_license_variants():
     from lodestone.llm.license_scan import COVERAGE, IDENTIFIERS, NOTICES, forms_of, scan
 
