@@ -230,6 +230,18 @@ def sections(web: DataFrame, apps: DataFrame, files: DataFrame, most_apps: int =
     return whole.orderBy("section", "rank", F.lower("name"), "path").limit(most)
 
 
+#: What the sections of a result list are called.
+SECTIONS = ("Web", "Calculation", "Applications", "Folders", "Files")
+
+
+def section_counts(rows: DataFrame, total_files: Column | None = None) -> DataFrame:
+    """(section, label, n, more) of the sections of a list that have rows, in their order; more: files beyond those shown, if their total is known."""
+    label = F.element_at(F.array(*[F.lit(x) for x in SECTIONS]), F.col("section") + 1)
+    more = F.when(F.col("section") == 4, F.greatest(total_files - F.col("n"), F.lit(0))) if total_files is not None else F.lit(None)
+    counts = rows.groupBy("section").agg(F.count("*").alias("n"))
+    return counts.select("section", label.alias("label"), "n", F.coalesce(more.cast("long"), F.lit(0).cast("long")).alias("more")).orderBy("section")
+
+
 def next_page(rows: DataFrame, shown: DataFrame) -> DataFrame:
     """Rows whose path isn't among those shown."""
     return rows.join(shown.select("path").distinct(), "path", "left_anti")

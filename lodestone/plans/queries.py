@@ -15,7 +15,7 @@ from lodestone.functions import names as N
 from lodestone.functions import text as X
 from lodestone.operators import catalogue, hierarchy, search
 from lodestone.operators.ordered import with_previous
-from lodestone.sources import tables
+from lodestone.sources import files, tables
 from lodestone.sources.tables import describe_snapshot, first_of_each, load_snapshot, new_folder, save_snapshot
 from lodestone.streaming import changes
 
@@ -580,6 +580,40 @@ def cdc_junk(spark, d):
     return now.select("file_ref", F.lit(False).alias("is_junk")).unionByName(junk.select("file_ref", F.lit(True).alias("is_junk")))
 
 
+_BITS = "list_sum([case when embedding[b + b // 7 + 1] > embedding[b + b // 7 + 2] then 1::bigint << (b - {first}) else 0 end for b in range({first}, {end})])::bigint"
+
+
+@registered(f"select vec_id, {_BITS.format(first=0, end=32)} as low, {_BITS.format(first=32, end=56)} as high from embeddings")
+def image_hash(spark, d):
+    """Each vector as an image of 8 by 8 pixels, hashed at its own size."""
+    words = X.difference_hash(F.col("embedding"), F.lit(8), F.lit(8), columns=8, rows=8)
+    return read(spark, d, "embeddings").select("vec_id", words.alias("w")).select("vec_id", F.get("w", F.lit(0)).alias("low"), F.get("w", F.lit(1)).alias("high"))
+
+
+@registered(
+    f"{TREE}, files as (select *, {_TIER.format(q='0000001')} as rank from entries where contains(name_lower, '0000001') and not is_junk order by rank, least(strlen(name_lower), 255), name_lower, file_ref limit 300)"
+    " select 0 as section, 'Web' as label, 1 as n, 0 as more union all select 2, 'Applications', count(*), 0 from (select 1 from part where contains(p_name, 'red') limit 10) having count(*) > 0"
+    " union all select case when is_dir then 3 else 4 end, case when is_dir then 'Folders' else 'Files' end, count(*), 0 from files group by 1, 2"
+)
+def section_counts(spark, d):
+    """One list of a web row, applications and entries, counted by its sections."""
+    row = lambda frame: frame.select("name", "path", "is_dir", F.col("rank").cast("int").alias("rank"))
+    web = read(spark, d, "region").where("r_regionkey = 0").select(F.col("r_name").alias("name"), F.lit("web").alias("path"), F.lit(False).alias("is_dir"), F.lit(0).alias("rank"))
+    none = spark.createDataFrame([], "path_lower string, cnt long")
+    apps = search.app_search(_part_apps(spark, d), none, "red").withColumn("is_dir", F.lit(False))
+    whole = search.sections(web, row(apps), row(search.search_generic(indexed(spark, d), "0000001")))
+    return search.section_counts(whole)
+
+
+@registered("select p_partkey, p_name from part where p_partkey % 7 <> 0 and p_name is not null")
+def listing_round_trip(spark, d):
+    """A listing dumped as JSON with records that lack a name, and read with the scan's schema."""
+    path = new_folder(spark, "listing")
+    p = read(spark, d, "part")
+    p.select(F.lit("C").alias("drive"), F.col("p_partkey").alias("file_ref"), F.lit(0).alias("parent_ref"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("name"), F.lit(False).alias("is_dir"), "p_brand").write.json(path)
+    return files.read_listing(spark, path, "json").select(F.col("file_ref").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The tree's first page for a word, with paths."""
     return search.search_generic(placed(spark, d), "customer").select("file_ref", "name", "path", "rank")

@@ -6,8 +6,11 @@ deleted it. A merge takes the latest of state and batch, so batches may come in
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,3 +160,26 @@ def replay(spark: SparkSession, source: str, path: str, checkpoint: str, once: b
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", most_files).json(source)
     writer = stream.writeStream.foreachBatch(lambda batch, _: apply_batch(batch.sparkSession, path, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
+
+
+def keep_replaying(spark: SparkSession, source: str, path: str, checkpoint: str, most_failures: int = 8, pause: float = 0.5) -> int:
+    """Runs `replay` to its end, again after a failure; most_failures in a row without a new version of the state raise the last one. Returns how often it failed."""
+    failures = in_row = 0
+    while True:
+        before = (_manifest(spark, path) or {"version": 0})["version"]
+        try:
+            replay(spark, source, path, checkpoint).awaitTermination()
+            return failures
+        except StreamingQueryException:
+            failures += 1
+            in_row = 1 if (_manifest(spark, path) or {"version": 0})["version"] > before else in_row + 1
+            if in_row >= most_failures:
+                raise
+            time.sleep(pause)
+
+
+def is_stale(progress: dict | None, now: datetime, after: float = 60.0) -> bool:
+    """Whether a query's last progress (its lastProgress) is older than `after` seconds; without any it is."""
+    if not progress:
+        return True
+    return (now - datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00"))).total_seconds() > after

@@ -340,6 +340,61 @@ def test_snapshot_and_replay(spark, tmp_path):
     assert tables.load_snapshot(spark, saved) is None  # another format asks for a rebuild
 
 
+def test_files_and_pool_refresh(spark, tmp_path):
+    import datetime
+
+    from lodestone.sources import files
+
+    (tmp_path / "d.json").write_text('{"drive": "C", "root": "C:\\\\", "file_system": "NTFS"}\n{"drive": "D", "file_system": "FAT32"}\nbroken\n')
+    (tmp_path / "a.csv").write_text("source,src_prio,ordinal,name,path\nreg,0,1,App,C:\\a.exe\nreg,x,2,Bad,C:\\b\nreg,0,3,,C:\\c\n")
+    assert [r["drive"] for r in files.read_drives(spark, f"file://{tmp_path}/d.json").collect()] == ["C"]
+    schema = "source string, src_prio int, ordinal int, name string, path string"
+    (tmp_path / "src").mkdir()
+    spark.createDataFrame([("reg", 0, 1, "App", "C:\\a.exe"), ("reg", 0, 3, "", "C:\\c")], schema).write.mode("append").json(f"file://{tmp_path}/src")
+    found = files.read_app_sources(spark, f"file://{tmp_path}/src").collect()
+    assert [(r["name"], r["path"], r["icon"]) for r in found] == [("App", "C:\\a.exe", None)]
+    meta = {r["path"].rpartition("/")[2]: r["length"] for r in files.file_metadata(spark, f"file://{tmp_path}").collect()}
+    assert meta["d.json"] == (tmp_path / "d.json").stat().st_size
+    with pytest.raises(ValueError):
+        files.read_listing(spark, "x", "orc")
+    apps, pool = spark.createDataFrame([("A", "C:\\a"), ("B", "C:\\b")], "name string, path string"), f"file://{tmp_path}/pool"
+    assert [files.refresh_pool(a, pool) for a in (apps.limit(0), apps, apps.withColumn("path", F.upper("path")), apps.limit(1), apps.limit(0))] == [None, 1, None, 2, None]
+    now = datetime.datetime(2024, 1, 1, 0, 2, tzinfo=datetime.UTC)
+    assert [changes.is_stale(p, now) for p in (None, {"timestamp": "2024-01-01T00:00:59.000Z"}, {"timestamp": "2024-01-01T00:01:01.000Z"})] == [True, True, False]
+
+
+def test_replay_again(spark, tmp_path, monkeypatch):
+    """A replay that fails twice and then goes on; one that always fails."""
+    source, path = tmp_path / "in", f"file://{tmp_path}/state"
+    source.mkdir()
+    spark.createDataFrame([event(1, "created", 5)], tables.EVENTS).coalesce(1).write.json(f"file://{tmp_path}/w")
+    next((tmp_path / "w").glob("part*.json")).rename(source / "0.json")
+    apply, left = changes.apply_batch, [2]
+
+    def failing(*args):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise RuntimeError("no")
+        return apply(*args)
+
+    monkeypatch.setattr(changes, "apply_batch", failing)
+    assert changes.keep_replaying(spark, f"file://{source}", path, f"file://{tmp_path}/offsets", pause=0) == 2
+    assert refs(changes.load_state(spark, path)[0]) == {("C", 5)}
+    left[0] = 99
+    with pytest.raises(Exception, match="no"):
+        changes.keep_replaying(spark, f"file://{source}", f"file://{tmp_path}/other", f"file://{tmp_path}/offsets2", most_failures=2, pause=0)
+    assert left[0] == 97
+
+
+def test_difference_hash(spark):
+    rng = random.Random(6)
+    for w, h in ((64, 36), (5, 7), (130, 80), (1, 9)):
+        light = [rng.randint(0, 255) for _ in range(w * h)]
+        bits = [int(light[y * h // 36 * w + x * w // 64] > light[y * h // 36 * w + (x + 1) * w // 64]) for y in range(36) for x in range(63)] if w > 1 else None
+        got = one(spark, X.difference_hash(F.col("a"), F.lit(w), F.lit(h)), [(light,)], "a array<int>")[0]
+        assert got == (bits and [sum(b << k for k, b in enumerate(bits[i : i + 32])) for i in range(0, len(bits), 32)])
+
+
 def test_exclusions_and_pool(spark, tmp_path):
     (tmp_path / "x.txt").write_text(" C:\\Foo\\ \n\n c:\\BAR\\\n")
     assert {r["prefix"] for r in tables.read_exclusions(spark, f"file://{tmp_path}/x.txt").collect()} == {"c:\\foo\\", "c:\\bar\\"}
