@@ -317,9 +317,10 @@ def json_extract(spark, d):
     return read(spark, d, "events").select("event_id", X.json_field(F.col("props"), "$.k").alias("k"))
 
 
-@registered("select p_partkey, replace(p_name, ' ', '%20') || '~%2A' as encoded from part")
+@registered("select doc_id, url_encode(substring(text, 1, 80)) as encoded from documents")
 def url_encode(spark, d):
-    return read(spark, d, "part").select("p_partkey", X.url_encode(F.concat("p_name", F.lit("~*"))).alias("encoded"))
+    """Beginnings of texts with letters of several languages, marks and line ends."""
+    return read(spark, d, "documents").select("doc_id", X.url_encode(F.substring("text", 1, 80)).alias("encoded"))
 
 
 _WORD = "list_sum([case when embedding[i] > 0 then 1::bigint << (i - {first}) else 0 end for i in range({first}, {end})])::bigint"
@@ -614,6 +615,55 @@ def listing_round_trip(spark, d):
     return files.read_listing(spark, path, "json").select(F.col("file_ref").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
+@registered(r"select name, target from (select 'Tool ' || s_suppkey as name, 'c:\t\' || (s_suppkey % 40) || '.exe' as target, row_number() over (partition by s_suppkey % 40 order by length('Tool ' || s_suppkey) // 8, s_suppkey) as k from supplier) where k = 1")
+def one_of_target(spark, d):
+    """Shortcuts to shared executables: of each target the best named one, ties to the earlier."""
+    s = read(spark, d, "supplier")
+    apps = s.select(F.concat(F.lit("Tool "), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("C:\\L\\"), F.col("s_suppkey").cast("string"), F.lit(".lnk")).alias("path"), F.lit(1).alias("src_prio"), F.col("s_suppkey").alias("ordinal"))
+    links = s.select(F.concat(F.lit("c:\\l\\"), F.col("s_suppkey").cast("string"), F.lit(".LNK")).alias("path"), F.concat(F.lit("C:\\T\\"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".exe")).alias("target"))
+    return catalogue.discover(apps, links).select("name", "target")
+
+
+@registered("select p_partkey, case when p_partkey % 3 = 0 then 1 else 2 end as n, p_name || ' & <co>' as title, 'http://x/' || p_partkey as url, 'a ' || p_brand as snippet from part")
+def rss_items(spark, d):
+    """Feeds of two items, of which the second has no link in every third one."""
+    name, key = F.col("p_name"), F.col("p_partkey").cast("string")
+    item = lambda link: F.concat(F.lit("<item>\n<title> "), name, F.lit(" &amp; &lt;co&gt;</title><link>"), link, F.lit("</link><description>&lt;p&gt;a&lt;br&gt;"), F.col("p_brand"), F.lit("</description></item>"))
+    body = F.concat(F.lit("<rss><title>feed</title>"), item(F.concat(F.lit("http://x/"), key)), item(F.when(F.col("p_partkey") % 3 == 0, " ").otherwise("http://y")), F.lit("</rss>"))
+    first = F.get("items", F.lit(0))
+    return read(spark, d, "part").select("p_partkey", X.rss_items(body).alias("items")).select("p_partkey", F.size("items").alias("n"), first["title"].alias("title"), first["url"].alias("url"), first["snippet"].alias("snippet"))
+
+
+@registered("select p_partkey, case when p_partkey % 2 = 0 then 'u,t,n' else 't,n' end as urls, case when p_partkey % 2 = 0 then 'About' else substring(repeat(p_name || ' ', 20), 1, 110) end as title from part")
+def answer_results(spark, d):
+    """Answers with an abstract in every second one, a topic with a long text and a nested one."""
+    topic = F.struct(F.expr("repeat(concat(p_name, ' '), 20)").alias("Text"), F.lit("t").alias("FirstURL"), F.array().cast("array<struct<Text: string, FirstURL: string>>").alias("Topics"))
+    group = F.struct(F.lit(None).cast("string").alias("Text"), F.lit(None).cast("string").alias("FirstURL"), F.array(F.struct(F.lit("nested").alias("Text"), F.lit("n").alias("FirstURL"))).alias("Topics"))
+    body = F.to_json(F.struct(F.lit("About").alias("Heading"), F.when(F.col("p_partkey") % 2 == 0, "abs").otherwise("").alias("AbstractText"), F.lit("u").alias("AbstractURL"), F.array(topic, group).alias("RelatedTopics")))
+    rows = read(spark, d, "part").select("p_partkey", X.answer_results(body).alias("r"))
+    return rows.select("p_partkey", F.array_join(F.transform("r", lambda r: r["url"]), ",").alias("urls"), F.get("r", F.lit(0))["title"].alias("title"))
+
+
+@registered(r"select s_suppkey, case s_suppkey % 4 when 0 then 'C:\p q\' || s_name || '.exe' when 1 then 'u.exe' when 2 then 'open ' || s_name end as exe, case s_suppkey % 4 when 0 then '/S x' when 1 then '/n ' || s_name when 2 then '' end as args from supplier")
+def uninstall_command(spark, d):
+    """Commands with quotes, without, with an open quote, and empty."""
+    name, k = F.col("s_name"), F.col("s_suppkey") % 4
+    command = F.when(k == 0, F.concat(F.lit(' "C:\\p q\\'), name, F.lit('.exe"  /S x'))).when(k == 1, F.concat(F.lit("u.exe /n "), name)).when(k == 2, F.concat(F.lit('"open '), name)).otherwise("")
+    return read(spark, d, "supplier").select("s_suppkey", X.uninstall_command(command).alias("c")).select("s_suppkey", "c.exe", "c.args")
+
+
+@registered(r"select s_suppkey, case s_suppkey % 3 when 0 then 'C:\w\' || s_name when 1 then 'none%\' || s_name else 'a%b' || s_name end as path from supplier")
+def expand_env(spark, d):
+    name, k = F.col("s_name"), F.col("s_suppkey") % 3
+    text = F.concat(F.when(k == 0, "%WinDir%\\").when(k == 1, "%none%\\").otherwise("a%b"), name)
+    return read(spark, d, "supplier").select("s_suppkey", X.expand_env({"windir": "C:\\w"})(text).alias("path"))
+
+
+@registered("select p_partkey, upper(p_name[1]) || substring(split_part(p_name, ' ', 1), 2) || upper(split_part(p_name, ' ', 2)[1]) || substring(split_part(p_name, ' ', 2), 2) || chr(39) || 's' as shown from part")
+def prettified(spark, d):
+    return read(spark, d, "part").select("p_partkey", X.prettified(F.concat(F.replace("p_name", F.lit(" "), F.lit("_-")), F.lit("'s"))).alias("shown"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The tree's first page for a word, with paths."""
     return search.search_generic(placed(spark, d), "customer").select("file_ref", "name", "path", "rank")
