@@ -193,22 +193,25 @@ def _star_links(pairs: DataFrame, n_pairs: int, parts: DataFrame, rows: DataFram
     heads = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("a") / BLOCK_ROWS).alias("blocks")).where("blocks > 1")
     block = F.xxhash64(F.pmod(F.xxhash64("component"), F.lit(max(1, n_pairs // BLOCK_ROWS))), F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))))
     placed = stored(placed.join(broadcast_if_small(heads), "component", "left").select("a", "b", block.alias("block")), "placed")
-    in_block, members = (stored(placed.select("block", F.col(c).alias("key")).distinct(), name) for c, name in (("a", "in-block"), ("b", "members")))
+    in_block, members = (placed.select("block", F.col(c).alias("key")).distinct() for c in ("a", "b"))
     return _block_links(in_block, members, parts, rows, similarity)
 
 
-def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similarity: int) -> DataFrame | None:
     """(a, b): every pair of rows that links and isn't in one component, of those with a column in common.
 
     In a column of several components the rows outside the most frequent one are looked up: they are put
     into blocks of BLOCK_ROWS or so of one class of sizes, those of one component together, and a block meets the rows of all
     components that its columns have, of its own and the neighbouring classes. A hot column is so never paired with itself.
+    None if there are no such rows.
     """
     placed = index.join(parts.select("key", "component"), "key").withColumn("class", _size_class(similarity))
     by_part = stored(placed.groupBy("h", "component", "class").agg(F.count("*").alias("m")), "by-part")
     sums = by_part.groupBy("h", "component").agg(F.sum("m").alias("m"))
     main = sums.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("h", "main")
-    asking = stored(placed.join(main, "h").where("component <> main").select("h", "key", "class", "main"), "asking")
+    asking, found = stored_counting(placed.join(main, "h").where("component <> main").select("h", "key", "class", "main"), "asking")
+    if not found.get("rows", 0):
+        return None
     near = stored(asking.groupBy("key", "class").agg(F.min("main").alias("near")), "near")
     blocks = near.groupBy("class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))  # a row for each class of sizes
     large = near.groupBy("near", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")).where("parts > 1")
@@ -225,7 +228,9 @@ def _crossing_links(index: DataFrame, parts: DataFrame, rows: DataFrame, similar
 def _joined(parts: DataFrame, links: DataFrame, broadcast) -> DataFrame:
     """The parts (key, n, component) after links (a, b) between rows have joined components."""
     ends = links.join(parts.select(F.col("key").alias("a"), F.col("component").alias("of_a")), "a").join(parts.select(F.col("key").alias("b"), F.col("component").alias("of_b")), "b")
-    between = stored(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct(), "between")
+    between, found = stored_counting(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct(), "between")
+    if not found.get("rows", 0):
+        return parts
     merged = connected_components(parts.select(F.col("component").alias("key")), between).select(F.col("key").alias("component"), F.col("component").alias("merged"))
     return broadcast(stored(parts.join(merged, "component").select("key", "n", F.col("merged").alias("component")), "parts"))
 
@@ -268,8 +273,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
     parts = small(rows.select("key", "n", F.col("key").alias("component")))
     for k, partners in enumerate(PARTNERS):
         pairs, found = stored_counting(_star_pairs(index, parts, similarity, k, partners), f"pairs-{k}")
-        parts = _joined(parts, stored(_star_links(pairs, found.get("rows", 0), parts, rows, similarity), f"links-{k}"), small)
-    parts = _joined(parts, stored(_crossing_links(index, parts, rows, similarity), "crossing"), small)
+        if found.get("rows", 0):
+            parts = _joined(parts, stored(_star_links(pairs, found["rows"], parts, rows, similarity), f"links-{k}"), small)
+    crossing = _crossing_links(index, parts, rows, similarity)
+    if crossing is not None:
+        parts = _joined(parts, stored(crossing, "crossing"), small)
     drop_stored(index)
 
     # From keys to the smallest doc_id of each component
