@@ -411,7 +411,7 @@ def math_eval(spark, d):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     forms = [text(n, " * 3 + ", o), text("-", n, "^2"), text(o, "*(", n, "+2) - 7 % ", n), text(n, "^3^1"), text(o, "/(", n, "-", n, ")"), text("+", n, "/8.")]
     chosen = F.element_at(F.array(*forms), (F.col("l_orderkey") % 6 + 1).cast("int"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.math_value(chosen).alias("value"))
+    return tables.spread(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", chosen.alias("text"))).select("l_orderkey", "l_linenumber", X.math_value(F.col("text")).alias("value"))
 
 
 @registered("select p_partkey, ([i - 1 for i in range(1, length(p_name) + 1) if lower(p_name)[i] = 'l'])[1:3]::varchar as starts from part")

@@ -68,6 +68,12 @@ def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over one partition for each core, if the scan has fewer: all rows of a small file are one task's else. A scan of more partitions stays as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def first_of_each(frame: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row for each key, the first by order."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
