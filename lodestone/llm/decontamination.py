@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import broadcast_if_small, read, stored
+from lodestone.llm.stored import broadcast_if_small, read, spread, stored
 
 SHINGLE = 5
 #: Of 100: so much of an item's distinct shingles makes a document contaminated.
@@ -86,7 +86,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, contained: int = CONT
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contained_items(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item_shingles", "n_matched", "containment")
 
 

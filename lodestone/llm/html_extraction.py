@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.html_blocks import ARTICLE, CHROME, COMMENTS, MAIN, NAMED, NEUTRAL, Page, parsed
-from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
+from lodestone.llm.stored import broadcast_if_small, read, small_batches, spread, stored
 from lodestone.llm.text_arrays import slices, windows, word_hashes, word_spans
 
 #: Weight of content against presentation in a branch, and the different pages that a path is judged from.
@@ -185,4 +185,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(read(spark, sf_dir, "pages"))
+    return main_text(spread(read(spark, sf_dir, "pages")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.stored import read, small_batches
+from lodestone.llm.stored import read, small_batches, spread
 from lodestone.llm.text_arrays import slices
 
 #: Labelled rows that training takes at most, over all languages.
@@ -200,7 +200,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     model = train(docs, ~held_out())
     return identify(docs.withColumn("held_out", held_out()), model, {"doc_id": "long", "held_out": "boolean"})
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.notices import all_notices, identifiers
-from lodestone.llm.stored import read, small_batches
+from lodestone.llm.stored import read, small_batches, spread
 
 COVERAGE = 0.75
 #: Around each hit of an anchor word a window of a notice's length either way is aligned; from this length on, hits within half of it share one.
@@ -169,4 +169,4 @@ def license_scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, c
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read(spark, sf_dir, "documents"))
+    return license_scan(spread(read(spark, sf_dir, "documents")))

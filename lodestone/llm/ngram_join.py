@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.stored import BROADCAST_ROWS, broadcast_if_small, drop_stored, read, small_batches, stored, stored_counting
+from lodestone.llm.stored import BROADCAST_ROWS, broadcast_if_small, drop_stored, read, small_batches, spread, stored, stored_counting
 from lodestone.llm.text_arrays import mix, shingle_sets
 
 #: Of 100: two sets link from this similarity on.
@@ -290,7 +290,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(spread(read(spark, sf_dir, "documents")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:

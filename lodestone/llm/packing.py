@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import broadcast_if_small, read, small_batches, stored
+from lodestone.llm.stored import broadcast_if_small, read, small_batches, spread, stored
 from lodestone.llm.tokens import encoder
 
 LONGEST = 4096
@@ -78,4 +78,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = LONGEST, w
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, with_ids=False)
+    return pack(spread(read(spark, sf_dir, "documents")), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 2, with_ids=False)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.stored import read, small_batches
+from lodestone.llm.stored import read, small_batches, spread
 from lodestone.llm.text_arrays import SPACE, mix, slices, windows, word_hashes, word_spans
 
 #: Labelled documents that training takes at most, half of either quality if there are so many.
@@ -282,7 +282,7 @@ def judged(docs: DataFrame, field: Field, carry: dict[str, str], content_share:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return judged(docs, train(docs, read(spark, sf_dir, "labels")), {"doc_id": "long"})
 
 

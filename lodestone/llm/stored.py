@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.sources import tables
-from lodestone.sources.tables import drop_stored, new_folder, stored, stored_counting
+from lodestone.sources.tables import drop_stored, new_folder, spread, stored, stored_counting
 
-__all__ = ["broadcast_if_small", "drop_stored", "new_folder", "read", "small_batches", "stored", "stored_counting"]
+__all__ = ["broadcast_if_small", "drop_stored", "new_folder", "read", "small_batches", "spread", "stored", "stored_counting"]
 
 #: A side of a join is broadcast up to so many rows (of a few numbers each); beyond it Spark joins by shuffles.
 BROADCAST_ROWS = 500_000

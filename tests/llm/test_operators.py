@@ -466,6 +466,13 @@ def test_sharding(spark, docs, texts, nothing):
         of_text[r["text_crc32"]].add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of_text.values())
     assert shard_documents(nothing).count() == 0
+    # one text a third of all rows, and many of about one size
+    many = [(k, prose(k, 30)) for k in range(400)] + [(1000 + k, prose(7, 30)) for k in range(200)]
+    bytes_of = Counter()
+    for r in shard_documents(spark.createDataFrame(many, "doc_id long, text string"), shards=6).collect():
+        bytes_of[r["shard"]] += r["size"]
+    least, *_, second, hot = sorted(bytes_of.values())
+    assert len(bytes_of) == 6 and hot == 201 * (len(prose(7, 30)) + 16) and second - least <= 2 * max(len(t) + 16 for _, t in many)
 
     def needed(sizes, capacity):
         n, filled = 1, 0
@@ -489,6 +496,8 @@ def test_sharding(spark, docs, texts, nothing):
             filled[found[cell]] += x
         order = [found[cell] for cell, _ in rest]
         assert max(filled.values()) <= best and order == sorted(order) and set(found) == set(range(len(sizes)))
+        # no shard is short: each is within the largest size of an even share
+        assert len(filled) == open_shards and min(filled.values()) >= sum(x for _, x in rest) / open_shards - max(x for _, x in rest)
 
 
 def test_decontamination(spark, docs, texts, nothing):
