@@ -33,7 +33,7 @@ LONGEST = 4
 #: One in so many sampled rows calibrates.
 CALIBRATES = 4
 #: A text goes unless its language is right with this chance by its calibrated score; of calibrating rows no more than this share goes.
-LEAST_SURE, MOST_REJECTED = 0.8, 0.005
+LEAST_SURE, MOST_REJECTED = 0.7, 0.002
 #: Labels that calibration takes to be drawn at random, so that a part without errors doesn't make every score 1.
 DOUBT = 0.01
 UNKNOWN = "und"
