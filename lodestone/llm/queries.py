@@ -8,6 +8,7 @@ from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.license_scan import op8_license_scan
 from lodestone.llm.ngram_join import op3_ngram_jaccard_join
 from lodestone.llm.packing import op9_packing
+from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality_rules import op7_quality_rules
 from lodestone.llm.sharding import op6_sharding
 from lodestone.llm.token_files import op4_token_files
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: The others need models, hashes or tokenizers that SQL doesn't have; tests hold them against plain Python.
