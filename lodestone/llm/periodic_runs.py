@@ -218,7 +218,7 @@ def _found(least_periods: int, least_words: int):
                 last[:-1] = text[1:] != text[:-1]
                 inside = np.zeros(len(data) + 1, np.int8)
                 inside[starts[word]] += 1
-                np.subtract.at(inside, ends[word] + ~last, 1)
+                inside[ends[word] + ~last] -= 1
                 stays = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
                 at = np.concatenate([[0], np.cumsum(stays)])[offsets].astype(np.int32)
                 collapsed = pa.StringArray.from_buffers(len(runs), pa.py_buffer(at.tobytes()), pa.py_buffer(np.where(SPACE[data], 32, data)[stays].astype(np.uint8).tobytes()))

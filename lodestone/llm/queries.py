@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lodestone.llm.decontamination import OP10_SQL, op10_decontamination
+from lodestone.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from lodestone.llm.html_extraction import op5_html_extraction
 from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.license_scan import op8_license_scan
+from lodestone.llm.nearest_vectors import op11_nearest_vectors
 from lodestone.llm.ngram_join import op3_ngram_jaccard_join
 from lodestone.llm.packing import op9_packing
 from lodestone.llm.periodic_runs import op12_periodic_runs
@@ -25,8 +27,10 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_nearest_vectors": op11_nearest_vectors,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-#: The others need models, hashes or tokenizers that SQL doesn't have; tests hold them against plain Python.
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op10_decontamination": OP10_SQL}
+#: The others need models, hashes, tokenizers or automata that SQL doesn't have, or are approximate; tests hold them against plain Python.
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_hard_negatives": OP13_SQL}
