@@ -91,6 +91,16 @@ def known_folder_path(rest: Column, folders: dict[str, str] = KNOWN_FOLDERS) ->
     return F.when(at > 0, F.concat(base, F.lit("\\"), tail))
 
 
+def canonical_path(path: Column) -> Column:
+    """The lower path with one kind of separator and without empty, "." and ".." steps; what stands at a network path's beginning stays."""
+    low = F.translate(F.lower(F.trim(path)), "/", "\\")
+    start = F.regexp_extract(low, r"^(?:\\\\|\\)?", 0)
+    steps = F.filter(F.split(low, r"\\"), lambda s: (s != "") & (s != "."))
+    back = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", back(done)).otherwise(F.array_append(done, s)))
+    return F.concat(start, F.array_join(walked, "\\"))
+
+
 def _web_page(lower: Column) -> Column:
     return lower.startswith("http") | lower.rlike(r"\.(?:url|html|htm)$")
 

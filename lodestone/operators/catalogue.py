@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import app_name_score, file_name_key, known_folder_path, launchable, normalized_app_name, stem
+from lodestone.functions.names import app_name_score, canonical_path, file_name_key, known_folder_path, launchable, normalized_app_name, stem
+from lodestone.functions.text import package_exe
 from lodestone.sources.tables import first_of_each
 
 ORDER = ["src_prio", "ordinal"]
@@ -30,33 +31,50 @@ def first_by_path(apps: DataFrame) -> DataFrame:
     return first_of_each(apps.withColumn("path_lower", F.lower("path")), ["path_lower"], ORDER)
 
 
-def with_target(apps: DataFrame, links: DataFrame) -> DataFrame:
-    """apps with target: a link's target (links: path, target), else the path itself, lower; of an id the path in its known folder, null in no known one."""
-    low = links.select(F.lower("path").alias("path_lower"), F.lower("target").alias("linked")).distinct()
-    whole = apps.withColumn("path_lower", F.lower("path")).join(first_of_each(low, ["path_lower"], ["linked"]), "path_lower", "left")
-    of_id = F.lower(known_folder_path(F.regexp_extract("path_lower", r"(?s)^aumid:(.*)$", 1)))
-    own = F.when(F.col("path_lower").startswith("aumid:"), of_id).when(~F.col("path_lower").endswith(".lnk"), F.col("path_lower"))
-    return whole.withColumn("target", F.coalesce("linked", own)).drop("linked")
+def with_target(apps: DataFrame, links: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """apps with target, the canonical path of what an entry starts, and package_file, the file name in a Store id without a path; null if there is none.
+
+    links: path, target of shortcuts. An id stands for the path behind it: one in a known folder or one that ends with .exe. Of a
+    shortcut the target is that of its link, of an .exe itself; other entries and ids of other paths have none. aliases (path, canonical): other
+    names of a path, like short ones. Of several links of a path, and several names, the first in order counts.
+    """
+    low = links.select(F.lower("path").alias("_real"), F.lower("target").alias("_linked")).groupBy("_real").agg(F.min("_linked").alias("_linked"))
+    path, is_id = F.lower(F.trim("path")), F.lower(F.trim("path")).startswith("aumid:")
+    rest = F.regexp_extract(path, r"(?s)^aumid:(.*)$", 1)
+    behind = F.coalesce(F.lower(known_folder_path(rest)), F.when(rest.endswith(".exe"), rest))
+    whole = apps.withColumns({"path_lower": F.lower("path"), "_real": F.when(is_id, behind).otherwise(path)}).join(low, "_real", "left")
+    target = F.when(F.col("_real").endswith(".lnk"), F.col("_linked")).when(F.col("_real").endswith(".exe"), F.col("_real"))
+    store = F.when(is_id & F.col("_real").isNull(), F.concat(package_exe(rest), F.lit(".exe")))
+    whole = whole.withColumns({"target": canonical_path(target), "package_file": store}).drop("_real", "_linked")
+    if aliases is None:
+        return whole
+    named = aliases.select(canonical_path(F.col("path")).alias("target"), canonical_path(F.col("canonical")).alias("_canonical")).groupBy("target").agg(F.min("_canonical").alias("_canonical"))
+    return whole.join(named, "target", "left").withColumn("target", F.coalesce("_canonical", "target")).drop("_canonical")
 
 
 def one_of_target(apps: DataFrame) -> DataFrame:
-    """Of entries with one target the best named; of one file name, if an id's entry has it, too. Ties keep the earlier one.
+    """Of entries that stand for one target the best named; ties keep the earlier one.
 
-    apps: name, path, target, src_prio, ordinal. Both steps are windows over sets, so no order of merging matters.
+    apps: name, path, target, package_file, src_prio, ordinal. Entries are a graph over two kinds of keys. Entries of one target are
+    together. Store ids with one file name are together, and with the first target, in the order of its entries, that has this file
+    name. Two targets are never joined, neither by a common file name nor through a Store id, so each component is a target or a file
+    name and is found by one join; no order of rows matters. Entries without either are alone, but for copies of their path. Groups are
+    aggregated before they are shuffled, so a target that most entries share is no hot key.
     """
-    scored = apps.withColumn("_score", app_name_score(F.col("name"), F.col("path"), F.col("target")))
-    best = [F.desc("_score"), *ORDER]
-    alone = F.concat(F.lit("?"), F.lower("path"))
-    one = first_of_each(scored.withColumn("_key", F.coalesce("target", alone)), ["_key"], best)
-    of_id = F.max(F.lower("path").startswith("aumid:")).over(Window.partitionBy("_file"))
-    named = one.withColumn("_file", F.coalesce(file_name_key(F.col("target")), alone)).withColumn("_id", of_id)
-    return first_of_each(named.withColumn("_key", F.when(F.col("_id"), F.col("_file")).otherwise(F.col("_key"))), ["_key"], best).drop("_score", "_key", "_file", "_id")
+    place = F.struct(*ORDER, F.lower("path").alias("path"))
+    asked = apps.where("package_file is not null").select(F.col("package_file").alias("_file")).distinct()
+    own_file = apps.where("target is not null").withColumn("_file", file_name_key(F.col("target")))
+    first = own_file.join(asked, "_file", "left_semi").groupBy("_file").agg(F.min_by("target", place).alias("_joined"))
+    whole = apps.join(first, F.col("package_file") == F.col("_file"), "left").withColumn("_score", app_name_score(F.col("name"), F.col("path"), F.col("target")))
+    key = F.coalesce("target", "_joined", F.concat(F.lit("file?"), F.col("package_file")), F.concat(F.lit("path?"), F.lower("path")))
+    best = F.min_by(F.struct(*apps.columns), F.struct(-F.col("_score"), *ORDER, F.col("path"), F.col("name")))
+    return whole.groupBy(key.alias("_key")).agg(best.alias("_best")).select("_best.*")
 
 
-def discover(sources: DataFrame, links: DataFrame) -> DataFrame:
+def discover(sources: DataFrame, links: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """The catalogue of launchable entries in name order."""
     usable = sources.where(launchable(F.col("path")))
-    return one_of_target(with_target(first_by_path(first_by_name(usable)).drop("path_lower"), links)).orderBy(F.lower("name"), "path")
+    return one_of_target(with_target(first_by_path(first_by_name(usable)).drop("path_lower"), links, aliases)).orderBy(F.lower("name"), "path")
 
 
 def same_pool(a: DataFrame, b: DataFrame) -> DataFrame:

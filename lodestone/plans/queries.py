@@ -624,6 +624,46 @@ def one_of_target(spark, d):
     return catalogue.discover(apps, links).select("name", "target")
 
 
+#: Entries of six kinds around the same executables: by path, shortcut, ids with a path, in a known folder and without a path, and an id of no executable there.
+_BRIDGED = r"""
+with e as (
+  select s_suppkey as k, s_suppkey % 6 as kind, s_suppkey // 12 as tool, s_suppkey // 6 % 2 as v,
+    case when s_suppkey % 5 = 0 then 'TOOL ' || s_suppkey when s_suppkey % 6 = 0 then 'Tool' || s_suppkey // 12 else 'Tool ' || s_suppkey end as name from supplier),
+t as (
+  select *, case kind when 0 then 'd:\v' || v || '\tool' || tool || '.exe' when 1 then 'd:\v' || v || '\tool' || tool || '.exe' when 3 then 'd:\v' || v || '\tool' || tool || '.exe'
+    when 4 then 'c:\windows\system32\tool' || tool || '.exe' end as target, case kind when 2 then 'tool' || tool || '.exe' when 5 then 'other' || tool || '.exe' end as store from e),
+f as (select split_part(target, '\', -1) as file, min_by(target, k) as joined from t where target is not null group by 1),
+g as (
+  select t.*, coalesce(target, joined, store) as key,
+    case when regexp_matches(name, '[a-z]') then 4 else -4 end - length(name) // 8 + case when kind = 3 then 2 else 0 end
+      + case when target is null then 0 when lower(replace(name, ' ', '')) || '.exe' = split_part(target, '\', -1) then -8 when contains(name, ' ') then 3 else 0 end as score
+  from t left join f on store = file)
+select name, target, store as package_file from g qualify row_number() over (partition by key order by score desc, k) = 1
+"""
+
+
+@registered(_BRIDGED)
+def target_graph(spark, d):
+    """Entries that stand for one executable, some of them only through the file name in a Store id."""
+    s = read(spark, d, "supplier")
+    key, kind = F.col("s_suppkey"), F.col("s_suppkey") % 6
+    tool, text = F.concat(F.lit("TOOL"), F.floor(key / 12).cast("string")), key.cast("string")
+    at = F.concat(F.lit("D:\\V"), (F.floor(key / 6) % 2).cast("string"))
+    link = F.concat(F.lit("C:\\links\\"), text, F.lit(".lnk"))
+    paths = [
+        F.concat(at, F.lit("\\"), tool, F.lit(".EXE")),
+        F.concat(F.lit("aumid:"), at, F.lit("/./"), tool, F.lit(".exe")),
+        F.concat(F.lit("aumid:Vendor.Suite."), tool, F.lit(".EXE.15")),
+        link,
+        F.concat(F.lit("aumid:{1AC14E77-02E7-4E5D-B744-2EB1AE5198B7}\\"), tool, F.lit(".exe")),
+        F.concat(F.lit("aumid:Other"), F.floor(key / 12).cast("string"), F.lit(".exe.1_x!App")),
+    ]
+    name = F.when(key % 5 == 0, F.concat(F.lit("TOOL "), text)).when(kind == 0, F.concat(F.lit("Tool"), F.floor(key / 12).cast("string"))).otherwise(F.concat(F.lit("Tool "), text))
+    apps = s.select(name.alias("name"), F.coalesce(*[F.when(kind == k, p) for k, p in enumerate(paths)]).alias("path"), F.lit(1).alias("src_prio"), key.alias("ordinal"))
+    links = s.where(kind == 3).select(F.upper(link).alias("path"), F.concat(at, F.lit("\\x\\..\\"), tool, F.lit(".exe")).alias("target"))
+    return catalogue.one_of_target(catalogue.with_target(apps, links)).select("name", "target", "package_file")
+
+
 @registered("select p_partkey, case when p_partkey % 3 = 0 then 1 else 2 end as n, p_name || ' & <co>' as title, 'http://x/' || p_partkey as url, 'a ' || p_brand as snippet from part")
 def rss_items(spark, d):
     """Feeds of two items, of which the second has no link in every third one."""

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import launchable
+from lodestone.sources.versions import commit, delete, file_of, newest, read_json, versions
 
 SNAPSHOT_FORMAT = 2
 SCAN = "drive string, file_ref long, parent_ref long, name string, is_dir boolean"
 EVENTS = "drive string, seq long, op string, file_ref long, old_ref long, parent_ref long, name string, is_dir boolean"
-VERSIONS = "version long, format int, folder string, tables array<struct<name: string, rows: long>>"
 CHECKPOINTS = "drive string, journal_id long, next_seq long"
 BROADCAST_ROWS = 200_000
 
@@ -88,10 +88,10 @@ def parsed_records(raw: DataFrame) -> DataFrame:
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str | None = None) -> int | None:
-    """Writes the tables under path, then publishes them as the next version with one row; readers see old or new. Returns the version.
+    """Writes the tables under path, then publishes them as the next version with one small file; readers see old or new. Returns the version.
 
-    Each writer has a folder of its own, so two at once don't overwrite each other; of rows with one version
-    the one with the greater folder counts. keep_if_empty: a table without which nothing is published (None is returned).
+    Each writer has a folder of its own, and of several at once each publishes a version of its own, in the order of their
+    commits. keep_if_empty: a table without which nothing is published (None is returned).
     """
     spark = next(iter(tables.values())).sparkSession
     folder = f"w{time.time_ns():020d}-{uuid.uuid4().hex}"
@@ -102,42 +102,31 @@ def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str |
         rows[name] = seen.get.get("rows", 0)
     if keep_if_empty and not rows[keep_if_empty]:
         return None
-    version = (latest_version(spark, path) or 0) + 1
-    spark.createDataFrame([(version, SNAPSHOT_FORMAT, folder, sorted(rows.items()))], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/_versions")
-    return version
-
-
-def _versions(spark: SparkSession, path: str) -> DataFrame | None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return None
-    return spark.read.schema(VERSIONS).parquet(f"{path}/_versions")
+    document = {"format": SNAPSHOT_FORMAT, "folder": folder, "tables": rows}
+    return commit(spark, f"{path}/_versions", lambda _: document)[0]
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    versions = _versions(spark, path)
-    return None if versions is None else versions.agg(F.max("version")).first()[0]
+    return max(versions(spark, f"{path}/_versions"), default=None)
 
 
 def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
     """The tables of the newest version; None if there is none or its format is another one, which asks for a rebuild."""
-    versions = _versions(spark, path)
-    newest = None if versions is None else versions.orderBy(F.desc("version"), F.desc("folder")).first()
-    if newest is None or newest["format"] != SNAPSHOT_FORMAT:
+    found = newest(spark, f"{path}/_versions")
+    if found is None or found[1]["format"] != SNAPSHOT_FORMAT:
         return None
-    return {name: spark.read.parquet(f"{path}/{newest['folder']}/{name}") for name, _ in newest["tables"]}
+    return {name: spark.read.parquet(f"{path}/{found[1]['folder']}/{name}") for name in sorted(found[1]["tables"])}
 
 
 def drop_old_versions(spark: SparkSession, path: str, kept: int = 2) -> list[str]:
-    """Deletes the folders of all but the newest `kept` versions; a reader of an older one has to load anew. Returns them."""
-    versions = _versions(spark, path)
-    if versions is None:
-        return []
-    published = [r["folder"] for r in versions.orderBy(F.desc("version"), F.desc("folder")).select("folder").collect()]  # a row for each save
-    for folder in published[kept:]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return published[kept:]
+    """Deletes all but the newest `kept` versions and their folders; a reader of an older one has to load anew. Returns the folders."""
+    log = f"{path}/_versions"
+    dropped = []
+    for version in versions(spark, log)[:-kept]:
+        name = file_of(log, version)
+        dropped.append(read_json(spark, name)["folder"])
+        delete(spark, f"{path}/{dropped[-1]}", name)
+    return dropped
 
 
 def validate_snapshot(tables: dict[str, DataFrame]) -> DataFrame:

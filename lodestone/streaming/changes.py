@@ -1,13 +1,12 @@
 """Change data: an ordered journal for each drive, merged into state that remembers what it has seen.
 
-State has one row for each (drive, file_ref) ever named, with the last change's seq and whether that
-deleted it. A merge takes the latest of state and batch, so batches may come in any order and twice.
+State has one row for each (drive, file_ref) named, with the last change's seq and whether that
+deleted it. A merge takes the latest of state and batch, so batches may come in any order and twice. How it is stored: log_state.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from datetime import datetime
 
 from pyspark.errors import StreamingQueryException
@@ -16,9 +15,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.hierarchy import with_ancestry
 from lodestone.sources.tables import EVENTS, save_snapshot
+from lodestone.streaming.log_state import RECORD, add_run, is_due, latest, load_manifest, mark_saved, state_of
+from lodestone.streaming.log_state import STATE as STATE
+from lodestone.streaming.log_state import load_state as load_state
 
-STATE = "drive string, file_ref long, parent_ref long, name string, is_dir boolean, seq long, gone boolean"
-RECORD = ["parent_ref", "name", "is_dir"]
 #: Journal reasons, by which a record is one change.
 DELETE, RENAMED, CREATE, RENAMED_FROM = 0x200, 0x2000, 0x100, 0x1000
 
@@ -40,9 +40,7 @@ def changes(events: DataFrame) -> DataFrame:
 
 def merged(state: DataFrame, events: DataFrame) -> DataFrame:
     """The state after the events: the last change of each (drive, file_ref); of one seq the deletion."""
-    whole = state.unionByName(changes(events))
-    last = F.max_by(F.struct(*RECORD, "gone"), F.struct("seq", "gone")).alias("r")
-    return whole.groupBy("drive", "file_ref").agg(last, F.max("seq").alias("seq")).select("drive", "file_ref", *[f"r.{c}" for c in RECORD], "seq", "r.gone")
+    return latest(state.unionByName(changes(events)))
 
 
 def live(state: DataFrame) -> DataFrame:
@@ -79,79 +77,47 @@ def with_junk(state: DataFrame, junk_refs: DataFrame, **options) -> tuple[DataFr
     return whole.where("not is_junk").drop("is_junk"), whole.where("is_junk").select("drive", "file_ref").unionByName(pruned)
 
 
-#: State is kept in so many parts by a hash of its key; a batch rewrites those that it touches.
-BUCKETS = 64
-_MANIFEST = "version long, folders map<int, string>, positions map<string, long>, batches long"
-
-
-def _bucket():
-    return F.pmod(F.xxhash64("drive", "file_ref"), F.lit(BUCKETS)).cast("int")
-
-
-def _manifest(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return None
-    return spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").orderBy(F.desc("version")).first()
-
-
-def _parts(spark: SparkSession, folders: list[str]) -> DataFrame:
-    return spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
-
-
-def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(state, checkpoints: drive, next_seq) after the last batch; None before the first one."""
-    newest = _manifest(spark, path)
-    if newest is None:
-        return None
-    return _parts(spark, sorted(newest["folders"].values())), spark.createDataFrame(sorted(newest["positions"].items()), "drive string, next_seq long")
-
-
 def apply_batch(spark: SparkSession, path: str, batch: DataFrame) -> int:
-    """Merges a batch into the state under path and publishes the next version; an empty first state is fine. Returns the version.
+    """Adds a batch to the state under path and publishes the next version; an empty first state is fine. Returns the version.
 
-    Only the buckets that the batch touches are read and written, each to a folder of its own; the manifest, one row,
-    names the folder of every bucket and each drive's position. A batch may come again, as after a crash. One writer at a time.
+    What is written grows with the batch, not with the state (see log_state). A batch may come again, as after a crash, and
+    several writers may add batches at once.
     """
-    newest = _manifest(spark, path)
-    folders = dict(newest["folders"]) if newest else {}
-    positions = dict(newest["positions"]) if newest else {}
     batch = batch.persist()  # a batch, not the state
     try:
-        touched = [r["bucket"] for r in changes(batch).select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
-        for r in batch.groupBy("drive").agg(F.max("seq").alias("seq")).collect():  # a row for each drive
-            positions[r["drive"]] = max(r["seq"], positions.get(r["drive"], r["seq"]))
-        if touched:
-            state = _parts(spark, [folders[b] for b in sorted(touched) if b in folders])
-            folder = f"{path}/state/{uuid.uuid4().hex}"
-            merged(state, batch).withColumn("bucket", _bucket()).repartition(min(len(touched), BUCKETS), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
-            folders |= {b: f"{folder}/bucket={b}" for b in touched}
+        found = batch.groupBy("drive").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).collect()  # a row for each drive
+        positions = {r["drive"]: r["seq"] for r in found if r["drive"] is not None and r["seq"] is not None}
+        return add_run(spark, path, changes(batch), positions, sum(r["n"] for r in found))
     finally:
         batch.unpersist()
-    version = (newest["version"] if newest else 0) + 1
-    row = (version, folders, positions, (newest["batches"] if newest else 0) + 1)
-    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
-    return version
 
 
 def compact(spark: SparkSession, path: str, snapshot: str, roots: DataFrame, junk_refs: DataFrame, every: int = 1, **options) -> int | None:
-    """Saves entries, junk_refs, roots and checkpoints of the state as a snapshot after each `every` batches, and deletes folders of state that no bucket has any more.
+    """Saves entries, junk_refs, roots and checkpoints of the state as a snapshot after each `every` batches.
 
     Nothing is published if it isn't time or if there are no entries: the old snapshot stays. Returns the snapshot's version.
     """
-    newest = _manifest(spark, path)
-    if newest is None or newest["batches"] % every:
+    newest = load_manifest(spark, path)
+    if newest is None or newest[1]["batches"] % every:
+        return None
+    return _saved(spark, path, newest[1], snapshot, roots, junk_refs, **options)
+
+
+def save_if_due(spark: SparkSession, path: str, snapshot: str, roots: DataFrame, junk_refs: DataFrame, events: int = 500, seconds: float = 30.0, **options) -> int | None:
+    """Saves a snapshot as `compact` does if `events` are pending and the last save is `seconds` ago; None otherwise."""
+    newest = load_manifest(spark, path)
+    if newest is None or not is_due(newest[1], time.time(), events, seconds):
         return None
-    state, checkpoints = load_state(spark, path)
+    return _saved(spark, path, newest[1], snapshot, roots, junk_refs, **options)
+
+
+def _saved(spark: SparkSession, path: str, manifest: dict, snapshot: str, roots: DataFrame, junk_refs: DataFrame, **options) -> int | None:
+    state = state_of(spark, path, manifest)
+    checkpoints = spark.createDataFrame(sorted(manifest["positions"].items()), "drive string, next_seq long")
     entries, junk = with_junk(state, junk_refs, roots=roots, **options)
     saved = save_snapshot({"entries": entries, "junk_refs": junk, "roots": roots, "checkpoints": checkpoints}, snapshot, keep_if_empty="entries")
-    used = {f.rpartition("/")[0] for f in newest["folders"].values()}
-    everything = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest").where(F.col("version") < newest["version"])
-    old = everything.select(F.explode(F.map_values("folders")).alias("folder")).select(F.regexp_replace("folder", "/bucket=[0-9]+$", "").alias("folder")).distinct()
-    for r in old.collect():  # a row for each batch
-        if r["folder"] not in used:
-            place = spark._jvm.org.apache.hadoop.fs.Path(r["folder"])
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if saved is not None:
+        mark_saved(spark, path, manifest)
     return saved
 
 
@@ -166,13 +132,13 @@ def keep_replaying(spark: SparkSession, source: str, path: str, checkpoint: str,
     """Runs `replay` to its end, again after a failure; most_failures in a row without a new version of the state raise the last one. Returns how often it failed."""
     failures = in_row = 0
     while True:
-        before = (_manifest(spark, path) or {"version": 0})["version"]
+        before = (load_manifest(spark, path) or (0,))[0]
         try:
             replay(spark, source, path, checkpoint).awaitTermination()
             return failures
         except StreamingQueryException:
             failures += 1
-            in_row = 1 if (_manifest(spark, path) or {"version": 0})["version"] > before else in_row + 1
+            in_row = 1 if (load_manifest(spark, path) or (0,))[0] > before else in_row + 1
             if in_row >= most_failures:
                 raise
             time.sleep(pause)

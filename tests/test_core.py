@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import names as N
 from lodestone.functions import text as X
 from lodestone.operators import catalogue, hierarchy, search
-from lodestone.sources import tables
-from lodestone.streaming import changes
+from lodestone.sources import tables, versions
+from lodestone.streaming import changes, log_state
 
 
 def records(spark, rows, drive="C"):
@@ -185,6 +185,53 @@ def test_catalogue(spark):
     assert names_of(search.app_search(apps, freq, "word")) == ["Word", "WordPad", "My Word"] and names_of(search.app_search(apps, freq, ""))[0] == "WordPad"
 
 
+def test_target_graph(spark):
+    """The graph of targets: three pairs that it has to tell apart, and random catalogues in any order against a search of components."""
+    import itertools
+
+    def found(rows, links=(), aliases=None):
+        apps = spark.createDataFrame([(n, p, 1, k) for k, (n, p) in enumerate(rows)], "name string, path string, src_prio int, ordinal int")
+        links = spark.createDataFrame(list(links), "path string, target string")
+        aliases = aliases and spark.createDataFrame(aliases, "path string, canonical string")
+        return sorted(names_of(catalogue.one_of_target(catalogue.with_target(apps, links, aliases))))
+
+    word = [("Microsoft Word", "aumid:Microsoft.Office.WINWORD.EXE.15"), ("WINWORD", "C:\\s\\w.lnk")]
+    assert found(word, [("C:\\s\\w.lnk", "C:\\o\\WINWORD.EXE")]) == ["Microsoft Word"]
+    assert found([("Some App", "aumid:C:\\x\\app.exe"), ("app", "C:\\x\\app.exe")]) == ["Some App"]
+    folder = "aumid:{1AC14E77-02E7-4E5D-B744-2EB1AE5198B7}\\notepad.exe"
+    assert found([("Notepad", folder), ("notepad", "D:\\tools\\notepad.exe")]) == ["Notepad", "notepad"]
+    assert found([("Notepad", folder), ("notepad", "c:/windows/./system32/x/../notepad.exe")]) == ["Notepad"]
+    # two channels of one file name stay two, with a Store id, too, whatever the order
+    channels = [("Chrome", "C:\\a\\chrome.exe"), ("Chrome Beta", "C:\\b\\chrome.exe"), ("Google Chrome", "aumid:Google.chrome.exe.1")]
+    for rows in itertools.permutations(channels):
+        assert len(found(rows)) == 2
+    assert found([("Long", "C:\\Progra~1\\x.exe"), ("long name", "C:\\Program Files\\x.exe")], aliases=[("C:\\PROGRA~1\\X.EXE", "C:\\Program Files\\x.exe")]) == ["Long"]
+    assert found([("a", "ms-settings:x"), ("b", "ms-settings:y"), ("c", "aumid:plain!App"), ("d", "C:\\no.lnk")]) == ["a", "b", "c", "d"]
+    tokens = one(spark, X.package_exe(F.col("a")), [("Microsoft.Office.WINWORD.EXE.15",), ("a!b.exe.1",), ("x.a!b.exe.c.exe.d",), ("plain",), (".exe.",), ("x_1-a.exe",)])
+    assert tokens == ["winword", None, "c", None, None, "x_1-a"]
+    paths = one(spark, N.canonical_path(F.col("a")), [(" C:\\A\\..\\b//.\\C.exe ",), ("\\\\srv\\x\\..\\y",), ("C:\\..\\..\\a",), ("a/b/../../c",), (None,), ("",)])
+    assert paths == ["c:\\b\\c.exe", "\\\\srv\\y", "c:\\a", "a\\c", None, ""]
+
+    rng = random.Random(21)
+    for _ in range(6):
+        rows, keys = [], []
+        for k in range(40):
+            exe, folder = rng.choice(["a.exe", "b.exe", "c.exe", "d.exe"]), rng.choice("xyz")
+            path, target, store = rng.choice([(f"C:\\{folder}\\{exe}", f"c:\\{folder}\\{exe}", None), (f"aumid:c:\\{folder}\\{exe}", f"c:\\{folder}\\{exe}", None), (f"aumid:V.{exe}.{folder}", None, exe), (f"aumid:{exe}!{k}", None, None)])
+            rows.append((f"{rng.choice(['App', 'APP', 'app x'])}{k}", path, rng.randint(0, 2), k))
+            keys.append((target, store))
+        order = sorted(range(40), key=lambda k: rows[k][2:])
+        group = {}
+        for k, (target, store) in enumerate(keys):
+            first = next((keys[j][0] for j in order if keys[j][0] and keys[j][0].endswith("\\" + store)), store) if store else None
+            group.setdefault(target or first or rows[k][1].lower(), []).append(k)
+        scores = [r["s"] for r in spark.createDataFrame([(r[3], r[0], r[1], t) for r, (t, _) in zip(rows, keys, strict=True)], "k int, name string, path string, target string").select("k", N.app_name_score(F.col("name"), F.col("path"), F.col("target")).alias("s")).orderBy("k").collect()]
+        expected = sorted(rows[min(g, key=lambda k: (-scores[k], *rows[k][2:]))][0] for g in group.values())
+        rng.shuffle(rows)
+        apps = spark.createDataFrame(rows, "name string, path string, src_prio int, ordinal int")
+        assert sorted(names_of(catalogue.one_of_target(catalogue.with_target(apps, spark.createDataFrame([], "path string, target string"))))) == expected
+
+
 def test_executables(spark):
     apps = spark.createDataFrame(
         [
@@ -282,8 +329,8 @@ def test_junk_under_change(spark):
 
 
 def test_random_batches_into_buckets(spark, tmp_path, monkeypatch):
-    """Batches of a journal in state by buckets, some of them twice, against a dictionary; junk against a walk."""
-    monkeypatch.setattr(changes, "BUCKETS", 4)
+    """Batches of a journal in state that is merged often, some of them twice, against a dictionary; junk against a walk."""
+    monkeypatch.setattr(log_state, "LEVEL0_RUNS", 2)
     path, rng, model, seq = f"file://{tmp_path}/state", random.Random(11), {}, 0
     for _ in range(8):
         batch = []
@@ -336,7 +383,7 @@ def test_snapshot_and_replay(spark, tmp_path):
     for _ in range(2):
         tables.save_snapshot({"entries": found["entries"]}, saved)
     assert len(tables.drop_old_versions(spark, saved)) == 1 and tables.load_snapshot(spark, saved)["entries"].count() == 2
-    spark.createDataFrame([(99, 0, "x", [("state", 1)])], tables.VERSIONS).write.mode("append").parquet(f"{saved}/_versions")
+    assert versions.publish(spark, f"{saved}/_versions", 99, {"format": 0, "folder": "x", "tables": {"state": 1}})
     assert tables.load_snapshot(spark, saved) is None  # another format asks for a rebuild
 
 
