@@ -56,13 +56,14 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.with_ancestry(tree(spark, d), junk_dirs=JUNK, user_dirs=USER)
 
 
-#: Snapshots of trees that this application has built: (application, tables) to path.
+#: Snapshots of trees that this application has built: (application, the tables' files) to path.
 _SNAPSHOTS: dict[tuple[str, str], str] = {}
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    """The tree's entries from a snapshot, built by the first query that searches it and read by all others, in the order of extension and name."""
-    key = (spark.sparkContext.applicationId, d)
+    """The tree's entries from a snapshot, built by the first query that searches these very files and read by all others, in the order of extension and name."""
+    inputs = [f"{d}/{table}.parquet" for table in ("region", "nation", "customer", "orders")]
+    key = (spark.sparkContext.applicationId, tables.files_stamp(spark, inputs))
     if key not in _SNAPSHOTS:
         path = new_folder(spark, "index")
         save_snapshot({"entries": placed(spark, d).repartitionByRange("ext", "name_lower").sortWithinPartitions("ext", "name_lower")}, path)
@@ -317,10 +318,10 @@ def json_extract(spark, d):
     return read(spark, d, "events").select("event_id", X.json_field(F.col("props"), "$.k").alias("k"))
 
 
-@registered("select doc_id, url_encode(substring(text, 1, 80)) as encoded from documents")
+@registered("select doc_id, url_encode(text) as encoded from documents")
 def url_encode(spark, d):
-    """Beginnings of texts with letters of several languages, marks and line ends."""
-    return read(spark, d, "documents").select("doc_id", X.url_encode(F.substring("text", 1, 80)).alias("encoded"))
+    """Whole texts with letters of several languages, marks and line ends."""
+    return read(spark, d, "documents").select("doc_id", X.url_encode(F.col("text")).alias("encoded"))
 
 
 _WORD = "list_sum([case when embedding[i] > 0 then 1::bigint << (i - {first}) else 0 end for i in range({first}, {end})])::bigint"
@@ -696,7 +697,7 @@ def uninstall_command(spark, d):
 def expand_env(spark, d):
     name, k = F.col("s_name"), F.col("s_suppkey") % 3
     text = F.concat(F.when(k == 0, "%WinDir%\\").when(k == 1, "%none%\\").otherwise("a%b"), name)
-    return read(spark, d, "supplier").select("s_suppkey", X.expand_env({"windir": "C:\\w"})(text).alias("path"))
+    return read(spark, d, "supplier").select("s_suppkey", X.expand_env({"windir": "%Root%w", "ROOT": "C:\\"})(text).alias("path"))
 
 
 @registered("select p_partkey, upper(p_name[1]) || substring(split_part(p_name, ' ', 1), 2) || upper(split_part(p_name, ' ', 2)[1]) || substring(split_part(p_name, ' ', 2), 2) || chr(39) || 's' as shown from part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import time
 import uuid
@@ -63,6 +64,18 @@ def drop_stored(*frames: DataFrame) -> None:
                 place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def files_stamp(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of path, length and time of all files under the paths: another one as soon as a file is replaced. No content is read."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast where its counted rows are within the bound; beyond it Spark joins by shuffles."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

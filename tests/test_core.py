@@ -1,5 +1,6 @@
 """Search, hierarchy, catalogue, change data, snapshots and functions on small fixtures."""
 
+import os
 import random
 
 import pytest
@@ -149,9 +150,12 @@ def test_text_functions(spark):
     }
     assert dict(zip(cases, X.evaluated(pa.array(list(cases), pa.string())), strict=True)) == cases
     assert X.evaluated(pa.array([], pa.string())) == [] and X.evaluated(pa.array([None], pa.string())) == [None]
-    env = {"Name": "v", "Home": "%x"}
-    assert [X.expand(t, env) for t in ("%NAME%\\a", "%no%b", "a%%b", "50%", "%name%%name%")] == ["v\\a", "no%b", "a%b", "50%", "vv"]
-    assert X.prettify("visual_studio-code's") == "VisualStudioCode's"
+    env = {"Name": "v", "Home": "%x", "A": "1%B%2", "b": "%name%%c%", "C": "z", "half": "50%", "self": "<%self%>"}
+    cases = {"%NAME%\\a": "v\\a", "%no%b": "no%b", "a%%b": "a%b", "50%": "50%", "%name%%name%": "vv", "%A%": "1vz2", "x%a%%a%%": "x1vz21vz2%", "%half% of%": "50 of%", "%home%name%": "xname%", "": "", "%no%name%": "nov"}
+    assert one(spark, X.expand_env(env)(F.col("a")), [(c,) for c in cases]) == list(cases.values())
+    assert one(spark, X.expand_env(env)(F.col("a")), [(None,), ("%self%",)])[0] is None and one(spark, X.expand_env({})(F.col("a")), [("%a%",)]) == ["a%"]
+    pretty = {"visual_studio-code's": "VisualStudioCode's", "'abc": "'Abc", "---": "---", "\u00fcber": "Ber", "a''b'-'c": "A''b''C", "": "", "x1 2y": "X12y", "\u00e9": "\u00e9"}
+    assert one(spark, X.prettified(F.col("a")), [(c,) for c in pretty]) == list(pretty.values())
     got = one(spark, X.uninstall_command(F.col("a")), [('"C:\\a b\\u.exe" /S x',), ("u.exe  /q",), ('"open end',), ("",), ('"a\\"b" c',)])
     assert [g and tuple(g) for g in got] == [("C:\\a b\\u.exe", "/S x"), ("u.exe", "/q"), ("open end", ""), None, ('a"b', "c")]
     assert one(spark, X.format_size(F.col("a")), [(5,), (1536,), (5 << 20,), (3 << 30,)], "a long") == ["5 B", "1.5 KB", "5.0 MB", "3.00 GB"]
@@ -442,6 +446,26 @@ def test_difference_hash(spark):
         assert got == (bits and [sum(b << k for k, b in enumerate(bits[i : i + 32])) for i in range(0, len(bits), 32)])
 
 
+def test_index_follows_its_files(spark, tmp_path):
+    """A search after a table was replaced sees the new rows."""
+    import shutil
+
+    from lodestone.plans import queries as plans
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    for name in ("region", "nation", "customer", "orders"):
+        shutil.copy(f"{d}/{name}.parquet", tmp_path)
+        (tmp_path / f"{name}.parquet").chmod(0o644)
+    before = plans.ext_search_total(spark, f"file://{tmp_path}").first()[0]
+    built = len(plans._SNAPSHOTS)
+    assert before > 0 and plans.ext_search_total(spark, f"file://{tmp_path}").first()[0] == before and len(plans._SNAPSHOTS) == built
+    spark.read.parquet(f"{d}/orders.parquet").limit(0).coalesce(1).write.parquet(f"file://{tmp_path}/new")
+    next((tmp_path / "new").glob("part*.parquet")).replace(tmp_path / "orders.parquet")
+    assert plans.ext_search_total(spark, f"file://{tmp_path}").first()[0] == 0
+
+
 def test_exclusions_and_pool(spark, tmp_path):
     (tmp_path / "x.txt").write_text(" C:\\Foo\\ \n\n c:\\BAR\\\n")
     assert {r["prefix"] for r in tables.read_exclusions(spark, f"file://{tmp_path}/x.txt").collect()} == {"c:\\foo\\", "c:\\bar\\"}
