@@ -18,8 +18,11 @@ DEEPEST = 15
 SEPARATOR = "\\"
 
 
-def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIRS, junk_refs: DataFrame | None = None) -> DataFrame:
-    """(drive, file_ref, levels, junk, user, prefix) of each directory, for what is in it: counted ancestors, flags, path with a separator at the end."""
+def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIRS, junk_refs: DataFrame | None = None, with_above: bool = False) -> DataFrame:
+    """(drive, file_ref, levels, junk, user, prefix) of each directory, for what is in it: counted ancestors, flags, path with a separator at the end.
+
+    with_above: also above, the refs of its ancestors from its parent on, the last one there or not.
+    """
     dirs = records.where("is_dir").select("drive", "file_ref", "parent_ref", "name", F.lower("name").alias("lower"))
     top = (F.col("parent_ref") == F.col("file_ref")) | (F.col("parent_ref") == 0)
     junk = F.col("lower").isin(*junk_dirs)
@@ -35,7 +38,9 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
         junk.alias("junk"),
         F.col("lower").isin(*user_dirs).alias("user"),
         F.when(F.col("parent_ref") == F.col("file_ref"), "").otherwise(F.concat("name", F.lit(SEPARATOR))).alias("prefix"),
+        *([F.when(top, F.array().cast("array<bigint>")).otherwise(F.array("parent_ref")).alias("above")] if with_above else []),
     )
+    carried = [c for c in ("levels", "junk", "user", "prefix", "above") if c in state.columns]
     for k in range(PATH_ROUNDS + 1):
         # the write counts rows and open pointers, so a round is one job
         state, seen = stored_counting(state, f"chains-{k}", open=F.count_if(F.col("up").isNotNull()))
@@ -45,7 +50,7 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
         if k == PATH_ROUNDS or not seen.get("open", 0):
             break
         before = state
-        above = state.select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in ("levels", "junk", "user", "prefix")], F.col("up").alias("next"))
+        above = state.select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in carried], F.col("up").alias("next"))
         joined = state.join(small(above), ["drive", "up"], "left")
         flags = k < FLAG_ROUNDS
         state = joined.select(
@@ -56,6 +61,7 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
             (F.col("junk") | F.coalesce("junk_up", F.lit(False)) if flags else F.col("junk")).alias("junk"),
             (F.col("user") | F.coalesce("user_up", F.lit(False)) if flags else F.col("user")).alias("user"),
             F.concat(F.coalesce("prefix_up", F.lit("")), "prefix").alias("prefix"),
+            *([F.concat("above", F.coalesce("above_up", F.array().cast("array<bigint>"))).alias("above")] if with_above else []),
         )
     return small(state.drop("up"))
 
@@ -74,7 +80,12 @@ def with_ancestry(records: DataFrame, roots: DataFrame | None = None, junk_dirs=
     roots (drive, root): where a drive's paths begin, C:\\ if not named. Rows whose parent is missing
     are at the root.
     """
-    chains = directory_chains(records, junk_dirs, user_dirs, junk_refs).withColumnRenamed("file_ref", "parent_ref")
+    return stamped(records, directory_chains(records, junk_dirs, user_dirs, junk_refs), roots, user_dirs)
+
+
+def stamped(records: DataFrame, chains: DataFrame, roots: DataFrame | None = None, user_dirs=USER_DIRS) -> DataFrame:
+    """records with what they inherit from the chains of their directories, as `with_ancestry` gives it."""
+    chains = chains.withColumnRenamed("file_ref", "parent_ref")
     lower = F.lower("name")
     joined = records.join(chains, ["drive", "parent_ref"], "left")
     own_root = F.col("parent_ref") == F.col("file_ref")

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +24,35 @@ from pyspark.sql import functions as F
 from lodestone.sources.tables import BROADCAST_ROWS
 from lodestone.sources.versions import commit, delete, newest, read_json, write_json
 
-STATE = "drive string, file_ref long, parent_ref long, name string, is_dir boolean, seq long, gone boolean"
-RECORD = ["parent_ref", "name", "is_dir"]
-KEY = ["drive", "file_ref"]
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Key and other columns of a table, with their types; the first one of the key is the drive. Each row has seq and gone besides."""
+
+    key: dict[str, str]
+    record: dict[str, str]
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{c} {t}" for c, t in {**self.key, **self.record, "seq": "long", "gone": "boolean"}.items())
+
+
+CHANGES = Shape({"drive": "string", "file_ref": "long"}, {"parent_ref": "long", "name": "string", "is_dir": "boolean"})
+STATE, RECORD = CHANGES.schema, list(CHANGES.record)
 #: Runs before they are merged, rows of a part, rows of level 1, and how much larger each level may be than the one before.
 LEVEL0_RUNS, PART_ROWS, LEVEL1_ROWS, GROWTH = 8, 1_000_000, 2_000_000, 8
+#: Keys that a lookup brings to the driver to choose parts.
+LOOKED_UP = 10_000
 #: Versions, and replaced files since then, that stay.
 KEPT = 16
 _EMPTY = {"positions": {}, "batches": 0, "pending": 0, "runs": [], "parts": None, "saved": {}, "saved_at": 0.0, "oldest": {}, "trash": []}
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """The last change of each (drive, file_ref) of STATE rows; of one seq the deletion."""
-    last = F.max_by(F.struct(*RECORD, "gone"), F.struct("seq", "gone")).alias("r")
-    return rows.groupBy(*KEY).agg(last, F.max("seq").alias("seq")).select(*KEY, *[f"r.{c}" for c in RECORD], "seq", "r.gone")
+def latest(rows: DataFrame, shape: Shape = CHANGES) -> DataFrame:
+    """The last change of each key; of one seq the deletion."""
+    last = F.max_by(F.struct(*shape.record, "gone"), F.struct("seq", "gone")).alias("r")
+    return rows.groupBy(*shape.key).agg(last, F.max("seq").alias("seq")).select(*shape.key, *[f"r.{c}" for c in shape.record], "seq", "r.gone")
 
 
 def _log(path: str) -> str:
@@ -46,18 +63,19 @@ def _levels(spark: SparkSession, path: str, manifest: dict) -> list[list[dict]]:
     return read_json(spark, f"{path}/_parts/{manifest['parts']}.json")["levels"] if manifest["parts"] else []
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame, most: int) -> list[dict]:
+def _write(spark: SparkSession, path: str, rows: DataFrame, most: int, shape: Shape) -> list[dict]:
     """Writes at most `most` rows sorted by key, in files of about PART_ROWS rows of disjoint keys, and returns what the manifest says of each."""
     folder = f"data/{uuid.uuid4().hex}"
     files = -(-most // PART_ROWS)
-    spread = rows.repartitionByRange(files, *KEY) if files > 1 else rows.coalesce(1)
-    spread.sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(f"{path}/{folder}")
-    each = spark.read.schema(STATE).parquet(f"{path}/{folder}").groupBy(F.input_file_name().alias("file"), "drive").agg(F.min("file_ref").alias("low"), F.max("file_ref").alias("high"), F.count("*").alias("rows"), F.min("seq").alias("least"))
+    spread = rows.repartitionByRange(files, *shape.key) if files > 1 else rows.coalesce(1)
+    spread.select(*shape.key, *shape.record, "seq", "gone").sortWithinPartitions(*shape.key).write.option("compression", "zstd").parquet(f"{path}/{folder}")
+    ends = [f(F.struct(*shape.key)).alias(end) for f, end in ((F.min, "low"), (F.max, "high"))]
+    each = spark.read.schema(shape.schema).parquet(f"{path}/{folder}").groupBy(F.input_file_name().alias("file"), "drive").agg(*ends, F.count("*").alias("rows"), F.min("seq").alias("least"))
     parts: dict[str, dict] = {}
     for r in each.orderBy("file", "drive").collect():  # a row for each new file and drive in it
         name = f"{folder}/{r['file'].rpartition('/')[2]}"
-        part = parts.setdefault(name, {"file": name, "low": [r["drive"], r["low"]], "rows": 0, "least": {}})
-        part["high"] = [r["drive"], r["high"]]
+        part = parts.setdefault(name, {"file": name, "low": list(r["low"]), "rows": 0, "least": {}})
+        part["high"] = list(r["high"])
         part["rows"] += r["rows"]
         part["least"][r["drive"]] = r["least"]
     if not parts:
@@ -65,9 +83,9 @@ def _write(spark: SparkSession, path: str, rows: DataFrame, most: int) -> list[d
     return sorted(parts.values(), key=lambda p: p["low"])
 
 
-def _rows(spark: SparkSession, path: str, parts: Iterable[dict]) -> DataFrame:
+def _rows(spark: SparkSession, path: str, parts: Iterable[dict], shape: Shape) -> DataFrame:
     files = [f"{path}/{p['file']}" for p in parts]
-    return spark.read.schema(STATE).parquet(*files) if files else spark.createDataFrame([], STATE)
+    return spark.read.schema(shape.schema).parquet(*files) if files else spark.createDataFrame([], shape.schema)
 
 
 def _meeting(parts: list[dict], others: list[dict]) -> list[dict]:
@@ -79,36 +97,58 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[int, dict] | None:
     return newest(spark, _log(path))
 
 
-def state_of(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
-    """STATE rows of a version. Parts that nothing newer overlaps are read as they are; of the others only rows of changed keys are merged, if these are few."""
+def state_of(spark: SparkSession, path: str, manifest: dict, shape: Shape = CHANGES) -> DataFrame:
+    """All rows of a version, those that are gone included. Parts that nothing newer overlaps are read as they are; of the others only rows of changed keys are merged, if these are few."""
     levels = _levels(spark, path, manifest)
     newer = manifest["runs"] + [p for level in levels[:-1] for p in level]
     base = levels[-1] if levels else []
     touched = _meeting(base, newer)
     alone = [p for p in base if p not in touched]
-    changed = _rows(spark, path, newer)
+    changed = _rows(spark, path, newer, shape)
     if not newer:
-        return _rows(spark, path, base)
-    below = _rows(spark, path, touched)
+        return _rows(spark, path, base, shape)
+    below = _rows(spark, path, touched, shape)
     if sum(p["rows"] for p in newer) <= BROADCAST_ROWS:
-        keys = F.broadcast(changed.select(*KEY).distinct())
-        found = latest(changed.unionByName(below.join(keys, KEY, "left_semi"))).unionByName(below.join(keys, KEY, "left_anti"))
+        keys = F.broadcast(changed.select(*shape.key).distinct())
+        found = latest(changed.unionByName(below.join(keys, list(shape.key), "left_semi")), shape).unionByName(below.join(keys, list(shape.key), "left_anti"))
+    else:
+        found = latest(changed.unionByName(below), shape)
+    return found.unionByName(_rows(spark, path, alone, shape)) if alone else found
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, shape: Shape = CHANGES, whole: bool = False) -> DataFrame:
+    """The rows that are there and whose key begins with one of `keys`, whose columns are the first of the shape's key; whole: those that are gone, too, with seq and gone.
+
+    Up to LOOKED_UP keys come to the driver and choose the runs and parts that can hold them; more are joined with all.
+    """
+    found = load_manifest(spark, path)
+    if found is None:
+        none = spark.createDataFrame([], shape.schema)
+        return none if whole else none.drop("seq", "gone")
+    names = keys.columns
+    pieces = found[1]["runs"] + [p for level in _levels(spark, path, found[1]) for p in level]
+    asked = sorted({tuple(r) for r in keys.dropna().limit(LOOKED_UP + 1).collect()})
+    if len(asked) <= LOOKED_UP:
+        first = [list(k) for k in asked]
+        pieces = [p for p in pieces if (at := bisect_left(first, p["low"][: len(names)])) < len(first) and first[at] <= p["high"][: len(names)]]
+        keys = F.broadcast(spark.createDataFrame(asked, ", ".join(f"{c} {shape.key[c]}" for c in names)))
     else:
-        found = latest(changed.unionByName(below))
-    return found.unionByName(_rows(spark, path, alone)) if alone else found
+        keys = keys.distinct()
+    rows = latest(_rows(spark, path, pieces, shape).join(keys, names, "left_semi"), shape)
+    return rows if whole else rows.where("not gone").drop("seq", "gone")
 
 
-def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+def load_state(spark: SparkSession, path: str, shape: Shape = CHANGES) -> tuple[DataFrame, DataFrame] | None:
     """(state, checkpoints: drive, next_seq) after the last batch; None before the first one."""
     last = load_manifest(spark, path)
     if last is None:
         return None
-    return state_of(spark, path, last[1]), spark.createDataFrame(sorted(last[1]["positions"].items()), "drive string, next_seq long")
+    return state_of(spark, path, last[1], shape), spark.createDataFrame(sorted(last[1]["positions"].items()), "drive string, next_seq long")
 
 
-def begin(spark: SparkSession, path: str, state: DataFrame, positions: dict[str, int]) -> int:
-    """A first version from a scan: its rows (STATE, each key once) are the deepest level. Returns the version; an error if there is one."""
-    parts = _write(spark, path, state, max(1, state.count()))
+def begin(spark: SparkSession, path: str, state: DataFrame, positions: dict[str, int], shape: Shape = CHANGES) -> int:
+    """A first version from a scan: its rows (each key once) are the deepest level. Returns the version; an error if there is one."""
+    parts = _write(spark, path, state, max(1, state.count()), shape)
     name = uuid.uuid4().hex
     write_json(spark, f"{path}/_parts/{name}.json", {"levels": [parts]})
 
@@ -120,21 +160,22 @@ def begin(spark: SparkSession, path: str, state: DataFrame, positions: dict[str,
     return commit(spark, _log(path), change)[0]
 
 
-def add_run(spark: SparkSession, path: str, rows: DataFrame, positions: dict[str, int], events: int) -> int:
-    """Publishes the STATE rows of a batch as a run, with the drives' positions after it and its number of events; runs and levels that are full are merged. Returns the run's version.
+def add_run(spark: SparkSession, path: str, rows: DataFrame, positions: dict[str, int], events: int, shape: Shape = CHANGES, most: int | None = None, oldest: dict[str, int] | None = None) -> int:
+    """Publishes the rows of a batch as a run, with the drives' positions after it and its number of events; runs and levels that are full are merged. Returns the run's version.
 
-    Rows without a drive or a ref name no entry and are left out.
+    Rows with a null in their key name no entry and are left out. most: rows at most, if an event makes more than two. oldest: what
+    can't come again, if the caller knows it: rows of a drive before that seq.
     """
-    rows = latest(rows.where("drive is not null and file_ref is not null"))
-    run = _write(spark, path, rows, events * 2) if events else []
+    most = 2 * events if most is None else most
+    run = _write(spark, path, latest(rows.dropna(subset=list(shape.key)), shape), most, shape) if most else []
 
     def change(manifest):
         manifest = manifest or _EMPTY | {"saved_at": time.time()}
         after = {d: max(s, manifest["positions"].get(d, s)) for d, s in positions.items()}
-        return manifest | {"positions": manifest["positions"] | after, "runs": manifest["runs"] + run, "batches": manifest["batches"] + 1, "pending": manifest["pending"] + events}
+        return manifest | {"positions": manifest["positions"] | after, "runs": manifest["runs"] + run, "batches": manifest["batches"] + 1, "pending": manifest["pending"] + events, "oldest": manifest["oldest"] | (oldest or {})}
 
     version, _ = commit(spark, _log(path), change, KEPT)
-    while merge_once(spark, path):
+    while merge_once(spark, path, shape):
         pass
     return version
 
@@ -149,7 +190,7 @@ def _chosen(manifest: dict, levels: list[list[dict]]) -> tuple[list[dict], int]
     return None
 
 
-def merge_once(spark: SparkSession, path: str) -> bool:
+def merge_once(spark: SparkSession, path: str, shape: Shape = CHANGES) -> bool:
     """Merges what is due, once; whether something was. Another writer's merge of the same inputs wins if it comes first."""
     found = load_manifest(spark, path)
     if found is None:
@@ -165,11 +206,11 @@ def merge_once(spark: SparkSession, path: str) -> bool:
     deepest = not any(levels[level:])
     rows = inputs + below
     if below or level == 1:
-        merged = latest(_rows(spark, path, rows))
+        merged = latest(_rows(spark, path, rows, shape), shape)
         if deepest:
             above = [p for p in [*manifest["runs"], *(p for k in range(level - 1) for p in levels[k])] if p not in inputs]
             merged = merged.where(~_droppable(manifest["oldest"], _meeting(above, rows)))
-        made = _write(spark, path, merged, sum(p["rows"] for p in rows))
+        made = _write(spark, path, merged, sum(p["rows"] for p in rows), shape)
     else:
         made = inputs  # nothing below overlaps: the part moves as it is
     made = [p | {"made": version} for p in made]
