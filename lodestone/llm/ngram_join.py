@@ -235,15 +235,8 @@ def _joined(parts: DataFrame, links: DataFrame, broadcast) -> DataFrame:
     return broadcast(stored(parts.join(merged, "component").select("key", "n", F.col("merged").alias("component")), "parts"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) of each row.
-
-    docs: doc_id, text; other columns are ignored. A null text, an empty one and one without words have
-    no shingles, link with nothing and are their own component. Fewer words than `size` are one shingle.
-    Repeated rows are returned as often as they come; rows of one doc_id with several texts each have
-    their own set. A row without doc_id takes part; its component_id is null if no row it reaches has one.
-    An empty table gives an empty result.
-    """
+def _set_components(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """doc_id, text_key, n, part of each row: a hash of its text, the size of its set, and the key of its component; null without shingles."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     sets = stored(docs.mapInArrow(_sets(size), "doc_id long, text_key long, n long, key long"), "sets")
@@ -280,12 +273,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILAR
         parts = _joined(parts, stored(crossing, "crossing"), small)
     drop_stored(index)
 
-    # From keys to the smallest doc_id of each component
-    named = sets.where("n > 0").join(parts.select("key", "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    smallest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    keys = named.select("key", "part").distinct().join(smallest, "part").select("key", "component_id")
-    linked = sets.where("n > 0").join(keys, "key").select("doc_id", "n", "component_id")
-    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = sets.join(parts.select("key", "component"), "key", "left")
+    return named.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).alias("part"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) of each row.
+
+    docs: doc_id, text; other columns are ignored. A null text, an empty one and one without words have
+    no shingles, link with nothing and are their own component. Fewer words than `size` are one shingle.
+    Repeated rows are returned as often as they come; rows of one doc_id with several texts each have
+    their own set. A row without doc_id takes part; its component_id is null if no row it reaches has one.
+    An empty table gives an empty result.
+    """
+    named = _set_components(docs, size, similarity)
+    smallest = named.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    linked = named.where("n > 0").join(smallest, "part").select("doc_id", "n", "component_id")
+    alone = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -294,10 +298,21 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component: one document of each group of near copies.
+    """One row of each component: of its texts the one with the smallest doc_id (rows without one come last), then the smallest hash, and of its copies one.
 
-    Of rows with one doc_id all stay or none; rows without doc_id stay, as nothing names them.
+    Rows of one doc_id with different texts are judged each for itself. Rows without shingles link with nothing and stay as often as
+    they come. Of rows with equal doc_id and text that differ in other columns the one with the smallest hash of all columns stays.
     """
-    groups = jaccard_components(docs, size, similarity)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id")).distinct()
-    return docs.join(broadcast_if_small(stored(gone, "gone")), "doc_id", "left_anti")
+    named = stored(_set_components(docs, size, similarity).where("n > 0").groupBy("doc_id", "text_key", "part").agg(F.count("*").alias("copies")), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = named.groupBy("part").agg(F.min(order).alias("first"), F.count("*").alias("texts")).where("texts > 1").select("part", "first")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    gone = stored(named.join(first, "part").where(other).select(F.col("doc_id").alias("_lodestone_id"), F.col("text_key").alias("_lodestone_key")), "gone")
+    copied, counted = stored_counting(named.where("copies > 1").select(F.col("doc_id").alias("_lodestone_id"), F.col("text_key").alias("_lodestone_key")), "copied")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lodestone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_lodestone_key"))
+    kept = docs.join(broadcast_if_small(gone), same, "left_anti")
+    if not counted.get("rows", 0):
+        return kept
+    copied = broadcast_if_small(copied)
+    one = kept.join(copied, same, "left_semi").groupBy(F.col("doc_id").alias("_lodestone_id"), F.xxhash64("text").alias("_lodestone_key")).agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("_lodestone_row"))
+    return kept.join(copied, same, "left_anti").unionByName(one.select("_lodestone_row.*"))

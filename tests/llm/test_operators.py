@@ -51,6 +51,32 @@ def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def expected_of_each(texts, sets, find):
+    """Of each component the first text by doc_id and hash; any of one doc_id will do, as hashes aren't known here."""
+    out, seen = Counter(), {}
+    for k, (i, t) in enumerate(texts):
+        if not sets[k]:
+            out[i, t] += 1
+        elif (seen_id := seen.get(find(k), (True, None, None)))[0] and (i is not None or seen_id[1] is None) or i is not None and i < seen_id[1]:
+            seen[find(k)] = (i is None, i, t)
+    return out + Counter((i, t) for _, i, t in seen.values())
+
+
+def test_one_of_each(spark):
+    """Rows of one doc_id with different texts, copies under one doc_id and without any."""
+    from lodestone.llm.ngram_join import one_of_each
+
+    a, b, c = (prose(200 + k, 60) for k in range(3))
+    near = variant(b, 1, 1)
+    assert shingles(near) != shingles(b)
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (6, c), (None, c), (None, near), (None, prose(300, 50)), (None, prose(300, 50)), (7, None), (7, None), (None, "")]
+    frame = spark.createDataFrame([(*r, f"s{k}", k, 0) for k, r in enumerate(rows)], "doc_id long, text string, source string, _id int, _key int")
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (5, b), (6, c), (None, prose(300, 50)), (7, None), (7, None), (None, "")])
+    assert all(rows[r["_id"]] == (r["doc_id"], r["text"]) for r in kept.collect())  # whole rows
+
+
 def test_jaccard_components(docs, texts, nothing):
     from lodestone.llm.ngram_join import jaccard_components, one_of_each
 
@@ -75,8 +101,7 @@ def test_jaccard_components(docs, texts, nothing):
     assert jaccard_components(nothing).count() == 0
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    assert set(ids) == {None} | {i for k, (i, _) in enumerate(texts) if i is not None and least[find(k)] == i}
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == expected_of_each(texts, sets, find)
 
 
 def test_large_groups_are_joined(spark):
