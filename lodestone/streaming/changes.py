@@ -6,6 +6,7 @@ deleted it. A merge takes the latest of state and batch, so batches may come in
 
 from __future__ import annotations
 
+import json
 import time
 from datetime import datetime
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.hierarchy import with_ancestry
+from lodestone.sources.external import register
 from lodestone.sources.tables import EVENTS, save_snapshot
 from lodestone.streaming.log_state import RECORD, add_run, is_due, latest, load_manifest, mark_saved, state_of
 from lodestone.streaming.log_state import STATE as STATE
@@ -128,6 +130,20 @@ def replay(spark: SparkSession, source: str, path: str, checkpoint: str, once: b
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
+def replay_journal(spark: SparkSession, journal: str, path: str, checkpoint: str, start: str = "end", positions: dict[str, tuple[int, int]] | None = None, most_events: int = 10_000, every: str = "500 milliseconds"):
+    """A stream of the journals of all drives (see sources.external) into state under path, in batches of most_events at most.
+
+    Without a saved position (positions: drive to journal id and next position) a drive's journal begins at `start`, its first
+    record or its end. A position of another journal, or one that the journal has no more, ends the query with RescanNeeded.
+    For a catch-up wait for processAllAvailable(), then stop the query.
+    """
+    register(spark)
+    options = {"path": journal, "start": start, "eventsPerBatch": most_events, "positions": json.dumps(positions or {})}
+    stream = spark.readStream.format("lodestone_journal").options(**options).load()
+    add = lambda batch, _: apply_batch(batch.sparkSession, path, journal_events(batch))
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def keep_replaying(spark: SparkSession, source: str, path: str, checkpoint: str, most_failures: int = 8, pause: float = 0.5) -> int:
     """Runs `replay` to its end, again after a failure; most_failures in a row without a new version of the state raise the last one. Returns how often it failed."""
     failures = in_row = 0
