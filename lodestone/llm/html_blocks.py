@@ -18,7 +18,7 @@ _NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
 _TAG = re.compile(_NAME + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN_TAG = re.compile(_NAME + r"([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_DIGITS = re.compile("[0-9]+")
 _NAME_PART = re.compile(r"[a-z]+")
 
 #: Fixed values of the markup language, and words that class, id and role give to what isn't the article.
@@ -26,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style title textarea iframe template svg noembed noframes".split())
+RAW = frozenset("script style title textarea iframe template noembed noframes".split())
 ENDS_PARAGRAPH = BLOCK - {"option", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "head", "html"}
 #: A tag closes an open one of its group, if no tag of the second set stands between.
 CLOSES = {
@@ -43,7 +43,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 FILLER_WORDS = frozenset(
     "area bar block body bottom box buttons col column container content desktop footer global group header icons inner item items left links list main mobile outer page post posts primary right secondary section side site top wrap wrapper".split()
 )
-#: What markup says about a block. GONE: hidden or of a form, never text; NAMED: in an article, but named as something else.
+#: What markup says about a block. GONE: of a form, never text; NAMED: in an article, but named as something else.
 GONE, COMMENTS, CHROME, NAMED, NEUTRAL, MAIN, ARTICLE = range(7)
 #: Levels of block elements that are branches of their own; what is deeper belongs to the last one.
 LEVELS = 64
@@ -52,6 +52,7 @@ LEVELS = 64
 @dataclass
 class Block:
     branches: list[int]  # paths of the block elements around it, from the outermost to its own
+    plain: list[int]  # the same by tags alone
     state: int
     text: str
 
@@ -59,7 +60,7 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    elements: dict[int, set[int]] = field(default_factory=dict)  # path: how its elements present their children
+    elements: dict[tuple[int, int], set[tuple[int, int]]] = field(default_factory=dict)  # path and plain path: how its elements present their children, with names and by tags alone
 
 
 @lru_cache(maxsize=1 << 14)
@@ -67,24 +68,18 @@ def _hash(above: int, step: str) -> int:
     return int.from_bytes(hashlib.blake2b(above.to_bytes(8, "little", signed=True) + step.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Values of class, id and role, lowered, and whether the element is hidden."""
-    names, hidden = [], False
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id", "role"):
-            names.append(value)
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
-            hidden = True
-    return " ".join(names), hidden
+def _names(attributes: str) -> str:
+    """Values of class, id and role, lowered."""
+    return " ".join((m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role"))
 
 
 @dataclass(eq=False)
 class Named:
-    """An element outside articles that is named as what isn't the article, and whether it holds one."""
+    """An element outside articles that is named as what isn't the article, whether it holds one, and the next such element around it."""
 
     comments: bool
     holds: bool
+    around: Named | None
 
 
 @lru_cache(maxsize=1 << 13)
@@ -101,7 +96,7 @@ def _words(names: str) -> frozenset[str]:
 def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
     """(text before, slash, tag, attributes) of each tag; at last the text after them. Comments and declarations are tags without a name."""
     at = begin = 0
-    quotes = True
+    quotes, close = True, -1
     while (start := page.find("<", at)) >= 0:
         following = page[start + 1 : start + 2]
         if following in ("!", "?"):
@@ -113,7 +108,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
         if not (following == "/" or following.isascii() and following.isalpha()):
             at = start + 1
             continue
-        if page.find(">", start) < 0:
+        if close < start and (close := page.find(">", start)) < 0:
             break
         m = _TAG.match(page, start) if quotes else None
         if not m and (m := _PLAIN_TAG.match(page, start)) and ('"' in m[3] or "'" in m[3]):
@@ -125,8 +120,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
         at = begin = m.end()
         if not m[1] and m[2].lower() in RAW and (not m[3].endswith("/") or m[2].lower() in ("script", "style", "title", "textarea")):
             end = re.compile(rf"</{m[2]}(?=[\s/>])", re.I).search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = begin = len(page) if close < 0 else close + 1
+            last = page.find(">", end.end()) if end else -1
+            at = begin = len(page) if last < 0 else last + 1
     yield page[begin:], "", "", ""
 
 
@@ -136,12 +131,13 @@ class _Element:
     block: bool
     state: int
     branches: list[int]
-    named: tuple[Named, ...]
-    children: list[str]
+    plain: list[int]
+    named: Named | None
+    children: list[tuple[str, str]]  # each with its names, and its tag
 
 
-def _state(tag: str, names: str, hidden: bool, above: int, named: tuple[Named, ...]) -> tuple[int, tuple[Named, ...]]:
-    if above == GONE or hidden or tag in FORM_TAGS:
+def _state(tag: str, names: str, above: int, named: Named | None) -> tuple[int, Named | None]:
+    if above == GONE or tag in FORM_TAGS:
         return GONE, named
     if above in (COMMENTS, CHROME):
         return above, named
@@ -150,10 +146,12 @@ def _state(tag: str, names: str, hidden: bool, above: int, named: tuple[Named, .
     if tag in CHROME_TAGS:
         return COMMENTS if is_comments else CHROME, named
     if tag == "article" or is_main:
-        for wrapper in named:
+        wrapper = named
+        while wrapper and not wrapper.holds:  # what is around one that holds an article does so, too
             wrapper.holds = True
+            wrapper = wrapper.around
         if tag == "article" and is_comments and above != ARTICLE:
-            named = (*named, Named(True, True))
+            named = Named(True, True, named)
     if above in (ARTICLE, NAMED):
         if tag not in ("article", "main") and is_comments:
             return COMMENTS, named
@@ -163,16 +161,30 @@ def _state(tag: str, names: str, hidden: bool, above: int, named: tuple[Named, .
     if is_main:
         return MAIN, named
     if words - {"header"} or (above < MAIN and (tag == "header" or words)):
-        named = (*named, Named(is_comments, False))
+        named = Named(is_comments, False, named)
     return above, named
 
 
+def _worst(named: Named | None, best: int, known: dict[int, int]) -> int:
+    """The least state that the named elements around a block give it: those that hold no article, or hold one beside a better one."""
+    todo = []
+    while named and id(named) not in known:
+        todo.append(named)
+        named = named.around
+    worst = known[id(named)] if named else ARTICLE
+    for w in reversed(todo):
+        if not (w.holds and best < (MAIN if w.comments else ARTICLE)):
+            worst = min(worst, COMMENTS if w.comments else CHROME)
+        known[id(w)] = worst
+    return worst
+
+
 def parsed(page: str) -> Page:
     """The page's blocks that have text; white space in a block is one space, references are decoded."""
     out = Page()
-    root = _Element("", True, NEUTRAL, [], (), [])
+    root = _Element("", True, NEUTRAL, [], [], None, [])
     stack, blocks, places = [root], [0], {"": [0]}  # open elements, places of the block elements among them, places by tag
-    found: list[tuple[_Element, int, str, tuple[Named, ...]]] = []
+    found: list[tuple[_Element, int, str, Named | None]] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -191,7 +203,8 @@ def parsed(page: str) -> Page:
             if element.block:
                 blocks.pop()
                 if element.branches:
-                    out.elements.setdefault(element.branches[-1], set()).add(_hash(len(element.children), " ".join(element.children)))
+                    styles = tuple(_hash(len(element.children), " ".join(c[k] for c in element.children)) for k in range(2))
+                    out.elements.setdefault((element.branches[-1], element.plain[-1]), set()).add(styles)
 
     def last(tags) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=-1)
@@ -212,7 +225,7 @@ def parsed(page: str) -> Page:
         if tag in RAW:
             continue
         if tag in VOID:
-            stack[-1].children.append(tag)
+            stack[-1].children.append((tag, tag))
             if tag == "hr":
                 flush()
             elif tag == "br":
@@ -227,28 +240,26 @@ def parsed(page: str) -> Page:
         if block:
             flush()
         above = stack[-1]
-        names, hidden = _names(attributes) if attributes and not attributes.isspace() else ("", False)
-        state, named = above.state, above.named
-        if len(above.branches) < LEVELS or hidden:
-            state, named = _state(tag, names, hidden, above.state, above.named)
+        names = _names(attributes) if attributes and not attributes.isspace() else ""
+        state, named = _state(tag, names, above.state, above.named)
         if state != above.state or named is not above.named:
             flush()
         if attributes.endswith("/") and not block:
             continue
-        step = f"{tag}.{names}" if names else tag
-        above.children.append(step)
-        branches = above.branches
+        step = f"{tag}.{_DIGITS.sub('', names)}" if names else tag
+        above.children.append((step, tag))
+        branches, plain = above.branches, above.plain
         if block and tag not in ("html", "body") and len(branches) < LEVELS:
-            branches = [*branches, _hash(branches[-1] if branches else 0, step)]
+            branches, plain = [*branches, _hash(branches[-1] if branches else 0, step)], [*plain, _hash(plain[-1] if plain else 1, tag)]
         places.setdefault(tag, []).append(len(stack))
         if block:
             blocks.append(len(stack))
-        stack.append(_Element(tag, block, state, branches, named, []))
+        stack.append(_Element(tag, block, state, branches, plain, named, []))
     close(1)
     flush()
     # a named element that holds the page's article is a wrapper, whatever its name; beside another article, it is what its name says
     best = max((state for _, state, _, named in found if not named), default=CHROME)
+    known: dict[int, int] = {}
     for own, state, words, named in found:
-        wrong = [w for w in named if not (w.holds and best < (MAIN if w.comments else ARTICLE))]
-        out.blocks.append(Block(own.branches or [0], min([state, *(COMMENTS if w.comments else CHROME for w in wrong)]), words))
+        out.blocks.append(Block(own.branches or [0], own.plain or [1], min(state, _worst(named, best, known)), words))
     return out

@@ -1,13 +1,16 @@
 """Main text of pages: a style tree of each site tells branches that carry its articles from those its pages share.
 
-The pages of a host are merged by the paths of block elements and their names. A path's content importance is
+The pages of a host are merged by the paths of block elements, with their names and by tags alone. A path's content importance is
 the entropy of the texts at it, its presentation importance that of how it presents its children, each
 over the log of how many different pages it is on, so 0 is all equal and 1 all different. A branch's
 importance is the mean content importance under it together with its own presentation: an article's
 paragraphs differ in number and kind from page to page, a menu, advert or footer is built alike on each.
+
+One rule holds for any number of pages: an importance from n pages counts as n - 1 of n - 1 + PRIOR_PAGES, the rest is
+that of the path by tags alone in the same way, and the rest of that is what names and lengths say of the block. So a site's only
+page is judged by these, names that no other page has leave it to the tags, and of many pages their texts decide.
 From every page those branches go that are less important than its most important one by a margin, and of
-the rest the blocks whose own content is low. What markup names is added as a prior. Where a path has been
-seen on too few different pages, names and lengths decide.
+the rest the blocks whose own content is low. What markup names is a prior besides, as far as pages decide.
 """
 
 from __future__ import annotations
@@ -24,20 +27,30 @@ from lodestone.llm.html_blocks import ARTICLE, CHROME, COMMENTS, MAIN, NAMED, NE
 from lodestone.llm.stored import broadcast_if_small, read, small_batches, spread, stored
 from lodestone.llm.text_arrays import slices, windows, word_hashes, word_spans
 
-#: Weight of content against presentation in a branch, and the different pages that a path is judged from.
-CONTENT_WEIGHT, LEAST_PAGES = 0.5, 8
+#: Weight of content against presentation in a branch, and how many pages what is coarser counts for.
+CONTENT_WEIGHT, PRIOR_PAGES = 0.5, 3
 #: A branch goes under this importance, and so far below the page's best one; a block goes under LOW.
 FLOOR, MARGIN, LOW = 0.3, 0.15, 0.3
 #: What a block's state adds to the importance of its branch.
 BRANCH_PRIOR = {COMMENTS: -0.5, CHROME: -0.3, NAMED: 0.2, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
+#: The importance of a branch that names keep: not less than any other's. It counts for the branch, but not against others.
+KEPT = 1 + max(BRANCH_PRIOR.values())
 #: What it adds to the block's own.
 BLOCK_PRIOR = {COMMENTS: -0.3, CHROME: -0.3, NAMED: -0.3, NEUTRAL: 0.0, MAIN: 0.15, ARTICLE: 0.2}
 #: The same for blocks without a name beside a main part that is longer than all of them.
 BESIDE = -0.3
-_BLOCK = pa.struct([("branches", pa.list_(pa.int64())), ("prior", pa.float64()), ("least", pa.float64()), ("kept", pa.bool_())])
-_NODE = pa.struct([("path", pa.int64()), ("feature", pa.int64()), ("page", pa.int64())])
-_NODES = "array<struct<path: long, feature: long, page: long>>"
-SCHEMA = f"page_id long, url string, host string, texts array<string>, blocks array<struct<branches: array<long>, prior: double, least: double, kept: boolean>>, shared int, contents {_NODES}, styles {_NODES}"
+_BLOCK = pa.struct([("branches", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64())), ("prior", pa.float64()), ("least", pa.float64()), ("kept", pa.bool_())])
+#: Of a block's text and of an element's children: paths with names and by tags, what is there, and the page.
+CONTENT = ["path", "plain", "feature", "page"]
+STYLE = ["path", "plain", "feature", "plain_feature", "page"]
+_BLOCKS = "array<struct<branches: array<long>, plain: array<long>, prior: double, least: double, kept: boolean>>"
+
+
+def _schema(names: list[str]) -> str:
+    return f"array<struct<{', '.join(f'{n}: long' for n in names)}>>"
+
+
+SCHEMA = f"page_id long, url string, host string, texts array<string>, blocks {_BLOCKS}, shared int, contents {_schema(CONTENT)}, styles {_schema(STYLE)}"
 
 
 def _content(text: str) -> int:
@@ -63,20 +76,20 @@ def _lists(values: pa.Array, counts: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32()), values)
 
 
-def _nodes(rows: list[tuple[int, int, int]], counts: list[int]) -> pa.Array:
-    columns = np.array(rows, np.int64).reshape(-1, 3)
-    return _lists(pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in range(3)], fields=list(_NODE)), counts)
+def _nodes(rows: list[tuple[int, ...]], names: list[str], counts: list[int]) -> pa.Array:
+    columns = np.array(rows, np.int64).reshape(-1, len(names))
+    return _lists(pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in range(len(names))], names), counts)
 
 
 def columns_of(pages: list[Page]) -> list[pa.Array]:
     """Of pages their texts, blocks, how many of their outer branches all blocks share, and nodes for the style tree.
 
-    least: the content importance from which a block stays; kept: whether it does if the tree can't judge it.
+    least: the content importance from which a block stays; kept: whether names and lengths keep it.
     page, of a node: what tells the rest of the page from other pages, but not from its near copies.
     """
     texts = [b.text for page in pages for b in page.blocks]
     pairs = _least_pairs(texts)
-    branches, depths, priors, least, kept, shares, contents, styles, n_styles = [], [], [], [], [], [], [], [], []
+    branches, plain, depths, priors, least, kept, shares, contents, styles, n_styles = [], [], [], [], [], [], [], [], [], []
     at = 0
     for page in pages:
         blocks, own = page.blocks, pairs[at : at + len(page.blocks)]
@@ -92,17 +105,18 @@ def columns_of(pages: list[Page]) -> list[pa.Array]:
         shares.append(shared)
         for b, pair in zip(blocks, own, strict=True):
             branches += b.branches
+            plain += b.plain
             depths.append(len(b.branches))
             priors.append(BRANCH_PRIOR[b.state])
             least.append(LOW - (BESIDE if b.state == NEUTRAL and least_state == MAIN else BLOCK_PRIOR[b.state]))
             kept.append(b.state >= least_state)
-            contents.append((b.branches[-1], _content(b.text), second if pair == first else first))
-        own_styles = [(path, style, first) for path, found in page.elements.items() for style in found] if blocks else []
+            contents.append((b.branches[-1], b.plain[-1], _content(b.text), second if pair == first else first))
+        own_styles = [(*paths, *style, first) for paths, found in page.elements.items() for style in found] if blocks else []
         styles += own_styles
         n_styles.append(len(own_styles))
     counts = [len(page.blocks) for page in pages]
-    whole = pa.StructArray.from_arrays([_lists(pa.array(branches, pa.int64()), depths), pa.array(priors, pa.float64()), pa.array(least, pa.float64()), pa.array(kept, pa.bool_())], fields=list(_BLOCK))
-    return [_lists(pa.array(texts, pa.string()), counts), _lists(whole, counts), pa.array(shares, pa.int32()), _nodes(contents, counts), _nodes(styles, n_styles)]
+    whole = pa.StructArray.from_arrays([_lists(pa.array(branches, pa.int64()), depths), _lists(pa.array(plain, pa.int64()), depths), pa.array(priors, pa.float64()), pa.array(least, pa.float64()), pa.array(kept, pa.bool_())], fields=list(_BLOCK))
+    return [_lists(pa.array(texts, pa.string()), counts), _lists(whole, counts), pa.array(shares, pa.int32()), _nodes(contents, CONTENT, counts), _nodes(styles, STYLE, n_styles)]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +127,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "texts", "blocks", "shared", "contents", "styles"])
 
 
-def entropies(sites: DataFrame, nodes: str) -> DataFrame:
+def entropies(sites: DataFrame, nodes: str, path: str = "path", feature: str = "feature") -> DataFrame:
     """(host, path, entropy from 0 to 1, pages) of the features at each path, of `nodes` of sites.
 
     A feature counts as the number of different pages it is on, as the exponent of their entropy: copies of a
     page and most of its near copies are one page. Equal ones all over give 0; one place alone gives 1.
     """
-    counts = sites.select("host", F.explode(nodes).alias("node")).groupBy("host", "node.path", "node.feature", "node.page").agg(F.count("*").alias("c"))
+    node = F.col("node")
+    counts = sites.select("host", F.explode(nodes).alias("node")).groupBy("host", node[path].alias("path"), node[feature].alias("feature"), node["page"].alias("page")).agg(F.count("*").alias("c"))
     seen = counts.groupBy("host", "path", "feature").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.ln("c")).alias("logs"))
     n = seen.select("host", "path", F.greatest(F.exp(F.ln("all") - F.col("logs") / F.col("all")), F.lit(1.0)).alias("n"))
     total = n.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("logs"))
@@ -127,18 +142,35 @@ def entropies(sites: DataFrame, nodes: str) -> DataFrame:
     return total.select("host", "path", F.when(F.col("pages") > 1.0001, 1 - F.col("logs") / (F.col("pages") * F.ln("pages"))).otherwise(1.0).alias("entropy"), "pages")
 
 
-def importances(sites: DataFrame) -> DataFrame:
-    """(host, path, content, branch): content importance of the paths that have texts, and each branch's importance.
+def _by_path(sites: DataFrame, path: str, feature: str, branches: str) -> tuple[DataFrame, DataFrame]:
+    """(content, branch): (host, path, entropy, pages) of the texts at each path, and (host, path, importance, pages) of each branch that holds some.
 
-    Only of paths with texts on LEAST_PAGES different pages or more, and of the branches that hold them.
+    A branch's pages are those of the path under it that is on most.
     """
-    content = entropies(sites, "contents").where(F.col("pages") >= LEAST_PAGES).select("host", "path", F.col("entropy").alias("content"), "pages")
-    around = sites.select("host", F.explode("blocks.branches").alias("branches")).groupBy("host", F.element_at("branches", -1).alias("path")).agg(F.first("branches").alias("branches"))
-    under = content.join(around, ["host", "path"]).select("host", F.explode("branches").alias("path"), "content", "pages")
-    mean = under.groupBy("host", "path").agg((F.sum(F.col("content") * F.col("pages")) / F.sum("pages")).alias("mean"))
-    styles = entropies(sites, "styles").select("host", "path", F.col("entropy").alias("style"))
-    whole = mean.join(content.drop("pages"), ["host", "path"], "left").join(styles, ["host", "path"], "left")
-    return whole.select("host", "path", "content", (CONTENT_WEIGHT * F.col("mean") + (1 - CONTENT_WEIGHT) * F.coalesce("style", F.lit(0.0))).alias("branch"))
+    content = entropies(sites, "contents", path)
+    around = sites.select("host", F.explode(f"blocks.{branches}").alias("branches")).groupBy("host", F.element_at("branches", -1).alias("path")).agg(F.first("branches").alias("branches"))
+    under = content.join(around, ["host", "path"]).select("host", F.explode("branches").alias("path"), "entropy", "pages")
+    mean = under.groupBy("host", "path").agg((F.sum(F.col("entropy") * F.col("pages")) / F.sum("pages")).alias("mean"), F.max("pages").alias("pages"))
+    styles = entropies(sites, "styles", path, feature).select("host", "path", F.col("entropy").alias("style"))
+    importance = CONTENT_WEIGHT * F.col("mean") + (1 - CONTENT_WEIGHT) * F.coalesce("style", F.lit(0.0))
+    return content, mean.join(styles, ["host", "path"], "left").select("host", "path", importance.alias("importance"), "pages")
+
+
+def _shrunk(value: Column, pages: Column, coarse: Column, coarse_pages: Column) -> Column:
+    """struct<known, names>: an importance is known + names * that of names and lengths."""
+    w, u = F.greatest(pages - 1, F.lit(0.0)), F.greatest(coarse_pages - 1, F.lit(0.0))
+    k = F.lit(float(PRIOR_PAGES))
+    return F.struct(((w * value + k * u * coarse / (u + k)) / (w + k)).alias("known"), (k * k / ((u + k) * (w + k))).alias("names"))
+
+
+def importances(sites: DataFrame) -> DataFrame:
+    """(host, path, content, branch): of the paths that have texts and the branches that hold them, both struct<known, names>; content is null where there is no text."""
+    content, branch = _by_path(sites, "path", "feature", "branches")
+    plain_content, plain_branch = (side.select("host", F.col("path").alias("plain"), F.col(side.columns[2]).alias("coarse"), F.col("pages").alias("coarse_pages")) for side in _by_path(sites, "plain", "plain_feature", "plain"))
+    pairs = sites.select("host", F.explode("blocks").alias("b")).select("host", "b.branches", "b.plain").groupBy("host", F.element_at("branches", -1).alias("last")).agg(F.first("branches").alias("branches"), F.first("plain").alias("plain"))
+    tags = pairs.select("host", F.explode(F.arrays_zip("branches", "plain")).alias("z")).select("host", F.col("z.branches").alias("path"), F.col("z.plain").alias("plain")).distinct()
+    one = lambda side, coarse: side.join(tags, ["host", "path"]).join(coarse, ["host", "plain"]).select("host", "path", _shrunk(F.col(side.columns[2]), F.col("pages"), F.col("coarse"), F.col("coarse_pages")).alias("own"))
+    return one(branch, plain_branch).withColumnRenamed("own", "branch").join(one(content, plain_content).withColumnRenamed("own", "content"), ["host", "path"], "left").select("host", "path", "content", "branch")
 
 
 def _judged(tree: Column) -> Column:
@@ -146,14 +178,19 @@ def _judged(tree: Column) -> Column:
 
     def branch(b: Column) -> Column:
         own = F.slice(b["branches"], F.least(F.col("shared") + 1, F.size(b["branches"])), F.size(b["branches"]))
-        return F.array_max(F.transform(own, lambda path: F.try_element_at(tree, path)["branch"])) + b["prior"]
+        found = F.transform(own, lambda path: F.try_element_at(tree, path)["branch"])
+        known = lambda s: s["known"] + (1 - s["names"]) * b["prior"]
+        return F.struct(F.array_max(F.transform(found, known)).alias("known"), F.array_max(F.transform(found, lambda s: known(s) + s["names"] * F.when(b["kept"], KEPT).otherwise(0.0))).alias("most"))
+
+    def content(b: Column) -> Column:
+        found = F.array(F.try_element_at(tree, F.element_at(b["branches"], -1))["content"])
+        return F.get(F.transform(found, lambda s: s["known"] + s["names"] * b["kept"].cast("int")), F.lit(0))
 
-    content = lambda b: F.try_element_at(tree, F.element_at(b["branches"], -1))["content"]
-    scored = F.transform("blocks", lambda b: F.struct(content(b).alias("content"), branch(b).alias("branch"), b["least"].alias("least"), b["kept"].alias("kept")))
+    scored = F.transform("blocks", lambda b: F.struct(content(b).alias("content"), branch(b).alias("branch"), b["least"].alias("least")))
     # arrays of one element are names for what is used for each block, so that it is evaluated once for the page
-    best = lambda found: F.array_max(F.transform(found, lambda s: F.when(s["content"].isNotNull(), s["branch"])))
+    best = lambda found: F.array_max(F.transform(found, lambda s: s["branch"]["known"]))
     page = F.transform(F.array(scored), lambda found: F.struct(found.alias("blocks"), F.greatest(F.lit(FLOOR), best(found) - MARGIN).alias("lowest")))
-    stays = lambda s, lowest: F.when(s["content"].isNull(), s["kept"]).otherwise((s["content"] >= s["least"]) & (s["branch"] >= lowest))
+    stays = lambda s, lowest: (s["content"] >= s["least"]) & (s["branch"]["most"] >= lowest)
     return F.get(F.transform(page, lambda p: F.transform(p["blocks"], lambda s: stays(s, p["lowest"]))), F.lit(0))
 
 
@@ -172,10 +209,10 @@ def judged_blocks(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html); other columns are ignored.
 
-    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Forms and
-    hidden elements are no text. Of the other blocks, those stay whose branch is about as important to the
+    text: the main part's blocks joined by two line feeds, empty if none. A null html is empty. Forms, scripts and styles
+    are no text. Of the other blocks, those stay whose branch is about as important to the
     site as the page's best one and whose content differs from page to page, with a prior of what markup
-    names. Where too few different pages of the site have such a block, it stays if it is in a named article or main
+    names; the fewer pages have a block's path, the more counts whether it is in a named article or main
     part, or if that is missing or shorter than what has no name. Pages without a host (null or without
     ://) are one site. Repeated rows get equal answers.
     """

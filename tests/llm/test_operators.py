@@ -565,7 +565,12 @@ def test_html_names():
     for named in ('<div class="related-posts"><article>x</article></div>', '<section id="comments"><article>x</article></section>', '<article class="comment">x</article>', '<div class="left-sidebar">x</div>', '<div class="cookie-notice">x</div>'):
         assert kept(f"<main><article>text</article></main>{named}") == ["text"], named
     assert [b.state for b in parsed('<article>a<p class="related">b</p><p class="comments">c</p></article>').blocks][1:] == [NAMED, COMMENTS]
-    assert kept("<p>a &l<b>t;</b> z<form>f<p>g</form><p style='display: none'>h<p>i") == ["a &lt; z", "i"]
+    assert kept("<p>a &l<b>t;</b> z<form>f<p>g</form><p style='display: none'>h<p>i") == ["a &lt; z", "h", "i"]
+    assert kept("<article><p hidden>a<svg><text>b</text></svg><p aria-hidden=true>c") == ["ab", "c"]
+    # states reach any depth
+    deep = "<article>" + "<div>" * 70 + "<nav>Menu</nav><form>Name</form><p>text"
+    assert kept(deep) == ["text"] and [b.state for b in parsed(deep).blocks] == [parsed("<nav>x").blocks[0].state, parsed("<article>x").blocks[0].state]
+    assert len(parsed(deep).blocks[1].branches) == 64
     assert kept("<noscript>a</noscript><object>b</object><p title='x>y'>c<p title=\"z>d") == ["ab", "c", "d"]
 
 
@@ -575,48 +580,98 @@ def test_html_is_linear():
     from lodestone.llm.html_blocks import parsed
 
     n = 50_000
-    for page in ("<a" * 100_000, "<a " * n + ">", '<a "<b ' * n + ">", '<a ">' * (n + 1), "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<div>" * n + "x", "<b>" * n + "<p>x" * n, "<div class=sidebar>" * n + "x<p>y", "<script>" + "</script " * n, "<!--" * n, "<li>x" * n, "<div>" * 3000 + "<p>z" * n, '<p "a>"" ' * n + "'<i>"):
+    for page in ("<a" * 100_000, "<a " * n + ">", '<a "<b ' * n + ">", '<a ">' * (n + 1), "<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<div>" * n + "x", "<b>" * n + "<p>x" * n, "<div class=sidebar>" * n + "x<p>y", "<script>" + "</script " * n, "<!--" * n, "</" * 1_000_000 + ">", "<p" * 1_000_000 + ">", "<div class=sidebar>x" * n, "<li>x" * n, "<div>" * 3000 + "<p>z" * n, '<p "a>"" ' * n + "'<i>"):
         began = time.process_time()
         parsed(page)
-        assert time.process_time() - began < (1 if page.startswith("<a<a") else 10), page[:20]
+        assert time.process_time() - began < (1 if page.startswith("<a<a") else 2 if page.startswith("</") else 10), page[:20]
 
 
-def test_html_importance(spark):
-    """Entropies and importances against plain Python."""
+def plain_text(pages):
+    """Main texts of pages (host, html), by plain Python: entropies, importances with what is coarser, and the choice of blocks."""
     import math
 
     from lodestone.llm import html_extraction as h
 
-    rng = random.Random(4)
-    pages = [(k, f"http://s{k % 2}.net/{k}", f"<div class=a><p>{prose(k, 20)}</p>" + "<ul><li>x</ul>" * rng.randint(0, 3) + f"</div><div class=b>{prose(k % 5, 12)}</div><div class=c>{prose(k, 9)}</div>") for k in range(40)]
-    columns = h.columns_of([h.parsed(page) for *_, page in pages])
-    parsed = [("s%d" % (k % 2), [c[k].as_py() for c in columns]) for k in range(len(pages))]
+    columns = h.columns_of([h.parsed(page) for _, page in pages])
+    rows = [(host, *[c[k].as_py() for c in columns]) for k, (host, _) in enumerate(pages)]
 
-    def entropy(place):
+    def entropy(place, path, feature):
         seen, out = defaultdict(lambda: defaultdict(Counter)), {}
-        for host, page in parsed:
-            for node in page[place]:
-                seen[host, node["path"]][node["feature"]][node["page"]] += 1
+        for host, *row in rows:
+            for node in row[place]:
+                seen[host, node[path]][node[feature]][node["page"]] += 1
         for key, features in seen.items():
             n = [math.exp(-sum(c / f.total() * math.log(c / f.total()) for c in f.values())) for f in features.values()]
             total = sum(n)
             out[key] = (-sum(x / total * math.log(x / total) for x in n) / math.log(total) if total > 1.0001 else 1.0, total)
         return out
 
-    contents, styles = entropy(3), entropy(4)
-    branches = {(host, b["branches"][-1]): b["branches"] for host, page in parsed for b in page[1]}
-    judged = {key: e for key, e in contents.items() if e[1] >= h.LEAST_PAGES}
-    expected = {}
-    for (host, path), _ in judged.items():
-        for branch in branches[host, path]:
-            under = [(e, n) for (o, p), (e, n) in judged.items() if o == host and branch in branches[o, p]]
+    def by_path(path, feature, branches):
+        contents, styles = entropy(3, path, "feature"), entropy(4, path, feature)
+        around = {(host, b[branches][-1]): b[branches] for host, _, blocks, *_ in rows for b in blocks}
+        found = {}
+        for host, branch in {(host, p) for (host, _), own in around.items() for p in own}:
+            under = [contents[k] for k, own in around.items() if k[0] == host and branch in own]
             mean = sum(e * n for e, n in under) / sum(n for _, n in under)
-            expected[host, branch] = (judged.get((host, branch), (None,))[0], 0.5 * mean + 0.5 * styles.get((host, branch), (0.0,))[0])
-    sites = spark.createDataFrame([(host, [tuple(n.values()) for n in page[3]], [tuple(n.values()) for n in page[4]], [(b["branches"],) for b in page[1]]) for host, page in parsed], f"host string, contents {h._NODES}, styles {h._NODES}, blocks array<struct<branches: array<long>>>")
-    found = {(r["host"], r["path"]): (r["content"], r["branch"]) for r in h.importances(sites).collect()}
-    assert found.keys() == expected.keys() and len(found) >= 6
-    for key, (content, branch) in expected.items():
-        assert found[key][1] == pytest.approx(branch) and (found[key][0] is None) == (content is None) and (content is None or found[key][0] == pytest.approx(content)), key
+            found[host, branch] = (h.CONTENT_WEIGHT * mean + (1 - h.CONTENT_WEIGHT) * styles.get((host, branch), (0.0,))[0], max(n for _, n in under))
+        return contents, found
+
+    named, tags = by_path("path", "feature", "branches"), by_path("plain", "plain_feature", "plain")
+    out = []
+    for host, texts, blocks, shared, *_ in rows:
+
+        def blended(kind, b, k, host=host):
+            value, share, level = 0.0, 1.0, h.PRIOR_PAGES
+            for table, column in ((tags, "plain"), (named, "branches")):
+                own, n = table[kind][host, b[column][k]]
+                w = max(0.0, n - 1)
+                value, share = (w * own + level * value) / (w + level), share * level / (w + level)
+            return value, share
+
+        own = [[blended(1, b, k) for k in range(min(shared, len(b["branches"]) - 1), len(b["branches"]))] for b in blocks]
+        known = [max(v + (1 - share) * b["prior"] for v, share in x) for b, x in zip(blocks, own, strict=True)]
+        most = [max(v + (1 - share) * b["prior"] + share * b["kept"] * h.KEPT for v, share in x) for b, x in zip(blocks, own, strict=True)]
+        lowest = max([h.FLOOR, *(x - h.MARGIN for x in known)])
+        content = [v + share * b["kept"] for b in blocks for v, share in [blended(0, b, -1)]]
+        out.append("\n\n".join(t for t, b, x, c in zip(texts, blocks, most, content, strict=True) if c >= b["least"] and x >= lowest))
+    return out
+
+
+def test_html_against_plain_python(spark):
+    """Whole results on sites of 1 to 25 pages with names, ids of their own, menus and forms."""
+    from lodestone.llm.html_extraction import main_text
+
+    rng, pages = random.Random(4), []
+    for site, n in enumerate((1, 2, 3, 5, 8, 13, 25)):
+        for k in range(n):
+            box = rng.choice(["Follow us on all channels", prose(rng.randrange(3), 6)])
+            body = "".join(f"<p>{prose(rng.randrange(10**6), rng.randint(3, 25))}</p>" + "<ul><li>x</ul>" * rng.randint(0, 1) for _ in range(rng.randint(1, 4)))
+            extra = rng.choice(["", f"<form>{prose(k, 3)}</form>", f"<div class=related>{prose(k, 9)}</div>", "<table><tr><td>a<td>b</table>"])
+            pages.append((f"s{site}.net", f"<nav class=menu>{prose(site, 5)}</nav><div id=wrap-{rng.choice(['a', prose(k, 1)])}><article id=post-{k}><h1>{prose(k + 70, 4)}</h1>{body}<div class=x{site}>{box}</div>{extra}</article></div><div class=c>{prose(k, 9)}</div><footer>All rights {2000 + k % 2}</footer>"))
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame([(k, f"http://{host}/{k}", page) for k, (host, page) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    expected = plain_text(pages)
+    assert [found[k] for k in range(len(pages))] == expected and len(set(map(len, expected))) > 40
+
+
+def test_html_one_rule_for_any_number(spark):
+    """A box that all pages of a site repeat goes as pages grow in number, also under ids that differ; an article's texts stay at each number."""
+    from lodestone.llm.html_extraction import main_text
+
+    def page(kind, k):
+        name = {"same": "post", "number": f"post-{k}", "slug": prose(k + 900, 2).replace(" ", "-")}[kind]
+        return f"<nav>Menu of all</nav><article id='{name}'><h1>{prose(k + 80, 4)}</h1><p>{prose(k, 30)}</p><div class=x>Follow us on all channels</div></article><footer>All rights</footer>"
+
+    sizes = [1, 2, 4, 7, 12, 20, 40]
+    rows = [(k, f"http://{kind}{n}.net/{k}", page(kind, k)) for kind in ("same", "number", "slug") for n in sizes for k in range(n)]
+    kept = defaultdict(set)
+    for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        host, k = r["url"].split("/")[2], r["page_id"]
+        assert r["text"] in (both := [f"{prose(k + 80, 4)}\n\n{prose(k, 30)}", f"{prose(k + 80, 4)}\n\n{prose(k, 30)}\n\nFollow us on all channels"]), (host, r["text"])
+        kept[host].add(both.index(r["text"]))
+    for kind in ("same", "number", "slug"):
+        found = [kept[f"{kind}{n}.net"] for n in sizes]
+        # one answer for each site, and once the box goes it is gone for all larger ones
+        assert found[0] == {1} and found[-1] == {0} and (kind == "slug" or found[-2] == found[-3] == {0}) and all(len(f) == 1 for f in found) and found == sorted(found, key=min, reverse=True), (kind, found)
 
 
 def test_html_tree_decides(spark):
@@ -651,7 +706,7 @@ def test_html(spark):
     from lodestone.llm.html_extraction import main_text
 
     whole = "Title x\n\none two&three four\n\nfive <b> &am xy\n\ni1\n\ni2\n\nlast"
-    rows = [(0, "http://a.b/1", PAGE, whole), (1, None, PAGE, whole), (1, None, PAGE, whole), (2, "http://a.b/2", None, ""), (3, "http://a.b/3", "", ""), (4, "x", "plain &eacute;  text <p>more", "plain é text\n\nmore"), (5, "http://a.b/", "<article><p>" + "long " * 100_000, ("long " * 100_000).strip()), (6, "u", "<nav>only</nav><p hidden>no", "")]
+    rows = [(0, "http://a.b/1", PAGE, whole), (1, None, PAGE, whole), (1, None, PAGE, whole), (2, "http://a.b/2", None, ""), (3, "http://a.b/3", "", ""), (4, "x", "plain &eacute;  text <p>more", "plain é text\n\nmore"), (5, "http://a.b/", "<article><p>" + "long " * 100_000, ("long " * 100_000).strip()), (6, "u", "<nav>only</nav><p hidden>so", "so")]
     # a site without names that tell: its own repeated branches go
     rows += [(100 + k, f"http://soup.net/{k}", f"<body><div class=x1>Our site, your home</div><div class=x2><p>{prose(k, 30)}</p></div><div class=x3>All rights {k % 2}</div>", prose(k, 30)) for k in range(40)]
     found = main_text(spark.createDataFrame([(*r[:3], "mine") for r in rows], "page_id long, url string, html string, text string")).collect()
