@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import names as N
 from lodestone.functions import text as X
-from lodestone.operators import catalogue, hierarchy, search
+from lodestone.operators import catalogue, hierarchy, near, search, substring
 from lodestone.operators.ordered import with_previous
 from lodestone.sources import files, tables
 from lodestone.sources.tables import describe_snapshot, first_of_each, load_snapshot, new_folder, save_snapshot
-from lodestone.streaming import changes
+from lodestone.streaming import changes, placement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -460,6 +460,58 @@ def cdc_tree_paths(spark, d):
     return hierarchy.with_ancestry(changes.live(state), junk_dirs=JUNK, user_dirs=USER).select("file_ref", "depth", "path")
 
 
+def _substring_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The postings of the tree's names, built by the first query that asks for these very files."""
+    inputs = [f"{d}/{table}.parquet" for table in ("region", "nation", "customer", "orders")]
+    key = (spark.sparkContext.applicationId, "postings " + tables.files_stamp(spark, inputs))
+    if key not in _SNAPSHOTS:
+        path = new_folder(spark, "postings")
+        substring.build(indexed(spark, d), path)
+        _SNAPSHOTS[key] = path
+    return substring.load(spark, _SNAPSHOTS[key])
+
+
+@registered(f"{TREE} select file_ref, name, path, rank from (select *, {_TIER.format(q='077')} as rank from entries where contains(name_lower, '077') and not is_junk) order by rank, least(strlen(name_lower), 255), name_lower, file_ref limit 300")
+def substring_search(spark, d):
+    """A first page by three letters, from the postings of names."""
+    return search.search_generic(substring.entries_with(_substring_index(spark, d), "077"), "077").select("file_ref", "name", "path", "rank")
+
+
+@registered(f"{TREE} select q, count(*) as raw_total from entries, (values ('07'), ('0077'), ('der_1'), ('asia')) as t(q) where contains(name_lower, q) group by q")
+def substring_totals(spark, d):
+    """Names with two, four, five letters and a whole name in them."""
+    index = _substring_index(spark, d)
+    one = lambda q: search.raw_total(substring.entries_with(index, q), q).select(F.lit(q).alias("q"), "raw_total")
+    return one("07").union(one("0077")).union(one("der_1")).union(one("ASIA").select(F.lower("q").alias("q"), "raw_total"))
+
+
+@registered(
+    f"with recursive moved as (select 1000 + c_custkey as file_ref, case when c_acctbal < 0 then 107 else 4 end as to_ref from customer where c_acctbal < 0 or c_acctbal > 9000), gone as (select 100 + n_nationkey as file_ref from nation where n_nationkey % 10 = 9),"
+    f" {TREE_SQL.replace('t as (', 't0 as (', 1).replace('chain(file_ref', 't as (select t0.file_ref, coalesce(to_ref, parent_ref) as parent_ref, name, is_dir from t0 left join moved using (file_ref) anti join gone using (file_ref)), chain(file_ref', 1).replace('select file_ref, 0, lower', 'select file_ref, (parent_ref <> 0)::int, lower').replace('from t where parent_ref = 0', 'from t where is_dir and parent_ref not in (select file_ref from t where is_dir)')}"
+    " select file_ref, depth, user_path, is_junk, path from entries"
+)
+def incremental_placement(spark, d):
+    """A tree placed once, then customers moved in and out of junk and nations deleted: only their subtrees are restamped."""
+    path, options = new_folder(spark, "placed"), {"junk_dirs": JUNK, "user_dirs": USER}
+    placement.begin_placed(spark, path, tree(spark, d), {"C": 0}, **options)
+    event = "'C' as drive", "cast(null as bigint) as old_ref", "true as is_dir"
+    c = read(spark, d, "customer").where("c_acctbal < 0 or c_acctbal > 9000")
+    moved = c.selectExpr(*event, "c_custkey + 1 as seq", "'moved' as op", "1000 + c_custkey as file_ref", "if(c_acctbal < 0, 107L, 4L) as parent_ref", "c_name as name")
+    gone = read(spark, d, "nation").where("n_nationkey % 10 = 9").selectExpr(*event, "10000000L + n_nationkey as seq", "'deleted' as op", "100L + n_nationkey as file_ref", "0L as parent_ref", "n_name as name")
+    for batch in (moved, gone):
+        placement.place_batch(spark, path, batch.select("drive", "seq", "op", "file_ref", "old_ref", "parent_ref", "name", "is_dir"), **options)
+    return placement.placed_entries(spark, path).select("file_ref", "depth", "user_path", "is_junk", "path")
+
+
+@registered("select user_id as file_ref, 'e' || max(event_id) as name, max(event_id) % 5 as parent_ref from events group by user_id having arg_max(event_type, event_id) <> 'error'")
+def cdc_log_state(spark, d):
+    """All events in four batches, the second one twice, through the log-structured state."""
+    path, events = new_folder(spark, "state"), _events(spark, d)
+    for k in (0, 2, 2, 1, 3):
+        changes.apply_batch(spark, path, events.where(F.col("seq") % 4 == k))
+    return changes.live(changes.load_state(spark, path)[0]).select("file_ref", "name", "parent_ref")
+
+
 @registered(f"{TREE} select count(*) as raw_total from entries where contains(name_lower, 'customer#00000001')")
 def raw_total(spark, d):
     return search.raw_total(indexed(spark, d), "customer#00000001")
@@ -665,6 +717,19 @@ def target_graph(spark, d):
     return catalogue.one_of_target(catalogue.with_target(apps, links)).select("name", "target", "package_file")
 
 
+_CODE = "list_sum([case when embedding[i] > 0 then 1::bigint << (i - 1) else 0 end for i in range(1, 25)])::bigint"
+
+
+@registered(
+    f"with w as (select label, {_CODE} as code, min(vec_id) as least, count(*) as n from embeddings group by 1, 2)"
+    " select x.label, x.least as a, y.least as b, bit_count(xor(x.code, y.code))::int as distance from w x join w y on x.label = y.label and x.code < y.code and bit_count(xor(x.code, y.code)) <= 3"
+)
+def near_hashes(spark, d):
+    """All vectors of one label whose first 24 signs differ in three at most."""
+    rows = read(spark, d, "embeddings").select("vec_id", "label", F.get(X.sign_bits(F.slice("embedding", 1, 24)), F.lit(0)).alias("code"))
+    return near.near_codes(rows, "code", "vec_id", "label", most=3, bits=24).withColumnRenamed("within", "label")
+
+
 @registered("select p_partkey, case when p_partkey % 3 = 0 then 1 else 2 end as n, p_name || ' & <co>' as title, 'http://x/' || p_partkey as url, 'a ' || p_brand as snippet from part")
 def rss_items(spark, d):
     """Feeds of two items, of which the second has no link in every third one."""

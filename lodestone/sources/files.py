@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.catalogue import same_pool
-from lodestone.sources.tables import SCAN, load_snapshot, save_snapshot
+from lodestone.sources.tables import SCAN, save_snapshot, set_fingerprint, snapshot_notes
 
 DRIVES = "drive string, root string, device_path string, file_system string"
 #: One row for each entry of a source; ordinal is its place there, src_prio that of the source.
@@ -44,8 +43,13 @@ def file_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh_pool(apps: DataFrame, path: str) -> int | None:
-    """Publishes the catalogue (name, path) under path if it isn't empty and its paths differ from the published one's; returns the new revision, None if nothing changed."""
-    old = load_snapshot(apps.sparkSession, path)
-    if old is not None and same_pool(old["apps"], apps).first()["same"]:
+    """Publishes the catalogue (name, path) under path if it isn't empty and its lower paths differ from the published one's; returns the new revision, None if nothing changed.
+
+    Paths alone decide: an entry that only has another name isn't published. The paths' fingerprint is kept beside
+    the catalogue, so what was published isn't read again.
+    """
+    fingerprint = set_fingerprint(apps, F.lower("path"))
+    notes = snapshot_notes(apps.sparkSession, path)
+    if notes is not None and notes.get("paths") == fingerprint:
         return None
-    return save_snapshot({"apps": apps}, path, keep_if_empty="apps")
+    return save_snapshot({"apps": apps}, path, keep_if_empty="apps", notes={"paths": fingerprint})

@@ -100,22 +100,22 @@ def parsed_records(raw: DataFrame) -> DataFrame:
     return first_of_each(used.withColumn("_priority", priority), ["drive", "file_ref"], ["_priority", "name"]).drop("_priority", "in_use", "name_space")
 
 
-def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str | None = None) -> int | None:
+def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str | None = None, options: dict[str, str] | None = None, notes: dict | None = None) -> int | None:
     """Writes the tables under path, then publishes them as the next version with one small file; readers see old or new. Returns the version.
 
     Each writer has a folder of its own, and of several at once each publishes a version of its own, in the order of their
-    commits. keep_if_empty: a table without which nothing is published (None is returned).
+    commits. keep_if_empty: a table without which nothing is published (None is returned). options: of the writer. notes: what is published with the version.
     """
     spark = next(iter(tables.values())).sparkSession
     folder = f"w{time.time_ns():020d}-{uuid.uuid4().hex}"
     rows = {}
     for name, frame in tables.items():
         seen = Observation(f"{name}-{folder}")
-        frame.observe(seen, F.count("*").alias("rows")).write.option("compression", "zstd").parquet(f"{path}/{folder}/{name}")
+        frame.observe(seen, F.count("*").alias("rows")).write.options(**{"compression": "zstd", **(options or {})}).parquet(f"{path}/{folder}/{name}")
         rows[name] = seen.get.get("rows", 0)
     if keep_if_empty and not rows[keep_if_empty]:
         return None
-    document = {"format": SNAPSHOT_FORMAT, "folder": folder, "tables": rows}
+    document = {"format": SNAPSHOT_FORMAT, "folder": folder, "tables": rows, "notes": notes or {}}
     return commit(spark, f"{path}/_versions", lambda _: document)[0]
 
 
@@ -131,6 +131,22 @@ def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame] | None
     return {name: spark.read.parquet(f"{path}/{found[1]['folder']}/{name}") for name in sorted(found[1]["tables"])}
 
 
+def snapshot_notes(spark: SparkSession, path: str) -> dict | None:
+    """The notes of the newest version; None where `load_snapshot` gives None."""
+    found = newest(spark, f"{path}/_versions")
+    return found[1].get("notes", {}) if found and found[1]["format"] == SNAPSHOT_FORMAT else None
+
+
+def set_fingerprint(rows: DataFrame, value: Column) -> str:
+    """Two sums of hashes of a value and the number of rows: equal for the same values in any order, in one pass and one row to the driver.
+
+    Two different multisets are taken for equal with a chance of about 2^-128. Nulls count as a value.
+    """
+    one = lambda salt: F.coalesce(F.sum(F.xxhash64(value, F.lit(salt)).cast("decimal(38, 0)")), F.lit(0))
+    r = rows.agg(F.count("*").alias("n"), one(1).alias("a"), one(2).alias("b")).first()
+    return f"{r['n']}:{int(r['a']) % (1 << 64):016x}{int(r['b']) % (1 << 64):016x}"
+
+
 def drop_old_versions(spark: SparkSession, path: str, kept: int = 2) -> list[str]:
     """Deletes all but the newest `kept` versions and their folders; a reader of an older one has to load anew. Returns the folders."""
     log = f"{path}/_versions"

@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +132,9 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, shape: Shape = CHANG
     if len(asked) <= LOOKED_UP:
         first = [list(k) for k in asked]
         pieces = [p for p in pieces if (at := bisect_left(first, p["low"][: len(names)])) < len(first) and first[at] <= p["high"][: len(names)]]
-        keys = F.broadcast(spark.createDataFrame(asked, ", ".join(f"{c} {shape.key[c]}" for c in names)))
+        kinds = {"string": pa.string(), "long": pa.int64()}
+        columns = zip(*asked, strict=True) if asked else [[] for _ in names]
+        keys = F.broadcast(spark.createDataFrame(pa.table({c: pa.array(x, kinds[shape.key[c]]) for c, x in zip(names, columns, strict=True)})))
     else:
         keys = keys.distinct()
     rows = latest(_rows(spark, path, pieces, shape).join(keys, names, "left_semi"), shape)
