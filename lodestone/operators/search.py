@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.names import app_rank, extension_priority, match_tier, name_length, quoted, word_prefix
 from lodestone.functions.text import fuzzy_score
+from lodestone.operators.alignment import aligned
 
 PAGE, FUZZY_MOST, PATH_MOST, PATH_LEVELS = 300, 200, 200, 4
 LAST = ("drive", "file_ref")
@@ -106,20 +107,24 @@ def search_extension(entries: DataFrame, ext: str, limit: int = PAGE, skip: int
     return _page(rows, ["rank", "boundary", F.desc("user_path"), "depth", "name_len", "name_lower", *LAST], limit, skip)
 
 
-def fuzzy_fill(entries: DataFrame, query: str, page: DataFrame, room: int, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Up to `room` further entries that have the query as a subsequence, best first, with rank 5."""
+def fuzzy_fill(entries: DataFrame, query: str, page: DataFrame, room: int, excluded: tuple[str, ...] = (), by_alignment: bool = False) -> DataFrame:
+    """Up to `room` further entries that have the query as a subsequence, best first, with rank 5. by_alignment: scored by the best alignment, not from the left."""
     q = query.lower()
     loose = F.col("name_lower").rlike(".*".join(quoted(c) for c in q))
     rows = entries.where(loose & ~F.col("is_junk"))
     if excluded:
         rows = rows.where(not_excluded(excluded))
     rows = rows.join(F.broadcast(page.select(*LAST)), list(LAST), "left_anti")  # a page of at most PAGE rows
-    rows = rows.withColumn("score", fuzzy_score(F.col("name_lower"), q)).where("score >= 0").withColumn("rank", F.lit(5)).withColumn("name_len", name_length(F.col("name_lower")))
+    if by_alignment:
+        rows = aligned(rows, q, min(room, FUZZY_MOST))
+    else:
+        rows = rows.withColumn("score", fuzzy_score(F.col("name_lower"), q)).where("score >= 0")
+    rows = rows.withColumn("rank", F.lit(5)).withColumn("name_len", name_length(F.col("name_lower")))
     return rows.orderBy(F.desc("score"), "name_lower", *LAST).limit(min(room, FUZZY_MOST))
 
 
-def search_paged(entries: DataFrame, query: str, limit: int = PAGE, skip: int = 0, case_sensitive: bool = False, excluded: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(page, total of clean matches). An extension that entries have is searched as such, else by name; a first page that isn't full is filled by subsequences."""
+def search_paged(entries: DataFrame, query: str, limit: int = PAGE, skip: int = 0, case_sensitive: bool = False, excluded: tuple[str, ...] = (), by_alignment: bool = False) -> tuple[DataFrame, int]:
+    """(page, total of clean matches). An extension that entries have is searched as such, else by name; a first page that isn't full is filled by subsequences (see fuzzy_fill)."""
     if not query:
         return entries.limit(0).select(*LAST, "name", "path", "is_dir", F.lit(0).alias("rank")), 0
     columns = [*LAST, "name", "path", "is_dir", "rank"]
@@ -128,7 +133,7 @@ def search_paged(entries: DataFrame, query: str, limit: int = PAGE, skip: int =
     page = search_generic(entries, query, limit, skip, case_sensitive, excluded)
     total = generic_matches(entries, query, case_sensitive, excluded).count()
     if skip == 0 and total < limit and len(query.encode()) >= 2:
-        return page.select(*columns).unionByName(fuzzy_fill(entries, query, page, limit - total, excluded).select(*columns)), total
+        return page.select(*columns).unionByName(fuzzy_fill(entries, query, page, limit - total, excluded, by_alignment).select(*columns)), total
     return page.select(*columns), total
 
 
