@@ -460,6 +460,36 @@ def cdc_tree_paths(spark, d):
     return hierarchy.with_ancestry(changes.live(state), junk_dirs=JUNK, user_dirs=USER).select("file_ref", "depth", "path")
 
 
+_LOG = "case p_partkey % 5 when 0 then 'Log' || p_partkey || '.LOG' when 1 then 'my ' || p_name || '.log' when 2 then p_partkey || '.log' when 3 then '.log' else 'x.txt' end"
+
+
+@registered(
+    f"with e as (select p_partkey as file_ref, lower({_LOG}) as n, (p_partkey % 7 = 0)::int as user_path, 1 + p_partkey % 3 as depth from part), r as (select *, case when n = '.log' then 1 when starts_with(n, 'log') then 2 else 3 end as rank from e where ends_with(n, '.log'))"
+    " select file_ref, rank, 0 as boundary, user_path, depth::int as depth from r order by rank, user_path desc, depth, least(strlen(n), 255), n, file_ref limit 300"
+)
+def ext_ranks(spark, d):
+    """An extension's page over names that are it, begin with it, or have it alone, in user directories and others."""
+    key = F.col("p_partkey")
+    text, k = key.cast("string"), key % 5
+    name = F.when(k == 0, F.concat(F.lit("Log"), text, F.lit(".LOG"))).when(k == 1, F.concat(F.lit("my "), "p_name", F.lit(".log"))).when(k == 2, F.concat(text, F.lit(".log"))).when(k == 3, ".log").otherwise("x.txt")
+    rows = read(spark, d, "part").select(F.lit("C").alias("drive"), key.alias("file_ref"), name.alias("name"), (k == 3).alias("is_dir"), F.lit(False).alias("is_junk"), (key % 7 == 0).cast("int").alias("user_path"), (1 + key % 3).cast("int").alias("depth"))
+    found = search.search_extension(hierarchy.with_names(rows), "log")
+    return found.select("file_ref", "rank", "boundary", "user_path", "depth")
+
+
+_FILLED = "ld t"
+
+
+@registered(
+    f"with lit as (select p_partkey as file_ref, p_name as name, {_TIER.format(q=_FILLED)} as rank, least(strlen(p_name), 255) as len from (select *, lower(p_name) as name_lower from part) where contains(name_lower, '{_FILLED}')), n as (select count(*) as c from lit),"
+    f" fz as (select p_partkey as file_ref, p_name as name, row_number() over (order by score desc, lower(p_name), p_partkey) as k from ({_fuzzy_sql('lower(p_name)', _FILLED, 'part', '*')}) where score >= 0 and not contains(lower(p_name), '{_FILLED}'))"
+    " (select file_ref, name, rank from lit order by rank, len, lower(name), file_ref limit 300) union all select file_ref, name, 5 from fz, n where c < 300 and k <= least(200, 300 - c)"
+)
+def filled_page(spark, d):
+    """A first page of names with the query in them, filled by names that have it as a subsequence and aren't on the page."""
+    return search.search_paged(parts(spark, d), _FILLED)[0].select("file_ref", "name", "rank")
+
+
 def _substring_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The postings of the tree's names, built by the first query that asks for these very files."""
     inputs = [f"{d}/{table}.parquet" for table in ("region", "nation", "customer", "orders")]
