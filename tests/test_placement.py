@@ -45,7 +45,7 @@ def test_random_batches(spark, tmp_path, monkeypatch):
     assert placement.placed_entries(spark, path) is None
     placement.begin_placed(spark, path, spark.createDataFrame(scan, tables.SCAN), {"C": 100}, roots, **OPTIONS)
     assert rows_of(placement.placed_entries(spark, path)) == whole(spark, path, roots)
-    n = int(os.environ.get("PLACEMENT_BATCHES", 6))
+    n = int(os.environ.get("PLACEMENT_BATCHES", 4))
     for k in range(n):
         batch, seq = random_batch(rng, seq)
         for _ in range(1 + (k % 5 == 4)):  # some come again
