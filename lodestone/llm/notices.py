@@ -69,3 +69,37 @@ def all_notices() -> dict[str, list[str]]:
 def identifiers(names: list[str]) -> dict[str, list[str]]:
     """The tags that name a licence by its identifier."""
     return {name: ["*SPDX-License-Identifier: " + " ".join("+" + part for part in name.replace(".", "-").split("-"))] for name in names if name != "BSD"}
+
+
+#: Names that licences go by besides their titles, in the same marks.
+_NAMES = {
+    "MIT": ["*MIT +License", "*MIT +Licence", "*Expat +License"],
+    "Apache-2.0": ["*Apache +License +2.+0", "*Apache +License +Version +2.+0", "*Apache +License +v2", "*Apache +2.+0", "*ASL +2.+0"],
+    "BSD-2-Clause": ["*BSD +2-+Clause", "*2-+Clause +BSD", "*Simplified +BSD +License", "*FreeBSD +License"],
+    "BSD-3-Clause": ["*BSD +3-+Clause", "*3-+Clause +BSD", "*New +BSD +License", "*Modified +BSD +License", "*Revised +BSD +License"],
+    "CC0-1.0": ["*CC0 +1.+0"],
+    "EPL-1.0": ["*Eclipse +Public +License +1.+0", "*Eclipse +Public +License +v1.+0", "*Eclipse +Public +License +Version +1.+0", "*EPL +1.+0"],
+    "EPL-2.0": ["*Eclipse +Public +License +2.+0", "*Eclipse +Public +License +v2.+0", "*Eclipse +Public +License +Version +2.+0", "*EPL +2.+0"],
+    "ISC": ["*ISC +License", "*ISC +Licence"],
+    "MPL-1.1": ["*Mozilla +Public +License +1.+1", "*Mozilla +Public +License +Version +1.+1", "*MPL +1.+1"],
+    "MPL-2.0": ["*Mozilla +Public +License +2.+0", "*Mozilla +Public +License +Version +2.+0", "*MPL +2.+0"],
+    "Unlicense": ["*The +Unlicense"],
+}
+
+
+def titles(names: list[str]) -> dict[str, list[str]]:
+    """Short names of licences, which a text uses instead of a notice, and the fields of package descriptions that hold an identifier."""
+    found = {name: list(forms) for name, forms in _NAMES.items()}
+    for name, (words, version) in _GNU.items():
+        short = name.split("-")[0]
+        found[name] = [f"*GNU {words} +Public +License +v{version}", f"*GNU {words} +Public +License +version +{version}", f"*{short}v{version}", f"*{short} +v{version}", f"*{short} +version +{version}"]
+        if "." not in version:
+            found[name] += [f"*GNU {words} +Public +License +{version}.+0", f"*{short} +{version}.+0"]
+        else:
+            found[name] += [f"*GNU {words} +Public +License +{version}", f"*{short} +{version}"]
+    for kind, words in _CC.items():
+        for version in ("4.+0", "3.+0"):
+            found[f"CC-{kind}-{version.replace('+', '')}"] = [f"*CC {' '.join('+' + k for k in kind.split('-'))} +{version}", f"*Creative +Commons {words} +{version}"]
+    for name, tag in identifiers(names).items():
+        found.setdefault(name, []).append("*license " + tag[0].split(": ", 1)[1])
+    return found

@@ -395,6 +395,63 @@ def test_license_variants():
             assert found[0][:2] == (name, 1.0), (name, form[:80], [r[:3] for r in found])
 
 
+def test_license_names_and_tags(spark):
+    from lodestone.llm.license_scan import COVERAGE, TITLES, forms_of, license_scan, scan
+
+    cases = [
+        ("MIT License", ["MIT"], []), ("BSD 3-Clause License", ["BSD-3-Clause"], []), ("GPLv3", ["GPL-3.0"], []), ("Creative Commons Attribution 4.0", ["CC-BY-4.0"], []),
+        ("Creative Commons Attribution-ShareAlike 3.0", ["CC-BY-SA-3.0"], []), ("# License\n\nApache License 2.0", ["Apache-2.0"], []), ('"license": "MPL-2.0",', ["MPL-2.0"], []), ("LGPL-2.1 or AGPL 3.0", ["AGPL-3.0", "LGPL-2.1"], []),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"], ["MIT OR Apache-2.0"]), ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0-only"], ["GPL-2.0-only"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later"], ["GPL-2.0-or-later WITH Classpath-exception-2.0"]), ("spdx-license-identifier: lgpl-3.0+", ["LGPL-3.0-or-later"], ["lgpl-3.0+"]),
+        ("SPDX-License-Identifier: (LGPL-2.1-only AND MIT) OR BSD-3-Clause and more", ["BSD-3-Clause", "LGPL-2.1-only", "MIT"], ["(LGPL-2.1-only AND MIT) OR BSD-3-Clause"]), ("SPDX-License-Identifier: Zlib OR", [], ["Zlib"]), ("SPDX-License-Identifier: ", [], []), ("SPDX-License-Identifier: AND MIT", [], []),
+        ("Not released under the MIT License.", [], []), ("This isn't licensed under the MIT License, but under the GPLv2.", ["GPL-2.0"], []), ("Not only released under the MIT License.", ["MIT"], []), ("It is no longer under the MIT License; Apache License 2.0 now", ["Apache-2.0"], []),
+        ("It does not work. Released under the MIT License.", ["MIT"], []), ("Not under the MIT License. Later released under the MIT License.", ["MIT"], []), ("permit license", [], []), (None, [], []),
+    ]
+    rows = [(k, None if t is None else prose(k, 20) + ".\n\n" + t) for k, (t, *_) in enumerate(cases)]
+    found = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, names, expressions) in enumerate(cases):
+        assert (sorted(found[k]["licenses"]), found[k]["expressions"]) == (names, expressions), text
+        assert (found[k]["first_word"] is None) == (not names) and (not names or found[k]["first_word"] >= 20)
+    forms = forms_of(TITLES, COVERAGE)
+    for name, all_forms in TITLES.items():
+        for form in all_forms:
+            assert scan(form, forms)[0][:2] == (name, 1.0), (name, form)
+    many = "Released under the MIT License, not the GPLv3. " * 20_000
+    assert [r[0] for r in scan(many, forms)] == ["MIT"]
+
+
+def test_patience_against_all_subsequences():
+    """Equal heads and tails, then of all increasing subsequences of words unique to both the longest one that ends last, then the gaps, in recursion."""
+    from itertools import combinations
+
+    from lodestone.llm.license_scan import patience
+
+    def aligned(text, notice, a=0, x=0):
+        if not text or not notice:
+            return []
+        if text[0] == notice[0]:
+            return [(a, x), *aligned(text[1:], notice[1:], a + 1, x + 1)]
+        if text[-1] == notice[-1]:
+            return [*aligned(text[:-1], notice[:-1], a, x), (a + len(text) - 1, x + len(notice) - 1)]
+        unique = [(k, notice.index(w)) for k, w in enumerate(text) if text.count(w) == notice.count(w) == 1]
+        chains = [c for n in range(len(unique) + 1) for c in combinations(unique, n) if all(p[1] < q[1] for p, q in zip(c, c[1:], strict=False))]
+        best = max(chains, key=lambda c: (len(c), [k for k, _ in reversed(c)]))
+        if not best:
+            return []
+        found, ends = [(a + k, x + at) for k, at in best], [(-1, -1), *best, (len(text), len(notice))]
+        for (k1, x1), (k2, x2) in zip(ends, ends[1:], strict=False):
+            found += aligned(text[k1 + 1 : k2], notice[x1 + 1 : x2], a + k1 + 1, x + x1 + 1)
+        return sorted(found)
+
+    rng, longest = random.Random(8), 0
+    for _ in range(1500):
+        notice = [rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 11))]
+        text = rng.sample(notice, len(notice)) if rng.random() < 0.4 else [w for w in notice if rng.random() > 0.2] + [rng.choice("abcmnop") for _ in range(rng.randint(0, 3))]
+        longest = max(longest, len(patience(text, notice)))
+        assert patience(text, notice) == aligned(text, notice), (text, notice)
+    assert longest > 8
+
+
 def test_license_windows():
     """What windows around anchor words find, against the window around every word of a notice (around the word that tells it, if it has one)."""
     from lodestone.llm.license_scan import COVERAGE, forms_of, patience, scan
