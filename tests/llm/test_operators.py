@@ -536,6 +536,55 @@ def test_urls(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), SITE_RULES).count() == 0
 
 
+def test_url_places(spark):
+    """Rules with * against a plain comparison of host, parts of the path and parameters."""
+    from fnmatch import fnmatchcase
+
+    from lodestone.llm.url_filters import PLACE_RULES, filter_urls, wildcard_rule
+
+    def path_fits(have, want):
+        if not want:
+            return not have
+        if want == ["**"]:
+            return True
+        return bool(have) and fnmatchcase(have[0], want[0]) and path_fits(have[1:], want[1:])
+
+    def fits(rule, host, path, query):
+        place, asked, parameter = rule.partition("?")
+        own, slash, folder = place.partition("/")
+        labels = host.split(".")
+        if not any(fnmatchcase(".".join(labels[k:]), own) for k in range(len(labels))):
+            return False
+        want, have = (slash + folder).split("/")[1:], path.split("/")[1:]
+        if slash and want[-1] == "":
+            ok = len(have) >= len(want) and path_fits(have[: len(want) - 1], want[:-1])
+        else:
+            ok = not slash or (path.startswith("/") and path_fits(have, want))
+        return ok and (not asked or (query[:1] == "?" and any(fnmatchcase(p, parameter) for p in query[1:].split("&"))))
+
+    rng = random.Random(4)
+    rules = [*PLACE_RULES, wildcard_rule("allow", "good.ads-track.*/en/"), wildcard_rule("block", "x*y.org/a/*b/**"), wildcard_rule("block", "x.org/a*b?k*=1")]
+    urls = [None, "", "plain", "http://", "http://?print=1", "a://b#x://c?print=1", "http://m.ads-track.example.com/fr/1", "http://good.ads-track.example.com/en/1", "http://a.net/x?y/wp-login.php", "http://a.net/wp-login.php#x", "http://a.net/wp-login.php/x", "http://a.net/WP-LOGIN.php", "http://ads-tracker.net/", "http://myads-track.net/", "http://x.org/a\nb?k2=1"]
+    for _ in range(1500):
+        rule = rng.choice(rules).name
+        filled = "".join(rng.choice(["", "q", "a.b", "x-1", "/", "c/d"]) if c == "*" else c for c in rule.replace("**", "*"))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(filled))
+            filled = filled[:at] + rng.choice(["", "z", "/", "?", "&", "."]) + filled[at + rng.randint(0, 1) :]
+        urls.append(rng.choice(["http://", "https://m.", "ftp://w-"]) + filled + rng.choice(["", "", "/", "x", "?p=1", "&p=1", "#t", "/y/z"]))
+    found = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    hits = Counter()
+    for r in found:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", urls[r["page_id"]] or "")
+        host, path, query = (lowered(m[1]), m[2], m[3] or "") if m else ("", "", "")
+        ok = [x for x in rules if fits(x.name, host, path, query)]
+        best = max(ok, key=lambda x: (len(x.name), x.name)) if ok else None
+        assert (r["pattern"], r["verdict"]) == ((best.name, best.verdict) if best else (None, "allow")), urls[r["page_id"]]
+        hits[r["pattern"]] += 1
+    assert len(found) == len(urls) and all(hits[x.name] > 2 for x in rules if x.verdict == "block") and hits[None] > 200
+    assert sum(len(x.tokens) > 1 for x in PLACE_RULES) > 0.9 * len(PLACE_RULES)
+
+
 def test_sharding(spark, docs, texts, nothing):
     from lodestone.llm.sharding import minimax_shards, shard_documents
 
