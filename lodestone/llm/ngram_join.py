@@ -316,3 +316,23 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: int = SIMILARITY) ->
     copied = broadcast_if_small(copied)
     one = kept.join(copied, same, "left_semi").groupBy(F.col("doc_id").alias("_lodestone_id"), F.xxhash64("text").alias("_lodestone_key")).agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("_lodestone_row"))
     return kept.join(copied, same, "left_anti").unionByName(one.select("_lodestone_row.*"))
+
+
+OP3_SQL = r"""
+with recursive words as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingled as (
+  select row, doc_id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) end as grams, len(w) as n_words
+  from words),
+sets as (select row, doc_id, n_words, len(grams) as n, md5(array_to_string(list_sort(grams), chr(10))) as key, grams from shingled),
+entries as (select key, n, unnest(grams) as gram from (select key, any_value(n) as n, any_value(grams) as grams from sets where n_words > 0 group by key)),
+links as (
+  select a.key as a, b.key as b from entries a join entries b on a.gram = b.gram and a.key <> b.key
+  group by a.key, b.key, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(start, key) as (select distinct key, key from entries union select reach.start, links.b from reach join links on links.a = reach.key),
+components as (select reach.start as key, min(sets.doc_id) as component_id from reach join sets on sets.key = reach.key group by reach.start)
+select s.doc_id, case when n_words > 0 then s.n else 0 end as n_shingles, case when n_words > 0 then c.component_id else s.doc_id end as component_id
+from sets s left join components c on c.key = s.key and s.n_words > 0
+"""

@@ -8,7 +8,7 @@ from lodestone.llm.html_extraction import op5_html_extraction
 from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.license_scan import op8_license_scan
 from lodestone.llm.nearest_vectors import op11_nearest_vectors
-from lodestone.llm.ngram_join import op3_ngram_jaccard_join
+from lodestone.llm.ngram_join import OP3_SQL, op3_ngram_jaccard_join
 from lodestone.llm.packing import op9_packing
 from lodestone.llm.periodic_runs import op12_periodic_runs
 from lodestone.llm.quality_rules import op7_quality_rules
@@ -33,4 +33,4 @@ QUERIES = {
 }
 
 #: The others need models, hashes, tokenizers or automata that SQL doesn't have, or are approximate; tests hold them against plain Python.
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op10_decontamination": OP10_SQL, "op13_hard_negatives": OP13_SQL}
