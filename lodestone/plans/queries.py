@@ -152,13 +152,28 @@ def ext_search_total(spark, d):
     return search.extension_matches(indexed(spark, d), "o_x").agg(F.count("*").alias("total"))
 
 
-_EXTS = ("pdf", "png", "zip", "xyz", "py", "mp4", "gz")
+def _pick(values, k):
+    """The value at k, counted in a circle."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(k) % len(values) + 1).cast("int"))
 
 
-@registered("select p_partkey, case p_partkey % 7 when 0 then 0 when 4 then 0 when 1 then 1 when 5 then 1 when 2 then 2 when 6 then 2 else 3 end as ext_prio from part")
+def _list_sql(values):
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _pick_sql(values, k):
+    return f"list_extract([{_list_sql(values)}], (floor({k}) % {len(values)} + 1)::int)"
+
+
+_EXTS = (".pdf", ".png", ".zip", ".xyz", ".py", ".mp4", ".gz", ".tar.gz", "", ".", ".7z.txt", ".docx", ".PDF")
+
+
+@registered(
+    f"with named as (select p_partkey, regexp_extract(lower(p_name || {_pick_sql(_EXTS, 'p_partkey')}), '[^.]*$') as ext from part)"
+    f" select p_partkey, case when ext in ({_list_sql(sorted(N.DOCUMENT_EXTS))}) then 0 when ext in ({_list_sql(sorted(N.MEDIA_EXTS))}) then 1 when ext in ({_list_sql(sorted(N.ARCHIVE_EXTS))}) then 2 else 3 end::int as ext_prio from named"
+)
 def ext_priority(spark, d):
-    ext = F.element_at(F.array(*[F.lit(e) for e in _EXTS]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return read(spark, d, "part").select("p_partkey", N.extension_priority(F.concat("p_name", F.lit("."), ext)).alias("ext_prio"))
+    return read(spark, d, "part").select("p_partkey", N.extension_priority(F.lower(F.concat("p_name", _pick(_EXTS, F.col("p_partkey"))))).alias("ext_prio"))
 
 
 @registered(f"{TREE} select file_ref, path from entries")
@@ -552,40 +567,68 @@ def refs_per_drive(spark, d):
     return indexed(spark, d).groupBy("drive").agg(F.count("*").alias("n"), F.min("file_ref").alias("low"), F.max("file_ref").alias("high"))
 
 
-@registered("select * from (values ('roots_exist', true), ('roots_named', true), ('refs_and_names', true), ('depths_in_range', true), ('refs_once', true), ('drives_rooted', false)) as t(\"check\", ok)")
+@registered(
+    rf"""{TREE}, roots(drive, root) as (values ('D', 'D:\'))
+    select 'roots_exist' as "check", count(*) > 0 as ok from roots union all select 'roots_named', bool_and(drive is not null and root <> '') from roots
+    union all select 'refs_and_names', count(*) = count(file_ref) and count(*) = count(name) from entries
+    union all select 'depths_in_range', min(depth) >= 1 and max(depth) <= 15 and min(user_path) >= 0 and max(user_path) <= 1 from entries
+    union all select 'refs_once', count(*) = count(distinct file_ref) from entries union all select 'drives_rooted', 'C' in (select drive from roots) from (select 1)"""
+)
 def snapshot_checks(spark, d):
     """The index against roots of another drive: all checks hold but that."""
     return tables.validate_snapshot({"entries": indexed(spark, d), "roots": spark.createDataFrame([("D", "D:\\")], "drive string, root string")})
 
 
-_LINES = ("C:\\x", "~", "%TEMP%\\a", "AppData/x", "\\\\srv\\s", "3*(4+1)", "12", "+-", "ring 3", '"D:\\q"', "a\\b", "100%")
-_LINE_KINDS = ("path", "path", "path", "path", "path", "math", "name", "name", "name", "path", "path", "math")
+_LINE_HEADS = ("", "C:\\", "c:/", "~", "~/", "%TEMP%\\", "%x y%", "%x%/", "AppData/", "windows/", "Program Files (x86)/", "\\\\srv", '"D:\\', "3*(", "12", "+-", "C:", "1.5 ^ ", '""~')
+_LINE_TAILS = ("", "x\\y", "4+1)", " 7", "100%", '"', "/z", "ring")
+_LINE_FOLDERS = ("appdata", "localappdata", "temp", "userprofile", "programfilesx86", "programfiles", "program files", "program files (x86)", "windows", "system32")
 
 
-@registered("select p_partkey, (" + "case p_partkey % 12 " + " ".join(f"when {k} then '{kind}'" for k, kind in enumerate(_LINE_KINDS)) + " end) as kind from part")
+@registered(
+    f"with lines as (select p_partkey, {_pick_sql(_LINE_HEADS, 'p_partkey')} || {_pick_sql(_LINE_TAILS, f'p_partkey / {len(_LINE_HEADS)}')} as line from part), bared as (select *, trim(line, '\"') as bare from lines)"
+    + rf""" select p_partkey, case
+      when contains(bare, '\') or bare = '~' or starts_with(bare, '~/') or (bare[2:2] = ':' and lower(bare[1:1]) between 'a' and 'z' and bare[3:3] in ('', '/'))
+        or (contains(bare, '/') and lower(split_part(bare, '/', 1)) in ({_list_sql(_LINE_FOLDERS)}))
+        or (starts_with(bare, '%') and split_part(bare, '%', 2) <> '' and not contains(split_part(bare, '%', 2), '/') and contains(bare[2:], '%')
+            and (bare = '%' || split_part(bare, '%', 2) || '%' or starts_with(bare, '%' || split_part(bare, '%', 2) || '%/'))) then 'path'
+      when translate(line, '0123456789+-*/().% ^', '') = '' and translate(line, '0123456789', '') <> line and translate(line, '+-*/%^', '') <> line then 'math'
+      else 'name' end as kind from bared"""
+)
 def line_kind(spark, d):
-    line = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    line = F.concat(_pick(_LINE_HEADS, F.col("p_partkey")), _pick(_LINE_TAILS, F.col("p_partkey") / len(_LINE_HEADS)))
     return read(spark, d, "part").select("p_partkey", search.line_kind(line).alias("kind"))
 
 
-_TARGETS = ("C:\\x\\cmd.exe", "http://a/b", "C:\\x\\a.HTML", "C:\\x\\unins000.exe", "C:\\ProgramData\\Package Cache\\x.exe", "aumid:http://x", "\\\\srv\\app.exe", "\\\\.\\pipe", "relative.exe", "ms-settings:a", "msiexec.exe", "powershell.exe")
-_FLAGS = {
-    "shortcut_junk": "1 1 1 1 0 0 0 0 0 0 0 1", "installer_junk": "0 0 0 1 1 0 0 0 0 0 0 0", "launchable": "1 0 1 1 1 1 1 0 0 1 0 0", "shell_junk": "0 0 0 0 0 1 0 0 0 0 0 0", "device_path": "0 0 0 0 0 0 0 1 0 0 0 0", "uninstaller_allowed": "0 1 1 1 1 1 1 1 0 0 1 0",
-}
+_TARGET_HEADS = ("C:\\x\\", "C:\\ProgramData\\Package Cache\\", "aumid:", "\\\\srv\\", "\\\\.\\", "", "http://", "c:/", "ms-", "shell:::", "Uninstall ")
+_TARGET_TAILS = ("cmd.exe", "a.HTML", "unins000.exe", "app.exe", "msiexec.exe", "powershell.exe", "http://x", ".url", "x Command Prompt")
 
 
-@registered("select s_suppkey, " + ", ".join(f"list_extract([{', '.join('true' if x == '1' else 'false' for x in flags.split())}], (s_suppkey % 12 + 1)::int) as {name}" for name, flags in _FLAGS.items()) + " from supplier")
+@registered(
+    rf"""with targets as (select s_suppkey, {_pick_sql(_TARGET_HEADS, "s_suppkey")} || {_pick_sql(_TARGET_TAILS, f"s_suppkey / {len(_TARGET_HEADS)}")} as t from supplier),
+    named as (select *, lower(t) as low, regexp_replace(lower(regexp_extract(t, '[^\\/]*$')), '^(.+)\.[^.]*$', '\1') as stem, starts_with(t, '\\.\') or starts_with(t, '\\?\') as device, case when starts_with(lower(t), 'aumid:') then lower(t)[7:] else '' end as rest from targets)
+    select s_suppkey, starts_with(low, 'http') or suffix(low, '.url') or suffix(low, '.html') or suffix(low, '.htm') or stem = '' or stem in ({_list_sql(sorted(N.SHELLS))}) or contains(stem, 'unins') as shortcut_junk,
+      contains(low, '\package cache\') or suffix(low, '\package cache') or contains(stem, 'unins') as installer_junk,
+      (lower(t[1:1]) between 'a' and 'z' and t[2:2] = ':' and t[3:3] in ('/', '\')) or (starts_with(t, '\\') and not device) or starts_with(t, 'aumid:') or starts_with(t, 'ms-') or starts_with(t, 'shell:::') as launchable,
+      starts_with(rest, 'http') or suffix(rest, '.url') or suffix(rest, '.html') or suffix(rest, '.htm') or starts_with(low, 'uninstall ') or starts_with(low, 'install ') or suffix(low, ' command prompt') as shell_junk,
+      device as device_path, stem not in ({_list_sql(sorted(N.INTERPRETERS))}) and (contains(t, '\') or contains(t, '/') or stem = 'msiexec') as uninstaller_allowed from named"""
+)
 def path_predicates(spark, d):
-    target = F.element_at(F.array(*[F.lit(x) for x in _TARGETS]), (F.col("s_suppkey") % 12 + 1).cast("int"))
+    target = F.concat(_pick(_TARGET_HEADS, F.col("s_suppkey")), _pick(_TARGET_TAILS, F.col("s_suppkey") / len(_TARGET_HEADS)))
     rows = read(spark, d, "supplier").select("s_suppkey", target.alias("t"))
     t = F.col("t")
     return rows.select("s_suppkey", N.shortcut_junk(t).alias("shortcut_junk"), N.installer_junk(t).alias("installer_junk"), N.launchable(t).alias("launchable"), N.shell_junk(t, t).alias("shell_junk"), N.device_path(t).alias("device_path"), N.uninstaller_allowed(t).alias("uninstaller_allowed"))
 
 
-@registered(r"select s_suppkey, case s_suppkey % 4 when 0 then 'C:\Windows\System32\' || s_name when 1 then 'C:\Program Files\' || s_name end as path from supplier")
+_FOLDER_IDS = ("{1AC14E77-02E7-4E5D-B744-2EB1AE5198B7}\\", "{6d809377-6af0-444b-8957-a3773f02200e}\\", "{0}\\", "none ", "{D65231B0-b2f1-4857-a4ce-a8e7c6ea7d27}\\a\\", "{6d809377-6af0-444b-8957-a3773f02200e}", "\\")
+
+
+@registered(
+    rf"""with ids as (select s_suppkey, {_pick_sql(_FOLDER_IDS, "s_suppkey")} || s_name as id from supplier),
+    folders(folder, base) as (values ({"), (".join(_list_sql(pair) for pair in N.KNOWN_FOLDERS.items())}))
+    select s_suppkey, base || id[strpos(id, '\'):] as path from ids left join folders on contains(id, '\') and lower(split_part(id, '\', 1)) = folder"""
+)
 def known_folders(spark, d):
-    rest = F.element_at(F.array(F.lit("{1AC14E77-02E7-4E5D-B744-2EB1AE5198B7}\\"), F.lit("{6d809377-6af0-444b-8957-a3773f02200e}\\"), F.lit("{0}\\"), F.lit("none ")), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return read(spark, d, "supplier").select("s_suppkey", N.known_folder_path(F.concat(rest, "s_name")).alias("path"))
+    return read(spark, d, "supplier").select("s_suppkey", N.known_folder_path(F.concat(_pick(_FOLDER_IDS, F.col("s_suppkey")), "s_name")).alias("path"))
 
 
 @registered(
@@ -780,19 +823,33 @@ def answer_results(spark, d):
     return rows.select("p_partkey", F.array_join(F.transform("r", lambda r: r["url"]), ",").alias("urls"), F.get("r", F.lit(0))["title"].alias("title"))
 
 
-@registered(r"select s_suppkey, case s_suppkey % 4 when 0 then 'C:\p q\' || s_name || '.exe' when 1 then 'u.exe' when 2 then 'open ' || s_name end as exe, case s_suppkey % 4 when 0 then '/S x' when 1 then '/n ' || s_name when 2 then '' end as args from supplier")
+_COMMAND_HEADS = ('"C:\\p q\\', "u", '"open ', "", '""', ' "', "  C:\\")
+_COMMAND_TAILS = ('.exe"  /S x', ".exe /n ", "", '"', " ", '.exe" "a b"')
+
+
+@registered(
+    rf"""with commands as (select s_suppkey, ltrim({_pick_sql(_COMMAND_HEADS, "s_suppkey")} || s_name || {_pick_sql(_COMMAND_TAILS, f"s_suppkey / {len(_COMMAND_HEADS)}")}) as s from supplier),
+    cut as (select s_suppkey, s, starts_with(s, '"') as quoted, strpos(s[2:], '"') as closes, strpos(s || ' ', ' ') as space from commands),
+    parts as (select s_suppkey, case when not quoted then s[:space - 1] when closes > 0 then s[2:closes] else s[2:] end as exe, case when not quoted then ltrim(s[space:]) when closes > 0 then ltrim(s[closes + 2:]) else '' end as args from cut)
+    select s_suppkey, nullif(exe, '') as exe, case when exe <> '' then args end as args from parts"""
+)
 def uninstall_command(spark, d):
-    """Commands with quotes, without, with an open quote, and empty."""
-    name, k = F.col("s_name"), F.col("s_suppkey") % 4
-    command = F.when(k == 0, F.concat(F.lit(' "C:\\p q\\'), name, F.lit('.exe"  /S x'))).when(k == 1, F.concat(F.lit("u.exe /n "), name)).when(k == 2, F.concat(F.lit('"open '), name)).otherwise("")
+    """Commands with quotes, without, with an open quote, and with nothing between quotes."""
+    command = F.concat(_pick(_COMMAND_HEADS, F.col("s_suppkey")), F.col("s_name"), _pick(_COMMAND_TAILS, F.col("s_suppkey") / len(_COMMAND_HEADS)))
     return read(spark, d, "supplier").select("s_suppkey", X.uninstall_command(command).alias("c")).select("s_suppkey", "c.exe", "c.args")
 
 
-@registered(r"select s_suppkey, case s_suppkey % 3 when 0 then 'C:\w\' || s_name when 1 then 'none%\' || s_name else 'a%b' || s_name end as path from supplier")
+_VALUE_TEXTS = ("%WinDir%\\", "%none%\\", "a%b", "%root%", "%ROOT%%windir%\\", "50%", "", "%WINDIR%%none%")
+
+
+@registered(
+    rf"""with texts as (select s_suppkey, {_pick_sql(_VALUE_TEXTS, "s_suppkey")} || s_name as text from supplier),
+    known as (select s_suppkey, regexp_replace(regexp_replace(text, '%windir%', '%Root%w', 'gi'), '%root%', 'C:\\', 'gi') as text from texts)
+    select s_suppkey, case when len(text) - len(replace(text, '%', '')) > 1 then text[:strpos(text, '%') - 1] || text[strpos(text, '%') + 1:] else text end as path from known"""
+)
 def expand_env(spark, d):
-    name, k = F.col("s_name"), F.col("s_suppkey") % 3
-    text = F.concat(F.when(k == 0, "%WinDir%\\").when(k == 1, "%none%\\").otherwise("a%b"), name)
-    return read(spark, d, "supplier").select("s_suppkey", X.expand_env({"windir": "%Root%w", "ROOT": "C:\\"})(text).alias("path"))
+    """Values of values, unknown names, and single signs."""
+    return read(spark, d, "supplier").select("s_suppkey", X.expand_env({"windir": "%Root%w", "ROOT": "C:\\"})(F.concat(_pick(_VALUE_TEXTS, F.col("s_suppkey")), "s_name")).alias("path"))
 
 
 @registered("select p_partkey, upper(p_name[1]) || substring(split_part(p_name, ' ', 1), 2) || upper(split_part(p_name, ' ', 2)[1]) || substring(split_part(p_name, ' ', 2), 2) || chr(39) || 's' as shown from part")
