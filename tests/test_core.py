@@ -265,6 +265,25 @@ def test_with_previous(spark):
     assert found == {(k, o): next((v for kk, oo, v in reversed(rows) if kk == k and oo < o), None) for k, o, _ in rows}
 
 
+def test_with_previous_over_sparse_orders(spark):
+    """Time stamps, both ends of a long, dense stretches, null values and null orders; ranges of ranges, each window of `width` rows at most."""
+    from lodestone.operators.ordered import with_previous
+
+    rng = random.Random(9)
+    orders = {rng.randrange(-(1 << 62), 1 << 62) for _ in range(200)} | {1_700_000_000_000_000 + rng.randrange(10**6) for _ in range(200)} | set(range(-40, 40)) | {-(1 << 63), (1 << 63) - 1}
+    rows = sorted((o, rng.choice(("a", "a", "b", None)), rng.choice((f"v{o}", f"v{o}", None))) for o in orders)
+    frame = spark.createDataFrame([(k, o, v) for o, k, v in rows] + [("a", None, "x"), ("c", None, "y")], "k string, o long, v string")
+    for width in (16, 4096):
+        found = with_previous(frame, "k", "o", "v", "p", width=width)
+        assert found.columns == ["k", "o", "v", "p"]
+        expected, last = {("a", None): None, ("c", None): None}, {}
+        for o, k, v in rows:
+            expected[k, o], last[k] = last.get(k), v
+        got = [((r["k"], r["o"]), r["p"]) for r in found.collect()]
+        assert len(got) == len(rows) + 2 and dict(got) == expected
+    assert with_previous(frame.where("false"), "k", "o", "v", "p").count() == 0
+
+
 def event(seq, op, ref, name="n", parent=0, old=None, drive="C", is_dir=False):
     return (drive, seq, op, ref, old, parent, name, is_dir)
 
