@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.names import app_name_score, canonical_path, file_name_key, known_folder_path, launchable, normalized_app_name, stem
 from lodestone.functions.text import package_exe
-from lodestone.sources.tables import first_of_each
+from lodestone.sources.tables import broadcast_if_small, first_of_each
 
 ORDER = ["src_prio", "ordinal"]
 
@@ -93,14 +93,42 @@ def by_priority(rows: DataFrame, key: list[str], priority: Column, usable: Colum
     return first_of_each(rows.where(usable).withColumn("_priority", priority), key, ["_priority"]).drop("_priority")
 
 
+def _compared(app: Column, path: Column) -> tuple[Column, Column]:
+    """An application's name without space and a file's without its ending, as they are compared."""
+    return F.regexp_replace(F.lower(app), r"\s", ""), F.regexp_replace(file_name_key(path), r"\.exe$", "")
+
+
 def best_executable(candidates: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(app or key, path) of the best of candidates (app, path, ordinal): 100 for the app's own name, 50 if one has the other in it; none without a score."""
-    name = F.regexp_replace(file_name_key(F.col("path")), r"\.exe$", "")
-    compact = F.regexp_replace(F.lower("app"), r"\s", "")
+    compact, name = _compared(F.col("app"), F.col("path"))
     score = F.when(name == compact, 100).when(name.contains(compact) | compact.contains(name), 50).otherwise(0)
     return candidates.withColumn("score", score).where("score > 0").groupBy(*(key or ["app"])).agg(F.max_by("path", F.struct("score", -F.col("ordinal"))).alias("path"))
 
 
+def _parts(rows: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
+    """rows with each part of their text that is as long as some `other` text of their folder."""
+    sizes = broadcast_if_small(others.select("folder", F.char_length(other).alias("_size")).distinct())
+    room = F.char_length(text) - F.col("_size") + 1
+    starts = F.when(F.col("_size") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), room))
+    return rows.join(sizes, "folder").where(room > 0).select(*rows.columns, "_size", F.explode(starts).alias("_at")).select(*rows.columns, F.col(text).substr(F.col("_at"), F.col("_size")).alias("part"))
+
+
+def best_in_folder(asked: DataFrame, inside: DataFrame) -> DataFrame:
+    """(folder, compact, found) of names (folder, compact) that `best_executable` finds a file for among those of their folder (folder, name, path, ordinal).
+
+    found: struct of order and path, the best least. Of two texts one has the other in it if one of its parts is equal, so all cases
+    are equalities. Of files with one part the first is taken before they are joined, so applications of a folder don't meet all its files.
+    """
+    first = lambda rows, by: rows.groupBy("folder", by).agg(F.min("file").alias("file"))
+    names = first(inside.withColumn("file", F.struct(F.col("ordinal").isNull().alias("late"), "ordinal", "path")), "name")
+    asked = asked.select("folder", "compact").dropna().distinct()
+    same = asked.join(names.withColumnRenamed("name", "compact"), ["folder", "compact"])
+    longer = asked.join(first(_parts(names, "name", asked, "compact"), "part").withColumnRenamed("part", "compact"), ["folder", "compact"])
+    shorter = _parts(asked, "compact", names, "name").distinct().join(names.withColumnRenamed("name", "part"), ["folder", "part"])
+    found = lambda rows, score: rows.select("folder", "compact", F.struct(F.lit(-score).alias("score"), "file.late", "file.ordinal", "file.path").alias("found"))
+    return found(same, 100).unionByName(found(longer, 50)).unionByName(found(shorter, 50)).groupBy("folder", "compact").agg(F.min("found").alias("found"))
+
+
 def executables(apps: DataFrame, files: DataFrame) -> DataFrame:
     """(app, path) of each application's executable, from the first of its icon, its install location and its uninstall commands that gives one.
 
@@ -122,7 +150,8 @@ def executables(apps: DataFrame, files: DataFrame) -> DataFrame:
     folder = lambda path: F.regexp_replace(F.lower(path), r"\\[^\\]*$", "")
     beside = pointed.where(~itself).select("app", "place", folder("path_lower").alias("folder"))
     located = apps.where("install_location is not null").select("app", F.lit(1).alias("place"), F.regexp_replace(F.lower("install_location"), r"\\+$", "").alias("folder"))
-    inside = known.where(F.col("path_lower").endswith(".exe")).select(folder("path_lower").alias("folder"), "path", "ordinal")
-    hunted = beside.unionByName(located).distinct().join(inside, "folder")
-    best = best_executable(hunted.select(F.struct("app", "place").alias("key"), "app", "path", "ordinal"), ["key"]).select("key.app", "key.place", "path")
+    compact, name = _compared(F.col("app"), F.col("path"))
+    inside = known.where(F.col("path_lower").endswith(".exe")).select(folder("path_lower").alias("folder"), name.alias("name"), "path", "ordinal")
+    hunted = beside.unionByName(located).distinct().withColumn("compact", compact)
+    best = hunted.join(best_in_folder(hunted, inside), ["folder", "compact"]).groupBy("app", "place").agg(F.min("found").alias("found")).select("app", "place", "found.path")
     return direct.unionByName(best).groupBy("app").agg(F.min_by("path", F.struct("place", "path")).alias("path"))

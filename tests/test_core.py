@@ -249,6 +249,50 @@ def test_executables(spark):
     assert {r["app"]: r["path"] for r in found.collect()} == {"My App": "C:\\a\\MyApp.exe", "Beside": "C:\\b\\beside.exe", "Located": "C:\\l\\located.exe", "Unin": "C:\\u\\unin.exe", "Msi": "C:\\m\\msi.exe"}
 
 
+def joins_of(frame):
+    """(rows, condition) of each join of a collected frame's plan; condition: what is tested for each pair of rows with equal keys."""
+    found, left = [], [frame._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(plan.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(plan.plan())
+        if "Join" in name:
+            found.append((plan.metrics().apply("numOutputRows").value(), plan.condition().toString()))
+        children = plan.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_executables_of_one_folder_do_not_meet_all_files(spark):
+    """All applications and files of one folder: what every pair would give, from joins whose rows grow with the tables."""
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choice("aB é") for _ in range(rng.randint(0, most)))
+    apps = [(word(5) + word(2), rng.choice("xy")) for _ in range(150)] + [(None, "x"), ("", "x"), (" ", "y"), ("aB" * 40, "y")]
+    files = sorted({(f"C:\\{rng.choice('xy')}\\{word(4)}.exe", rng.randint(0, 9) * 1000 + k) for k in range(100)})
+    expected = {}
+    low = {}
+    for path, ordinal in sorted(files, key=lambda f: f[1]):
+        low.setdefault(path.lower(), (path, ordinal))
+    for app, home in apps:
+        compact = None if app is None else app.lower().replace(" ", "")
+        for path, ordinal in low.values():
+            name = path.lower().rpartition("\\")[2][:-4]
+            if compact is not None and path.startswith(f"C:\\{home}\\") and (name in compact or compact in name):
+                expected[app] = min(expected.get(app, (0, 0, "")), (-100 if name == compact else -50, ordinal, path))
+    sources = spark.createDataFrame([(a, None, f"C:\\{h}\\", None, None) for a, h in apps], "app string, icon string, install_location string, uninstall_string string, quiet_uninstall_string string")
+    found = catalogue.executables(sources, spark.createDataFrame(files, "path string, ordinal long"))
+    assert {r["app"]: r["path"] for r in found.collect()} == {a: f[2] for a, f in expected.items()}
+
+    n = 1_500
+    apps = spark.range(n).selectExpr("concat('Tool ', 100000 + id) as app", "cast(null as string) as icon", "'C:\\\\t' as install_location", "cast(null as string) as uninstall_string", "cast(null as string) as quiet_uninstall_string")
+    found = catalogue.executables(apps, spark.range(n).selectExpr("concat('C:\\\\t\\\\tool', 100000 + id, '.exe') as path", "id as ordinal"))
+    assert len(found.collect()) == n
+    assert (joins := joins_of(found)) and all(rows < 100 * n and "Contains(" not in condition for rows, condition in joins), joins
+
+
 def test_path_search(spark):
     rows = hierarchy.with_ancestry(records(spark, [(1, 0, "Users", True), (2, 1, "Alice", True), (3, 2, "notes.txt", False), (4, 2, "note", True), (5, 4, "deep", True), (6, 5, "footnote.md", False)]))
     paths = lambda p: [r["path"] for r in search.path_search(rows, p).collect()]
