@@ -46,14 +46,20 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
         state, seen = stored_counting(state, f"chains-{k}", open=F.count_if(F.col("up").isNotNull()))
         if k:
             drop_stored(before)
-        small = F.broadcast if seen.get("rows", 0) <= BROADCAST_ROWS else lambda frame: frame
+        # the many entries that ask for chains pass by, unsorted; of the chains each task holds its share
+        small = F.broadcast if seen.get("rows", 0) <= BROADCAST_ROWS else lambda frame: frame.hint("shuffle_hash")
         if k == PATH_ROUNDS or not seen.get("open", 0):
             break
         before = state
-        above = state.select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in carried], F.col("up").alias("next"))
-        joined = state.join(small(above), ["drive", "up"], "left")
+        # directories whose chain has ended aren't joined: without a pointer all of them would be one task's
+        going = state.where("up is not null")
+        asked = going.select("drive", F.col("up").alias("file_ref")).distinct()
+        few = seen.get("rows", 0) <= BROADCAST_ROWS or asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        near = F.broadcast if few else lambda frame: frame
+        above = state.join(near(asked), ["drive", "file_ref"], "left_semi").select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in carried], F.col("up").alias("next"))
+        joined = going.join(near(above), ["drive", "up"], "left")
         flags = k < FLAG_ROUNDS
-        state = joined.select(
+        moved = joined.select(
             "drive",
             "file_ref",
             F.col("next").alias("up"),
@@ -63,6 +69,7 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
             F.concat(F.coalesce("prefix_up", F.lit("")), "prefix").alias("prefix"),
             *([F.concat("above", F.coalesce("above_up", F.array().cast("array<bigint>"))).alias("above")] if with_above else []),
         )
+        state = state.where("up is null").unionByName(moved)
     return small(state.drop("up"))
 
 

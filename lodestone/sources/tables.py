@@ -87,6 +87,15 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def dealt(frame: DataFrame, *key: str) -> DataFrame:
+    """The rows by key over a set number of partitions, for steps that sort all of a large table, whose keys have few rows each.
+
+    Adaptive execution would merge partitions to one for each core, up to 64 MB of compressed rows, which are gigabytes once a task has unpacked and sorted them.
+    """
+    session = frame.sparkSession
+    return frame.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 8 * session.sparkContext.defaultParallelism), *key)
+
+
 def first_of_each(frame: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row for each key, the first by order."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

@@ -14,9 +14,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.hierarchy import with_ancestry
+from lodestone.functions.names import JUNK_DIRS, USER_DIRS
+from lodestone.operators.hierarchy import directory_chains, stamped
 from lodestone.sources.external import register
-from lodestone.sources.tables import EVENTS, save_snapshot
+from lodestone.sources.tables import EVENTS, dealt, save_snapshot, stored
 from lodestone.streaming.log_state import RECORD, add_run, is_due, latest, load_manifest, mark_saved, state_of
 from lodestone.streaming.log_state import STATE as STATE
 from lodestone.streaming.log_state import load_state as load_state
@@ -42,7 +43,7 @@ def changes(events: DataFrame) -> DataFrame:
 
 def merged(state: DataFrame, events: DataFrame) -> DataFrame:
     """The state after the events: the last change of each (drive, file_ref); of one seq the deletion."""
-    return latest(state.unionByName(changes(events)))
+    return latest(dealt(state.unionByName(changes(events)), "drive", "file_ref"))
 
 
 def live(state: DataFrame) -> DataFrame:
@@ -65,17 +66,21 @@ def rescans(drives: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return drives.join(known, "drive", "left").select("drive", (~F.coalesce(valid, F.lit(False))).alias("rescan"))
 
 
-def with_junk(state: DataFrame, junk_refs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def with_junk(state: DataFrame, junk_refs: DataFrame, roots: DataFrame | None = None, junk_dirs=JUNK_DIRS, user_dirs=USER_DIRS) -> tuple[DataFrame, DataFrame]:
     """(entries, junk_refs) after changes: what lies under a junk directory, or under a ref that was pruned before, is junk.
 
     A pruned ref stays junk until a change deletes it or moves it elsewhere; what was pruned below it isn't known and stays.
-    options: those of hierarchy.with_ancestry.
+    roots, junk_dirs, user_dirs: as of hierarchy.with_ancestry.
     """
-    seen = state.select("drive", "file_ref").distinct()
+    state = stored(state, "state")  # it is read several times
+    seen = state.select("drive", "file_ref")
     pruned = junk_refs.select("drive", "file_ref").distinct().join(seen, ["drive", "file_ref"], "left_anti")
-    # pruned refs stand as directories at the root, so that what they hold finds them
-    stand_ins = pruned.select("drive", "file_ref", F.lit(0).cast("long").alias("parent_ref"), F.lit("").alias("name"), F.lit(True).alias("is_dir"))
-    whole = with_ancestry(live(state).unionByName(stand_ins), junk_refs=pruned, **options).join(pruned, ["drive", "file_ref"], "left_anti")
+    # pruned refs that hold something stand as directories at the root; they have no rows of their own
+    now = live(state)
+    holders = now.select("drive", F.col("parent_ref").alias("file_ref")).distinct()
+    stand_ins = pruned.join(holders, ["drive", "file_ref"], "left_semi").select("drive", "file_ref", F.lit(0).cast("long").alias("parent_ref"), F.lit("").alias("name"), F.lit(True).alias("is_dir"))
+    chains = directory_chains(now.unionByName(stand_ins), junk_dirs, user_dirs, junk_refs=stand_ins)
+    whole = stamped(now, chains, roots, user_dirs)
     return whole.where("not is_junk").drop("is_junk"), whole.where("is_junk").select("drive", "file_ref").unionByName(pruned)
 
 

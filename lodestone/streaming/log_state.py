@@ -68,7 +68,8 @@ def _write(spark: SparkSession, path: str, rows: DataFrame, most: int, shape: Sh
     """Writes at most `most` rows sorted by key, in files of about PART_ROWS rows of disjoint keys, and returns what the manifest says of each."""
     folder = f"data/{uuid.uuid4().hex}"
     files = -(-most // PART_ROWS)
-    spread = rows.repartitionByRange(files, *shape.key) if files > 1 else rows.coalesce(1)
+    # one file, too, is a shuffle of its own: coalesced, its task would do what all tasks of the step before do
+    spread = rows.repartitionByRange(files, *shape.key) if files > 1 else rows.repartition(1)
     spread.select(*shape.key, *shape.record, "seq", "gone").sortWithinPartitions(*shape.key).write.option("compression", "zstd").parquet(f"{path}/{folder}")
     ends = [f(F.struct(*shape.key)).alias(end) for f, end in ((F.min, "low"), (F.max, "high"))]
     each = spark.read.schema(shape.schema).parquet(f"{path}/{folder}").groupBy(F.input_file_name().alias("file"), "drive").agg(*ends, F.count("*").alias("rows"), F.min("seq").alias("least"))
