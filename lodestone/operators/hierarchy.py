@@ -53,10 +53,13 @@ def directory_chains(records: DataFrame, junk_dirs=JUNK_DIRS, user_dirs=USER_DIR
         before = state
         # directories whose chain has ended aren't joined: without a pointer all of them would be one task's
         going = state.where("up is not null")
-        asked = going.select("drive", F.col("up").alias("file_ref")).distinct()
-        few = seen.get("rows", 0) <= BROADCAST_ROWS or asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        near = F.broadcast if few else lambda frame: frame
-        above = state.join(near(asked), ["drive", "file_ref"], "left_semi").select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in carried], F.col("up").alias("next"))
+        above, near = state, F.broadcast
+        if seen.get("rows", 0) > BROADCAST_ROWS:
+            asked = going.select("drive", F.col("up").alias("file_ref")).distinct()
+            if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+                near = lambda frame: frame
+            above = state.join(near(asked), ["drive", "file_ref"], "left_semi")
+        above = above.select("drive", F.col("file_ref").alias("up"), *[F.col(c).alias(f"{c}_up") for c in carried], F.col("up").alias("next"))
         joined = going.join(near(above), ["drive", "up"], "left")
         flags = k < FLAG_ROUNDS
         moved = joined.select(

@@ -79,7 +79,7 @@ def test_memory_of_a_write_does_not_grow_with_the_tasks_before(spark, conf, tmp_
     for parts in (2, 32):
         conf("spark.sql.shuffle.partitions", str(parts))
         path = f"file://{tmp_path}/{parts}"
-        found, _ = tasks_of(spark, lambda path=path: log_state.add_run(spark, path, rows, {"C": 1}, 20_000))
+        found, _ = tasks_of(spark, lambda path=path: log_state.add_run(spark, path, rows.repartition(2), {"C": 1}, 20_000))
         assert log_state.load_state(spark, path)[0].count() == 20_000
         most.append(max(memory for _, memory in found))
     assert most[1] <= 2 * most[0], most
