@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -109,21 +110,23 @@ def parsed_records(raw: DataFrame) -> DataFrame:
     return first_of_each(used.withColumn("_priority", priority), ["drive", "file_ref"], ["_priority", "name"]).drop("_priority", "in_use", "name_space")
 
 
-def save_snapshot(tables: dict[str, DataFrame], path: str, keep_if_empty: str | None = None, options: dict[str, str] | None = None, notes: dict | None = None) -> int | None:
+def save_snapshot(tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], path: str, keep_if_empty: str | None = None, options: dict[str, str] | None = None, notes: dict | None = None) -> int | None:
     """Writes the tables under path, then publishes them as the next version with one small file; readers see old or new. Returns the version.
 
     Each writer has a folder of its own, and of several at once each publishes a version of its own, in the order of their
-    commits. keep_if_empty: a table without which nothing is published (None is returned). options: of the writer. notes: what is published with the version.
+    commits. A function instead of a table gives it from those before it, which it reads by name as they were written. keep_if_empty: a table without which nothing is published (None is returned). options: of the writer. notes: what is published with the version.
     """
     spark = next(iter(tables.values())).sparkSession
     folder = f"w{time.time_ns():020d}-{uuid.uuid4().hex}"
     rows = {}
     for name, frame in tables.items():
+        if not isinstance(frame, DataFrame):
+            frame = frame(lambda earlier: spark.read.parquet(f"{path}/{folder}/{earlier}"))
         seen = Observation(f"{name}-{folder}")
         frame.observe(seen, F.count("*").alias("rows")).write.options(**{"compression": "zstd", **(options or {})}).parquet(f"{path}/{folder}/{name}")
         rows[name] = seen.get.get("rows", 0)
-    if keep_if_empty and not rows[keep_if_empty]:
-        return None
+        if name == keep_if_empty and not rows[name]:
+            return None
     document = {"format": SNAPSHOT_FORMAT, "folder": folder, "tables": rows, "notes": notes or {}}
     return commit(spark, f"{path}/_versions", lambda _: document)[0]
 

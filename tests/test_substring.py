@@ -61,3 +61,14 @@ def test_a_query_reads_little(spark, tmp_path, monkeypatch):
     found, names = read_bytes(spark, substring.names_with(index, "zzq"))
     rows, own = read_bytes(spark, substring.entries_with(index, "zzq"))
     assert found == rows == 12 and names + own < size / 10, (names, own, size)
+
+
+def test_postings_are_fewer_than_letters(spark, tmp_path):
+    """Postings of 20,000 numbered names are of blocks, so they have fewer rows than the entries, and searches find what a scan finds."""
+    scan = spark.range(20_000).selectExpr("'C' as drive", "id + 1 as file_ref", "0L as parent_ref", "concat('order_', 1000000 + id, '.o_x') as name", "false as is_dir")
+    entries = hierarchy.with_ancestry(scan)
+    substring.build(entries, f"file://{tmp_path}/index")
+    index = substring.load(spark, f"file://{tmp_path}/index")
+    assert index["grams"].count() < 20_000
+    for query in ("07", "077", "0077", "der_1", "1019999", "order_1000000.o_x", "77777"):
+        assert substring.entries_with(index, query).count() == entries.where(entries.name_lower.contains(query)).count(), query
